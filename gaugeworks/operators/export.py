@@ -59,12 +59,16 @@ def pack_batches(
         .agg(
             # At most max_batch_size entries.
             F.array_sort(
-                F.collect_list(F.struct(F.col(id).alias("_o"), F.struct(*columns).alias("p")))
+                F.collect_list(
+                    F.struct(F.col(id).alias("o"), F.to_json(F.struct(*columns)).alias("p"))
+                )
             ).alias("_points")
         )
         .select(
             F.concat_ws("-", destination, "bucket", "chunk").alias("batch_id"),
-            F.encode(F.to_json(F.transform("_points", lambda x: x["p"])), "UTF-8").alias("data"),
+            F.encode(
+                F.concat(F.lit("["), F.array_join(F.col("_points.p"), ","), F.lit("]")), "UTF-8"
+            ).alias("data"),
             F.lit(format).alias("format"),
             F.lit(False).alias("replay"),
             F.lit(0).cast("bigint").alias("config_generation"),

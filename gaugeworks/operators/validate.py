@@ -41,25 +41,50 @@ FORMATS = {
 }
 
 
-def _member(value: Column, name: str) -> Column:
-    """A member as a variant: null when absent, a variant null when null."""
+class _Node:
+    """A value of the payload, with its members.
+
+    Members of objects outside arrays become columns of their own (listed in `found`),
+    so each is taken out of the payload once however many checks look at it.
+    """
+
+    def __init__(
+        self,
+        value: Column,
+        kind: Column,
+        found: dict[tuple[str, ...], int] | None = None,
+        path: tuple[str, ...] = (),
+    ) -> None:
+        self.value, self.kind, self.found, self.path = value, kind, found, path
+
+    def member(self, name: str) -> _Node:
+        """Null when absent, a variant null when null."""
+        if self.found is None:
+            inner = _take(self.value, name)
+            return _Node(inner, F.schema_of_variant(inner))
+        key = (*self.path, name)
+        n = self.found.setdefault(key, len(self.found))
+        return _Node(F.col(f"_v{n}"), F.col(f"_k{n}"), self.found, key)
+
+    @property
+    def absent(self) -> Column:
+        return self.value.isNull()
+
+    @property
+    def is_object(self) -> Column:
+        return F.startswith(self.kind, F.lit("OBJECT"))
+
+    @property
+    def text(self) -> Column:
+        """The text of a string value; null for every other kind."""
+        return F.when(self.kind == "STRING", F.try_variant_get(self.value, "$", "string"))
+
+
+def _take(value: Column, name: str) -> Column:
     quoted = name.replace("\\", "\\\\").replace('"', '\\"')
     return F.try_variant_get(value, f'$["{quoted}"]', "variant")
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
-def _is_object(value: Column) -> Column:
-    return F.startswith(_kind(value), F.lit("OBJECT"))
-
-
-def _string(value: Column) -> Column:
-    """The text of a string value; null for every other kind."""
-    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-
 def _violation(error: str, path: Column | str) -> Column:
     where = F.lit(path) if isinstance(path, str) else path
     return F.struct(F.lit(error).alias("error"), where.alias("path"))
@@ -75,41 +100,40 @@ def _join(path: Column | str, name: str) -> Column | str:
     return F.concat(path, F.lit(f".{name}"))
 
 
-def _type_ok(value: Column, expected: str) -> Column:
-    kind = _kind(value)
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
-    double = F.try_variant_get(value, "$", "double")
+def _type_ok(node: _Node, expected: str) -> Column:
+    kind = node.kind
+    double = F.try_variant_get(node.value, "$", "double")
     checks = {
         "string": lambda: kind == "STRING",
-        "number": lambda: number,
+        "number": lambda: kind.isin("BIGINT", "DOUBLE", "FLOAT")
+        | F.startswith(kind, F.lit("DECIMAL")),
         # Trailing zeros are not kept, so an integral decimal has scale 0.
         "integer": lambda: (kind == "BIGINT")
-        | F.endswith(kind, F.lit(",0)"))
+        | (F.startswith(kind, F.lit("DECIMAL")) & F.endswith(kind, F.lit(",0)")))
         | (kind.isin("DOUBLE", "FLOAT") & (F.floor(double) == double)),
         "boolean": lambda: kind == "BOOLEAN",
-        "object": lambda: F.startswith(kind, F.lit("OBJECT")),
+        "object": lambda: node.is_object,
         "array": lambda: F.startswith(kind, F.lit("ARRAY")),
     }
     return checks[expected]() if expected in checks else F.lit(True)
 
 
-def _value_checks(value: Column, schema: Mapping[str, Any], path, pii) -> list[Column]:
-    """Checks of one present value: type, format, what is inside."""
+def _value_checks(node: _Node, schema: Mapping[str, Any], path) -> list[Column]:
+    """Type, then format, of one present value."""
     checks = []
     expected = schema.get("type")
     if isinstance(expected, str):
         checks.append(
             F.when(
-                ~_type_ok(value, expected),
+                ~_type_ok(node, expected),
                 _violation(f"{BAD_TYPE}: expected {expected}", path),
             )
         )
     form = schema.get("format")
     if isinstance(form, str):
-        text = _string(value)
         checks.append(
             F.when(
-                text.isNull(),
+                node.kind != "STRING",
                 _violation(f"{BAD_TYPE}: format validation requires string", path),
             )
         )
@@ -117,20 +141,20 @@ def _value_checks(value: Column, schema: Mapping[str, Any], path, pii) -> list[C
             pattern, title = FORMATS[form]
             checks.append(
                 F.when(
-                    ~full_match(text, pattern),
+                    ~full_match(node.text, pattern),
                     _violation(f"{BAD_VALUE}: invalid {title} format", path),
                 )
             )
     return checks
 
 
-def _inside(value: Column, schema: Mapping[str, Any], path, pii) -> list[Column]:
+def _inside(node: _Node, schema: Mapping[str, Any], path, pii) -> list[Column]:
     if schema.get("type") == "object" and isinstance(schema.get("properties"), Mapping):
-        return _object_checks(value, schema, path, pii)
+        return _object_checks(node, schema, path, pii)
     return []
 
 
-def _items(value: Column, items: Mapping[str, Any], path, pii) -> Column:
+def _items(node: _Node, items: Mapping[str, Any], path, pii) -> Column:
     """The first failing item's violation."""
 
     def one(item: Column, i: Column) -> Column:
@@ -140,104 +164,95 @@ def _items(value: Column, items: Mapping[str, Any], path, pii) -> Column:
             i.cast("string"),
             F.lit("]"),
         )
-        checks = _value_checks(item, items, at, pii) + _inside(item, items, at, pii)
+        inner = _Node(item, F.schema_of_variant(item))
+        checks = _value_checks(inner, items, at) + _inside(inner, items, at, pii)
         return F.coalesce(*checks, _none())
 
-    elements = F.try_variant_get(value, "$", "array<variant>")
+    elements = F.try_variant_get(node.value, "$", "array<variant>")
     return F.get(F.filter(F.transform(elements, one), lambda r: r.isNotNull()), 0)
 
 
 def _object_checks(
-    value: Column, schema: Mapping[str, Any], path, pii: Sequence[str]
+    node: _Node, schema: Mapping[str, Any], path, pii: Sequence[str]
 ) -> list[Column]:
     checks = []
     for name in schema.get("required") or ():
         if isinstance(name, str):
             checks.append(
                 F.when(
-                    _member(value, name).isNull(),
+                    node.member(name).absent,
                     _violation(f"{MISSING}: {name}", _join(path, name)),
                 )
             )
-    properties = schema.get("properties")
-    for name, sub in sorted((properties or {}).items()):
+    for name, sub in sorted((schema.get("properties") or {}).items()):
         if not isinstance(sub, Mapping):
             continue
-        member, at = _member(value, name), _join(path, name)
-        inner = _value_checks(member, sub, at, pii) + _inside(member, sub, at, pii)
+        member, at = node.member(name), _join(path, name)
+        inner = _value_checks(member, sub, at) + _inside(member, sub, at, pii)
         if sub.get("type") == "array" and isinstance(sub.get("items"), Mapping):
             inner.append(_items(member, sub["items"], at, pii))
         if inner:
-            checks.append(F.when(member.isNotNull(), F.coalesce(*inner)))
-    checks += _pii_checks(value, path, pii)
-    return checks
+            checks.append(F.when(~member.absent, F.coalesce(*inner)))
+    return checks + _pii_checks(node, path, pii)
 
 
-def _pii_checks(value: Column, path, pii: Sequence[str]) -> list[Column]:
+def _pii_checks(node: _Node, path, pii: Sequence[str]) -> list[Column]:
     """A listed field under its own (dotted) key, its path, or its last part."""
     checks = []
     for listed in pii:
         parts = listed.split(".")
-        nested = value
-        for part in parts:
-            nested = _member(nested, part)
-        found = [(_member(value, listed), listed)]
+        found = [(node.member(listed), listed)]
         if len(parts) > 1:
-            found += [(nested, listed), (_member(value, parts[-1]), parts[-1])]
+            nested = node
+            for part in parts:
+                nested = nested.member(part)
+            found += [(nested, listed), (node.member(parts[-1]), parts[-1])]
         for member, name in found:
             checks.append(
                 F.when(
-                    member.isNotNull() & ~is_hashed_or_encoded(_string(member)),
+                    ~member.absent & ~is_hashed_or_encoded(member.text),
                     _violation(f"{PII}: {name}", _join(path, name)),
                 )
             )
     return checks
 
 
-def violation(
-    value: Column, schema: Mapping[str, Any], pii_fields: Sequence[str] = ()
-) -> Column:
-    """The first violation of a parsed payload (a variant), or null."""
-    wrong_root = F.when(
-        ~_is_object(value) & (_kind(value) != "VOID"), _violation(BAD_TYPE, "")
+def _root_check(root: _Node) -> Column:
+    return F.when(
+        ~root.is_object & (root.kind != "VOID"), _violation(BAD_TYPE, "")
     )
-    return F.coalesce(wrong_root, *_object_checks(value, schema, "", pii_fields), _none())
 
 
-def simple_violation(
-    value: Column, required: Sequence[str], pii_fields: Sequence[str] = ()
-) -> Column:
+def _simple_checks(
+    root: _Node, required: Sequence[str], pii_fields: Sequence[str]
+) -> list[Column]:
     """Dotted required paths, then dotted personal paths."""
-    checks = [
-        F.when(
-            ~_is_object(value) & (_kind(value) != "VOID"), _violation(BAD_TYPE, "")
-        )
-    ]
+    checks = []
     for dotted in required:
         parts = dotted.split(".")
-        current = value
+        current = root
         for part in parts[:-1]:
-            current = _member(current, part)
+            current = current.member(part)
             checks += [
-                F.when(current.isNull(), _violation(f"{MISSING}: {dotted}", dotted)),
+                F.when(current.absent, _violation(f"{MISSING}: {dotted}", dotted)),
                 F.when(
-                    ~_is_object(current),
+                    ~current.is_object,
                     _violation(f"{BAD_TYPE}: {part} is not an object", dotted),
                 ),
             ]
-        last = _member(current, parts[-1])
-        checks.append(F.when(last.isNull(), _violation(f"{MISSING}: {dotted}", dotted)))
+        last = current.member(parts[-1])
+        checks.append(F.when(last.absent, _violation(f"{MISSING}: {dotted}", dotted)))
     for dotted in pii_fields:
-        current = value
+        current = root
         for part in dotted.split("."):
-            current = _member(current, part)
+            current = current.member(part)
         checks.append(
             F.when(
-                current.isNotNull() & ~is_hashed_or_encoded(_string(current)),
+                ~current.absent & ~is_hashed_or_encoded(current.text),
                 _violation(f"{PII}: {dotted}", dotted),
             )
         )
-    return F.coalesce(*checks, _none())
+    return checks
 
 
 def parse_payload(text: Column) -> Column:
@@ -254,18 +269,33 @@ def with_violation(
     required: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds `violation`: by schema, or by `required` paths where no schema is given."""
-    parsed = df.withColumn("_doc", parse_payload(F.col(payload).cast("string")))
-    doc = F.col("_doc")
+    found: dict[tuple[str, ...], int] = {}
+    root = _Node(F.col("_doc"), F.col("_kind"), found)
     if schema is not None:
-        found = violation(doc, schema, pii_fields)
+        checks = _object_checks(root, schema, "", pii_fields)
     else:
-        found = simple_violation(doc, required or (), pii_fields)
-    return parsed.withColumn(
-        "violation",
-        F.when(doc.isNull(), _violation(UNPARSABLE, F.lit(None).cast("string"))).otherwise(
-            found
-        ),
-    ).drop("_doc")
+        checks = _simple_checks(root, required or (), pii_fields)
+    out = df.withColumn("_doc", parse_payload(F.col(payload).cast("string"))).withColumn(
+        "_kind", F.schema_of_variant("_doc")
+    )
+    for depth in sorted({len(path) for path in found}):
+        members = {
+            f"_v{n}": _take(
+                F.col(f"_v{found[path[:-1]]}") if depth > 1 else F.col("_doc"), path[-1]
+            )
+            for path, n in found.items()
+            if len(path) == depth
+        }
+        out = out.withColumns(members)
+        out = out.withColumns(
+            {f"_k{v[2:]}": F.schema_of_variant(F.col(v)) for v in members}
+        )
+    verdict = F.when(
+        F.col("_doc").isNull(), _violation(UNPARSABLE, F.lit(None).cast("string"))
+    ).otherwise(F.coalesce(_root_check(root), *checks, _none()))
+    # A one-row generator: filters on the verdict stay above it, so nothing is parsed
+    # or checked a second time for a filter.
+    return out.select(*df.columns, F.explode(F.array(verdict)).alias("violation"))
 
 
 def error_message(v: Column) -> Column:
