@@ -151,6 +151,27 @@ def _next_times(nodes: DataFrame, ttl: int) -> DataFrame:
     )
 
 
+def _scan_times(times: DataFrame, ttl: int) -> DataFrame:
+    """Kept (key, us) where each key's distinct times fit a task."""
+    timeline = Window.partitionBy("key").orderBy("us")
+    return (
+        times.withColumn("_head", F.row_number().over(timeline) == 1)
+        .withColumn("kept", _ttl_scan(ttl)(F.col("us"), F.col("_head")))
+        .filter("kept")
+        .select("key", "us")
+    )
+
+
+def _rounds_needed(nodes: DataFrame, last_cell: int, heavy_rows: int) -> int:
+    """The fewest halvings after which no key has more nodes than `heavy_rows`."""
+    most = max(int(last_cell).bit_length(), 1)
+    counts = nodes.groupBy("key").agg(
+        *[F.count_if(F.expr(f"cell % {1 << k} = 0 or low")).alias(f"n{k}") for k in range(most + 1)]
+    )
+    largest = counts.agg(*[F.max(f"n{k}") for k in range(most + 1)]).first()
+    return next((k for k in range(most) if largest[k] <= heavy_rows), most)
+
+
 def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFrame:
     """Kept (key, us) among distinct (key, us), for keys of any size.
 
@@ -159,57 +180,61 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
     first of a later one. Round k keeps, as nodes, the rows of every 2^k-th cell and the
     first row of each cell, and shortens pointers that end elsewhere by one step: the
     node reached then is a node of the smaller set. When a key's nodes fit a task the
-    chain is read off there, and the rounds are undone with the few rows kept.
+    chain is read off there, and the rounds are undone by joins with the few rows kept.
     """
     anchors = times.groupBy("key").agg(F.min("us").alias("anchor"))
-    cell = F.expr(f"(us - anchor) div {ttl}")
-    celled = times.join(anchors, "key").select("key", "us", cell.alias("cell"))
-    lows = celled.groupBy("key", "cell").agg(F.min("us").alias("low"))
-    # In the first cell only the first row can be on the chain.
-    placed = (
-        celled.join(lows, ["key", "cell"])
-        .withColumn("low", F.col("us") == F.col("low"))
-        .filter("cell > 0 or low")
+    celled = times.join(anchors, "key").withColumn("cell", F.expr(f"(us - anchor) div {ttl}"))
+    # One row per key and cell of time.
+    lows = written(
+        celled.groupBy("key", "anchor", "cell").agg(F.min("us").alias("first_us")),
+        "dedup-cells",
     )
-    placed = written(placed, "dedup-nodes")
-    pointers = _next_times(times, ttl)
-    target = placed.select(
-        "key", F.col("us").alias("next"), F.col("cell").alias("next_cell"),
-        F.col("low").alias("next_low"),
+    next_lows = lows.select(
+        "key", F.col("cell").alias("next_cell"), F.col("first_us").alias("next_first")
     )
-    level = written(
-        placed.join(pointers, ["key", "us"], "left").join(target, ["key", "next"], "left"),
-        "dedup-level",
+    level = (
+        _next_times(times, ttl)
+        .join(anchors, "key")
+        .withColumns(
+            {
+                "cell": F.expr(f"(us - anchor) div {ttl}"),
+                "next_cell": F.expr(f"(next - anchor) div {ttl}"),
+            }
+        )
+        .join(lows.select("key", "cell", "first_us"), ["key", "cell"])
+        .join(next_lows, ["key", "next_cell"], "left")
+        .withColumns(
+            {"low": F.expr("us = first_us"), "next_low": F.expr("next = next_first")}
+        )
+        # In a key's first cell only the first row can be on the chain.
+        .filter("cell > 0 or low")
+        .select("key", "us", "cell", "low", "next", "next_cell", "next_low")
     )
-    levels = [level]
-    last_cell = level.agg(F.max("cell")).first()[0]
-    step = 1
-    while step <= last_cell:
-        largest = level.groupBy("key").count().agg(F.max("count")).first()[0]
-        if largest <= heavy_rows:
-            break
-        step *= 2
-        staying = f"cell % {step} = 0 or low"
-        ends_in_set = f"next is null or next_low or next_cell % {step} = 0"
+    level = written(level, "dedup-level")
+    last_cell = lows.agg(F.max("cell")).first()[0]
+    levels = []
+    for k in range(1, _rounds_needed(level, last_cell, heavy_rows) + 1):
+        staying = f"cell % {1 << k} = 0 or low"
+        ends_in_set = f"next is null or next_low or next_cell % {1 << k} = 0"
         hop = level.filter(f"not ({staying})").select(
             "key", F.col("us").alias("next"),
             F.struct("next", "next_cell", "next_low").alias("beyond"),
         )
-        kept_nodes = level.filter(staying)
+        nodes = level.filter(staying)
+        # On the way back a kept row brings in the row it was led past, if any.
+        skipped = F.when(~F.expr(ends_in_set), F.col("next"))
+        levels.append(nodes.select("key", "us", skipped.alias("skipped")))
         level = written(
-            kept_nodes.filter(ends_in_set).unionByName(
-                kept_nodes.filter(f"not ({ends_in_set})")
+            nodes.filter(ends_in_set).unionByName(
+                nodes.filter(f"not ({ends_in_set})")
                 .join(hop, ["key", "next"])
                 .select("key", "us", "cell", "low", "beyond.*")
             ),
             "dedup-level",
         )
-        levels.append(level)
-
     timeline = Window.partitionBy("key").orderBy("us")
     kept = (
-        levels.pop()
-        .withColumn("_head", F.row_number().over(timeline) == 1)
+        level.withColumn("_head", F.row_number().over(timeline) == 1)
         .withColumn(
             "on_chain",
             _pointer_scan()(
@@ -219,16 +244,11 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
         .filter("on_chain")
         .select("key", "us")
     )
-    kept = written(kept, "dedup-chain")
-    while levels:
-        stepped = kept.join(
-            levels.pop().select("key", "us", "next"), ["key", "us"]
-        ).filter("next is not null")
-        kept = written(
-            kept.unionByName(stepped.select("key", F.col("next").alias("us"))).distinct(),
-            "dedup-chain",
+    for finer in reversed(levels):
+        kept = kept.join(finer, ["key", "us"]).select(
+            "key", F.explode(F.array_compact(F.array("us", "skipped"))).alias("us")
         )
-    return kept
+    return written(kept, "dedup-chain")
 
 
 def _pointer_scan():
@@ -286,7 +306,12 @@ def mark_ttl(
     light = keyed.join(heavy, is_heavy & F.col("_solo").isNull(), "left_anti")
     hot = keyed.filter("_solo is null").join(heavy, is_heavy).withColumn("us", micros(ts))
     times = written(hot.groupBy("key", "us").agg(F.min(id).alias("first_id")), "dedup-times")
-    chain = _chain_of_heavy_keys(times.select("key", "us"), ttl, heavy_rows)
+    moments = times.select("key", "us")
+    most = moments.groupBy("key").count().agg(F.max("count")).first()[0]
+    if most <= heavy_rows:
+        chain = _scan_times(moments, ttl)
+    else:
+        chain = _chain_of_heavy_keys(moments, ttl, heavy_rows)
     kept = times.join(chain, ["key", "us"]).select(
         "key", "us", F.col("first_id").alias(id), F.lit(True).alias("_kept")
     )
