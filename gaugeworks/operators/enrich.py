@@ -14,6 +14,10 @@ from gaugeworks.model import require
 # A key's points within one slice of time are spread over this many groups.
 POINT_SPREAD = 8
 
+# Snapshots that may be broadcast, and how many of one key may share a slice then.
+BROADCAST_FACTS = 200_000
+FACTS_PER_SLICE = 64
+
 
 def latest_snapshot(hosts: DataFrame, key: str = "hostname", id: str | None = None) -> DataFrame:
     """The last snapshot per host by collection time (then id); combined map-side."""
@@ -42,21 +46,20 @@ def as_of(
     at: str = "collected_at",
     spread: int = POINT_SPREAD,
     into: str = "snapshot",
+    small: int = BROADCAST_FACTS,
 ) -> DataFrame:
     """Left lookup of the last snapshot at or before each point, not older than `ttl`.
 
-    Time is cut into slices of length `ttl`. A point needs the snapshots of its own
-    slice and the last one of the slice before, so each (key, slice) is answered on its
-    own, by one running `last` over points and snapshots merged in time order: linear,
-    with no pairs built. Points of a (key, slice) are spread over `spread` groups by a
-    hash of the row, snapshots are copied to each, so a key holding a third of the
-    points, even at one time, is never one task's work. The result gains the struct
-    column `into`, null on a miss. A snapshot at a point's own time counts.
+    The result gains the struct column `into`, null on a miss; a snapshot at a point's
+    own time counts. Time is cut into slices of length `ttl`, so a point needs only the
+    snapshots of its own slice and the last one of the slice before.
+
+    Up to `small` snapshots (counted, and few per key and slice) are broadcast and the
+    points stay where they are. Beyond that both sides are shuffled, see `_merge`.
     """
     ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
     require(ttl >= 0, "the snapshot TTL must not be negative")
     width = max(ttl, 1)
-    columns = points.columns
     facts = snapshots.filter(F.col(snapshot_key).isNotNull() & F.col(at).isNotNull()).select(
         F.col(snapshot_key).alias("_key"),
         micros(at).alias("_at"),
@@ -72,21 +75,74 @@ def as_of(
             "_key", (F.col("_slice") + 1).alias("_slice"), "_last._at", "_last._fact"
         )
     )
+    facts = facts.unionByName(carried)
+    keyed = points.withColumns(
+        {
+            "_key": F.col(key).cast(facts.schema["_key"].dataType),
+            "_at": micros(ts),
+            "_slice": F.floor(micros(ts) / width).cast("bigint"),
+        }
+    )
+    if small > 0:
+        per_slice = facts.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("n"))
+        size, most = per_slice.agg(F.sum("n"), F.max("n")).first()
+        if (size or 0) <= small and (most or 0) <= FACTS_PER_SLICE:
+            return _probe(keyed, facts, ttl, points.columns, into)
+    return _merge(keyed, facts, ttl, points.columns, into, at, spread)
+
+
+def _probe(
+    keyed: DataFrame, facts: DataFrame, ttl: int, columns: list[str], into: str
+) -> DataFrame:
+    """Facts as intervals that do not overlap, broadcast: one match at most per point."""
+    order = Window.partitionBy("_key", "_slice").orderBy("_at")
+    until = F.least(
+        F.coalesce(F.lead("_at").over(order), F.lit(2**62)), F.col("_at") + ttl + 1
+    )
+    intervals = facts.select(
+        F.col("_key").alias("_k"),
+        F.col("_slice").alias("_s"),
+        F.col("_at").alias("_from"),
+        until.alias("_until"),
+        F.col("_fact").alias(into),
+    )
+    here = (
+        (F.col("_key") == F.col("_k"))
+        & (F.col("_slice") == F.col("_s"))
+        & (F.col("_at") >= F.col("_from"))
+        & (F.col("_at") < F.col("_until"))
+    )
+    return keyed.join(F.broadcast(intervals), here, "left").select(*columns, into)
+
+
+def _merge(
+    keyed: DataFrame,
+    facts: DataFrame,
+    ttl: int,
+    columns: list[str],
+    into: str,
+    at: str,
+    spread: int,
+) -> DataFrame:
+    """One running `last` over points and facts merged in time order, per key and slice.
+
+    Linear, with no pairs built. Points of a (key, slice) are spread over `spread`
+    groups by a hash of the row and facts are copied to each, so a key holding a third
+    of the points, even at one time, is never one task's work.
+    """
+    point = F.struct(*columns)
     copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_group")
-    no_point = F.lit(None).cast(points.select(F.struct(*columns)).schema[0].dataType)
-    right = facts.unionByName(carried).select(
+    right = facts.select(
         "_key", "_slice", copies, "_at", F.lit(0).alias("_kind"), "_fact",
-        no_point.alias("_point"),
-    )
-    fact_type = facts.schema["_fact"].dataType
-    left = points.select(
-        F.col(key).cast(facts.schema["_key"].dataType).alias("_key"),
-        F.floor(micros(ts) / width).cast("bigint").alias("_slice"),
-        F.pmod(F.xxhash64(*_hashable(points)), F.lit(spread)).cast("int").alias("_group"),
-        micros(ts).alias("_at"),
+        F.lit(None).cast(keyed.select(point).schema[0].dataType).alias("_point"),
+    )
+    left = keyed.select(
+        "_key", "_slice",
+        F.pmod(F.xxhash64(*_hashable(keyed)), F.lit(spread)).cast("int").alias("_group"),
+        "_at",
         F.lit(1).alias("_kind"),
-        F.lit(None).cast(fact_type).alias("_fact"),
-        F.struct(*columns).alias("_point"),
+        F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"),
+        point.alias("_point"),
     )
     running = Window.partitionBy("_key", "_slice", "_group").orderBy("_at", "_kind")
     seen = F.last("_fact", ignorenulls=True).over(running)
@@ -118,14 +174,17 @@ def enrich_host(
     values: Sequence[str] = ("os", "architecture", "cpu_count", "total_memory"),
     ts: str = "ts",
     spread: int = POINT_SPREAD,
+    small: int = BROADCAST_FACTS,
 ) -> DataFrame:
     """Adds `host_info` by host name or, failing that, by address; and `host_hit`."""
     out = as_of(
-        points, hosts, host, "hostname", values, ttl, ts, spread=spread, into="host_info"
+        points, hosts, host, "hostname", values, ttl, ts, spread=spread, into="host_info",
+        small=small,
     )
     if ip is not None:
         out = as_of(
-            out, hosts, ip, "ip", values, ttl, ts, spread=spread, into="_by_ip"
+            out, hosts, ip, "ip", values, ttl, ts, spread=spread, into="_by_ip",
+            small=small,
         ).withColumn("host_info", F.coalesce("host_info", "_by_ip"))
         out = out.drop("_by_ip")
     return out.withColumn("host_hit", F.col("host_info").isNotNull())
@@ -139,6 +198,7 @@ def enrich_process(
     pid: str = "pid",
     ts: str = "ts",
     spread: int = POINT_SPREAD,
+    small: int = BROADCAST_FACTS,
 ) -> DataFrame:
     """Adds `process` of (host, pid); an expired host or unknown pid is a miss.
 
@@ -149,7 +209,7 @@ def enrich_process(
     # without the pid hides an earlier one with it. Hence the time of the host match.
     matched = as_of(
         points, hosts.select("hostname", "collected_at"), host, "hostname", [], ttl, ts,
-        spread=spread, into="_match",
+        spread=spread, into="_match", small=small,
     )
     entries = hosts.select(
         "hostname", "collected_at", F.explode("processes").alias("_pid", "process")

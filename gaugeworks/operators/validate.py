@@ -9,7 +9,7 @@ then its personal fields.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -41,30 +41,47 @@ FORMATS = {
 }
 
 
-class _Node:
-    """A value of the payload, with its members.
+class _Scope:
+    """Where the values of one payload, or of one array item, are held.
 
-    Members of objects outside arrays become columns of their own (listed in `found`),
-    so each is taken out of the payload once however many checks look at it.
+    Every member a check looks at gets a slot `v<n>`, and `k<n>` where its kind matters,
+    so it is taken out of the payload once however many checks use it.
     """
 
-    def __init__(
-        self,
-        value: Column,
-        kind: Column,
-        found: dict[tuple[str, ...], int] | None = None,
-        path: tuple[str, ...] = (),
-    ) -> None:
-        self.value, self.kind, self.found, self.path = value, kind, found, path
+    def __init__(self, column: Callable[[str], Column]) -> None:
+        self.column = column
+        self.slots: dict[tuple[str, ...], int] = {(): 0}
+        self.kinds: set[int] = set()
+
+    def stages(self) -> Iterator[tuple[dict[str, tuple[str, str]], dict[str, str]]]:
+        """By depth: new value slots as (parent slot, member name), and kind slots."""
+        for depth in sorted({len(path) for path in self.slots}):
+            level = {p: n for p, n in self.slots.items() if len(p) == depth}
+            values = {
+                f"v{n}": (f"v{self.slots[p[:-1]]}", p[-1]) for p, n in level.items() if p
+            }
+            yield values, {f"k{n}": f"v{n}" for n in level.values() if n in self.kinds}
+
+
+class _Node:
+    """A value of the payload, with its members."""
+
+    def __init__(self, scope: _Scope, path: tuple[str, ...] = ()) -> None:
+        self.scope, self.path = scope, path
+        self.slot = scope.slots.setdefault(path, len(scope.slots))
 
     def member(self, name: str) -> _Node:
+        return _Node(self.scope, (*self.path, name))
+
+    @property
+    def value(self) -> Column:
         """Null when absent, a variant null when null."""
-        if self.found is None:
-            inner = _take(self.value, name)
-            return _Node(inner, F.schema_of_variant(inner))
-        key = (*self.path, name)
-        n = self.found.setdefault(key, len(self.found))
-        return _Node(F.col(f"_v{n}"), F.col(f"_k{n}"), self.found, key)
+        return self.scope.column(f"v{self.slot}")
+
+    @property
+    def kind(self) -> Column:
+        self.scope.kinds.add(self.slot)
+        return self.scope.column(f"k{self.slot}")
 
     @property
     def absent(self) -> Column:
@@ -157,6 +174,44 @@ def _inside(node: _Node, schema: Mapping[str, Any], path, pii) -> list[Column]:
 def _items(node: _Node, items: Mapping[str, Any], path, pii) -> Column:
     """The first failing item's violation."""
 
+    def checks(scope: _Scope, at) -> list[Column]:
+        item = _Node(scope)
+        return _value_checks(item, items, at) + _inside(item, items, at, pii)
+
+    # Building the checks once shows which slots an item needs.
+    needed = _Scope(lambda slot: F.col(slot))
+    if not checks(needed, ""):
+        return _none()
+    fields = ["v0"]
+    held = F.transform(
+        F.try_variant_get(node.value, "$", "array<variant>"),
+        lambda item: F.struct(item.alias("v0")),
+    )
+
+    def grown(items: Column, added: dict[str, Callable[[Column], Column]]) -> Column:
+        old = list(fields)
+        fields.extend(added)
+        return F.transform(
+            items,
+            lambda s: F.struct(
+                *[s[f].alias(f) for f in old], *[make(s).alias(n) for n, make in added.items()]
+            ),
+        )
+
+    for values, kinds in needed.stages():
+        if values:
+            held = grown(
+                held,
+                {
+                    v: lambda s, of=of, name=name: _take(s[of], name)
+                    for v, (of, name) in values.items()
+                },
+            )
+        if kinds:
+            held = grown(
+                held, {k: lambda s, v=v: F.schema_of_variant(s[v]) for k, v in kinds.items()}
+            )
+
     def one(item: Column, i: Column) -> Column:
         at = F.concat(
             F.lit(path) if isinstance(path, str) else path,
@@ -164,12 +219,9 @@ def _items(node: _Node, items: Mapping[str, Any], path, pii) -> Column:
             i.cast("string"),
             F.lit("]"),
         )
-        inner = _Node(item, F.schema_of_variant(item))
-        checks = _value_checks(inner, items, at) + _inside(inner, items, at, pii)
-        return F.coalesce(*checks, _none())
+        return F.coalesce(*checks(_Scope(lambda slot: item[slot]), at), _none())
 
-    elements = F.try_variant_get(node.value, "$", "array<variant>")
-    return F.get(F.filter(F.transform(elements, one), lambda r: r.isNotNull()), 0)
+    return F.get(F.filter(F.transform(held, one), lambda r: r.isNotNull()), 0)
 
 
 def _object_checks(
@@ -269,33 +321,46 @@ def with_violation(
     required: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds `violation`: by schema, or by `required` paths where no schema is given."""
-    found: dict[tuple[str, ...], int] = {}
-    root = _Node(F.col("_doc"), F.col("_kind"), found)
+    scope = _Scope(lambda slot: F.col(f"_{slot}"))
+    root = _Node(scope)
     if schema is not None:
         checks = _object_checks(root, schema, "", pii_fields)
     else:
         checks = _simple_checks(root, required or (), pii_fields)
-    out = df.withColumn("_doc", parse_payload(F.col(payload).cast("string"))).withColumn(
-        "_kind", F.schema_of_variant("_doc")
+    checks = [_root_check(root), *checks]
+    text = F.col(payload).cast("string")
+    start = F.ltrim(text, F.lit(" \t\r\n"))
+    out = df.withColumns(
+        {
+            "_v0": parse_payload(text),
+            # The root's kind shows in its first character; no need to walk it.
+            "_k0": F.when(F.startswith(start, F.lit("{")), F.lit("OBJECT"))
+            .when(F.startswith(start, F.lit("null")), F.lit("VOID"))
+            .otherwise(F.lit("OTHER")),
+        }
     )
-    for depth in sorted({len(path) for path in found}):
-        members = {
-            f"_v{n}": _take(
-                F.col(f"_v{found[path[:-1]]}") if depth > 1 else F.col("_doc"), path[-1]
+    for values, kinds in scope.stages():
+        if values:
+            out = out.withColumns(
+                {
+                    f"_{v}": _take(F.col(f"_{of}"), name)
+                    for v, (of, name) in values.items()
+                }
+            )
+        kinds.pop("k0", None)
+        if kinds:
+            out = out.withColumns(
+                {f"_{k}": F.schema_of_variant(F.col(f"_{v}")) for k, v in kinds.items()}
             )
-            for path, n in found.items()
-            if len(path) == depth
-        }
-        out = out.withColumns(members)
-        out = out.withColumns(
-            {f"_k{v[2:]}": F.schema_of_variant(F.col(v)) for v in members}
-        )
     verdict = F.when(
-        F.col("_doc").isNull(), _violation(UNPARSABLE, F.lit(None).cast("string"))
-    ).otherwise(F.coalesce(_root_check(root), *checks, _none()))
+        root.absent, _violation(UNPARSABLE, F.lit(None).cast("string"))
+    ).otherwise(F.coalesce(*checks, _none()))
     # A one-row generator: filters on the verdict stay above it, so nothing is parsed
-    # or checked a second time for a filter.
-    return out.select(*df.columns, F.explode(F.array(verdict)).alias("violation"))
+    # or checked a second time for a filter. The verdict itself is a projection, which
+    # Spark compiles.
+    return out.withColumn("_verdict", verdict).select(
+        *df.columns, F.explode(F.array("_verdict")).alias("violation")
+    )
 
 
 def error_message(v: Column) -> Column:

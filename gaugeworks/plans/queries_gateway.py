@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.clock import micros
 from gaugeworks.model import (
     ERR_FORWARDING_FAILED,
+    ERR_INVALID_INPUT,
     ERR_PII_LEAK,
     ERR_PROCESSING_FAILED,
     AggRule,
@@ -324,13 +325,14 @@ PII_FIELDS = ["user.email", "user.phone"]
            END AS error_message FROM judged""",
 )
 def validate_split(spark, d):
-    valid, rejected = val.validate(documents(spark, d, True), FULL, pii_fields=PII_FIELDS)
-    nothing = F.lit(None).cast("string")
-    return valid.select(
-        "id", F.lit(True).alias("accepted"), nothing.alias("error_code"),
-        nothing.alias("error_message"),
-    ).unionByName(
-        rejected.select("id", F.lit(False).alias("accepted"), "error_code", "error_message")
+    # Valid and rejected rows side by side, so the payloads are checked once.
+    out = val.with_violation(documents(spark, d, True), FULL, "data", PII_FIELDS)
+    bad = F.col("violation").isNotNull()
+    return out.select(
+        "id",
+        (~bad).alias("accepted"),
+        F.when(bad, F.lit(ERR_INVALID_INPUT)).alias("error_code"),
+        F.when(bad, val.error_message(F.col("violation"))).alias("error_message"),
     )
 
 

@@ -185,6 +185,19 @@ def enrich_host_asof(spark, d):
     )
 
 
+@query(
+    "enrich_host_asof_merge",
+    f"""WITH {ASOF}
+    SELECT id, hit, CASE WHEN hit THEN total_memory END AS total_memory FROM matched""",
+)
+def enrich_host_asof_merge(spark, d):
+    # The way taken when there are too many snapshots to broadcast.
+    points, hosts = inputs.host_points(spark, d), inputs.hosts(spark, d)
+    return enrich.enrich_host(points, hosts, "3d", "host", small=0).select(
+        "id", F.col("host_hit").alias("hit"), "host_info.total_memory"
+    )
+
+
 @query(
     "enrich_process",
     f"""WITH {ASOF}

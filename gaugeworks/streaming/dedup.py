@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from gaugeworks.model import require
 from gaugeworks.operators.dedup import dedup_key
 
 
-def _keep(ttl: int, us: str, id: str, drop: list[str]):
+def _keep(ttl: int, us: str, id: str, columns: list[str]):
     def step(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -23,23 +24,23 @@ def _keep(ttl: int, us: str, id: str, drop: list[str]):
             return
         due = state.get[0] + ttl if state.exists else None
         # Rows that cannot be kept go at once; the rest is at most one trigger's input.
-        open_rows = [f if due is None else f[f[us] >= due] for f in frames]
-        rows = pd.concat(open_rows, ignore_index=True).sort_values([us, id])
-        marks = []
-        for t in rows[us].tolist():
-            kept = due is None or t >= due
-            if kept:
+        held = [f if due is None else f[f[us].to_numpy() >= due] for f in frames]
+        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        times = rows[us].to_numpy()
+        order = np.lexsort((rows[id].to_numpy(), times))
+        picked = []
+        for i, t in zip(order.tolist(), times[order].tolist()):
+            if due is None or t >= due:
                 due = t + ttl
-            marks.append(kept)
-        if any(marks):
+                picked.append(i)
+        if picked:
             state.update((due - ttl,))
         if due is not None:
             # Once the watermark is past this time any row is new, state or not.
             expiry = -(-due // 1000)
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        kept_rows = rows[pd.Series(marks, index=rows.index, dtype=bool)]
-        if len(kept_rows):
-            yield kept_rows.drop(columns=drop)
+        if picked:
+            yield rows[columns].take(picked)
 
     return step
 
@@ -67,9 +68,8 @@ def dedup_ttl_stream(
     # An unkeyed row is a key of its own.
     solo = F.when(~F.col("has_all_keys"), F.col(id))
     rows = keyed.withColumns({"_us": micros(ts), "_solo": solo}).drop("has_all_keys")
-    helper = ["_us", "_solo", "dedup_key"]
     return rows.groupBy("dedup_key", "_solo").applyInPandasWithState(
-        _keep(ttl, "_us", id, helper),
+        _keep(ttl, "_us", id, points.columns),
         outputStructType=points.schema,
         stateStructType="last_kept bigint",
         outputMode="append",
