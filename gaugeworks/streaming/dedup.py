@@ -67,8 +67,13 @@ def dedup_ttl_stream(
     keyed = dedup_key(marked, keys)
     # An unkeyed row is a key of its own.
     solo = F.when(~F.col("has_all_keys"), F.col(id))
-    rows = keyed.withColumns({"_us": micros(ts), "_solo": solo}).drop("has_all_keys")
-    return rows.groupBy("dedup_key", "_solo").applyInPandasWithState(
+    # Flat keys: a struct would be rebuilt for every row on its way to Python.
+    names = keyed.schema["dedup_key"].dataType.names
+    flat = {f"_key{i}": F.col("dedup_key")[n] for i, n in enumerate(names)}
+    rows = keyed.withColumns({**flat, "_us": micros(ts), "_solo": solo}).drop(
+        "has_all_keys", "dedup_key"
+    )
+    return rows.groupBy(*flat, "_solo").applyInPandasWithState(
         _keep(ttl, "_us", id, points.columns),
         outputStructType=points.schema,
         stateStructType="last_kept bigint",
