@@ -76,8 +76,9 @@ def outcome(
     dlq_on_error: Column,
     forward: Column,
     dlq_ok: Column,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One result row per batch.
+    """One result row per batch, with the batch columns named in `carry`.
 
     `processing_code` is the stage's own error (null when it did its work),
     `dlq_on_error` says whether that error goes to the dead letters, `forward` is "ok",
@@ -112,6 +113,7 @@ def outcome(
         F.when(~throttled, code).alias("error_code"),
         message.alias("error_message"),
         (to_dead_letters & dlq_ok).alias("sent_to_dlq"),
+        *carry,
     )
 
 

@@ -96,9 +96,9 @@ def state_transitions(
 ) -> DataFrame:
     """Every step from one event of an entity to its next: from, to, microseconds.
 
-    Steps inside a slice of time come from a window over (entity, slice). Steps across
-    slices come from the first and last event of each slice, so an entity with most of
-    the events is spread over its slices.
+    Steps inside a slice of time come from a window over (entity, slice). The first and
+    last events of the slices, at most two per slice, then give the steps across
+    slices, so an entity with most of the events is spread over its slices.
     """
     us = micros(ts)
     sliced = events.select(
@@ -109,26 +109,22 @@ def state_transitions(
         F.floor(us / (slice_seconds * 1_000_000)).cast("bigint").alias("slice"),
     )
     inside = Window.partitionBy("entity", "slice").orderBy("us", "id")
-    near = sliced.withColumn(
-        "after", F.lead(F.struct("state", "us")).over(inside)
-    ).select("entity", "state", "us", "after")
-    edges = sliced.groupBy("entity", "slice").agg(
-        F.min_by(F.struct("state", "us"), F.struct("us", "id")).alias("first"),
-        F.max_by(F.struct("state", "us"), F.struct("us", "id")).alias("last"),
+    after = F.lead(F.struct("state", "us"))
+    lined = sliced.withColumns(
+        {"after": after.over(inside), "opens": F.row_number().over(inside) == 1}
     )
-    across = Window.partitionBy("entity").orderBy("slice")
-    far = edges.withColumn("after", F.lead("first").over(across)).select(
-        "entity", "last.state", "last.us", "after"
+    ends = lined.filter("opens or after is null").withColumn(
+        "later", after.over(Window.partitionBy("entity").orderBy("us", "id"))
     )
-    return (
-        near.unionByName(far)
-        .filter("after is not null")
-        .select(
-            "entity",
-            F.col("state").alias("from_state"),
-            F.col("after.state").alias("to_state"),
-            (F.col("after.us") - F.col("us")).alias("micros_in_state"),
-        )
+    near = lined.filter("after is not null").select("entity", "state", "us", "after")
+    far = ends.filter("after is null and later is not null").select(
+        "entity", "state", "us", F.col("later").alias("after")
+    )
+    return near.unionByName(far).select(
+        "entity",
+        F.col("state").alias("from_state"),
+        F.col("after.state").alias("to_state"),
+        (F.col("after.us") - F.col("us")).alias("micros_in_state"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gaugeworks.model import (
     ERR_INVALID_INPUT,
     ERR_PII_LEAK,
+    STATUS_SUCCESS,
     AggRule,
     DedupConfig,
     PiiConfig,
@@ -35,6 +36,7 @@ class ChainConfig:
     """What each stage does; a stage left at None is left out of the plan."""
 
     schema: Mapping[str, Any] | None = None
+    enrichment: Sequence[Stage] = ()
     must_be_hashed: Sequence[str] = ()
     pii: PiiConfig | None = None
     dedup: DedupConfig | None = None
@@ -45,7 +47,7 @@ class ChainConfig:
     exact_scale: int | None = None
     label_policy: str = "strip"
     replay_bypasses_dedup: bool = True
-    extra_stages: Sequence[Stage] = field(default_factory=tuple)
+    extra_stages: Sequence[Stage] = ()
 
 
 @dataclass(frozen=True)
@@ -101,10 +103,14 @@ def judge(batches: DataFrame, config: ChainConfig) -> DataFrame:
     ).drop("violation", "_leaks")
 
 
-def clean_points(judged: DataFrame, config: ChainConfig) -> DataFrame:
-    """Points of good batches through hash, dedup, label policy and sampling."""
-    good = judged.filter("error_code is null")
-    points = flat_points(good.drop("error_code", "error_message", "dlq_on_error"))
+def clean_points(decided: DataFrame, config: ChainConfig) -> DataFrame:
+    """Points of the batches that came through: enrich, hash, dedup, labels, sample."""
+    good = decided.filter(F.col("status") == STATUS_SUCCESS)
+    points = flat_points(
+        good.drop("status", "error_code", "error_message", "sent_to_dlq", "data")
+    )
+    for stage in config.enrichment:
+        points = points.transform(stage)
     if config.pii is not None:
         points = points.withColumn("labels", hash_pii_labels(F.col("labels"), config.pii))
     if config.dedup is not None and config.dedup.enabled:
@@ -130,9 +136,32 @@ def run_chain(
     forward: Column | None = None,
     dlq_ok: Column | None = None,
 ) -> ChainResult:
-    """Lazy results; only the judged batches, read by all of them, are written once."""
-    judged = written(judge(batches, config), "judged")
-    points = clean_points(judged, config)
+    """Lazy results over one written table of decided batches.
+
+    That table holds each batch once: its points if it came through, its bytes if it
+    goes to the dead letters. `forward` and `dlq_ok` are as in `outcome`; a batch that
+    could not be forwarded puts no points out and leaves no trace in the deduplication.
+    """
+    decided = outcome(
+        judge(batches, config),
+        F.col("error_code"),
+        F.col("error_message"),
+        F.col("dlq_on_error"),
+        F.lit("ok") if forward is None else forward,
+        F.lit(True) if dlq_ok is None else dlq_ok,
+        carry=[*(c for c in batches.columns if c != "batch_id"), "points"],
+    )
+    through = F.col("status") == STATUS_SUCCESS
+    decided = written(
+        decided.withColumns(
+            {
+                "data": F.when(F.col("sent_to_dlq"), F.col("data")),
+                "points": F.when(through, F.col("points")),
+            }
+        ),
+        "decided",
+    )
+    points = clean_points(decided, config)
     output = (
         aggregate(
             points,
@@ -143,16 +172,16 @@ def run_chain(
         if config.aggregation
         else points
     )
-    outcomes = outcome(
-        judged,
+    outcomes = decided.select(
+        "batch_id", "status", "error_code", "error_message", "sent_to_dlq"
+    )
+    dead = to_dlq(
+        decided.filter("sent_to_dlq"),
+        "chain",
         F.col("error_code"),
         F.col("error_message"),
-        F.col("dlq_on_error"),
-        F.lit("ok") if forward is None else forward,
-        F.lit(True) if dlq_ok is None else dlq_ok,
+        now,
     )
-    bad = judged.filter("error_code is not null and dlq_on_error")
-    dead = to_dlq(bad, "chain", F.col("error_code"), F.col("error_message"), now)
     health = stage_counts(outcomes.withColumn("stage", F.lit("chain")))
     return ChainResult(points, output, dead, outcomes, health)
 

@@ -74,11 +74,11 @@ def test_schema_stage(spark):
 def test_failed_batches_come_back_by_replay(spark):
     down = F.when(F.col("batch_id") == "good", "failed").otherwise("ok")
     first = run(spark, BATCHES[:2], forward=down)
-    sent = first.outcomes.filter("sent_to_dlq")
-    letters = dl.to_dlq(
-        spark.createDataFrame(BATCHES[:2], ENVELOPE).join(sent.select("batch_id"), "batch_id"),
-        "gw", "ERR_FORWARDING_FAILED", "forwarding failed", F.lit(NOW),
-    )
+    assert [r.id for r in first.points.collect()] == [4]
+    letters = first.dead_letters
+    assert [(r.batch_id, r.error_code) for r in letters.collect()] == [
+        ("good", "ERR_FORWARDING_FAILED")
+    ]
     again = dl.replay_stamp(dl.replay_select(letters, F.lit(NOW), since="1h"), F.lit(NOW))
     both = dl.replay_into(spark.createDataFrame(BATCHES[1:2], ENVELOPE), again, [])
     out = run_chain(both, CONFIG, F.lit(NOW))
