@@ -366,6 +366,30 @@ def dedup_counts(
     )
 
 
+def empty_store(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """A store with no entries for rows like `df`."""
+    return dedup_key(df.limit(0), keys).select(
+        "dedup_key", F.col(ts).cast("timestamp").alias("last_kept")
+    )
+
+
+def next_store(
+    seen: DataFrame, kept: DataFrame, keys: Sequence[str], ts: str = "ts"
+) -> DataFrame:
+    """The store after `kept`: the last kept time of every key."""
+    latest = (
+        dedup_key(kept, keys)
+        .filter(F.col("has_all_keys") & F.col(ts).isNotNull())
+        .select("dedup_key", F.col(ts).alias("last_kept"))
+    )
+    return (
+        seen.select("dedup_key", "last_kept")
+        .unionByName(latest)
+        .groupBy("dedup_key")
+        .agg(F.max("last_kept").alias("last_kept"))
+    )
+
+
 def dedup_against_store(
     df: DataFrame,
     seen: DataFrame,
@@ -380,7 +404,8 @@ def dedup_against_store(
 
     Rows within `ttl` of a stored time, or older, are duplicates; the rest starts
     afresh, so the store is only joined and never replayed. Rows whose boolean column
-    `replay` holds bypass the store and are all kept.
+    `replay` holds bypass the store and are all kept. To write both results, write the
+    kept rows first and give what was written to `next_store`.
     """
     ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
     columns = df.columns
@@ -397,17 +422,7 @@ def dedup_against_store(
         .select(*columns)
     )
     kept = dedup_ttl(open_rows, keys, ttl, ts, id, heavy_rows)
-    latest = (
-        dedup_key(kept, keys)
-        .filter("has_all_keys")
-        .select("dedup_key", F.col(ts).alias("last_kept"))
-    )
-    store = (
-        seen.select("dedup_key", "last_kept")
-        .unionByName(latest)
-        .groupBy("dedup_key")
-        .agg(F.max("last_kept").alias("last_kept"))
-    )
+    store = next_store(seen, kept, keys, ts)
     if replay is not None:
         kept = kept.unionByName(df.filter(F.coalesce(replay, F.lit(False))))
     return kept, store

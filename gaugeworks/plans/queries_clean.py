@@ -16,8 +16,8 @@ from gaugeworks.model import ClassRule, Connection, PiiConfig, SampleRule
 from gaugeworks.operators import dedup, pii, select
 from gaugeworks.plans import inputs
 from gaugeworks.plans.catalog import query
-from gaugeworks.session import scratch_path, written
-from gaugeworks.streaming.dedup import dedup_ttl_stream
+from gaugeworks.session import scratch_path, spread, written
+from gaugeworks.streaming.dedup import dedup_stream_with_store, dedup_ttl_stream
 from gaugeworks.streaming.run import run_available
 
 SALT = inputs.SALT
@@ -151,7 +151,7 @@ def pii_audit(spark, d):
 )
 def pii_scrub_documents(spark, d):
     docs = inputs.table(spark, d, "documents").select("doc_id", "text")
-    return pii.scrub_text(docs, "text")
+    return pii.scrub_text(spread(docs), "text")
 
 
 @query(
@@ -243,24 +243,42 @@ def dedup_ttl_heavy_keys(spark, d):
     f"""{TTL_48H} SELECT id, us, name, value, u FROM points WHERE id IN (SELECT id FROM kept)""",
 )
 def dedup_ttl_stream_query(spark, d):
+    path = scratch_path(spark, "stream-dedup")
+    stream = dedup_ttl_stream(_flat_stream(spark, d), ["user", "name"], "48h")
+    return _shown_stream(run_available(stream, f"{path}/out", f"{path}/state"))
+
+
+def _flat_stream(spark, d):
     schema = inputs.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    flat = inputs.as_points(events.parquet(d)).select(
+    return inputs.as_points(events.parquet(d)).select(
         "id", "ts", "name", "value", F.col("labels")["user"].alias("user")
     )
-    stream = dedup_ttl_stream(flat, ["user", "name"], "48h")
-    path = scratch_path(spark, "stream-dedup")
-    return run_available(stream, f"{path}/out", f"{path}/state").select(
+
+
+def _shown_stream(df):
+    return df.select(
         "id", micros("ts").alias("us"), "name", "value", F.col("user").alias("u")
     )
 
 
+@query(
+    "dedup_ttl_stream_store",
+    f"""{TTL_48H} SELECT id, us, name, value, u FROM points WHERE id IN (SELECT id FROM kept)""",
+)
+def dedup_ttl_stream_store(spark, d):
+    path = scratch_path(spark, "stream-dedup")
+    return _shown_stream(
+        dedup_stream_with_store(
+            _flat_stream(spark, d), ["user", "name"], "48h", f"{path}/out", f"{path}/state"
+        )
+    )
+
+
 def _two_runs(spark, d):
     points = inputs.points(spark, d)
     split = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    nothing = dedup.dedup_key(points.limit(0), USER_AND_TYPE).select(
-        "dedup_key", F.col("ts").alias("last_kept")
-    )
+    nothing = dedup.empty_store(points, USER_AND_TYPE)
     first, store = dedup.dedup_against_store(
         points.filter(F.col("ts") < split), nothing, USER_AND_TYPE, "48h"
     )

@@ -23,7 +23,7 @@ from gaugeworks.plans.catalog import query
 from gaugeworks.plans.chain import ChainConfig, run_chain
 from gaugeworks.plans.queries_aggregate import DAY, DAY_US, EXACT_SUM, TYPES
 from gaugeworks.plans.queries_clean import HASHED_EMAIL, HOUR_US, RAW_EMAIL, fraction
-from gaugeworks.session import scratch_path
+from gaugeworks.session import scratch_path, spread
 from gaugeworks.sources.envelopes import decode
 from gaugeworks.streaming.export import export_stream
 
@@ -87,7 +87,7 @@ def documents(spark, d, broken: bool = False):
     )
     if broken:
         text = pick(17, {0: F.substring(text, F.lit(1), F.length(text) - 1)}, text)
-    return inputs.points(spark, d).select("id", F.encode(text, "UTF-8").alias("data"))
+    return spread(inputs.points(spark, d)).select("id", F.encode(text, "UTF-8").alias("data"))
 
 
 _TEXT = f"""'{{"id":' || id ||

@@ -10,9 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeworks.functions.clock import micros, parse_duration
+from gaugeworks.functions.clock import instant, micros, parse_duration
 from gaugeworks.model import require
-from gaugeworks.operators.dedup import dedup_key
+from gaugeworks.operators.dedup import (
+    HEAVY_KEY_ROWS,
+    dedup_against_store,
+    dedup_key,
+    empty_store,
+    expire_seen,
+    next_store,
+)
 
 
 def _keep(ttl: int, us: str, id: str, columns: list[str]):
@@ -80,3 +87,52 @@ def dedup_ttl_stream(
         outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def dedup_stream_with_store(
+    points: DataFrame,
+    keys: Sequence[str],
+    ttl: str | int,
+    path: str,
+    checkpoint: str,
+    ts: str = "ts",
+    id: str = "id",
+    delay: str | int = "1h",
+    heavy_rows: int | None = HEAVY_KEY_ROWS,
+) -> DataFrame:
+    """The same on large micro-batches: each is deduplicated by the batch operator
+    against a stored table of keys, so heavy keys are spread over tasks here as well.
+
+    Run n reads version n - 1 of `path/seen` and replaces its own folders of
+    `path/kept` and `path/seen`, so a run repeated after a failure writes the same.
+    Rows more than `delay` behind the newest kept row of the runs before are late and
+    dropped, which is what lets entries expire. Processes everything available and
+    returns what is kept so far.
+    """
+    ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
+    delay = parse_duration(delay) if isinstance(delay, str) else delay
+
+    def step(rows: DataFrame, run: int) -> None:
+        spark = rows.sparkSession
+        before = empty_store(rows, keys, ts)
+        if run > 0:
+            before = spark.read.schema(before.schema).parquet(f"{path}/seen/run={run - 1}")
+        newest = before.agg(F.max(micros("last_kept"))).first()[0]
+        if newest is not None:
+            rows = rows.filter(F.col(ts).isNull() | (micros(ts) >= newest - delay))
+        kept, _ = dedup_against_store(rows, before, keys, ttl, ts, id, heavy_rows)
+        kept.write.mode("overwrite").parquet(f"{path}/kept/run={run}")
+        kept = spark.read.schema(points.schema).parquet(f"{path}/kept/run={run}")
+        store = next_store(before, kept, keys, ts)
+        if newest is not None:
+            store = expire_seen(store, instant(F.lit(newest - delay)), ttl)
+        store.write.mode("overwrite").parquet(f"{path}/seen/run={run}")
+
+    query = (
+        points.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return points.sparkSession.read.schema(points.schema).parquet(f"{path}/kept/run=*")

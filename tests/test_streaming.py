@@ -8,7 +8,7 @@ from gaugeworks.operators.aggregate import aggregate
 from gaugeworks.operators.dedup import dedup_ttl
 from gaugeworks.operators.export import exported
 from gaugeworks.streaming.aggregate import aggregate_stream
-from gaugeworks.streaming.dedup import dedup_ttl_stream
+from gaugeworks.streaming.dedup import dedup_stream_with_store, dedup_ttl_stream
 from gaugeworks.streaming.export import export_stream
 from gaugeworks.streaming.run import run_available
 
@@ -63,6 +63,24 @@ def test_dedup_goes_on_after_a_restart(spark, tmp_path):
     assert {r.id for r in out.collect()} == {r.id for r in batch.collect()}
 
 
+@pytest.mark.parametrize("heavy_rows", [None, 15])
+def test_dedup_with_store_equals_batch(spark, tmp_path, heavy_rows):
+    data = rows(seed=5)
+    path = str(tmp_path / "in")
+    for first, half in ((0, data[:150]), (10, data[150:])):
+        land(spark, path, half, 2, first)
+        out = dedup_stream_with_store(
+            stream(spark, path), ["name", "labels.u"], "5m", str(tmp_path / "out"),
+            str(tmp_path / "state"), delay="10m", heavy_rows=heavy_rows,
+        )
+    batch = dedup_ttl(spark.createDataFrame(data, SCHEMA), ["name", "labels.u"], "5m")
+    assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect()))
+    # Entries that can no longer matter are gone.
+    last = spark.read.parquet(str(tmp_path / "out/seen/run=3"))
+    horizon = max(r[1] for r in data) - timedelta(minutes=30)
+    assert all(r.last_kept > horizon for r in last.collect())
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_closed_windows_equal_batch(spark, tmp_path, parts):
     data = rows(seed=3)
