@@ -7,9 +7,11 @@ person writes down; data only ever arrives as a DataFrame.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 ENVELOPE = (
     "batch_id string, data binary, format string, replay boolean, "
     "config_generation bigint, metadata map<string,string>, "
@@ -56,6 +58,15 @@ DEFAULT_PII_FIELDS = ("command_line", "user_name", "email", "ip_address")
 
 AGGREGATIONS = ("sum", "avg", "min", "max", "histogram")
 
+# Aggregations added by the user: name to a builder from value column to aggregate column.
+CUSTOM_AGGREGATIONS: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_aggregation(name: str, build: Callable[[Column], Column]) -> None:
+    """Let rules use `name`; `build` gets the value column and returns an aggregate."""
+    require(name not in AGGREGATIONS, f"{name} is a built-in aggregation")
+    CUSTOM_AGGREGATIONS[name] = build
+
 
 class ConfigError(ValueError):
     """A configuration value that no plan can be built from."""
@@ -79,7 +90,10 @@ class AggRule:
 
     def __post_init__(self) -> None:
         require(bool(self.metric), "aggregation rule has an empty metric name")
-        require(self.type in AGGREGATIONS, f"invalid aggregation type: {self.type}")
+        require(
+            self.type in AGGREGATIONS or self.type in CUSTOM_AGGREGATIONS,
+            f"invalid aggregation type: {self.type}",
+        )
         require(
             self.type != "histogram" or len(self.buckets) > 0,
             "a histogram rule needs buckets",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import instant, micros
 from gaugeworks.functions.values import bound_text
-from gaugeworks.model import AggRule, require
+from gaugeworks.model import CUSTOM_AGGREGATIONS, AggRule, require
 
 
 def _by_rule(rules: Sequence[AggRule], value: Column, pick, otherwise: Column) -> Column:
@@ -89,6 +89,8 @@ def _states(
         )
         # Spark orders NaN above every number; a NaN only counts under +Inf.
         out.append(F.count_if(number <= bound).alias(f"_b{j}"))
+    for name in sorted(types & set(CUSTOM_AGGREGATIONS)):
+        out.append(CUSTOM_AGGREGATIONS[name](value).alias(f"_custom_{name}"))
     if labels == "first":
         out.append(F.min_by("labels", F.struct("ts", "id")).alias("_first"))
     return out
@@ -118,7 +120,7 @@ def _emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFram
             "avg": lambda: F.col("_sum") / F.col("_n"),
             "min": lambda: F.col("_min"),
             "max": lambda: F.col("_max"),
-        }[rule.type]()
+        }.get(rule.type, lambda: F.col(f"_custom_{rule.type}"))()
         return F.array(row(metric, value, None))
 
     nothing = F.array().cast("array<struct<name:string,value:double,le:string>>")

@@ -69,6 +69,22 @@ def read_dlq(spark: SparkSession, path: str, format: str = "parquet") -> DataFra
     return spark.read.schema(f"{DEAD_LETTER}, day date").format(format).load(path)
 
 
+def read_dlq_json(spark: SparkSession, path: str) -> DataFrame:
+    """Dead letters as JSON lines (`data` in base64); `unreadable` marks lines that are
+    not one, which are counted as errors and never replayed.
+    """
+    letter = F.from_json(
+        "value", f"{DEAD_LETTER}, undecoded string", {"columnNameOfCorruptRecord": "undecoded"}
+    )
+    return (
+        spark.read.text(path)
+        .select(letter.alias("letter"))
+        .select("letter.*")
+        .withColumn("unreadable", F.col("undecoded").isNotNull())
+        .drop("undecoded")
+    )
+
+
 def outcome(
     batches: DataFrame,
     processing_code: Column,

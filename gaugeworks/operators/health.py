@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import micros
@@ -40,6 +40,19 @@ def stage_counts(outcomes: DataFrame, stage: str = "stage") -> DataFrame:
     )
 
 
+def observed(df: DataFrame, name: str | Observation, **counts: Column) -> DataFrame:
+    """The same rows, counted as they pass: `received` and one count per condition.
+
+    On a stream the counts come with every progress report, on a table through an
+    Observation given as `name`; either way without a pass of their own.
+    """
+    return df.observe(
+        name,
+        F.count(F.lit(1)).alias("received"),
+        *[F.count_if(condition).alias(k) for k, condition in counts.items()],
+    )
+
+
 def latency_histogram(
     df: DataFrame,
     seconds: str,

@@ -319,15 +319,20 @@ def with_violation(
     payload: str = "data",
     pii_fields: Sequence[str] = (),
     required: Sequence[str] | None = None,
+    custom: Sequence[Callable[[Column], Column]] = (),
 ) -> DataFrame:
-    """Adds `violation`: by schema, or by `required` paths where no schema is given."""
+    """Adds `violation`: by schema, or by `required` paths where no schema is given.
+
+    A custom check gets the payload (a variant) and returns a struct of error and path,
+    or null; custom checks come last, in their order.
+    """
     scope = _Scope(lambda slot: F.col(f"_{slot}"))
     root = _Node(scope)
     if schema is not None:
         checks = _object_checks(root, schema, "", pii_fields)
     else:
         checks = _simple_checks(root, required or (), pii_fields)
-    checks = [_root_check(root), *checks]
+    checks = [_root_check(root), *checks, *[check(root.value) for check in custom]]
     text = F.col(payload).cast("string")
     start = F.ltrim(text, F.lit(" \t\r\n"))
     out = df.withColumns(

@@ -2,8 +2,9 @@ import math
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeworks.model import AggRule, ConfigError
+from gaugeworks.model import AggRule, ConfigError, register_aggregation
 from gaugeworks.operators import aggregate as agg
 
 T0 = datetime(2024, 1, 1)
@@ -133,3 +134,13 @@ def test_partial_aggregation_comes_before_the_shuffle(spark):
     out = agg.aggregate(df, [AggRule("m", "sum", ["a"]), AggRule("m", "histogram", [], [1])])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and plan.count("Exchange") == 1
+
+
+def test_custom_aggregation(spark):
+    register_aggregation("spread", lambda v: F.max(v) - F.min(v))
+    df = points(spark, [(1, 0, "m", 1.0, {"a": "x"}), (2, 0, "m", 5.5, {"a": "x"})])
+    rules = [AggRule("m", "spread", ["a"]), AggRule("m", "sum")]
+    got = {r.rule_id: r.value for r in agg.aggregate(df, rules, None).collect()}
+    assert got == {0: 4.5, 1: 6.5}
+    with pytest.raises(ConfigError):
+        register_aggregation("sum", F.sum)

@@ -147,3 +147,16 @@ def test_export_repeats_without_copies(spark, tmp_path):
         ex.export(points(spark), [], path)
     with pytest.raises(ConfigError):
         ex.export(points(spark), [Endpoint("a"), Endpoint("a")], path)
+
+
+def test_json_letters(spark, tmp_path):
+    path = str(tmp_path / "dlq")
+    letters(spark, ROWS).write.json(path)
+    (tmp_path / "dlq" / "broken.json").write_text('{"batch_id": "z", \n')
+    table = dl.read_dlq_json(spark, path)
+    got = {r.batch_id: (r.unreadable, r.data) for r in table.collect()}
+    assert {k for k, v in got.items() if not v[0]} == set("abcd")
+    assert bytes(got["a"][1]) == b"x"
+    attempts = dl.replay_attempts(table, dl.matches(now()), F.col("unreadable"), F.lit(None))
+    stats = {r.stat: r["count"] for r in dl.replay_stats(attempts).collect()}
+    assert stats == {"total": 5, "filtered": 0, "replayed": 4, "errors": 1, "error:unmarshal-error": 1}

@@ -2,6 +2,9 @@ import random
 from datetime import datetime, timedelta
 
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from gaugeworks.operators import health
 
 T0 = datetime(2024, 1, 1)
@@ -70,3 +73,10 @@ def test_stage_counts(spark):
     assert got["gw"] == {"stage": "gw", "received": 4, "forwarded": 1, "processed": 3, "rejected": 2,
                          "dlq": 2, "processing_errors": 0, "validation_errors": 1}
     assert got["dp"]["processing_errors"] == 1
+
+
+def test_observed_counts(spark):
+    seen = Observation("stage")
+    df = spark.range(10).withColumn("ok", F.col("id") > 2)
+    assert health.observed(df, seen, passed=F.col("ok")).count() == 10
+    assert seen.get == {"received": 10, "passed": 7}

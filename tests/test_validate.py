@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.operators import validate as val
 
@@ -144,3 +145,12 @@ def test_filters_do_not_parse_again(spark, keep):
     out = val.with_violation(df, SCHEMA).filter(keep)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") + plan.count("parse_json") == 1
+
+
+def test_custom_check(spark):
+    def positive(doc):
+        low = F.try_variant_get(doc, "$.value", "double") <= 0
+        return F.when(low, F.struct(F.lit("not positive").alias("error"), F.lit("value").alias("path")))
+
+    got = check(spark, [{"value": 1}, {"value": -1}, {}], schema={}, custom=[positive])
+    assert got == [None, ("not positive", "value"), None]
