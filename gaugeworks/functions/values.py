@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of the validator.
@@ -74,6 +74,16 @@ def label_entries(labels: Column) -> Column:
     return F.array_sort(F.map_entries(labels))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns a hash can read (maps and variants are left out)."""
+    plain = [
+        F.col(field.name)
+        for field in df.schema.fields
+        if not any(kind in field.dataType.simpleString() for kind in ("map<", "variant"))
+    ]
+    return plain or [F.lit(0)]
+
+
 def bound_text(bound: float) -> str:
     """A bucket bound in the fewest digits, with an exponent below 1e-4 and from 1e+06."""
     if bound in (float("inf"), float("-inf")):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.clock import instant, micros
 from gaugeworks.functions.values import bound_text
 from gaugeworks.model import CUSTOM_AGGREGATIONS, AggRule, require
+from gaugeworks.session import written
 
 
 def _by_rule(rules: Sequence[AggRule], value: Column, pick, otherwise: Column) -> Column:
@@ -193,14 +194,15 @@ def aggregate_anchored(
 ) -> DataFrame:
     """Windows that start at each group's own first point and follow without gaps.
 
-    The anchors are a map-side combined minimum joined back on the group, not a window
-    function: a group of any size stays spread over tasks, and the join side is chosen
-    at run time from the anchors' real size.
+    The anchors are a map-side combined minimum, written (one row per group) and joined
+    back, not a window function: a group of any size stays spread over tasks, and
+    anchors of known small size are broadcast, so only partial states are shuffled.
     """
     require(window_seconds > 0, "windowSeconds must be positive")
     matched = apply_rules(points, rules)
-    anchors = matched.groupBy("rule_id", "group_labels").agg(
-        F.min(micros("ts")).alias("_anchor")
+    anchors = written(
+        matched.groupBy("rule_id", "group_labels").agg(F.min(micros("ts")).alias("_anchor")),
+        "anchors",
     )
     step = window_seconds * 1_000_000
     grouped = (

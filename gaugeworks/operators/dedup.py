@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import instant, micros, parse_duration
+from gaugeworks.functions.values import hashable
 from gaugeworks.model import DedupConfig, require
 from gaugeworks.session import written
 
@@ -67,13 +68,14 @@ def dedup_first(
     A minimum per key, combined before the shuffle, so no key is gathered or sorted.
     """
     columns = df.columns
-    keyed = dedup_key(df, keys).withColumn(
-        "_solo", F.when(~F.col("has_all_keys"), F.col(id))
-    )
-    first = keyed.groupBy("dedup_key", "_solo").agg(
-        F.min_by(F.struct(*columns), F.struct(ts, id)).alias("_row")
+    keyed = dedup_key(df, keys)
+    first = (
+        keyed.filter("has_all_keys")
+        .groupBy("dedup_key")
+        .agg(F.min_by(F.struct(*columns), F.struct(ts, id)).alias("_row"))
+        .select("_row.*")
     )
-    return first.select("_row.*")
+    return first.unionByName(keyed.filter("not has_all_keys").select(*columns))
 
 
 def _ttl_scan(ttl: int):
@@ -96,13 +98,16 @@ def _ttl_scan(ttl: int):
     return F.pandas_udf(scan, "boolean").asNondeterministic()
 
 
-def _mark_by_scan(df: DataFrame, ttl: int, ts: str, id: str) -> DataFrame:
-    """`kept` for rows with `dedup_key`: one shuffle, one sort, O(1) memory."""
-    timeline = Window.partitionBy("dedup_key", "_solo").orderBy(ts, id)
+def _kept_by_scan(df: DataFrame, ttl: int, ts: str, id: str) -> DataFrame:
+    """Kept rows among rows with `dedup_key` and `_alone`: one shuffle, O(1) memory."""
+    # Rows that are not compared with any other are dealt out by their id.
+    lane = F.when(F.col("_alone"), F.xxhash64(id))
+    timeline = Window.partitionBy("dedup_key", "_alone", "_lane").orderBy(ts, id)
     return (
-        df.withColumn("_head", F.row_number().over(timeline) == 1)
-        .withColumn("kept", _ttl_scan(ttl)(micros(ts), F.col("_head")))
-        .drop("_head")
+        df.withColumn("_lane", lane)
+        .withColumn("_head", F.row_number().over(timeline) == 1)
+        .withColumn("_kept", _ttl_scan(ttl)(micros(ts), F.col("_head")))
+        .filter("_alone or _kept")
     )
 
 
@@ -182,7 +187,10 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
     node reached then is a node of the smaller set. When a key's nodes fit a task the
     chain is read off there, and the rounds are undone by joins with the few rows kept.
     """
-    anchors = times.groupBy("key").agg(F.min("us").alias("anchor"))
+    # One row per heavy key.
+    anchors = written(
+        times.groupBy("key").agg(F.min("us").alias("anchor")), "dedup-anchors"
+    )
     celled = times.join(anchors, "key").withColumn("cell", F.expr(f"(us - anchor) div {ttl}"))
     # One row per key and cell of time.
     lows = written(
@@ -244,11 +252,16 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
         .filter("on_chain")
         .select("key", "us")
     )
+    # Written each time: at most a row per key and cell, so known to be small.
+    kept = written(kept, "dedup-chain")
     for finer in reversed(levels):
-        kept = kept.join(finer, ["key", "us"]).select(
-            "key", F.explode(F.array_compact(F.array("us", "skipped"))).alias("us")
+        kept = written(
+            kept.join(finer, ["key", "us"]).select(
+                "key", F.explode(F.array_compact(F.array("us", "skipped"))).alias("us")
+            ),
+            "dedup-chain",
         )
-    return written(kept, "dedup-chain")
+    return kept
 
 
 def _pointer_scan():
@@ -268,7 +281,7 @@ def _pointer_scan():
     return F.pandas_udf(scan, "boolean").asNondeterministic()
 
 
-def mark_ttl(
+def dedup_ttl(
     df: DataFrame,
     keys: Sequence[str],
     ttl: str | int,
@@ -276,7 +289,7 @@ def mark_ttl(
     id: str = "id",
     heavy_rows: int | None = HEAVY_KEY_ROWS,
 ) -> DataFrame:
-    """All rows with `kept`. Unkeyed and undated rows are always kept.
+    """The kept rows. Unkeyed and undated rows are all kept.
 
     Counts rows per key first (a map-side combined job over the key columns) and sets
     keys above `heavy_rows` apart; `heavy_rows=None` states that there are none.
@@ -284,59 +297,44 @@ def mark_ttl(
     ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
     require(ttl > 0, "the deduplication TTL must be positive")
     columns = df.columns
-    keyed = dedup_key(df, keys)
-    alone = ~F.col("has_all_keys") | F.col(ts).isNull()
-    keyed = keyed.withColumn("_solo", F.when(alone, F.col(id)))
-
-    heavy = None
-    if heavy_rows is not None:
-        counts = keyed.filter("_solo is null").groupBy("dedup_key").count()
-        heavy = written(
-            counts.filter(F.col("count") > heavy_rows).select(
-                F.col("dedup_key").alias("key")
-            ),
-            "dedup-heavy",
-        )
-        if heavy.isEmpty():
-            heavy = None
-    if heavy is None:
-        return _mark_by_scan(keyed, ttl, ts, id).select(*columns, "kept")
-
-    is_heavy = F.col("dedup_key") == F.col("key")
-    light = keyed.join(heavy, is_heavy & F.col("_solo").isNull(), "left_anti")
-    hot = keyed.filter("_solo is null").join(heavy, is_heavy).withColumn("us", micros(ts))
-    times = written(hot.groupBy("key", "us").agg(F.min(id).alias("first_id")), "dedup-times")
+    keyed = dedup_key(df, keys).withColumn(
+        "_alone", ~F.col("has_all_keys") | F.col(ts).isNull()
+    )
+    if heavy_rows is None:
+        return _kept_by_scan(keyed, ttl, ts, id).select(*columns)
+    counts = keyed.filter("not _alone").groupBy("dedup_key").count()
+    heavy = written(
+        counts.filter(F.col("count") > heavy_rows).select(F.col("dedup_key").alias("key")),
+        "dedup-heavy",
+    )
+    if heavy.isEmpty():
+        return _kept_by_scan(keyed, ttl, ts, id).select(*columns)
+
+    is_heavy = (F.col("dedup_key") == F.col("key")) & ~F.col("_alone")
+    light = keyed.join(heavy, is_heavy, "left_anti")
+    hot = keyed.join(heavy, is_heavy).withColumn("us", micros(ts))
+    times = written(hot.groupBy("key", "us").agg(F.min(id).alias(id)), "dedup-times")
     moments = times.select("key", "us")
     most = moments.groupBy("key").count().agg(F.max("count")).first()[0]
     if most <= heavy_rows:
         chain = _scan_times(moments, ttl)
     else:
         chain = _chain_of_heavy_keys(moments, ttl, heavy_rows)
-    kept = times.join(chain, ["key", "us"]).select(
-        "key", "us", F.col("first_id").alias(id), F.lit(True).alias("_kept")
-    )
-    marked = hot.join(kept, ["key", "us", id], "left").withColumn(
-        "kept", F.coalesce("_kept", F.lit(False))
+    # With the kept times written and small, the heavy rows themselves never move.
+    kept = written(times.join(chain, ["key", "us"]), "dedup-kept")
+    # Copies with the same id and time: any one, but the same one each time.
+    one = F.min_by(F.struct(*columns), F.xxhash64(*hashable(df))).alias("_row")
+    heavy_kept = (
+        hot.join(kept, ["key", "us", id], "left_semi")
+        .groupBy("key", "us")
+        .agg(one)
+        .select("_row.*")
     )
     return (
-        _mark_by_scan(light, ttl, ts, id)
-        .select(*columns, "kept")
-        .unionByName(marked.select(*columns, "kept"))
+        _kept_by_scan(light, ttl, ts, id).select(*columns).unionByName(heavy_kept)
     )
 
 
-def dedup_ttl(
-    df: DataFrame,
-    keys: Sequence[str],
-    ttl: str | int,
-    ts: str = "ts",
-    id: str = "id",
-    heavy_rows: int | None = HEAVY_KEY_ROWS,
-) -> DataFrame:
-    """The kept rows."""
-    return mark_ttl(df, keys, ttl, ts, id, heavy_rows).filter("kept").drop("kept")
-
-
 def dedup(df: DataFrame, config: DedupConfig, ts: str = "ts", id: str = "id") -> DataFrame:
     """By configuration; a disabled stage hands its input on."""
     if not config.enabled:
@@ -353,16 +351,21 @@ def dedup_counts(
     heavy_rows: int | None = HEAVY_KEY_ROWS,
 ) -> DataFrame:
     """Rows seen, kept and dropped per key."""
-    marked = dedup_key(mark_ttl(df, keys, ttl, ts, id, heavy_rows), keys)
+    kept = dedup_ttl(df, keys, ttl, ts, id, heavy_rows)
+
+    def one_each(rows: DataFrame, **flags: int) -> DataFrame:
+        return (
+            dedup_key(rows, keys)
+            .filter("has_all_keys")
+            .select("dedup_key", *[F.lit(v).cast("bigint").alias(k) for k, v in flags.items()])
+        )
+
     return (
-        marked.filter("has_all_keys")
+        one_each(df, seen=1, kept=0)
+        .unionByName(one_each(kept, seen=0, kept=1))
         .groupBy("dedup_key")
-        .agg(
-            F.count(F.lit(1)).alias("seen"),
-            F.count_if("kept").alias("kept"),
-            F.count_if(~F.col("kept")).alias("dropped"),
-        )
-        .select("dedup_key.*", "seen", "kept", "dropped")
+        .agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept"))
+        .select("dedup_key.*", "seen", "kept", (F.col("seen") - F.col("kept")).alias("dropped"))
     )
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import micros, parse_duration
-from gaugeworks.functions.values import put_labels
+from gaugeworks.functions.values import hashable, put_labels
 from gaugeworks.model import require
+from gaugeworks.session import written
 
 # A key's points within one slice of time are spread over this many groups.
 POINT_SPREAD = 8
@@ -75,7 +76,7 @@ def as_of(
             "_key", (F.col("_slice") + 1).alias("_slice"), "_last._at", "_last._fact"
         )
     )
-    facts = facts.unionByName(carried)
+    facts = written(facts.unionByName(carried), "snapshots")
     keyed = points.withColumns(
         {
             "_key": F.col(key).cast(facts.schema["_key"].dataType),
@@ -138,7 +139,7 @@ def _merge(
     )
     left = keyed.select(
         "_key", "_slice",
-        F.pmod(F.xxhash64(*_hashable(keyed)), F.lit(spread)).cast("int").alias("_group"),
+        F.pmod(F.xxhash64(*hashable(keyed)), F.lit(spread)).cast("int").alias("_group"),
         "_at",
         F.lit(1).alias("_kind"),
         F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"),
@@ -155,16 +156,6 @@ def _merge(
     )
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    """Columns a hash can read (maps and variants are left out)."""
-    plain = []
-    for field in df.schema.fields:
-        text = field.dataType.simpleString()
-        if "map<" not in text and "variant" not in text:
-            plain.append(F.col(field.name))
-    return plain or [F.lit(0)]
-
-
 def enrich_host(
     points: DataFrame,
     hosts: DataFrame,
@@ -215,8 +206,11 @@ def enrich_process(
         "hostname", "collected_at", F.explode("processes").alias("_pid", "process")
     )
     # Among snapshots of one host and time the last in value order wins, as in as_of.
-    entries = entries.groupBy("hostname", "collected_at", "_pid").agg(
-        F.max("process").alias("process")
+    entries = written(
+        entries.groupBy("hostname", "collected_at", "_pid").agg(
+            F.max("process").alias("process")
+        ),
+        "processes",
     )
     on = [
         F.col("_h") == F.col("hostname_"),
@@ -247,11 +241,14 @@ def enrich_k8s(
 ) -> DataFrame:
     """Pod metadata as labels where known; every point stays, once.
 
-    The join side is picked at run time from the real size of the pod table.
+    The pod table is written once, so its real size decides whether it is broadcast.
     """
     # Known pods are made unique, so a point cannot multiply.
-    unique = pods.groupBy(*[F.col(c).alias(f"_{c}") for c in on]).agg(
-        F.max(F.struct(*values)).alias("_meta_")
+    unique = written(
+        pods.groupBy(*[F.col(c).alias(f"_{c}") for c in on]).agg(
+            F.max(F.struct(*values)).alias("_meta_")
+        ),
+        "pods",
     )
     keys = {f"_k{i}": F.col(labels)[c] for i, c in enumerate(on)}
     joined = points.withColumns(keys).join(

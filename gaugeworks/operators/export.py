@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.values import hash_fraction
 from gaugeworks.model import Connection, Endpoint, require
 from gaugeworks.operators.select import route
+from gaugeworks.session import written
 
 # Points put in order by one task while batches are cut.
 BUCKET_ROWS = 200_000
@@ -29,8 +30,11 @@ def assign_batches(
     destination; the numbering inside a bucket is by `id`.
     """
     require(1 <= max_batch_size <= 10_000, "maxBatchSize must be between 1 and 10000")
-    buckets = points.groupBy(F.col(destination).alias("_d")).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)).alias("_buckets")
+    buckets = written(
+        points.groupBy(F.col(destination).alias("_d")).agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)).alias("_buckets")
+        ),
+        "buckets",
     )
     spread = points.join(buckets, F.col(destination).eqNullSafe(F.col("_d"))).withColumn(
         "bucket", F.floor(hash_fraction(id, "pack") * F.col("_buckets")).cast("int")

@@ -16,6 +16,7 @@ from gaugeworks.model import (
     require,
 )
 from gaugeworks.operators.aggregate import histogram
+from gaugeworks.session import written
 
 # Latency bucket bounds in seconds.
 LATENCY_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -176,8 +177,8 @@ def rules_as_of(
     """Each point with the rule version of its generation (0: the current one).
 
     A version is valid from its generation up to the next accepted one, so the lookup
-    is an equi-join on `on` with a range check; which side is broadcast, if any, is
-    settled at run time by size.
+    is an equi-join on `on` with a range check. The versions are written first: of known
+    small size, they are broadcast and the points stay where they are.
     """
     following = Window.partitionBy("rule_id").orderBy("generation")
     valid = accepted_versions(versions).withColumn(
@@ -185,7 +186,7 @@ def rules_as_of(
     )
     wanted = F.coalesce(F.col(generation), F.lit(0))
     left = points.withColumn("_wanted", wanted)
-    renamed = valid.select(
+    renamed = written(valid, "rule-versions").select(
         *[F.col(c).alias(f"_{c}") for c in on],
         *[F.col(c).alias(f"rule_{c}" if c == "generation" else c)
           for c in valid.columns if c not in on and c not in ("seq", "_until")],

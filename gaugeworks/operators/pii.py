@@ -15,6 +15,7 @@ from gaugeworks.functions.values import (
     put_labels,
 )
 from gaugeworks.model import DEFAULT_PII_FIELDS, ERR_PII_LEAK, ClassRule, PiiConfig
+from gaugeworks.session import written
 
 
 def hash_pii_fields(df: DataFrame, config: PiiConfig) -> DataFrame:
@@ -74,10 +75,10 @@ def detect_leaks(
     """Clean points, and one error row per batch holding any leak.
 
     A batch with one leak is held back whole. Only the ids of leaking batches are
-    shuffled back, so a batch of any size is never gathered.
+    combined and written, so a batch of any size is never gathered.
     """
     found = leaked_fields(F.col(labels), fields, strict)
-    leaking = (
+    leaking = written(
         # The outer form keeps the test for leaks from being made once more as a filter.
         points.select(batch, F.explode_outer(found).alias("field"))
         .filter("field is not null")
@@ -85,7 +86,8 @@ def detect_leaks(
         .agg(
             # At most one entry per configured field.
             F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"),
-        )
+        ),
+        "leaking-batches",
     )
     errors = leaking.select(
         batch,

@@ -53,7 +53,11 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Cut lineage: write once to the shared folder, go on from the files."""
+    """Cut lineage: write once to the shared folder, go on from the files.
+
+    Spark then knows the real size, and broadcasts the table in a join only if it is
+    within `spark.sql.autoBroadcastJoinThreshold`.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.parquet(path)

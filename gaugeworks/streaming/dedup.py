@@ -29,6 +29,10 @@ def _keep(ttl: int, us: str, id: str, columns: list[str]):
         if state.hasTimedOut:
             state.remove()
             return
+        if key[-2]:
+            # Not compared with any other row.
+            yield from (f[columns] for f in frames)
+            return
         due = state.get[0] + ttl if state.exists else None
         # Rows that cannot be kept go at once; the rest is at most one trigger's input.
         held = [f if due is None else f[f[us].to_numpy() >= due] for f in frames]
@@ -72,15 +76,16 @@ def dedup_ttl_stream(
     require(ttl > 0, "the deduplication TTL must be positive")
     marked = points.withWatermark(ts, delay)
     keyed = dedup_key(marked, keys)
-    # An unkeyed row is a key of its own.
-    solo = F.when(~F.col("has_all_keys"), F.col(id))
+    # Unkeyed and undated rows are dealt out by their id.
+    alone = ~F.col("has_all_keys") | F.col(ts).isNull()
+    lane = F.when(alone, F.xxhash64(id))
     # Flat keys: a struct would be rebuilt for every row on its way to Python.
     names = keyed.schema["dedup_key"].dataType.names
     flat = {f"_key{i}": F.col("dedup_key")[n] for i, n in enumerate(names)}
-    rows = keyed.withColumns({**flat, "_us": micros(ts), "_solo": solo}).drop(
-        "has_all_keys", "dedup_key"
-    )
-    return rows.groupBy(*flat, "_solo").applyInPandasWithState(
+    rows = keyed.withColumns(
+        {**flat, "_alone": alone, "_lane": lane, "_us": micros(ts)}
+    ).drop("has_all_keys", "dedup_key")
+    return rows.groupBy(*flat, "_alone", "_lane").applyInPandasWithState(
         _keep(ttl, "_us", id, points.columns),
         outputStructType=points.schema,
         stateStructType="last_kept bigint",

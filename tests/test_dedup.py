@@ -97,22 +97,35 @@ def test_heavy_key_of_copies(spark):
     assert ids(got) == brute(rows, lambda n, m: n, 15)
 
 
-def test_marks_cover_the_input(spark):
+@pytest.mark.parametrize("heavy_rows", [None, 25])
+def test_kept_rows_are_apart_and_dropped_rows_near_one(spark, heavy_rows):
     rows = random_rows(11, n=300)
-    marked = dedup.mark_ttl(rows_to_df(spark, rows), ["name", "labels.user"], "60s").collect()
-    assert len(marked) == len(rows)
-    # Kept rows of a key lie a TTL apart, dropped ones within a TTL after a kept one.
+    df = rows_to_df(spark, rows)
+    kept_ids = ids(
+        dedup.dedup_ttl(df, ["name", "labels.user"], "60s", heavy_rows=heavy_rows)
+    )
     kept = {}
-    for r in marked:
-        if r.kept and "user" in r.labels:
-            kept.setdefault((r.name, r.labels["user"]), []).append(r.ts)
+    for i, t, name, labels in rows:
+        if i in kept_ids and "user" in labels:
+            kept.setdefault((name, labels["user"]), []).append(t)
     for times in kept.values():
         times.sort()
-        assert all(b - a >= timedelta(seconds=60) for a, b in zip(times, times[1:]))
-    for r in marked:
-        if not r.kept:
-            near = kept[r.name, r.labels["user"]]
-            assert any(timedelta(0) <= r.ts - t < timedelta(seconds=60) for t in near)
+        assert all(b - a >= 60 for a, b in zip(times, times[1:]))
+    for i, t, name, labels in rows:
+        if i not in kept_ids:
+            assert any(0 <= t - k < 60 for k in kept[name, labels["user"]])
+
+
+@pytest.mark.parametrize("heavy_rows", [None, 5])
+def test_copies_of_a_row(spark, heavy_rows):
+    """Rows sent again with the same id and time are duplicates; unkeyed ones are not."""
+    rows = [(1, 0, "a", {"n": str(i % 3)}) for i in range(30)] + [(2, 9, "a", {})] * 30
+    df = rows_to_df(spark, rows)
+    got = dedup.dedup_ttl(df, ["name"], "5s", heavy_rows=heavy_rows).collect()
+    assert sorted(r.id for r in got) == [1, 2]
+    assert dedup.dedup_first(df, ["name"]).count() == 1
+    assert dedup.dedup_ttl(df, ["labels.x"], "5s", heavy_rows=heavy_rows).count() == 60
+    assert dedup.dedup_first(df, ["labels.x"]).count() == 60
 
 
 def test_later_filter_does_not_reach_into_the_scan(spark):
