@@ -15,8 +15,8 @@ from gaugeworks.session import written
 # A key's points within one slice of time are spread over this many groups.
 POINT_SPREAD = 8
 
-# Snapshots that may be broadcast, and how many of one key may share a slice then.
-BROADCAST_FACTS = 200_000
+# Snapshots looked up by a join, and how many of one key may share a slice then.
+JOINED_FACTS = 200_000
 FACTS_PER_SLICE = 64
 
 
@@ -47,7 +47,7 @@ def as_of(
     at: str = "collected_at",
     spread: int = POINT_SPREAD,
     into: str = "snapshot",
-    small: int = BROADCAST_FACTS,
+    small: int = JOINED_FACTS,
 ) -> DataFrame:
     """Left lookup of the last snapshot at or before each point, not older than `ttl`.
 
@@ -55,8 +55,9 @@ def as_of(
     own time counts. Time is cut into slices of length `ttl`, so a point needs only the
     snapshots of its own slice and the last one of the slice before.
 
-    Up to `small` snapshots (counted, and few per key and slice) are broadcast and the
-    points stay where they are. Beyond that both sides are shuffled, see `_merge`.
+    Up to `small` snapshots (counted, and few per key and slice) are looked up by a join
+    in which they are broadcast, within Spark's own size limit, and the points stay
+    where they are. Beyond that both sides are shuffled, see `_merge`.
     """
     ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
     require(ttl >= 0, "the snapshot TTL must not be negative")
@@ -95,7 +96,10 @@ def as_of(
 def _probe(
     keyed: DataFrame, facts: DataFrame, ttl: int, columns: list[str], into: str
 ) -> DataFrame:
-    """Facts as intervals that do not overlap, broadcast: one match at most per point."""
+    """Facts as intervals that do not overlap: one match at most per point.
+
+    The facts are a written table, so Spark broadcasts them if their size allows.
+    """
     order = Window.partitionBy("_key", "_slice").orderBy("_at")
     until = F.least(
         F.coalesce(F.lead("_at").over(order), F.lit(2**62)), F.col("_at") + ttl + 1
@@ -113,7 +117,7 @@ def _probe(
         & (F.col("_at") >= F.col("_from"))
         & (F.col("_at") < F.col("_until"))
     )
-    return keyed.join(F.broadcast(intervals), here, "left").select(*columns, into)
+    return keyed.join(intervals, here, "left").select(*columns, into)
 
 
 def _merge(
@@ -165,7 +169,7 @@ def enrich_host(
     values: Sequence[str] = ("os", "architecture", "cpu_count", "total_memory"),
     ts: str = "ts",
     spread: int = POINT_SPREAD,
-    small: int = BROADCAST_FACTS,
+    small: int = JOINED_FACTS,
 ) -> DataFrame:
     """Adds `host_info` by host name or, failing that, by address; and `host_hit`."""
     out = as_of(
@@ -189,7 +193,7 @@ def enrich_process(
     pid: str = "pid",
     ts: str = "ts",
     spread: int = POINT_SPREAD,
-    small: int = BROADCAST_FACTS,
+    small: int = JOINED_FACTS,
 ) -> DataFrame:
     """Adds `process` of (host, pid); an expired host or unknown pid is a miss.
 
