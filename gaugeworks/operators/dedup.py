@@ -303,14 +303,18 @@ def dedup_ttl(
     if heavy_rows is None:
         return _kept_by_scan(keyed, ttl, ts, id).select(*columns)
     counts = keyed.filter("not _alone").groupBy("dedup_key").count()
+    # Heavy keys are few; a number stands for each, once written it does not change.
     heavy = written(
-        counts.filter(F.col("count") > heavy_rows).select(F.col("dedup_key").alias("key")),
+        counts.filter(F.col("count") > heavy_rows).select(
+            F.col("dedup_key").alias("_heavy_key"),
+            F.monotonically_increasing_id().alias("key"),
+        ),
         "dedup-heavy",
     )
     if heavy.isEmpty():
         return _kept_by_scan(keyed, ttl, ts, id).select(*columns)
 
-    is_heavy = (F.col("dedup_key") == F.col("key")) & ~F.col("_alone")
+    is_heavy = (F.col("dedup_key") == F.col("_heavy_key")) & ~F.col("_alone")
     light = keyed.join(heavy, is_heavy, "left_anti")
     hot = keyed.join(heavy, is_heavy).withColumn("us", micros(ts))
     times = written(hot.groupBy("key", "us").agg(F.min(id).alias(id)), "dedup-times")
