@@ -306,7 +306,7 @@ def health_transitions(spark, d):
     f"""WITH {inputs.POINTS}, versions(rule_id, metric, generation, threshold) AS (VALUES
       ('c', 'click', 1, 10.0::DOUBLE), ('c', 'click', 3, 30.0::DOUBLE),
       ('e', 'error', 2, 5.0::DOUBLE))
-    SELECT id, id % 4 AS config_generation, v.rule_id, v.generation AS rule_generation,
+    SELECT id, id % 4 AS config_generation, v.rule_id, v.generation::BIGINT AS rule_generation,
            v.threshold, coalesce(value > v.threshold, FALSE) AS above
     FROM points LEFT JOIN versions v ON v.metric = name AND v.generation = (
       SELECT max(w.generation) FROM versions w

@@ -449,7 +449,7 @@ def dlq_replay_filter(spark, d):
 @query(
     "dlq_replay_stamp",
     f"""WITH {inputs.DEAD}
-    SELECT batch_id, 'json' AS format, TRUE AS replay, 0 AS config_generation,
+    SELECT batch_id, 'json' AS format, TRUE AS replay, 0::BIGINT AS config_generation,
            event_type AS label_origin, 'true' AS label_replay,
            '2024-01-31T00:00:00Z' AS label_replay_timestamp, user_id::VARCHAR AS meta_user
     FROM dead WHERE {SELECTED}""",

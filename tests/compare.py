@@ -51,6 +51,18 @@ def compare(spark, con, name, run, sql, sf_dir) -> str | None:
     theirs = result.fetchall()
     if sorted(df.columns) != sorted(theirs_columns):
         return f"columns {sorted(df.columns)} vs {sorted(theirs_columns)}"
+    kinds = {
+        "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+        "boolean": "BOOLEAN", "binary": "BLOB",
+    }
+    theirs_types = {c[0]: str(c[1]) for c in result.description}
+    other = [
+        f"{n}: {t} vs {theirs_types[n]}"
+        for n, t in df.dtypes
+        if kinds.get(t, t) != theirs_types[n]
+    ]
+    if other:
+        return f"types {other}"
     a, b = canonical(ours, df.columns), canonical(theirs, theirs_columns)
     if len(a) != len(b):
         extra = [x for x in a if x not in set(b)][:2] if len(a) < 50_000 else []
