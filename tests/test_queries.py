@@ -3,9 +3,10 @@
 import __spark_entry__ as entry_point
 import pytest
 from compare import compare, duck
+from gaugeworks.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
