@@ -91,6 +91,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by bucket and an intercept, by Adam on the whole sample."""
+    if not rows:
+        return np.zeros_like(ratio), 0.0
     at = np.concatenate(rows)
     ends = np.cumsum([len(x) for x in rows])
     starts = ends - [len(x) for x in rows]
@@ -139,23 +141,27 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
         ),
         "toxic-sample",
     )
-    sample = (
+    features = (
         joined(docs.select("doc_id", "text"), picked, ["doc_id"], "inner")
         .select("text", "toxic")
         .mapInArrow(_features, "toxic int, buckets binary")
-        .collect()  # fit_rows of either label at most
     )
-    sample.sort(key=lambda row: (row.toxic, bytes(row.buckets)))
-    rows = [np.frombuffer(row.buckets, np.int32) for row in sample]
-    kept = [i for i, x in enumerate(rows) if len(x)]
-    if not kept:
-        return np.zeros(1 << BITS, np.float32), float(np.log(texts[1] / texts[0]))
-    weights, intercept = _regression(
-        [rows[i] for i in kept], np.array([sample[i].toxic for i in kept], np.float32), ratio
-    )
-    # From the sample's share of either label to that of all training texts.
-    took = np.bincount([row.toxic for row in sample], minlength=2)
-    return weights, intercept + float(np.log(texts[1] / texts[0]) - np.log(took[1] / took[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def fitted(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("toxic", "ascending"), ("buckets", "ascending")])
+        rows = [np.frombuffer(x.as_py(), np.int32) for x in sample["buckets"]]
+        kept = [i for i, x in enumerate(rows) if len(x)]
+        labels = sample["toxic"].to_numpy().astype(np.float32)
+        weights, intercept = _regression([rows[i] for i in kept], labels[kept], shared.value)
+        # From the sample's share of either label to that of all training texts.
+        took = np.bincount(labels.astype(int), minlength=2)
+        intercept += float(np.log(texts[1] / texts[0]) - np.log(took[1] / took[0]))
+        return pa.table({"weights": [weights.astype(np.float32).tobytes()], "intercept": [intercept]})
+
+    # fit_rows texts of either label at most, in one task.
+    model = features.groupBy(F.lit(0)).applyInArrow(fitted, "weights binary, intercept double").first()
+    return np.frombuffer(model.weights, np.float32), model.intercept
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
