@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
         return pa.table({"weights": [weights.astype(np.float32).tobytes()], "intercept": [intercept]})
 
     # fit_rows texts of either label at most, in one task.
-    model = features.groupBy(F.lit(0)).applyInArrow(fitted, "weights binary, intercept double").first()
+    features = features.withColumn("sample", F.lit(0))
+    model = features.groupBy("sample").applyInArrow(fitted, "weights binary, intercept double").first()
     return np.frombuffer(model.weights, np.float32), model.intercept
 
 
