@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,4 +87,19 @@ def with_component(rows: DataFrame, id_col: str, links: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.coalesce("component_id", F.col(id_col)))
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+class Bits:
+    """Hashed values of a column as bits: tells of a value that it is certainly absent."""
+
+    def __init__(self, values: DataFrame, column: str, bits: int) -> None:
+        self.shift = 64 - bits
+        slot = f"shiftrightunsigned({column}, {self.shift})"
+        words = values.groupBy(F.expr(f"shiftrightunsigned({slot}, 6)").alias("word")).agg(
+            F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("held")
+        )
+        found = words.toArrow()  # 2 ** (bits - 6) rows at most
+        self.words = np.zeros(1 << bits - 6, np.uint64)
+        self.words[found["word"].to_numpy()] = found["held"].to_numpy().view(np.uint64)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        slot = values.view(np.uint64) >> np.uint64(self.shift)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
