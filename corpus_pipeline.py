@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import toxicity
+from gaugeworks.llm import line_dedup, ngram_join, packing, suffix_dedup, toxicity
 from gaugeworks.llm.common import table
 from gaugeworks.session import written
 
 STAGES = [
     ("toxicity", toxicity.stage),
+    ("line dedup", line_dedup.stage),
+    ("n-gram Jaccard join", ngram_join.stage),
+    ("suffix-array dedup", suffix_dedup.stage),
+    ("best-fit packing", packing.stage),
 ]
 
 #: Training a classifier and a public tokenizer are beyond SQL; tests/llm compare by brute force.

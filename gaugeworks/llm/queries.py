@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import line_dedup, ngram_join, suffix_dedup, toxicity
+from gaugeworks.llm import line_dedup, ngram_join, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
