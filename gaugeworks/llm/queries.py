@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import line_dedup, ngram_join, packing, suffix_dedup, toxicity
+from gaugeworks.llm import (
+    embedding_dedup,
+    language,
+    line_dedup,
+    neighbours,
+    ngram_join,
+    packing,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_compression_language": language.op6_compression_language,
+    "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_multiprobe_neighbours": neighbours.op9_multiprobe_neighbours,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op3_embedding_near_dedup": embedding_dedup.OP3_SQL,
     "op5_ngram_join": ngram_join.OP5_SQL,
 }
