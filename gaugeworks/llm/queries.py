@@ -13,6 +13,7 @@ from gaugeworks.llm import (
     neighbours,
     ngram_join,
     packing,
+    pieces,
     sharding,
     suffix_dedup,
     toxicity,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
+    "op4_merge_dropout_pieces": pieces.op4_merge_dropout_pieces,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_compression_language": language.op6_compression_language,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
