@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType
 
 # The patterns of the validator.
 DATE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
@@ -75,13 +76,20 @@ def label_entries(labels: Column) -> Column:
 
 
 def hashable(df: DataFrame) -> list[Column]:
-    """The columns a hash can read (maps and variants are left out)."""
-    plain = [
-        F.col(field.name)
-        for field in df.schema.fields
-        if not any(kind in field.dataType.simpleString() for kind in ("map<", "variant"))
-    ]
-    return plain or [F.lit(0)]
+    """The columns as a hash can read them: maps as sorted entries; variants and maps inside
+    other values are left out."""
+
+    def readable(kind: DataType) -> bool:
+        return not any(word in kind.simpleString() for word in ("map<", "variant"))
+
+    out = []
+    for field in df.schema.fields:
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, MapType) and readable(kind.keyType) and readable(kind.valueType):
+            out.append(F.array_sort(F.map_entries(column)))
+        elif readable(kind):
+            out.append(column)
+    return out or [F.lit(0)]
 
 
 def bound_text(bound: float) -> str:

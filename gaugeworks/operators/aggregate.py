@@ -7,6 +7,7 @@ travel, so a group holding most of the data costs a group's state, not its rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +18,21 @@ from gaugeworks.functions.values import bound_text
 from gaugeworks.model import CUSTOM_AGGREGATIONS, AggRule, require
 from gaugeworks.session import written
 
+#: Holds sums of numbers below 10**20 with 18 digits behind the point.
+EXACT = "decimal(38,18)"
 
-def _by_rule(rules: Sequence[AggRule], value: Column, pick, otherwise: Column) -> Column:
-    """`pick(rule)` for the row's rule_id, as a literal lookup."""
-    out = otherwise
-    for i, rule in enumerate(rules):
-        out = F.when(value == i, pick(rule)).otherwise(out)
-    return out
+
+def _table(rows: Sequence[Sequence[str]], kind: str) -> Column:
+    """A constant array with an entry per rule, read by `rule_id`.
+
+    Written as one JSON text, which the optimizer turns into a constant: the plan has the
+    same size for one rule and for hundreds.
+    """
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<string>>").cast(f"array<array<{kind}>>")
+
+
+def _of_rule(rows: Sequence[Sequence[str]], kind: str = "string") -> Column:
+    return F.get(_table(rows, kind), F.col("rule_id"))
 
 
 def apply_rules(points: DataFrame, rules: Sequence[AggRule]) -> DataFrame:
@@ -34,62 +43,52 @@ def apply_rules(points: DataFrame, rules: Sequence[AggRule]) -> DataFrame:
     here.
     """
     require(len(rules) > 0, "at least one aggregation rule must be defined")
-    by_metric: dict[str, list[int]] = {}
-    for i, rule in enumerate(rules):
-        by_metric.setdefault(rule.metric, []).append(i)
-    targets = F.lit(None).cast("array<int>")
-    for metric, ids in by_metric.items():
-        targets = F.when(
-            F.col("name") == metric, F.array(*[F.lit(i) for i in ids])
-        ).otherwise(targets)
-    labels = F.col("labels")
-    group = _by_rule(
-        rules,
-        F.col("rule_id"),
-        lambda r: F.array(*[labels[n] for n in r.labels]).cast("array<string>"),
-        F.array().cast("array<string>"),
+    named = json.dumps([{"name": rule.metric, "rule_id": i} for i, rule in enumerate(rules)])
+    targets = points.sparkSession.range(1).select(
+        F.inline(F.from_json(F.lit(named), "array<struct<name:string,rule_id:int>>"))
     )
+    labels = F.col("labels")
+    # The table has a row per rule, and rules are written by hand.
     return (
-        points.filter(F.col("name").isin(*by_metric))
-        .withColumn("rule_id", F.explode(targets))
-        .withColumn("group_labels", group)
+        points.join(F.broadcast(targets), "name")
+        .select(*points.columns, "rule_id")
+        .withColumn(
+            "group_labels",
+            F.transform(_of_rule([r.labels for r in rules]), lambda name: labels[name]),
+        )
     )
 
 
-def _states(
-    rules: Sequence[AggRule], exact_scale: int | None, labels: str
-) -> list[Column]:
+def _total(value: Column, exact: bool) -> Column:
+    if not exact:
+        return F.sum(value)
+    # Decimal addition is associative: the same digits in any task order. A number that is
+    # not the same number as a decimal (NaN, an infinity, more digits than fit) is not
+    # rounded to one: its group is added as doubles.
+    digits = value.try_cast(EXACT)
+    lossy = F.count_if(digits.isNull() | (digits.cast("double") != value))
+    return F.when(lossy > 0, F.sum(value)).otherwise(
+        F.coalesce(F.try_sum(digits).cast("double"), F.sum(value))
+    )
+
+
+def _states(rules: Sequence[AggRule], exact: bool, labels: str) -> list[Column]:
     """The partial states the rules' types need, and no others."""
     types = {r.type for r in rules}
     value = F.coalesce(F.col("value"), F.lit(0.0))
     number = F.when(~F.isnan(value), value)
     out = [F.count(F.lit(1)).alias("_n")]
     if types & {"sum", "avg"}:
-        total = F.sum(value)
-        if exact_scale is not None:
-            # Decimal addition is associative: the same digits in any task order.
-            # NaN, infinities and huge values have no such decimal: plain sum then.
-            digits = value.try_cast(f"decimal(18,{exact_scale})")
-            total = F.when(F.count_if(digits.isNull()) > 0, F.sum(value)).otherwise(
-                F.sum(digits).cast("double")
-            )
-        out.append(total.alias("_sum"))
+        out.append(_total(value, exact).alias("_sum"))
     if "min" in types:
         out.append(F.min(number).alias("_min"))
     if "max" in types:
         out.append(F.max(number).alias("_max"))
-    width = max((len(r.bounds) for r in rules if r.type == "histogram"), default=0)
-    for j in range(width):
-        bound = _by_rule(
-            rules,
-            F.col("rule_id"),
-            lambda r, j=j: F.lit(r.bounds[j])
-            if r.type == "histogram" and j < len(r.bounds)
-            else F.lit(None).cast("double"),
-            F.lit(None).cast("double"),
-        )
+    bounds = [_bounds(r) for r in rules]
+    of_rule = _of_rule([[str(b) for b in bs] for bs in bounds], "double")
+    for j in range(max(map(len, bounds))):
         # Spark orders NaN above every number; a NaN only counts under +Inf.
-        out.append(F.count_if(number <= bound).alias(f"_b{j}"))
+        out.append(F.count_if(number <= F.get(of_rule, F.lit(j))).alias(f"_b{j}"))
     for name in sorted(types & set(CUSTOM_AGGREGATIONS)):
         out.append(CUSTOM_AGGREGATIONS[name](value).alias(f"_custom_{name}"))
     if labels == "first":
@@ -97,51 +96,48 @@ def _states(
     return out
 
 
+def _bounds(rule: AggRule) -> list[float]:
+    return rule.bounds if rule.type == "histogram" else []
+
+
 def _emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFrame:
     """States to output points: one row per group, or one per bucket of a histogram."""
-
-    def rows(rule: AggRule) -> Column:
-        def row(name: Column, value: Column, le: str | None) -> Column:
-            return F.struct(
-                name.alias("name"),
-                value.cast("double").alias("value"),
-                F.lit(le).cast("string").alias("le"),
-            )
-
-        metric = F.lit(rule.metric)
-        if rule.type == "histogram":
-            name = F.lit(f"{rule.metric}_bucket")
-            buckets = [
-                row(name, F.col(f"_b{j}"), bound_text(b))
-                for j, b in enumerate(rule.bounds)
-            ]
-            return F.array(*buckets, row(name, F.col("_n"), "+Inf"))
-        value = {
-            "sum": lambda: F.col("_sum"),
-            "avg": lambda: F.col("_sum") / F.col("_n"),
-            "min": lambda: F.col("_min"),
-            "max": lambda: F.col("_max"),
-        }.get(rule.type, lambda: F.col(f"_custom_{rule.type}"))()
-        return F.array(row(metric, value, None))
-
-    nothing = F.array().cast("array<struct<name:string,value:double,le:string>>")
+    facts = _of_rule([[r.metric, r.type] for r in rules])
+    metric, type = F.get(facts, F.lit(0)), F.get(facts, F.lit(1))
+    states = {
+        "sum": lambda: F.col("_sum"),
+        "avg": lambda: F.col("_sum") / F.col("_n"),
+        "min": lambda: F.col("_min"),
+        "max": lambda: F.col("_max"),
+    }
+    one = F.lit(None).cast("double")
+    for name in sorted({r.type for r in rules} - {"histogram"}):
+        state = states.get(name, lambda name=name: F.col(f"_custom_{name}"))()
+        one = F.when(type == name, state.cast("double")).otherwise(one)
+    width = max(len(_bounds(r)) for r in rules)
+    counts = F.array(*[F.col(f"_b{j}").cast("double") for j in range(width)], F.col("_n").cast("double"))
+    texts = _of_rule([[*map(bound_text, _bounds(r)), "+Inf"] for r in rules])
+    buckets = F.transform(
+        texts,
+        lambda le, j: F.struct(
+            F.concat(metric, F.lit("_bucket")).alias("name"),
+            # A rule's last bucket, wherever it is in the list, counts all.
+            F.get(counts, F.when(j == F.size(texts) - 1, width).otherwise(j)).alias("value"),
+            le.alias("le"),
+        ),
+    )
+    single = F.array(
+        F.struct(metric.alias("name"), one.alias("value"), F.lit(None).cast("string").alias("le"))
+    )
     out = grouped.withColumn(
-        "_rows", _by_rule(rules, F.col("rule_id"), rows, nothing)
-    ).withColumn("_row", F.explode("_rows"))
+        "_row", F.explode(F.when(type == "histogram", buckets).otherwise(single))
+    )
     if labels == "first":
         base = F.col("_first")
     else:
-        base = _by_rule(
-            rules,
-            F.col("rule_id"),
-            lambda r: F.map_filter(
-                F.map_from_arrays(
-                    F.array(*[F.lit(n) for n in r.labels]).cast("array<string>"),
-                    F.col("group_labels"),
-                ),
-                lambda _, v: v.isNotNull(),
-            ),
-            F.create_map().cast("map<string,string>"),
+        base = F.map_filter(
+            F.map_from_arrays(_of_rule([r.labels for r in rules]), F.col("group_labels")),
+            lambda _, v: v.isNotNull(),
         )
     le = F.col("_row.le")
     full = F.when(le.isNull(), base).otherwise(
@@ -163,25 +159,35 @@ def aggregate(
     rules: Sequence[AggRule],
     window_seconds: int | None = 60,
     labels: str = "group",
-    exact_scale: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """All rules over tumbling windows (or over everything when there is no window).
 
-    `labels="first"` puts out all labels of a group's first point by (ts, id).
-    `exact_scale` adds values as decimals of that scale, which makes sums repeatable
-    to the last digit. On a stream, set a watermark on `ts` first.
+    Points without `ts` form groups of their own, with null windows. `labels="first"` puts
+    out all labels of a group's first point by (ts, id). `exact` adds values as decimals,
+    which makes sums repeatable to the last digit, and rounds none. On a stream, set a
+    watermark on `ts` first; there points without `ts` have no window and end here.
     """
     require(window_seconds is None or window_seconds > 0, "windowSeconds must be positive")
     require(labels in ("group", "first"), f"unknown label mode: {labels}")
     matched = apply_rules(points, rules)
     keys = [F.col("rule_id"), F.col("group_labels")]
-    if window_seconds is not None:
+    if window_seconds is None:
+        grouped = matched.groupBy(*keys).agg(*_states(rules, exact, labels))
+    elif points.isStreaming:
         keys.append(F.window("ts", f"{window_seconds} seconds").alias("window"))
-    grouped = matched.groupBy(*keys).agg(*_states(rules, exact_scale, labels))
-    if window_seconds is not None:
+        grouped = matched.groupBy(*keys).agg(*_states(rules, exact, labels))
         grouped = grouped.withColumns(
             {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
         ).drop("window")
+    else:
+        # F.window would drop points without a time.
+        step = window_seconds * 1_000_000
+        keys.append((micros("ts") - F.pmod(micros("ts"), F.lit(step))).alias("_start"))
+        grouped = matched.groupBy(*keys).agg(*_states(rules, exact, labels))
+        grouped = grouped.withColumns(
+            {"window_start": instant(F.col("_start")), "window_end": instant(F.col("_start") + step)}
+        )
     return _emit(grouped, rules, labels)
 
 
@@ -190,13 +196,14 @@ def aggregate_anchored(
     rules: Sequence[AggRule],
     window_seconds: int = 60,
     labels: str = "group",
-    exact_scale: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Windows that start at each group's own first point and follow without gaps.
 
     The anchors are a map-side combined minimum, written (one row per group) and joined
     back, not a window function: a group of any size stays spread over tasks, and
     anchors of known small size are broadcast, so only partial states are shuffled.
+    Points without `ts` form groups with a null window.
     """
     require(window_seconds > 0, "windowSeconds must be positive")
     matched = apply_rules(points, rules)
@@ -211,7 +218,7 @@ def aggregate_anchored(
             "window_index", F.expr(f"(unix_micros(ts) - _anchor) div {step}")
         )
         .groupBy("rule_id", "group_labels", "_anchor", "window_index")
-        .agg(*_states(rules, exact_scale, labels))
+        .agg(*_states(rules, exact, labels))
         .withColumn(
             "window_start", instant(F.col("_anchor") + F.col("window_index") * step)
         )

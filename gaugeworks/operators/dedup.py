@@ -11,8 +11,9 @@ same chain with joins that halve the rows in play each round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def dedup_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def dedup_first(
     df: DataFrame, keys: Sequence[str], ts: str = "ts", id: str = "id"
 ) -> DataFrame:
-    """The first row of each key by (ts, id); unkeyed rows all stay.
+    """The first row of each key by (ts, id, hash of the row); unkeyed rows all stay.
 
     A minimum per key, combined before the shuffle, so no key is gathered or sorted.
     """
@@ -72,41 +73,90 @@ def dedup_first(
     first = (
         keyed.filter("has_all_keys")
         .groupBy("dedup_key")
-        .agg(F.min_by(F.struct(*columns), F.struct(ts, id)).alias("_row"))
+        .agg(F.min_by(F.struct(*columns), F.struct(ts, id, F.xxhash64(*hashable(df)))).alias("_row"))
         .select("_row.*")
     )
     return first.unionByName(keyed.filter("not has_all_keys").select(*columns))
 
 
-def _ttl_scan(ttl: int):
+def follow(
+    us: np.ndarray, target: np.ndarray, head: np.ndarray, due: int | None
+) -> tuple[np.ndarray, int | None]:
+    """Marks each key's first row, then again and again the first at or after the marked
+    row's target. Rows are sorted by (key, us); `head` marks where a key begins, and `due` is the
+    target that rows before these have left to the first key.
+
+    All keys step at once, so the cost follows the rows kept, not all rows.
+    """
+    marks = np.zeros(len(us), bool)
+    if not len(us):
+        return marks, due
+    base, last = int(us.min()), int(us.max())
+    span = last - base + 2
+    begin = np.flatnonzero(head)
+    keys = len(begin) + 1
+    if keys * span >= 2**62 and keys > 2:
+        # Keys are laid end to end on one line of 63 bits; too many long ones go in two steps.
+        cut = int(begin[len(begin) // 2])
+        left, due = follow(us[:cut], target[:cut], head[:cut], due)
+        right, due = follow(us[cut:], target[cut:], head[cut:], due)
+        return np.concatenate([left, right]), due
+    key = np.cumsum(head)
+    line = (us - base) + key * span
+    goal = np.minimum(np.maximum(target, base), last + 1) - base + key * span
+    end = np.append(begin[1:], len(us))[: len(begin)]
+    at = begin
+    if not head[0]:
+        first = int(np.searchsorted(us[: begin[0]] if len(begin) else us, due))
+        stop = int(begin[0]) if len(begin) else len(us)
+        if first < stop:
+            at, end = np.insert(at, 0, first), np.insert(end, 0, stop)
+    while len(at):
+        marks[at] = True
+        at = np.searchsorted(line, goal[at])
+        at, end = at[at < end], end[at < end]
+    kept = np.flatnonzero(marks)
+    if len(kept):
+        due = int(target[kept[-1]])
+    return marks, due
+
+
+def _scan(of_target: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     """Marks kept rows of sorted rows; one remembered time, whatever the key's size."""
 
     def scan(
-        batches: Iterator[tuple[pd.Series, pd.Series]],
+        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.Series]:
         due = None
-        for us, head in batches:
-            marks = []
-            for t, first in zip(us.tolist(), head.tolist()):
-                kept = first or t >= due
-                if kept:
-                    due = t + ttl
-                marks.append(kept)
+        for us, other, head in batches:
+            times = us.to_numpy()
+            marks, due = follow(times, of_target(times, other.to_numpy()), head.to_numpy(), due)
             yield pd.Series(marks, dtype="bool")
 
     # Not deterministic for the optimizer: it must not move filters below the scan.
     return F.pandas_udf(scan, "boolean").asNondeterministic()
 
 
+def _ttl_scan(us: Column, head: Column, ttl: int) -> Column:
+    return _scan(lambda times, _: times + ttl)(us, us, head)
+
+
+def _pointer_scan(us: Column, following: Column, head: Column) -> Column:
+    """The same along pointers to times; a null pointer ends the chain."""
+    return _scan(lambda _, to: to)(us, F.coalesce(following, F.lit(2**62)), head)
+
+
 def _kept_by_scan(df: DataFrame, ttl: int, ts: str, id: str) -> DataFrame:
     """Kept rows among rows with `dedup_key` and `_alone`: one shuffle, O(1) memory."""
-    # Rows that are not compared with any other are dealt out by their id.
-    lane = F.when(F.col("_alone"), F.xxhash64(id))
-    timeline = Window.partitionBy("dedup_key", "_alone", "_lane").orderBy(ts, id)
+    # Rows that are not compared with any other are dealt out by what they hold.
+    tie = F.xxhash64(*hashable(df))
+    lane = F.when(F.col("_alone"), tie)
+    timeline = Window.partitionBy("dedup_key", "_alone", "_lane").orderBy(ts, id, "_tie")
     return (
-        df.withColumn("_lane", lane)
+        df.withColumns({"_lane": lane, "_tie": tie})
         .withColumn("_head", F.row_number().over(timeline) == 1)
-        .withColumn("_kept", _ttl_scan(ttl)(micros(ts), F.col("_head")))
+        .withColumn("_us", F.coalesce(micros(ts), F.lit(0)))
+        .withColumn("_kept", _ttl_scan(F.col("_us"), F.col("_head"), ttl))
         .filter("_alone or _kept")
     )
 
@@ -161,7 +211,7 @@ def _scan_times(times: DataFrame, ttl: int) -> DataFrame:
     timeline = Window.partitionBy("key").orderBy("us")
     return (
         times.withColumn("_head", F.row_number().over(timeline) == 1)
-        .withColumn("kept", _ttl_scan(ttl)(F.col("us"), F.col("_head")))
+        .withColumn("kept", _ttl_scan(F.col("us"), F.col("_head"), ttl))
         .filter("kept")
         .select("key", "us")
     )
@@ -245,9 +295,7 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
         level.withColumn("_head", F.row_number().over(timeline) == 1)
         .withColumn(
             "on_chain",
-            _pointer_scan()(
-                F.col("us"), F.coalesce("next", F.lit(-(2**62))), F.col("_head")
-            ),
+            _pointer_scan(F.col("us"), F.col("next"), F.col("_head")),
         )
         .filter("on_chain")
         .select("key", "us")
@@ -264,23 +312,6 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
     return kept
 
 
-def _pointer_scan():
-    def scan(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        due = None
-        for us, following, head in batches:
-            marks = []
-            for t, n, first in zip(us.tolist(), following.tolist(), head.tolist()):
-                kept = first or t == due
-                if kept:
-                    due = n
-                marks.append(kept)
-            yield pd.Series(marks, dtype="bool")
-
-    return F.pandas_udf(scan, "boolean").asNondeterministic()
-
-
 def dedup_ttl(
     df: DataFrame,
     keys: Sequence[str],
@@ -291,6 +322,9 @@ def dedup_ttl(
 ) -> DataFrame:
     """The kept rows. Unkeyed and undated rows are all kept.
 
+    Of rows of one key and time the first by id is kept, a null id before all others, and of
+    equal ids the one with the smallest hash of the row.
+
     Counts rows per key first (a map-side combined job over the key columns) and sets
     keys above `heavy_rows` apart; `heavy_rows=None` states that there are none.
     """
@@ -314,10 +348,14 @@ def dedup_ttl(
     if heavy.isEmpty():
         return _kept_by_scan(keyed, ttl, ts, id).select(*columns)
 
+    # Read several times from here on: worked out once.
+    keyed = written(keyed, "dedup-keyed")
     is_heavy = (F.col("dedup_key") == F.col("_heavy_key")) & ~F.col("_alone")
     light = keyed.join(heavy, is_heavy, "left_anti")
     hot = keyed.join(heavy, is_heavy).withColumn("us", micros(ts))
-    times = written(hot.groupBy("key", "us").agg(F.min(id).alias(id)), "dedup-times")
+    # A null id is the first of its time.
+    least = F.when(F.count_if(F.col(id).isNull()) == 0, F.min(id))
+    times = written(hot.groupBy("key", "us").agg(least.alias("_first")), "dedup-times")
     moments = times.select("key", "us")
     most = moments.groupBy("key").count().agg(F.max("count")).first()[0]
     if most <= heavy_rows:
@@ -327,9 +365,15 @@ def dedup_ttl(
     # With the kept times written and small, the heavy rows themselves never move.
     kept = written(times.join(chain, ["key", "us"]), "dedup-kept")
     # Copies with the same id and time: any one, but the same one each time.
-    one = F.min_by(F.struct(*columns), F.xxhash64(*hashable(df))).alias("_row")
+    one = F.min_by(F.struct(*columns), "_tie").alias("_row")
+    kept = kept.withColumnsRenamed({"key": "_k", "us": "_u"})
+    first_of_time = (
+        (F.col("key") == F.col("_k")) & (F.col("us") == F.col("_u"))
+        & F.col(id).eqNullSafe(F.col("_first"))
+    )
     heavy_kept = (
-        hot.join(kept, ["key", "us", id], "left_semi")
+        hot.withColumn("_tie", F.xxhash64(*hashable(keyed)))
+        .join(kept, first_of_time, "left_semi")
         .groupBy("key", "us")
         .agg(one)
         .select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.values import hash_fraction
+from gaugeworks.functions.values import hash_fraction, hashable
 from gaugeworks.model import Connection, Endpoint, require
 from gaugeworks.operators.select import route
 from gaugeworks.session import written
@@ -36,14 +36,17 @@ def assign_batches(
         ),
         "buckets",
     )
-    spread = points.join(buckets, F.col(destination).eqNullSafe(F.col("_d"))).withColumn(
-        "bucket", F.floor(hash_fraction(id, "pack") * F.col("_buckets")).cast("int")
+    own = F.xxhash64(*hashable(points))
+    # A row without an id goes by its own hash.
+    place = F.coalesce(hash_fraction(id, "pack"), hash_fraction(own, "pack"))
+    spread = points.join(buckets, F.col(destination).eqNullSafe(F.col("_d"))).withColumns(
+        {"bucket": F.floor(place * F.col("_buckets")).cast("int"), "_tie": own}
     )
-    order = Window.partitionBy(destination, "bucket").orderBy(id)
+    order = Window.partitionBy(destination, "bucket").orderBy(id, "_tie")
     return spread.withColumn(
         "chunk",
         F.floor((F.row_number().over(order) - 1) / F.lit(max_batch_size)).cast("int"),
-    ).drop("_d", "_buckets")
+    ).drop("_d", "_buckets", "_tie")
 
 
 def pack_batches(
@@ -88,7 +91,7 @@ def pack_batches(
 
 
 def export(
-    df: DataFrame, endpoints: Sequence[Endpoint], path: str, run: str | int = 0
+    df: DataFrame, endpoints: Sequence[Endpoint], path: str, run: str | int
 ) -> None:
     """Write rows to every endpoint that takes them, under `path/<format>/run=<run>`.
 

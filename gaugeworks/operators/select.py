@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.values import hash_fraction
+from gaugeworks.functions.values import hash_fraction, hashable
 from gaugeworks.model import Connection, SampleRule, require
 
 
@@ -15,6 +15,12 @@ def _matches(rule: SampleRule, labels: Column) -> Column:
     return F.coalesce(labels[rule.label] == F.lit(rule.value), F.lit(False))
 
 
+def _kept(df: DataFrame, by: str, rate: Column, seed: int | str) -> DataFrame:
+    """Rows whose fraction is below their rate; without a value in `by` the row's own hash decides."""
+    own = hash_fraction(F.xxhash64(*hashable(df)), seed)
+    return df.filter((rate >= 1.0) | (F.coalesce(hash_fraction(by, seed), own) < rate))
+
+
 def filter_rules(
     points: DataFrame, rules: Sequence[SampleRule], labels: str = "labels"
 ) -> DataFrame:
@@ -33,22 +39,28 @@ def sample_by_rule(
     seed: int | str = 0,
     labels: str = "labels",
 ) -> DataFrame:
-    """The first matching rule sets the rate; rows no rule matches are kept."""
+    """The first matching rule sets the rate; rows no rule matches are kept.
+
+    Rows without an id are sampled by a hash of the row.
+    """
     rate = F.lit(1.0)
     for rule in reversed(rules):
         rate = F.when(_matches(rule, F.col(labels)), F.lit(rule.rate)).otherwise(rate)
-    return points.filter(hash_fraction(id, seed) < rate)
+    return _kept(points, id, rate, seed)
 
 
 def sample(df: DataFrame, id: str, rate: float, seed: int | str = 0) -> DataFrame:
     """Keep a fixed share by id: the same rows in every run."""
-    return df.filter(hash_fraction(id, seed) < F.lit(float(rate)))
+    return _kept(df, id, F.lit(float(rate)), seed)
 
 
 def sample_trace(
     df: DataFrame, group: str, ratio: float = 0.1, seed: int | str = 0
 ) -> DataFrame:
-    """Keep whole groups: every row of a group shares the group's decision."""
+    """Keep whole groups: every row of a group shares the group's decision.
+
+    Rows without a group are sampled one by one.
+    """
     return sample(df, group, ratio, seed)
 
 

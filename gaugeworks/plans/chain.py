@@ -44,7 +44,7 @@ class ChainConfig:
     seed: int | str = 0
     aggregation: Sequence[AggRule] = ()
     window_seconds: int = 60
-    exact_scale: int | None = None
+    exact: bool = False
     label_policy: str = "strip"
     replay_bypasses_dedup: bool = True
     extra_stages: Sequence[Stage] = ()
@@ -116,9 +116,8 @@ def clean_points(decided: DataFrame, config: ChainConfig) -> DataFrame:
     if config.dedup is not None and config.dedup.enabled:
         ttl, keys = config.dedup.ttl, list(config.dedup.keys)
         if config.replay_bypasses_dedup:
-            points = dedup_ttl(points.filter("not replay"), keys, ttl).unionByName(
-                points.filter("replay")
-            )
+            replay = F.coalesce("replay", F.lit(False))
+            points = dedup_ttl(points.filter(~replay), keys, ttl).unionByName(points.filter(replay))
         else:
             points = dedup_ttl(points, keys, ttl)
     points = strip_internal_labels(points, config.label_policy)
@@ -142,6 +141,9 @@ def run_chain(
     goes to the dead letters. `forward` and `dlq_ok` are as in `outcome`; a batch that
     could not be forwarded puts no points out and leaves no trace in the deduplication.
     """
+    if "received" not in batches.columns:
+        # Written with the batch, so that all results give its points the same time.
+        batches = batches.withColumn("received", F.current_timestamp())
     decided = outcome(
         judge(batches, config),
         F.col("error_code"),
@@ -167,7 +169,7 @@ def run_chain(
             points,
             config.aggregation,
             config.window_seconds,
-            exact_scale=config.exact_scale,
+            exact=config.exact,
         )
         if config.aggregation
         else points

@@ -23,7 +23,7 @@ TYPES = ("click", "error", "purchase", "signup", "view")
 DAY = 86_400
 DAY_US = DAY * 1_000_000
 BUCKETS = (100.0, 10.0, 50.0, 0.5, 250.0)
-EXACT_SUM = "sum(value::DECIMAL(18,4))::DOUBLE"
+EXACT_SUM = "sum(value::VARCHAR::DECIMAL(38,18))::VARCHAR::DOUBLE"
 
 
 def rules(type: str, *labels: str, buckets=()) -> list[AggRule]:
@@ -51,7 +51,7 @@ def _simple(name: str, type: str, expression: str, label: str) -> None:
     )
     def run(spark, d):
         return _plain(
-            agg.aggregate(inputs.points(spark, d), rules(type, label), DAY, exact_scale=4),
+            agg.aggregate(inputs.points(spark, d), rules(type, label), DAY, exact=True),
             label,
         )
 
@@ -120,7 +120,7 @@ MULTI = [
       FROM w WHERE name = 'view' GROUP BY name, window_us""",
 )
 def agg_multi_rule(spark, d):
-    out = agg.aggregate(inputs.points(spark, d), MULTI, DAY, exact_scale=4)
+    out = agg.aggregate(inputs.points(spark, d), MULTI, DAY, exact=True)
     return out.select(
         "rule_id",
         "name",
@@ -138,7 +138,7 @@ def agg_multi_rule(spark, d):
     FROM points GROUP BY ALL""",
 )
 def agg_tumbling(spark, d):
-    return _plain(agg.aggregate(inputs.points(spark, d), rules("sum"), exact_scale=4))
+    return _plain(agg.aggregate(inputs.points(spark, d), rules("sum"), exact=True))
 
 
 @query(
@@ -151,7 +151,7 @@ def agg_tumbling(spark, d):
 )
 def agg_anchored_window(spark, d):
     out = agg.aggregate_anchored(
-        inputs.points(spark, d), rules("sum", "user"), DAY, exact_scale=4
+        inputs.points(spark, d), rules("sum", "user"), DAY, exact=True
     )
     return out.select(
         "name",
@@ -181,7 +181,7 @@ def agg_first_labels(spark, d):
     FROM ragged GROUP BY name, us // {DAY_US}, k""",
 )
 def agg_missing_label(spark, d):
-    out = agg.aggregate(inputs.ragged_points(spark, d), rules("sum", "k"), DAY, exact_scale=4)
+    out = agg.aggregate(inputs.ragged_points(spark, d), rules("sum", "k"), DAY, exact=True)
     return _plain(out, "k")
 
 
@@ -196,7 +196,7 @@ def agg_stream(spark, d):
     schema = inputs.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     stream = aggregate_stream(
-        inputs.as_points(events.parquet(d)), rules("sum"), DAY, "1 hour", exact_scale=4
+        inputs.as_points(events.parquet(d)), rules("sum"), DAY, "1 hour", exact=True
     )
     path = scratch_path(spark, "stream-agg")
     return _plain(run_available(stream, f"{path}/out", f"{path}/state"))
@@ -222,7 +222,7 @@ SUMMARY = [
 def chain_summary(spark, d):
     """The flagship: TTL deduplication, then all rules in one pass."""
     fresh = dedup(inputs.points(spark, d), DedupConfig(USER_AND_TYPE, "48h"))
-    return _plain(agg.aggregate(fresh, SUMMARY, DAY, exact_scale=4), "user", "le")
+    return _plain(agg.aggregate(fresh, SUMMARY, DAY, exact=True), "user", "le")
 
 
 @query(

@@ -525,7 +525,7 @@ def _config() -> ChainConfig:
         seed=5,
         aggregation=[AggRule(t, "sum", ["user"]) for t in TYPES],
         window_seconds=DAY,
-        exact_scale=4,
+        exact=True,
     )
 
 
@@ -603,7 +603,7 @@ def _read_back(spark, path):
 @query("export_fanout", EXPORTED_SQL)
 def export_fanout(spark, d):
     path = scratch_path(spark, "export")
-    export(inputs.points(spark, d).select("id", "name", "value"), ENDPOINTS, path)
+    export(inputs.points(spark, d).select("id", "name", "value"), ENDPOINTS, path, 0)
     return _read_back(spark, path)
 
 

@@ -1,12 +1,21 @@
 """Landed batches and the payload shapes inside them.
 
-A payload is decoded once, by one `from_json`, whatever its shape: a bare array of
-points, `{"metrics": [...]}` or `{"resource_metrics": [...]}`. Payloads that cannot
-be decoded yield no points and come out of `split_malformed` as error rows.
+A payload is decoded once, by one `from_json`, whatever its shape:
+
+* a bare array of points, or `{"metrics": [points]}`;
+* resources, as `resource_metrics` / `scope_metrics` or `resourceMetrics` / `scopeMetrics`, whose
+  attributes are a map or a list of keys and values, and whose metrics are points or hold data
+  points under `gauge`, `sum` or `histogram`;
+* Prometheus series, `{"timeseries": [{"labels", "samples"}]}`; format `prometheus` asks for them.
+
+An empty object and null hold no points. Any other object, a format that is not known and a
+payload that cannot be decoded yield no points and come out of `split_malformed` as error rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +27,35 @@ from gaugeworks.model import (
     POINT_JSON,
 )
 
+_DATA_POINT = (
+    "struct<attributes:variant,timeUnixNano:string,time_unix_nano:string,"
+    "asDouble:double,as_double:double,asInt:string,as_int:string,count:string,sum:double,"
+    "bucketCounts:array<string>,bucket_counts:array<string>,"
+    "explicitBounds:array<double>,explicit_bounds:array<double>>"
+)
+_DATA = f"struct<dataPoints:array<{_DATA_POINT}>,data_points:array<{_DATA_POINT}>>"
+_METRIC = (
+    "struct<id:bigint,ts:bigint,name:string,value:double,labels:map<string,string>,"
+    f"gauge:{_DATA},sum:{_DATA},histogram:{_DATA}>"
+)
+_SCOPES = f"array<struct<metrics:array<{_METRIC}>>>"
 _RESOURCE = (
-    "struct<resource:struct<attributes:map<string,string>>,"
-    f"metrics:array<{POINT_JSON}>,"
-    f"scope_metrics:array<struct<metrics:array<{POINT_JSON}>>>>"
+    f"struct<resource:struct<attributes:variant>,metrics:array<{_METRIC}>,"
+    f"scope_metrics:{_SCOPES},scopeMetrics:{_SCOPES}>"
 )
+_SERIES = "struct<labels:map<string,string>,samples:array<struct<timestamp:bigint,value:double>>>"
 _DOCUMENT = (
     f"struct<points:array<{POINT_JSON}>,"
-    f"body:struct<metrics:array<{POINT_JSON}>,resource_metrics:array<{_RESOURCE}>>,"
+    f"body:struct<metrics:array<{POINT_JSON}>,resource_metrics:array<{_RESOURCE}>,"
+    f"resourceMetrics:array<{_RESOURCE}>,timeseries:array<{_SERIES}>>,"
     "undecoded:string>"
 )
-_SERIES = (
-    "struct<body:struct<timeseries:array<struct<labels:map<string,string>,"
-    "samples:array<struct<timestamp:bigint,value:double>>>>>,undecoded:string>"
-)
 _CORRUPT = {"columnNameOfCorruptRecord": "undecoded"}
+_POINTS = f"array<{POINT_JSON}>"
+
+# Members an object may have, and formats an envelope may name.
+MEMBERS = ("metrics", "resource_metrics", "resourceMetrics", "timeseries")
+FORMATS = ("json", "otlp", "prometheus")
 
 # The code each stage gives an undecodable payload.
 DECODE_ERRORS = {"aggregate": ERR_INVALID_INPUT, "dedup": ERR_PROCESSING_FAILED}
@@ -58,6 +81,12 @@ def _is_one_value(text: Column) -> Column:
     return F.coalesce(one, F.lit(False))
 
 
+def _each(items: Column, kind: str, of: Callable[[Column], Column]) -> Column:
+    """The points of every item, laid end to end; null items have none."""
+    found = F.transform(F.coalesce(items, F.array().cast(f"array<{kind}>")), of)
+    return F.flatten(F.filter(found, lambda points: points.isNotNull()))
+
+
 def _with_labels(points: Column, labels: Column) -> Column:
     """Resource attributes under the points' own labels (the point wins)."""
 
@@ -74,19 +103,101 @@ def _with_labels(points: Column, labels: Column) -> Column:
     return F.transform(points, merged)
 
 
+def _attributes(value: Column) -> Column:
+    """A map of attributes, or a list of keys and typed values; of equal keys the first."""
+    listed = F.try_variant_get(value, "$", "array<struct<key:string,value:map<string,string>>>")
+    listed = F.filter(listed, lambda e: e["key"].isNotNull())
+    first = F.filter(listed, lambda e, i: F.array_position(F.transform(listed, lambda o: o["key"]), e["key"]) == i + 1)
+    return F.coalesce(
+        F.try_variant_get(value, "$", "map<string,string>"),
+        F.map_from_entries(
+            F.transform(
+                first,
+                lambda e: F.struct(e["key"].alias("k"), F.get(F.map_values(e["value"]), F.lit(0)).alias("v")),
+            )
+        ),
+    )
+
+
+def _point(name: Column, value: Column, at: Column, labels: Column) -> Column:
+    return F.struct(
+        F.lit(None).cast("bigint").alias("id"),
+        at.cast("bigint").alias("ts"),
+        name.alias("name"),
+        value.cast("double").alias("value"),
+        labels.alias("labels"),
+    ).cast(POINT_JSON)
+
+
+def _data_point(metric: Column, d: Column) -> Column:
+    at = F.floor(F.coalesce(d["timeUnixNano"], d["time_unix_nano"]).try_cast("decimal(20,0)") / 1000)
+    value = F.coalesce(
+        d["asDouble"], d["as_double"], d["asInt"].try_cast("double"), d["as_int"].try_cast("double")
+    )
+    return F.array(_point(metric["name"], value, at, _attributes(d["attributes"])))
+
+
+def _histogram_points(metric: Column, d: Column) -> Column:
+    """Count, sum, and cumulative buckets under `le`."""
+    at = F.floor(F.coalesce(d["timeUnixNano"], d["time_unix_nano"]).try_cast("decimal(20,0)") / 1000)
+    labels = F.coalesce(_attributes(d["attributes"]), F.create_map().cast("map<string,string>"))
+    counts = F.transform(
+        F.coalesce(d["bucketCounts"], d["bucket_counts"]), lambda c: c.try_cast("double")
+    )
+    bounds = F.coalesce(d["explicitBounds"], d["explicit_bounds"])
+    named = lambda suffix: F.concat(metric["name"], F.lit(suffix))
+
+    def bucket(_: Column, j: Column) -> Column:
+        le = F.coalesce(F.get(bounds, j).cast("string"), F.lit("+Inf"))
+        under = F.map_concat(F.map_filter(labels, lambda k, _: k != "le"), F.create_map(F.lit("le"), le))
+        total = F.aggregate(F.slice(counts, 1, j + 1), F.lit(0.0), lambda a, c: a + F.coalesce(c, F.lit(0.0)))
+        return _point(named("_bucket"), total, at, under)
+
+    return F.concat(
+        F.array(
+            _point(named("_count"), d["count"].try_cast("double"), at, labels),
+            _point(named("_sum"), d["sum"], at, labels),
+        ),
+        F.coalesce(F.transform(counts, bucket), F.array().cast(_POINTS)),
+    )
+
+
+def _metric_points(metric: Column) -> Column:
+    """The data points of a metric, or the metric as a point."""
+
+    def data(kind: str) -> Column:
+        return F.coalesce(metric[kind]["dataPoints"], metric[kind]["data_points"])
+
+    own = F.struct(*[metric[c].alias(c) for c in ("id", "ts", "name", "value", "labels")]).cast(POINT_JSON)
+    single = lambda d: _data_point(metric, d)
+    deep = F.concat(
+        _each(data("gauge"), _DATA_POINT, single),
+        _each(data("sum"), _DATA_POINT, single),
+        _each(data("histogram"), _DATA_POINT, lambda d: _histogram_points(metric, d)),
+    )
+    plain = metric["gauge"].isNull() & metric["sum"].isNull() & metric["histogram"].isNull()
+    return F.when(plain, F.array(own)).otherwise(deep)
+
+
 def _resource_points(resource: Column) -> Column:
-    nothing = F.array().cast(f"array<{POINT_JSON}>")
-    scoped = F.flatten(
-        F.transform(
-            F.coalesce(
-                resource["scope_metrics"],
-                F.array().cast(f"array<struct<metrics:array<{POINT_JSON}>>>"),
-            ),
-            lambda s: F.coalesce(s["metrics"], nothing),
-        )
+    def scoped(member: str) -> Column:
+        kind = f"struct<metrics:array<{_METRIC}>>"
+        return _each(resource[member], kind, lambda s: _each(s["metrics"], _METRIC, _metric_points))
+
+    points = F.concat(
+        _each(resource["metrics"], _METRIC, _metric_points),
+        scoped("scope_metrics"),
+        scoped("scopeMetrics"),
+    )
+    return _with_labels(points, _attributes(resource["resource"]["attributes"]))
+
+
+def _series_points(series: Column) -> Column:
+    labels = F.map_filter(series["labels"], lambda k, _: k != "__name__")
+    return F.transform(
+        series["samples"],
+        lambda x: _point(series["labels"]["__name__"], x["value"], x["timestamp"] * 1000, labels),
     )
-    points = F.concat(F.coalesce(resource["metrics"], nothing), scoped)
-    return _with_labels(points, resource["resource"]["attributes"])
 
 
 def decode(batches: DataFrame) -> DataFrame:
@@ -102,42 +213,58 @@ def decode(batches: DataFrame) -> DataFrame:
         _DOCUMENT,
         _CORRUPT,
     )
-    nothing = F.array().cast(f"array<{POINT_JSON}>")
-    doc = F.col("_doc")
+    nothing = F.array().cast(_POINTS)
+    doc, body = F.col("_doc"), F.col("_doc")["body"]
     found = F.coalesce(
         doc["points"],
         F.concat(
-            F.coalesce(doc["body"]["metrics"], nothing),
-            F.flatten(
-                F.transform(
-                    F.coalesce(
-                        doc["body"]["resource_metrics"],
-                        F.array().cast(f"array<{_RESOURCE}>"),
-                    ),
-                    _resource_points,
-                )
-            ),
+            F.coalesce(body["metrics"], nothing),
+            _each(body["resource_metrics"], _RESOURCE, _resource_points),
+            _each(body["resourceMetrics"], _RESOURCE, _resource_points),
+            _each(body["timeseries"], _SERIES, _series_points),
         ),
     )
-    ok = F.col("_one") & doc["undecoded"].isNull()
+    # Null for an array and for null; members that say nothing known are an error.
+    members = F.json_object_keys(text)
+    known = F.size(members).isNull() | (F.size(members) <= 0) | F.arrays_overlap(
+        members, F.array(*map(F.lit, MEMBERS))
+    )
+    if "format" in batches.columns:
+        form = F.coalesce(F.lower("format"), F.lit("json"))
+        series = F.array_contains(members, "timeseries")
+        known = known & form.isin(*FORMATS) & (
+            (form != "prometheus") | F.coalesce(series, F.ltrim(text) == "null")
+        )
+    ok = F.col("_one") & doc["undecoded"].isNull() & F.col("_known")
     return (
         batches.withColumn("_one", _is_one_value(text))
+        .withColumn("_known", F.coalesce(known, F.lit(True)))
         .withColumn("_doc", document)
         .withColumn("malformed", ~F.coalesce(ok, F.lit(False)))
         .withColumn("points", F.when(ok, found))
-        .drop("_one", "_doc")
+        .drop("_one", "_doc", "_known")
     )
 
 
 def flat_points(decoded: DataFrame) -> DataFrame:
-    carried = [c for c in decoded.columns if c not in ("points", "malformed", "data")]
+    """One row per point, each with an id and a time.
+
+    A point without an id gets one from its batch and place; one without a time gets the time
+    of receipt: the column `received` where there is one, otherwise now.
+    """
+    carried = [
+        c for c in decoded.columns if c not in ("points", "malformed", "data", "received")
+    ]
+    received = F.col("received") if "received" in decoded.columns else F.current_timestamp()
     # The outer form keeps the optimizer from decoding again for a null check.
-    exploded = decoded.select(*carried, F.posexplode_outer("points").alias("pos", "p"))
+    exploded = decoded.select(
+        *carried, received.alias("_received"), F.posexplode_outer("points").alias("pos", "p")
+    )
     return exploded.filter(F.col("pos").isNotNull()).select(
         *carried,
         "pos",
-        F.col("p.id").alias("id"),
-        instant(F.col("p.ts")).alias("ts"),
+        F.coalesce(F.col("p.id"), F.xxhash64("batch_id", "pos")).alias("id"),
+        F.coalesce(instant(F.col("p.ts")), F.col("_received")).alias("ts"),
         F.coalesce("p.name", F.lit("")).alias("name"),
         F.coalesce("p.value", F.lit(0.0)).alias("value"),
         F.coalesce(
@@ -170,28 +297,9 @@ def split_malformed(
 
 
 def normalise_prometheus(batches: DataFrame) -> DataFrame:
-    """Landed Prometheus series to points; `__name__` becomes the name.
+    """Points of Prometheus series; `__name__` becomes the name, times are milliseconds.
 
-    A payload is `{"timeseries": [{"labels": {...}, "samples": [{"timestamp": ms,
-    "value": v}]}]}`.
+    Batches are taken as of format `prometheus`, whatever they say. A payload without series is
+    malformed; `split_malformed` tells which.
     """
-    text = F.col("data").cast("string")
-    carried = [c for c in batches.columns if c != "data"]
-    parsed = batches.withColumn("_one", _is_one_value(text)).withColumn(
-        "_doc",
-        F.from_json(F.concat(F.lit('{"body":'), text, F.lit("}")), _SERIES, _CORRUPT),
-    )
-    series = F.when(
-        F.col("_one") & F.col("_doc.undecoded").isNull(), F.col("_doc.body.timeseries")
-    )
-    return (
-        parsed.select(*carried, F.explode_outer(series).alias("s"))
-        .select(*carried, F.col("s.labels").alias("l"), F.explode("s.samples").alias("x"))
-        .select(
-            *carried,
-            F.timestamp_millis(F.col("x.timestamp")).alias("ts"),
-            F.coalesce(F.col("l")["__name__"], F.lit("")).alias("name"),
-            F.coalesce("x.value", F.lit(0.0)).alias("value"),
-            F.map_filter("l", lambda k, _: k != "__name__").alias("labels"),
-        )
-    )
+    return explode_points(batches.withColumn("format", F.lit("prometheus")))

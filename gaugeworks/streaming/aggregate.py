@@ -15,12 +15,12 @@ def aggregate_stream(
     rules: Sequence[AggRule],
     window_seconds: int = 60,
     delay: str = "1 hour",
-    exact_scale: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """The batch aggregation under a watermark; in append mode a window comes out once,
     when the watermark has passed its end. Windows still open when input ends stay in
     the state; run the batch operator over the landed data for those.
     """
     return aggregate(
-        points.withWatermark("ts", delay), rules, window_seconds, exact_scale=exact_scale
+        points.withWatermark("ts", delay), rules, window_seconds, exact=exact
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeworks.functions.clock import instant, micros, parse_duration
+from gaugeworks.functions.values import hashable
 from gaugeworks.model import require
 from gaugeworks.operators.dedup import (
     HEAVY_KEY_ROWS,
@@ -18,6 +19,7 @@ from gaugeworks.operators.dedup import (
     dedup_key,
     empty_store,
     expire_seen,
+    follow,
     next_store,
 )
 
@@ -38,19 +40,20 @@ def _keep(ttl: int, us: str, id: str, columns: list[str]):
         held = [f if due is None else f[f[us].to_numpy() >= due] for f in frames]
         rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
         times = rows[us].to_numpy()
-        order = np.lexsort((rows[id].to_numpy(), times))
-        picked = []
-        for i, t in zip(order.tolist(), times[order].tolist()):
-            if due is None or t >= due:
-                due = t + ttl
-                picked.append(i)
-        if picked:
+        # As the batch operator orders them: a null id first, equal ids by the row's hash.
+        ids = pd.factorize(rows[id], sort=True)[0]
+        order = np.lexsort((rows["_tie"].to_numpy(), ids, times))
+        head = np.zeros(len(order), bool)
+        head[:1] = due is None
+        marks, due = follow(times[order], times[order] + ttl, head, due)
+        picked = order[marks]
+        if len(picked):
             state.update((due - ttl,))
         if due is not None:
             # Once the watermark is past this time any row is new, state or not.
             expiry = -(-due // 1000)
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        if picked:
+        if len(picked):
             yield rows[columns].take(picked)
 
     return step
@@ -76,14 +79,15 @@ def dedup_ttl_stream(
     require(ttl > 0, "the deduplication TTL must be positive")
     marked = points.withWatermark(ts, delay)
     keyed = dedup_key(marked, keys)
-    # Unkeyed and undated rows are dealt out by their id.
+    # Unkeyed and undated rows are dealt out by what they hold.
     alone = ~F.col("has_all_keys") | F.col(ts).isNull()
-    lane = F.when(alone, F.xxhash64(id))
+    tie = F.xxhash64(*hashable(keyed))
+    lane = F.when(alone, tie)
     # Flat keys: a struct would be rebuilt for every row on its way to Python.
     names = keyed.schema["dedup_key"].dataType.names
     flat = {f"_key{i}": F.col("dedup_key")[n] for i, n in enumerate(names)}
     rows = keyed.withColumns(
-        {**flat, "_alone": alone, "_lane": lane, "_us": micros(ts)}
+        {**flat, "_alone": alone, "_lane": lane, "_tie": tie, "_us": micros(ts)}
     ).drop("has_all_keys", "dedup_key")
     return rows.groupBy(*flat, "_alone", "_lane").applyInPandasWithState(
         _keep(ttl, "_us", id, points.columns),

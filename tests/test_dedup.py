@@ -199,3 +199,54 @@ def test_counts(spark):
     assert all(r.seen == r.kept + r.dropped for r in got)
     kept = brute(rows, by_user, 60) & {r[0] for r in keyed}
     assert sum(r.kept for r in got) == len(kept)
+
+
+def test_follow_against_a_loop():
+    rng = random.Random(7)
+    for _ in range(60):
+        ttl, keys = rng.choice([1, 3, 10, 10**15]), []
+        for _ in range(rng.randrange(1, 12)):
+            scale = rng.choice([1, 10**6, 10**16])
+            keys.append(sorted(rng.randrange(-20, 60) * scale for _ in range(rng.randrange(1, 30))))
+        flat = [(t, i == 0) for k in keys for i, t in enumerate(k)]
+        want, due = [], None
+        for t, head in flat:
+            kept = head or t >= due
+            due = t + ttl if kept else due
+            want.append(kept)
+        got, left = [], None
+        at = 0
+        while at < len(flat):  # in batches of any size
+            part = flat[at : at + rng.randrange(1, 40)]
+            at += len(part)
+            us = dedup.np.array([t for t, _ in part])
+            marks, left = dedup.follow(us, us + ttl, dedup.np.array([h for _, h in part]), left)
+            got += marks.tolist()
+        assert got == want and left == due
+
+
+@pytest.mark.parametrize("heavy_rows", [None, 20, 3])
+def test_null_and_equal_ids_keep_the_same_rows_on_all_paths(spark, heavy_rows):
+    rng = random.Random(3)
+    rows = [
+        (rng.choice([None, None, 1, 2]), rng.randrange(0, 40), rng.choice(["hot", "hot", "a"]), {"user": "x", "n": str(i)})
+        for i in range(150)
+    ]
+    df = rows_to_df(spark, rows)
+
+    def shown(out):
+        return sorted((r.id is not None, r.id or 0, r.ts, r.name, r.labels["n"]) for r in out.collect())
+
+    want = shown(dedup.dedup_ttl(df, ["name"], "5s", heavy_rows=None))
+    assert shown(dedup.dedup_ttl(df.repartition(3), ["name"], "5s", heavy_rows=heavy_rows)) == want
+    by_key: dict = {}
+    for i, s, n, m in sorted(rows, key=lambda r: (r[1], r[0] is not None, r[0] or 0)):
+        last = by_key.setdefault(n, [])
+        if not last or s >= last[-1][0] + 5:
+            last.append((s, i))
+    assert sorted((n, s) for n, k in by_key.items() for s, _ in k) == sorted(
+        (n, (t - T0).total_seconds()) for _, _, t, n, _ in want
+    )
+    # The row kept of a time is one with the least id, null first.
+    least = {(n, s): i for n, k in by_key.items() for s, i in k}
+    assert all((i if there else None) == least[n, (t - T0).total_seconds()] for there, i, t, n, _ in want)

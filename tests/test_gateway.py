@@ -144,9 +144,9 @@ def test_export_repeats_without_copies(spark, tmp_path):
     assert got == {"all": 1000, "hot": 334}
     assert ex.exported(spark, path, "json", "id bigint").count() == 10
     with pytest.raises(ConfigError):
-        ex.export(points(spark), [], path)
+        ex.export(points(spark), [], path, 0)
     with pytest.raises(ConfigError):
-        ex.export(points(spark), [Endpoint("a"), Endpoint("a")], path)
+        ex.export(points(spark), [Endpoint("a"), Endpoint("a")], path, 0)
 
 
 def test_json_letters(spark, tmp_path):

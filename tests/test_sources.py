@@ -93,3 +93,47 @@ def test_landed_files(spark, tmp_path, fmt):
     source.write.format(fmt).save(str(tmp_path / "in"))
     back = envelopes.read_batches(spark, str(tmp_path / "in"), fmt)
     assert sorted(map(str, back.collect())) == sorted(map(str, source.collect()))
+
+
+def test_otlp_as_written(spark):
+    point = '"timeUnixNano":"1700000000000000001","attributes":[{"key":"host","value":{"stringValue":"a"}},{"key":"n","value":{"intValue":"5"}},{"key":"host","value":{"stringValue":"b"}}]'
+    text = (
+        '{"resourceMetrics":[{"resource":{"attributes":[{"key":"service","value":{"stringValue":"s"}}]},'
+        '"scopeMetrics":[{"metrics":['
+        f'{{"name":"cpu","gauge":{{"dataPoints":[{{{point},"asDouble":1.5}},{{"asInt":"7"}}]}}}},'
+        f'{{"name":"req","sum":{{"dataPoints":[{{{point},"asInt":3}}]}}}},'
+        f'{{"name":"lat","histogram":{{"dataPoints":[{{{point},"count":"4","sum":9.5,"bucketCounts":["1","2","1"],"explicitBounds":[0.5,2]}}]}}}}'
+        "]}]}]}"
+    )
+    snake = '{"resource_metrics":[{"resource":{"attributes":{"service":"m"}},"metrics":[{"name":"x","value":1}]}]}'
+    rows = envelopes.normalise(batches(spark, text, snake)).collect()
+    got = {(r.name, r.labels.get("le"), r.value): r for r in rows}
+    assert set(got) == {
+        ("cpu", None, 1.5), ("cpu", None, 7.0), ("req", None, 3.0), ("x", None, 1.0),
+        ("lat_count", None, 4.0), ("lat_sum", None, 9.5),
+        ("lat_bucket", "0.5", 1.0), ("lat_bucket", "2.0", 3.0), ("lat_bucket", "+Inf", 4.0),
+    }
+    assert got["cpu", None, 1.5].labels == {"service": "s", "host": "a", "n": "5"}
+    assert got["x", None, 1.0].labels == {"service": "m"}
+    assert got["cpu", None, 1.5].ts.timestamp() == 1_700_000_000
+    assert len({r.id for r in rows}) == len(rows) and all(r.ts and r.id for r in rows)
+
+
+def test_unknown_objects_and_formats_are_errors(spark):
+    texts = ['{"foo":1}', '{"timeseries":[{"labels":{"__name__":"c"},"samples":[{"timestamp":1,"value":2}]}]}', "[]", "{}"]
+    df = batches(spark, *texts)
+    _, bad = envelopes.split_malformed(df)
+    assert [r.batch_id for r in bad.collect()] == ["b0"]
+    _, bad = envelopes.split_malformed(df.withColumn("format", F.lit("prometheus")))
+    assert sorted(r.batch_id for r in bad.collect()) == ["b0", "b2", "b3"]
+    _, bad = envelopes.split_malformed(df.withColumn("format", F.lit("carbon")))
+    assert bad.count() == 4
+    assert envelopes.explode_points(df).first().name == "c"
+
+
+def test_points_without_id_and_time_get_both(spark):
+    df = batches(spark, '[{"name":"a"},{"name":"a"},{"id":5,"ts":7,"name":"b"}]')
+    df = df.withColumn("received", F.timestamp_micros(F.lit(99)))
+    rows = envelopes.explode_points(df).select("id", F.unix_micros("ts").alias("us"), "pos").collect()
+    assert [(r.us, r.id == 5) for r in sorted(rows, key=lambda r: r.pos)] == [(99, False), (99, False), (7, True)]
+    assert len({r.id for r in rows}) == 3 and "received" not in envelopes.explode_points(df).columns

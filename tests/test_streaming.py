@@ -92,7 +92,7 @@ def test_closed_windows_equal_batch(spark, tmp_path, parts):
         str(tmp_path / "out"), str(tmp_path / "state"),
     )
     closed = max(r[1] for r in data) - timedelta(minutes=10)
-    batch = aggregate(spark.createDataFrame(data, SCHEMA), rules, 600, exact_scale=4)
+    batch = aggregate(spark.createDataFrame(data, SCHEMA), rules, 600, exact=True)
     expected = [r for r in batch.collect() if r.window_end <= closed]
     assert sorted(map(str, out.collect())) == sorted(map(str, expected)) and expected
 

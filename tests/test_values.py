@@ -116,3 +116,19 @@ def test_put_labels_overwrites_and_skips_nulls(spark):
 def test_bad_configuration(make):
     with pytest.raises(model.ConfigError):
         make()
+
+
+def test_sampling_of_rows_without_an_id(spark):
+    from gaugeworks.model import SampleRule
+    from gaugeworks.operators.select import sample, sample_by_rule, sample_trace
+
+    df = spark.createDataFrame(
+        [(i if i % 2 else None, f"v{i}", {"a": "x" if i % 3 else "y"}) for i in range(400)],
+        "id bigint, v string, labels map<string,string>",
+    )
+    assert sample(df, "id", 1.0).count() == 400 and sample(df, "id", 0.0).count() == 0
+    assert 50 < sample(df.filter("id is null"), "id", 0.5).count() < 150
+    assert sample_by_rule(df, [SampleRule("a=x", 0.0)], "id").count() == 134
+    assert sample_trace(df, "id", 1.0).count() == 400
+    again = [sorted(r.v for r in sample(df.repartition(n), "id", 0.3).collect()) for n in (1, 5)]
+    assert again[0] == again[1]
