@@ -147,11 +147,13 @@ class Connection:
 
 @dataclass(frozen=True)
 class Endpoint:
-    """A named file destination; `filter` selects its rows."""
+    """A named file destination; `filter` selects its rows, `location` is its folder (the
+    export's own where none is given)."""
 
     name: str
     format: str = "parquet"
     filter: str | None = None
+    location: str | None = None
 
     def __post_init__(self) -> None:
         require(bool(self.name), "an export endpoint needs a name")

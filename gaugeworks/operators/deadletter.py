@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from gaugeworks.model import (
     STATUS_THROTTLED,
     ERR_THROTTLED,
 )
+from gaugeworks.session import written
 
 _NO_LABELS = "map<string,string>"
 
@@ -241,11 +243,57 @@ def replay_stats(attempts: DataFrame) -> DataFrame:
     return totals.unionByName(reasons)
 
 
+#: What tells one letter from another.
+LETTER_KEY = ("batch_id", "timestamp", "fb_sender", "error_code")
+
+
 def delete_replayed(
-    dlq: DataFrame, replayed: DataFrame, key: Sequence[str] = ("batch_id", "timestamp")
+    dlq: DataFrame, replayed: DataFrame, key: Sequence[str] = LETTER_KEY
 ) -> DataFrame:
-    """The table without rows that were replayed with success."""
-    return dlq.join(replayed.select(*key), list(key), "left_anti")
+    """The table without rows that were replayed with success; null equals null in a key."""
+    gone = replayed.select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return dlq.join(gone, same, "left_anti")
+
+
+def replace_days(spark: SparkSession, path: str, left: DataFrame, days: Sequence[date]) -> None:
+    """Rewrite the folders of `days` with the rows of `left` on them, and no other folder."""
+    left = written(left.filter(F.col("day").isin(*days)), "dlq-days")
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "day"
+    ).parquet(path)
+    filled = {row.day for row in left.select("day").distinct().collect()}
+    for day in set(days) - filled:
+        left.drop("day").limit(0).write.mode("overwrite").parquet(f"{path}/day={day}")
+
+
+def _days(rows: DataFrame) -> list[date]:
+    """The days of some rows: as many as there are folders."""
+    return [row.day for row in rows.select("day").distinct().collect()]
+
+
+def delete_replayed_at(
+    spark: SparkSession, path: str, replayed: DataFrame, key: Sequence[str] = LETTER_KEY
+) -> None:
+    """Delete replayed letters from the table at `path`; only their days are read and replaced."""
+    gone = written(replayed.select(*key, F.to_date("timestamp").alias("day")), "replayed")
+    days = _days(gone)
+    if days:
+        table = read_dlq(spark, path).filter(F.col("day").isin(*days))
+        replace_days(spark, path, delete_replayed(table, gone, key), days)
+
+
+def retain_at(spark: SparkSession, path: str, hours: float, now: Column) -> None:
+    """Delete letters more than `hours` old from the table at `path`: the days before, and of
+    the day in which the bound falls the part before it."""
+    cut = F.to_date(F.timestamp_micros(micros(now) - F.lit(int(hours * 3_600_000_000))))
+    table = read_dlq(spark, path)
+    old = table.filter(F.col("day") <= cut)
+    days = _days(old)
+    if days:
+        replace_days(spark, path, retain(old, hours, now), days)
 
 
 def retain(dlq: DataFrame, hours: float, now: Column) -> DataFrame:

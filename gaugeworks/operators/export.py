@@ -93,24 +93,25 @@ def pack_batches(
 def export(
     df: DataFrame, endpoints: Sequence[Endpoint], path: str, run: str | int
 ) -> None:
-    """Write rows to every endpoint that takes them, under `path/<format>/run=<run>`.
+    """Write rows to every endpoint that takes them, under `<location>/<format>/run=<run>`.
 
-    One write per file format, partitioned by endpoint. A run writes only its own
-    folder and replaces it, so repeating a run leaves the same files.
+    One write per location and file format, partitioned by endpoint. A run writes only its
+    own folders and replaces them, so repeating a run leaves the same files.
     """
     require(len(endpoints) > 0, "at least one export endpoint must be set")
     require(
         len({e.name for e in endpoints}) == len(endpoints), "endpoint names must differ"
     )
-    for kind in sorted({e.format for e in endpoints}):
-        edges = [Connection(e.name, e.filter) for e in endpoints if e.format == kind]
+    places = sorted({(e.location or path, e.format) for e in endpoints})
+    for place, kind in places:
+        own = [e for e in endpoints if (e.location or path, e.format) == (place, kind)]
         (
-            route(df, edges)
+            route(df, [Connection(e.name, e.filter) for e in own])
             .withColumnRenamed("target", "endpoint")
             .write.mode("overwrite")
             .partitionBy("endpoint")
             .format(kind)
-            .save(f"{path}/{kind}/run={run}")
+            .save(f"{place}/{kind}/run={run}")
         )
 
 

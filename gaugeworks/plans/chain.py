@@ -14,16 +14,26 @@ from gaugeworks.model import (
     ERR_PII_LEAK,
     STATUS_SUCCESS,
     AggRule,
+    ClassRule,
+    Connection,
     DedupConfig,
+    Endpoint,
     PiiConfig,
     SampleRule,
 )
+from gaugeworks.functions.values import hashable
 from gaugeworks.operators.aggregate import aggregate
 from gaugeworks.operators.deadletter import outcome, to_dlq
 from gaugeworks.operators.dedup import dedup_ttl
+from gaugeworks.operators.export import export, pack_batches
 from gaugeworks.operators.health import stage_counts
-from gaugeworks.operators.pii import hash_pii_labels, leaked_fields
-from gaugeworks.operators.select import sample_by_rule, strip_internal_labels
+from gaugeworks.operators.pii import classify, hash_pii_labels, leaked_fields
+from gaugeworks.operators.select import (
+    filter_rules,
+    route,
+    sample_by_rule,
+    strip_internal_labels,
+)
 from gaugeworks.operators.validate import error_message, with_violation
 from gaugeworks.session import written
 from gaugeworks.sources.envelopes import decode, flat_points
@@ -31,6 +41,14 @@ from gaugeworks.sources.envelopes import decode, flat_points
 Stage = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class PackConfig:
+    """Batches of at most `size` output points for each value of `destination`."""
+
+    destination: str = "name"
+    size: int = 1000
+
+
 @dataclass(frozen=True)
 class ChainConfig:
     """What each stage does; a stage left at None is left out of the plan."""
@@ -47,16 +65,29 @@ class ChainConfig:
     exact: bool = False
     label_policy: str = "strip"
     replay_bypasses_dedup: bool = True
+    classification: Sequence[ClassRule] = ()
+    filters: Sequence[SampleRule] = ()
+    connections: Sequence[Connection] = ()
     extra_stages: Sequence[Stage] = ()
+    pack: PackConfig | None = None
+    output_schema: Mapping[str, Any] | None = None
+    endpoints: Sequence[Endpoint] = ()
 
 
 @dataclass(frozen=True)
 class ChainResult:
+    """`output` is what the last stage puts out: points, or packed batches that hold to the
+    schema; those that do not are dead letters. `export` writes it to the endpoints."""
+
     points: DataFrame
     output: DataFrame
     dead_letters: DataFrame
     outcomes: DataFrame
     health: DataFrame
+    endpoints: Sequence[Endpoint] = ()
+
+    def export(self, path: str, run: str | int) -> None:
+        export(self.output, self.endpoints, path, run)
 
 
 def judge(batches: DataFrame, config: ChainConfig) -> DataFrame:
@@ -104,7 +135,8 @@ def judge(batches: DataFrame, config: ChainConfig) -> DataFrame:
 
 
 def clean_points(decided: DataFrame, config: ChainConfig) -> DataFrame:
-    """Points of the batches that came through: enrich, hash, dedup, labels, sample."""
+    """Points of the batches that came through: enrich, hash, dedup, labels, classify, filter,
+    sample, route (one row per point and target, in `target`), then the stages given."""
     good = decided.filter(F.col("status") == STATUS_SUCCESS)
     points = flat_points(
         good.drop("status", "error_code", "error_message", "sent_to_dlq", "data")
@@ -121,13 +153,27 @@ def clean_points(decided: DataFrame, config: ChainConfig) -> DataFrame:
         else:
             points = dedup_ttl(points, keys, ttl)
     points = strip_internal_labels(points, config.label_policy)
+    if config.classification:
+        points = classify(points, config.classification)
+    if config.filters:
+        points = filter_rules(points, config.filters)
     if config.sampling:
         points = sample_by_rule(points, config.sampling, "id", config.seed)
+    if config.connections:
+        points = route(points, config.connections)
     for stage in config.extra_stages:
         points = points.transform(stage)
     return points
 
 
+def packed(output: DataFrame, config: ChainConfig) -> DataFrame:
+    """Output points as envelopes; `id` gives the order inside them."""
+    if "id" not in output.columns:
+        output = output.withColumn("id", F.xxhash64(*hashable(output)))
+    columns = [c for c in output.columns if c != "id"]
+    return pack_batches(output, config.pack.destination, "id", columns, config.pack.size)
+
+
 def run_chain(
     batches: DataFrame,
     config: ChainConfig,
@@ -174,6 +220,17 @@ def run_chain(
         if config.aggregation
         else points
     )
+    refused = None
+    if config.pack is not None:
+        output = packed(output, config)
+        if config.output_schema is not None:
+            schema = {"properties": {"points": {"type": "array", "items": config.output_schema}}}
+            body = F.concat(F.lit('{"points":'), F.col("data").cast("string"), F.lit("}"))
+            judged = with_violation(output.withColumn("_body", body), schema, payload="_body")
+            # Decided once; both parts are read from it.
+            judged = written(judged.drop("_body"), "packed")
+            output = judged.filter("violation is null").drop("violation")
+            refused = judged.filter("violation is not null")
     outcomes = decided.select(
         "batch_id", "status", "error_code", "error_message", "sent_to_dlq"
     )
@@ -184,7 +241,11 @@ def run_chain(
         F.col("error_message"),
         now,
     )
+    if refused is not None:
+        dead = dead.unionByName(
+            to_dlq(refused, "export", ERR_INVALID_INPUT, error_message(F.col("violation")), now)
+        )
     health = stage_counts(outcomes.withColumn("stage", F.lit("chain")))
-    return ChainResult(points, output, dead, outcomes, health)
+    return ChainResult(points, output, dead, outcomes, health, config.endpoints)
 
 

@@ -141,6 +141,57 @@ def agg_tumbling(spark, d):
     return _plain(agg.aggregate(inputs.points(spark, d), rules("sum"), exact=True))
 
 
+#: Values far below 1e-4 and above 1e14, whose sums have no more bits than a double.
+_SCALED = """scaled AS (
+  SELECT name, id % 3 AS size, round(value)::DOUBLE * CASE id % 3 WHEN 0 THEN 1.1920928955078125e-7::DOUBLE
+         WHEN 1 THEN 1125899906842624::DOUBLE ELSE 1::DOUBLE END AS v FROM points)"""
+
+
+@query(
+    "agg_unrounded",
+    f"""WITH {inputs.POINTS}, {_SCALED}
+    SELECT 'plain' AS way, name, size::VARCHAR AS label_size, sum(v) AS value FROM scaled GROUP BY ALL
+    UNION ALL
+    SELECT 'exact', name, size::VARCHAR, sum(v) FROM scaled GROUP BY ALL""",
+)
+def agg_unrounded(spark, d):
+    """The default sums, and the repeatable ones, round no value."""
+    size = F.col("id") % 3
+    factor = F.when(size == 0, 2.0**-23).when(size == 1, 2.0**50).otherwise(1.0)
+    points = inputs.points(spark, d).withColumns(
+        {
+            "value": F.round("value") * factor,
+            "labels": F.create_map(F.lit("size"), size.cast("string")),
+        }
+    )
+    out = None
+    for way in ("plain", "exact"):
+        part = agg.aggregate(points, rules("sum", "size"), None, exact=way == "exact").select(
+            F.lit(way).alias("way"), "name", F.col("labels")["size"].alias("label_size"), "value"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "agg_many_rules",
+    f"""WITH {inputs.POINTS}, named AS (SELECT name || '-' || uid % 60 AS metric, value, k FROM points)
+    SELECT metric AS name, NULL AS label_le, k AS label_k, max(value) AS value FROM named GROUP BY ALL
+    UNION ALL
+    SELECT metric || '_bucket', '10', NULL, (count(*) FILTER (value <= 10))::DOUBLE FROM named GROUP BY metric
+    UNION ALL
+    SELECT metric || '_bucket', '+Inf', NULL, count(*)::DOUBLE FROM named GROUP BY metric""",
+)
+def agg_many_rules(spark, d):
+    """600 rules: two for each of 300 metrics. The plan is that of a few."""
+    metrics = [f"{t}-{i}" for t in TYPES for i in range(60)]
+    many = [AggRule(m, "max", ["k"]) for m in metrics] + [AggRule(m, "histogram", [], [10.0]) for m in metrics]
+    name = F.concat("name", F.lit("-"), F.col("labels")["user"].cast("bigint") % 60)
+    out = agg.aggregate(inputs.points(spark, d).withColumn("name", name), many, None)
+    labels = F.col("labels")
+    return out.select("name", labels["le"].alias("label_le"), labels["k"].alias("label_k"), "value")
+
+
 @query(
     "agg_anchored_window",
     f"""WITH {inputs.POINTS}, anchored AS (

@@ -10,21 +10,25 @@ from gaugeworks.model import (
     ERR_INVALID_INPUT,
     ERR_PII_LEAK,
     ERR_PROCESSING_FAILED,
+    POINT_JSON,
     AggRule,
+    ClassRule,
+    Connection,
     DedupConfig,
     Endpoint,
     SampleRule,
 )
 from gaugeworks.operators import deadletter as dl
 from gaugeworks.operators import validate as val
+from gaugeworks.operators.dedup import dedup_ttl
 from gaugeworks.operators.export import export, exported, pack_batches
 from gaugeworks.plans import inputs
 from gaugeworks.plans.catalog import query
-from gaugeworks.plans.chain import ChainConfig, run_chain
+from gaugeworks.plans.chain import ChainConfig, PackConfig, run_chain
 from gaugeworks.plans.queries_aggregate import DAY, DAY_US, EXACT_SUM, TYPES
 from gaugeworks.plans.queries_clean import HASHED_EMAIL, HOUR_US, RAW_EMAIL, fraction
-from gaugeworks.session import scratch_path, spread
-from gaugeworks.sources.envelopes import decode
+from gaugeworks.session import scratch_path
+from gaugeworks.sources.envelopes import decode, explode_points
 from gaugeworks.streaming.export import export_stream
 
 # --- documents to validate -------------------------------------------------------
@@ -87,7 +91,7 @@ def documents(spark, d, broken: bool = False):
     )
     if broken:
         text = pick(17, {0: F.substring(text, F.lit(1), F.length(text) - 1)}, text)
-    return spread(inputs.points(spark, d)).select("id", F.encode(text, "UTF-8").alias("data"))
+    return inputs.points(spark, d).select("id", F.encode(text, "UTF-8").alias("data"))
 
 
 _TEXT = f"""'{{"id":' || id ||
@@ -500,9 +504,10 @@ def dlq_replay_stats(spark, d):
     f"""WITH {inputs.DEAD} SELECT batch_id, us FROM dead WHERE ({ATTEMPT}) <> 'replayed'""",
 )
 def dlq_delete_replayed(spark, d):
-    replayed = _attempts(spark, d).filter("attempt = 'replayed'")
-    left = dl.delete_replayed(inputs.dead_letters(spark, d), replayed)
-    return left.select("batch_id", micros("timestamp").alias("us"))
+    path = scratch_path(spark, "dlq")
+    dl.write_dlq(inputs.dead_letters(spark, d), path)
+    dl.delete_replayed_at(spark, path, _attempts(spark, d).filter("attempt = 'replayed'"))
+    return dl.read_dlq(spark, path).select("batch_id", micros("timestamp").alias("us"))
 
 
 @query(
@@ -511,8 +516,10 @@ def dlq_delete_replayed(spark, d):
     WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 100 HOUR""",
 )
 def dlq_retention(spark, d):
-    kept = dl.retain(_landed_dlq(spark, d), 100, _now())
-    return kept.select("batch_id", micros("timestamp").alias("us"))
+    path = scratch_path(spark, "dlq")
+    dl.write_dlq(inputs.dead_letters(spark, d), path)
+    dl.retain_at(spark, path, 100, _now())
+    return dl.read_dlq(spark, path).select("batch_id", micros("timestamp").alias("us"))
 
 
 # --- the chain -------------------------------------------------------------------
@@ -573,6 +580,175 @@ def dlq_replay_e2e(spark, d):
     return _shown(run_chain(both, _config(), _now()))
 
 
+CONFIGURED = ChainConfig(
+    must_be_hashed=["email"],
+    classification=[
+        ClassRule("big", "value > 100", 1, {"tier": "big"}),
+        ClassRule("odd", "id % 2 = 1", 2, {"tier": "odd"}),
+    ],
+    filters=[SampleRule("tier=big"), SampleRule("tier=odd")],
+    sampling=[SampleRule("tier=odd", 0.0), SampleRule("k=8", 1.0)],
+    connections=[Connection("all"), Connection("errors", "name = 'error'")],
+    pack=PackConfig("target", 50),
+    output_schema={
+        "type": "object",
+        "required": ["name"],
+        "properties": {"value": {"type": "number"}},
+    },
+    endpoints=[Endpoint("packed"), Endpoint("errors", "json", "batch_id like 'errors-%'")],
+)
+
+
+def _mixed_formats(spark, d):
+    """Batches of all shapes, some broken, unknown, leaking or of another format."""
+    no = F.col("metadata")["no"].cast("bigint")
+    text = F.col("data").cast("string")
+    return inputs.batches(spark, d, "mixed").withColumns(
+        {
+            "data": F.encode(
+                F.when(no % 13 == 5, F.lit('{"foo":[]}'))
+                .when(no % 13 == 6, F.lit('{"timeseries":[{"labels":{"__name__":"p","email":"x"},'
+                                          '"samples":[{"timestamp":1,"value":2}]}]}'))
+                .when(no % 13 == 7, F.lit('{"timeseries":[{"labels":{"__name__":"error"},'
+                                          '"samples":[{"timestamp":1,"value":200}]}]}'))
+                .otherwise(text),
+                "UTF-8",
+            ),
+            "format": F.when(no % 13 == 8, F.lit("carbon")).when(
+                no % 13 == 7, F.lit("prometheus")
+            ).when(no % 13 == 9, F.lit("prometheus")).otherwise(F.col("format")),
+            "replay": F.when(no % 4 != 1, F.col("replay")),
+        }
+    )
+
+
+_JUDGED = f"""{inputs.POINTS}, {inputs.BATCHES}, judged AS (
+  SELECT *, CASE WHEN no % 13 IN (5, 8, 9) OR (broken AND no % 13 NOT IN (6, 7)) THEN 'ERR_INVALID_INPUT'
+                 WHEN no % 13 = 6 THEN 'ERR_PII_LEAK' END AS code FROM batches)"""
+
+
+@query(
+    "chain_outcomes",
+    f"""WITH {_JUDGED}
+    SELECT batch_id, CASE WHEN code IS NULL THEN 1 ELSE 2 END AS status, code AS error_code,
+           coalesce(code = 'ERR_PII_LEAK', FALSE) AS sent_to_dlq,
+           CASE WHEN code = 'ERR_PII_LEAK' THEN 'chain' END AS fb_sender,
+           (SELECT count(*) FROM judged) AS received,
+           (SELECT count(*) FROM judged WHERE code IS NULL) AS forwarded,
+           (SELECT count(*) FROM judged WHERE code IS NOT NULL) AS rejected
+    FROM judged""",
+)
+def chain_outcomes(spark, d):
+    """Every batch of mixed formats is accounted for, with its dead letter and the counts."""
+    result = run_chain(_mixed_formats(spark, d), CONFIGURED, _now())
+    dead = result.dead_letters.select("batch_id", "fb_sender")
+    counts = result.health.select("received", "forwarded", "rejected")
+    return result.outcomes.drop("error_message").join(dead, "batch_id", "left").join(
+        F.broadcast(counts), F.lit(True)  # One row.
+    )
+
+
+@query(
+    "chain_configured",
+    f"""WITH {_JUDGED}, through AS (
+      SELECT p.id, p.name, p.value FROM points p JOIN judged j ON p.batch_no = j.no
+      WHERE j.code IS NULL AND j.no % 13 <> 7
+      UNION ALL SELECT NULL, 'error', 200 FROM judged WHERE no % 13 = 7 AND code IS NULL),
+    kept AS (SELECT * FROM through WHERE value > 100),
+    routed AS (SELECT 'all' AS target, * FROM kept
+               UNION ALL SELECT 'errors', * FROM kept WHERE name = 'error'),
+    sent AS (SELECT 'packed' AS endpoint, * FROM routed
+             UNION ALL SELECT 'errors', * FROM routed WHERE target = 'errors')
+    SELECT endpoint, target, count(*) AS points, max(value) AS largest,
+           sum(value::VARCHAR::DECIMAL(38,6))::VARCHAR::DOUBLE AS total
+    FROM sent GROUP BY endpoint, target""",
+)
+def chain_configured(spark, d):
+    """Classified, filtered, sampled, routed, packed, validated and exported by configuration."""
+    result = run_chain(_mixed_formats(spark, d), CONFIGURED, _now())
+    path = scratch_path(spark, "chain-export")
+    result.export(path, 0)
+    schema = "batch_id string, data binary, metadata map<string,string>"
+    sent = exported(spark, path, "parquet", schema).unionByName(exported(spark, path, "json", schema))
+    point = F.explode(F.from_json(F.col("data").cast("string"), "array<struct<target:string,value:double>>"))
+    return (
+        sent.select("endpoint", point.alias("p"))
+        .groupBy("endpoint", F.col("p.target").alias("target"))
+        .agg(
+            F.count(F.lit(1)).alias("points"),
+            F.max("p.value").alias("largest"),
+            F.sum(F.col("p.value").cast("decimal(28,6)")).cast("double").alias("total"),
+        )
+    )
+
+
+def _sparse(spark, d):
+    """Batches whose points lack ids (every third) or times (every fifth), with null replay."""
+    points = F.from_json(F.col("data").cast("string"), f"array<{POINT_JSON}>")
+    thin = F.transform(
+        points,
+        lambda p: F.struct(
+            F.when(p["id"] % 3 != 0, p["id"]).alias("id"),
+            F.when(p["id"] % 5 != 0, p["ts"]).alias("ts"),
+            p["name"].alias("name"), p["value"].alias("value"), p["labels"].alias("labels"),
+        ),
+    )
+    no = F.col("metadata")["no"].cast("bigint")
+    return inputs.batches(spark, d, broken=False).withColumns(
+        {
+            "data": F.encode(F.to_json(thin), "UTF-8"),
+            "replay": F.when(no % 2 == 0, F.lit(False)),
+            "received": F.timestamp_micros(F.lit(1_700_000_000_000_000) + no * 1_000_000),
+        }
+    )
+
+
+_SPARSE = f"""{inputs.POINTS}, thin AS (
+  SELECT u AS k1, name AS k2, k, value, id,
+         CASE WHEN id % 5 = 0 THEN 1700000000000000 + batch_no * 1000000 ELSE us END AS us
+  FROM points)"""
+
+
+@query(
+    "sparse_dedup",
+    f"""WITH RECURSIVE {_SPARSE}, {inputs.ttl_chain("thin", 48 * HOUR_US)},
+    paths(path) AS (VALUES ('scan'), ('joins'))
+    SELECT path, k1 AS u, k2 AS name, us FROM kept, paths""",
+)
+def sparse_dedup(spark, d):
+    """Points without id or time keep the same times on both paths of the deduplication."""
+    points = explode_points(_sparse(spark, d))
+    out = None
+    for path, heavy in (("scan", None), ("joins", 20)):
+        kept = dedup_ttl(points, ["labels.user", "name"], "48h", heavy_rows=heavy).select(
+            F.lit(path).alias("path"), F.col("labels")["user"].alias("u"), "name", micros("ts").alias("us")
+        )
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+@query(
+    "sparse_chain",
+    f"""WITH RECURSIVE {_SPARSE}, {inputs.ttl_chain("thin", 48 * HOUR_US)}
+    SELECT k2 AS name, us // {DAY_US} * {DAY_US} AS window_us, count(*) AS points
+    FROM kept GROUP BY 1, 2""",
+)
+def sparse_chain(spark, d):
+    """Points without id, time or a replay mark go through the chain and into batches."""
+    config = ChainConfig(
+        dedup=DedupConfig(["labels.user", "name"], "48h"),
+        sampling=[SampleRule("k=8", 1.0)],
+        pack=PackConfig("name", 10),
+    )
+    data = run_chain(_sparse(spark, d), config, _now()).output.select(
+        F.explode(F.from_json(F.col("data").cast("string"), "array<struct<name:string,ts:timestamp>>")).alias("p")
+    )
+    day = F.expr(f"unix_micros(p.ts) div {DAY_US} * {DAY_US}")
+    return data.groupBy(F.col("p.name").alias("name"), day.alias("window_us")).agg(
+        F.count(F.lit(1)).alias("points")
+    )
+
+
 # --- export ----------------------------------------------------------------------
 
 ENDPOINTS = [

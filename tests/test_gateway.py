@@ -160,3 +160,40 @@ def test_json_letters(spark, tmp_path):
     attempts = dl.replay_attempts(table, dl.matches(now()), F.col("unreadable"), F.lit(None))
     stats = {r.stat: r["count"] for r in dl.replay_stats(attempts).collect()}
     assert stats == {"total": 5, "filtered": 0, "replayed": 4, "errors": 1, "error:unmarshal-error": 1}
+
+
+def test_days_are_replaced_and_others_left_alone(spark, tmp_path):
+    path = str(tmp_path / "dlq")
+    dl.write_dlq(letters(spark, ROWS), path)
+    before = {f.name for f in (tmp_path / "dlq").rglob("*.parquet")}
+    gone = dl.read_dlq(spark, path).filter("batch_id in ('a')")
+    dl.delete_replayed_at(spark, path, gone)
+    left = {r.batch_id for r in dl.read_dlq(spark, path).collect()}
+    assert left == {r[0] for r in ROWS} - {"a"}
+    assert before & {f.name for f in (tmp_path / "dlq").rglob("*.parquet")}
+    dl.retain_at(spark, path, 0, now())
+    assert dl.read_dlq(spark, path).filter(F.col("timestamp") < now()).count() == 0
+    dl.delete_replayed_at(spark, path, gone.filter("false"))
+
+
+def test_letters_of_two_senders_are_told_apart(spark):
+    df = letters(spark, [("a", 1, "X", "gw"), ("a", 1, "X", "dp"), (None, 1, "X", None)])
+    left = dl.delete_replayed(df, df.filter("fb_sender = 'gw' or batch_id is null")).collect()
+    assert [(r.batch_id, r.fb_sender) for r in left] == [("a", "dp")]
+
+
+def test_endpoints_with_locations(spark, tmp_path):
+    here, there = str(tmp_path / "a"), str(tmp_path / "b")
+    ends = [Endpoint("x"), Endpoint("y", filter="id < 10", location=there), Endpoint("z", "json", "id < 5", there)]
+    ex.export(points(spark), ends, here, 3)
+    assert ex.exported(spark, here, "parquet", "id bigint").count() == 1000
+    got = ex.exported(spark, there, "parquet", "id bigint").collect()
+    assert {(r.endpoint, r.run) for r in got} == {("y", 3)} and len(got) == 10
+    assert ex.exported(spark, there, "json", "id bigint").count() == 5
+
+
+def test_rows_without_an_id_are_packed_into_many_buckets(spark):
+    df = points(spark).withColumn("id", F.when(F.col("id") < 0, F.col("id")))
+    packed = ex.pack_batches(df, "dest", "id", ["id", "value"], 50, bucket_rows=100).collect()
+    assert len({r.batch_id.split("-")[1] for r in packed if r.batch_id.startswith("hot")}) > 1
+    assert sum(int(r.metadata["points"]) for r in packed) == 1000
