@@ -26,7 +26,7 @@ def test_toxicity_on_held_out_documents(spark):
 def test_toxicity_cases(spark):
     insults, plain = ["awful rotten person", "rotten awful thing"], ["kind gentle person", "gentle kind thing"]
     rows = [(i, r, i % 2) for i, r in enumerate((insults[i % 4 // 2] if i % 2 else plain[i % 4 // 2]) for i in range(200))]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "awful"), (900, None), (901, ""), (902, "rotten " * 30_000), (3, "awful rotten person")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "awful"), (900, None), (901, ""), (902, "rotten " * 30_000), (3, rows[3][1])], "doc_id long, text string")
     docs = docs.withColumn("Score", F.lit("old")).withColumn("toxic", F.lit(5)).withColumn("block", F.lit(1))
     labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(None, 1), (901, None), (1, 0), (77777, 1)], "doc_id long, toxic int")
     out = toxicity.toxicity(docs, labels)
