@@ -21,12 +21,15 @@ FACTS_PER_SLICE = 64
 
 
 def latest_snapshot(hosts: DataFrame, key: str = "hostname", id: str | None = None) -> DataFrame:
-    """The last snapshot per host by collection time (then id); combined map-side."""
-    order = F.struct("collected_at", id) if id else F.col("collected_at")
+    """The last snapshot per host by collection time, then id, then hash of the row; each task
+    passes on one row per host."""
+    order = [F.desc("collected_at"), *([F.desc(id)] if id else []), "_tie"]
+    newest = Window.partitionBy(key).orderBy(*order)
     return (
-        hosts.groupBy(F.col(key).alias("_key"))
-        .agg(F.max_by(F.struct(*hosts.columns), order).alias("_row"))
-        .select("_row.*")
+        hosts.withColumn("_tie", F.xxhash64(*hashable(hosts)))
+        .withColumn("_place", F.row_number().over(newest))
+        .filter("_place = 1")
+        .select(*hosts.columns)
     )
 
 

@@ -17,6 +17,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: the tables here are files of one row group, and the work on
+    a row is heavy. A large source has splits enough and needs no such step."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def as_points(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("id"),

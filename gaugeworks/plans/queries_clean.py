@@ -151,7 +151,7 @@ def pii_audit(spark, d):
 )
 def pii_scrub_documents(spark, d):
     docs = inputs.table(spark, d, "documents").select("doc_id", "text")
-    return pii.scrub_text(docs, "text")
+    return pii.scrub_text(inputs.dealt(docs), "text")
 
 
 @query(

@@ -91,7 +91,7 @@ def documents(spark, d, broken: bool = False):
     )
     if broken:
         text = pick(17, {0: F.substring(text, F.lit(1), F.length(text) - 1)}, text)
-    return inputs.points(spark, d).select("id", F.encode(text, "UTF-8").alias("data"))
+    return inputs.dealt(inputs.points(spark, d)).select("id", F.encode(text, "UTF-8").alias("data"))
 
 
 _TEXT = f"""'{{"id":' || id ||
