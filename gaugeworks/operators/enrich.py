@@ -12,8 +12,8 @@ from gaugeworks.functions.values import hashable, put_labels
 from gaugeworks.model import require
 from gaugeworks.session import written
 
-# A key's points within one slice of time are spread over this many groups.
-POINT_SPREAD = 8
+# Points of a key within one slice of time that one task merges; more are spread.
+GROUP_ROWS = 500_000
 
 # Snapshots looked up by a join, and how many of one key may share a slice then.
 JOINED_FACTS = 200_000
@@ -48,7 +48,7 @@ def as_of(
     ttl: str | int,
     ts: str = "ts",
     at: str = "collected_at",
-    spread: int = POINT_SPREAD,
+    group_rows: int = GROUP_ROWS,
     into: str = "snapshot",
     small: int = JOINED_FACTS,
 ) -> DataFrame:
@@ -93,7 +93,7 @@ def as_of(
         size, most = per_slice.agg(F.sum("n"), F.max("n")).first()
         if (size or 0) <= small and (most or 0) <= FACTS_PER_SLICE:
             return _probe(keyed, facts, ttl, points.columns, into)
-    return _merge(keyed, facts, ttl, points.columns, into, at, spread)
+    return _merge(keyed, facts, ttl, points.columns, into, at, group_rows)
 
 
 def _probe(
@@ -130,23 +130,31 @@ def _merge(
     columns: list[str],
     into: str,
     at: str,
-    spread: int,
+    group_rows: int,
 ) -> DataFrame:
     """One running `last` over points and facts merged in time order, per key and slice.
 
-    Linear, with no pairs built. Points of a (key, slice) are spread over `spread`
-    groups by a hash of the row and facts are copied to each, so a key holding a third
-    of the points, even at one time, is never one task's work.
+    Linear, with no pairs built. Points are counted per (key, slice); as many groups as the
+    count needs share them by a hash of the row and facts are copied to each, so a key holding
+    a third of the points, even at one time, is never one task's work.
     """
     point = F.struct(*columns)
-    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_group")
-    right = facts.select(
+    counts = keyed.groupBy("_key", "_slice").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("_groups")
+    )
+    # Only the large ones: few rows, whose written size decides whether they are broadcast.
+    counts = written(counts.filter("_groups > 1"), "groups")
+    groups = F.coalesce("_groups", F.lit(1))
+    copies = F.explode(F.sequence(F.lit(0), groups - 1)).alias("_group")
+    right = facts.join(counts, ["_key", "_slice"], "left").select(
         "_key", "_slice", copies, "_at", F.lit(0).alias("_kind"), "_fact",
         F.lit(None).cast(keyed.select(point).schema[0].dataType).alias("_point"),
     )
-    left = keyed.select(
+    left = keyed.withColumn("_row", F.xxhash64(*hashable(keyed))).join(
+        counts, ["_key", "_slice"], "left"
+    ).select(
         "_key", "_slice",
-        F.pmod(F.xxhash64(*hashable(keyed)), F.lit(spread)).cast("int").alias("_group"),
+        F.pmod("_row", groups).cast("int").alias("_group"),
         "_at",
         F.lit(1).alias("_kind"),
         F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"),
@@ -171,17 +179,17 @@ def enrich_host(
     ip: str | None = None,
     values: Sequence[str] = ("os", "architecture", "cpu_count", "total_memory"),
     ts: str = "ts",
-    spread: int = POINT_SPREAD,
+    group_rows: int = GROUP_ROWS,
     small: int = JOINED_FACTS,
 ) -> DataFrame:
     """Adds `host_info` by host name or, failing that, by address; and `host_hit`."""
     out = as_of(
-        points, hosts, host, "hostname", values, ttl, ts, spread=spread, into="host_info",
+        points, hosts, host, "hostname", values, ttl, ts, group_rows=group_rows, into="host_info",
         small=small,
     )
     if ip is not None:
         out = as_of(
-            out, hosts, ip, "ip", values, ttl, ts, spread=spread, into="_by_ip",
+            out, hosts, ip, "ip", values, ttl, ts, group_rows=group_rows, into="_by_ip",
             small=small,
         ).withColumn("host_info", F.coalesce("host_info", "_by_ip"))
         out = out.drop("_by_ip")
@@ -195,7 +203,7 @@ def enrich_process(
     host: str = "hostname",
     pid: str = "pid",
     ts: str = "ts",
-    spread: int = POINT_SPREAD,
+    group_rows: int = GROUP_ROWS,
     small: int = JOINED_FACTS,
 ) -> DataFrame:
     """Adds `process` of (host, pid); an expired host or unknown pid is a miss.
@@ -207,7 +215,7 @@ def enrich_process(
     # without the pid hides an earlier one with it. Hence the time of the host match.
     matched = as_of(
         points, hosts.select("hostname", "collected_at"), host, "hostname", [], ttl, ts,
-        spread=spread, into="_match", small=small,
+        group_rows=group_rows, into="_match", small=small,
     )
     entries = hosts.select(
         "hostname", "collected_at", F.explode("processes").alias("_pid", "process")

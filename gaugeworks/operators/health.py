@@ -107,20 +107,30 @@ def state_transitions(
     ts: str = "ts",
     id: str = "id",
     slice_seconds: int = 3600,
+    slice_rows: int = 1_000_000,
 ) -> DataFrame:
     """Every step from one event of an entity to its next: from, to, microseconds.
 
     Steps inside a slice of time come from a window over (entity, slice). The first and
     last events of the slices, at most two per slice, then give the steps across
-    slices, so an entity with most of the events is spread over its slices.
+    slices, so an entity with most of the events is spread over its slices. Where one of
+    them has more than `slice_rows` events by count, slices are made shorter.
     """
     us = micros(ts)
+    width = slice_seconds * 1_000_000
+
+    def most_in_a_slice(width: int) -> int:
+        of_slice = events.groupBy(F.col(entity), F.floor(us / width)).count()
+        return of_slice.agg(F.max("count")).first()[0] or 0
+
+    while width > 1 and (most := most_in_a_slice(width)) > slice_rows:
+        width = max(1, min(width // 2, width * slice_rows // most))
     sliced = events.select(
         F.col(entity).alias("entity"),
         F.col(state).alias("state"),
         us.alias("us"),
         F.col(id).alias("id"),
-        F.floor(us / (slice_seconds * 1_000_000)).cast("bigint").alias("slice"),
+        F.floor(us / width).cast("bigint").alias("slice"),
     )
     inside = Window.partitionBy("entity", "slice").orderBy("us", "id")
     after = F.lead(F.struct("state", "us"))

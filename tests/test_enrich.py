@@ -125,3 +125,22 @@ def test_small_snapshots_leave_points_unshuffled(spark):
     )
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("small, group_rows", [(0, 500_000), (0, 3), (10, 500_000)])
+def test_all_ways_of_the_lookup_agree(spark, small, group_rows):
+    """Null keys, null times and ties, on the broadcast way, the merge, and the merge in groups."""
+    rng = random.Random(4)
+    seconds = [None, *range(0, 60, 5)]
+    facts = [(rng.choice(["a", "a", "b", None]), rng.choice(seconds), i) for i in range(40)]
+    points = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(seconds)) for i in range(200)]
+    at = lambda s: None if s is None else datetime(2024, 1, 1) + timedelta(seconds=s)
+    hosts = spark.createDataFrame([(h, at(s), v) for h, s, v in facts], "h string, collected_at timestamp, v int")
+    df = spark.createDataFrame([(i, k, at(s)) for i, k, s in points], "id int, k string, ts timestamp")
+    out = enrich.as_of(df, hosts, "k", "h", ["v"], "12s", small=small, group_rows=group_rows)
+    got = {r.id: r.snapshot and r.snapshot.v for r in out.collect()}
+    want = {}
+    for i, k, s in points:
+        fit = [(t, v) for h, t, v in facts if k is not None and h == k and t is not None and s is not None and t <= s <= t + 12]
+        want[i] = max(fit)[1] if fit else None
+    assert got == want

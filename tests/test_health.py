@@ -80,3 +80,13 @@ def test_observed_counts(spark):
     df = spark.range(10).withColumn("ok", F.col("id") > 2)
     assert health.observed(df, seen, passed=F.col("ok")).count() == 10
     assert seen.get == {"received": 10, "passed": 7}
+
+
+def test_dense_slices_are_made_shorter(spark):
+    rows = [(i, T0 + timedelta(microseconds=37 * i), "e" if i % 3 else "f", f"s{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp, entity string, state string")
+    shown = lambda out: sorted(map(tuple, out.collect()))
+    whole = shown(health.state_transitions(df, "entity", "state"))
+    assert len(whole) == 398
+    assert shown(health.state_transitions(df, "entity", "state", slice_rows=20)) == whole
+    assert shown(health.state_transitions(df, "entity", "state", slice_rows=1)) == whole
