@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.clock import micros
 from gaugeworks.model import (
     ERR_INVALID_INPUT,
+    ERR_PII_LEAK,
     ERR_PROCESSING_FAILED,
     STATUS_ERROR,
     STATUS_SUCCESS,
@@ -32,7 +33,7 @@ def stage_counts(outcomes: DataFrame, stage: str = "stage") -> DataFrame:
         F.count_if(ok).alias("forwarded"),
         # Everything that got past the stage's own work, forwarded or not.
         F.count_if(
-            ~failed | ~code.isin(ERR_INVALID_INPUT, ERR_PROCESSING_FAILED, "ERR_PII_LEAK")
+            ~failed | ~code.isin(ERR_INVALID_INPUT, ERR_PROCESSING_FAILED, ERR_PII_LEAK)
         ).alias("processed"),
         F.count_if(failed).alias("rejected"),
         F.count_if(F.coalesce("sent_to_dlq", F.lit(False))).alias("dlq"),

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import micros
 from gaugeworks.functions.values import hash_pii
+from gaugeworks.model import (
+    ERR_FORWARDING_FAILED,
+    ERR_INVALID_INPUT,
+    ERR_PII_LEAK,
+    ERR_PROCESSING_FAILED,
+)
 
 SALT = "pepper-and-salt"
 BATCH_POINTS = 100
@@ -210,10 +216,10 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
         *[
             F.lit(c)
             for c in (
-                "ERR_INVALID_INPUT",
-                "ERR_PII_LEAK",
-                "ERR_FORWARDING_FAILED",
-                "ERR_PROCESSING_FAILED",
+                ERR_INVALID_INPUT,
+                ERR_PII_LEAK,
+                ERR_FORWARDING_FAILED,
+                ERR_PROCESSING_FAILED,
             )
         ]
     )
