@@ -91,9 +91,12 @@ class Bits:
     """Hashed values of a column as bits: tells of a value that it is certainly absent.
 
     Read by their low bits, which are spread evenly even where the least hashes were chosen.
+    `values` is a written table; 32 bits are taken for each, 2 ** bits at most. With more values
+    more are wrongly thought to be held, which a caller must only pay for in rows.
     """
 
     def __init__(self, values: DataFrame, column: str, bits: int) -> None:
+        bits = min(bits, max(12, (32 * values.count()).bit_length()))
         self.mask = (1 << bits) - 1
         slot = f"({column} & {self.mask}L)"
         words = values.groupBy(F.expr(f"{slot} div 64").alias("word")).agg(

@@ -28,10 +28,13 @@ null ids do not count, and a component without any has a null. Shingles are comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +53,13 @@ FANOUT = 4
 #: Members of a tree; a larger group is cut into parts of half of this.
 TREE_ROWS = 4000
 #: Rows in a task of trees.
-TASK_ROWS = 20_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+TASK_ROWS = 50_000
+#: Sets that a task holds before it puts out what they give.
+HELD = 500
+#: A long of the low digits of a set's name.
+LOW_ID = "cast(conv(right(set_id, 15), 16, 10) as bigint)"
+#: Bytes of texts that are hashed at once; a longer text is hashed alone.
+PIECE = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,17 +68,67 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, known: _WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode().lower().split()  # ASCII letters and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - WORDS + 1)
-    x = np.zeros(n, np.uint64)
-    for i in range(min(WORDS, len(h))):
-        x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(x)
+#: A random number for each byte, capitals as small letters; words are sums of these by place.
+_BYTES = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_STEP, _BACK):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of texts laid end to end, that begin at `begins`."""
+    inside = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[begins[begins < len(data)]] = True
+    edge[-1] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:-1]
+    end = inside
+    end[:-1] &= ~end[1:] | edge[1:-1]
+    first, last = np.flatnonzero(start), np.flatnonzero(end)
+    up, down = _powers(1 << max(PIECE, len(data)).bit_length())
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    # The same bytes sum to the same number wherever they stand, once shifted back.
+    return _mixed((total[last + 1] - total[first]) * down[first]), first
+
+
+def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct hashes of its shingles) for every text."""
+    text = pc.fill_null(column, "").cast(pa.large_binary())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(text):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + PIECE, "right")) - 1)
+        begins = ends[row : stop + 1] - ends[row]
+        word, first = _words(data[ends[row] : ends[stop]], begins[:-1])
+        edges = np.searchsorted(first, begins)
+        whole = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
+        for i in range(WORDS):
+            whole = _mixed(whole * np.uint64(_STEP) + word[i : i + len(whole)])
+        for k in range(stop - row):
+            a, b = int(edges[k]), int(edges[k + 1])
+            if b - a >= WORDS:
+                yield row + k, np.unique(whole[a : b - WORDS + 1])
+                continue
+            x = np.zeros(int(b > a), np.uint64)
+            for h in word[a:b]:
+                x = _mixed(x * np.uint64(_STEP) + h)
+            yield row + k, x
+        row = stop
 
 
 def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -87,12 +138,12 @@ def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int)
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its size, class and minima; at the end what the task adds to the sketch."""
-    known, counts = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-    factors = [np.uint64(2 * int(xxhash.xxh64_intdigest(bytes([k]))) + 1 & (1 << 64) - 1) for k in range(PERMUTATIONS)]
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    factors = [np.uint64(2 * xxhash.xxh64_intdigest(bytes([k])) + 1 & (1 << 64) - 1) for k in range(PERMUTATIONS)]
+    id_type = pa.int64()
     for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            x = shingles(text.as_py(), known)
+        rows, id_type = [], batch["doc_id"].type
+        for _, x in shingle_sets(batch["text"]):
             if not len(x):
                 rows.append((0, None, None))
                 continue
@@ -109,25 +160,27 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "counts": pa.nulls(len(rows), pa.binary()),
             }
         )
-    blocks = counts.reshape(-1, SKETCH_BLOCK)
+    blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SKETCH_BLOCK)
     some = [i for i in range(len(blocks)) if blocks[i].any()]
+    packer = zstandard.ZstdCompressor(level=1)
     yield pa.RecordBatch.from_pydict(
         {
-            "doc_id": pa.nulls(len(some), batch["doc_id"].type if "batch" in locals() else pa.int64()),
+            "doc_id": pa.nulls(len(some), id_type),
             "n": pa.nulls(len(some), pa.int64()),
             "set_id": pa.nulls(len(some), pa.string()),
             "least": pa.nulls(len(some), pa.list_(pa.int64())),
             "block": pa.array(some, pa.int32()),
-            "counts": pa.array([blocks[i].tobytes() for i in some], pa.binary()),
+            "counts": pa.array([packer.compress(blocks[i].tobytes()) for i in some], pa.binary()),
         }
     )
 
 
 def _block_sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH_BLOCK, np.uint32)
+    opener = zstandard.ZstdDecompressor()
     for batch in batches:
         for x in batch["counts"]:
-            total += np.frombuffer(x.as_py(), np.uint32)
+            total += np.frombuffer(opener.decompress(x.as_py()), np.uint16)
     yield pa.RecordBatch.from_pydict(
         {"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())}
     )
@@ -138,8 +191,11 @@ def first_shingles(x: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     n = len(x) - -(-4 * len(x) // 5) + 1
     if n >= len(x):
         return x
-    # Rare first, equal counts by hash: one order for all sets.
-    rank = np.lexsort((x, sketch[x >> np.uint64(64 - SKETCH_BITS)]))
+    # Rare first, then by the hash's low bits, then by all: one order for all sets.
+    slot = x >> np.uint64(65 - len(sketch).bit_length())
+    count = np.minimum(sketch[slot], (1 << 20) - 1).astype(np.uint64)
+    low = np.uint64(44)
+    rank = np.argsort(count << low | x & ((np.uint64(1) << low) - np.uint64(1)), kind="stable")
     return x[rank[:n]]
 
 
@@ -149,91 +205,107 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     return np.packbits(out)
 
 
-def _levels(bits: np.ndarray, n: np.ndarray, component: np.ndarray) -> list[tuple]:
-    """Leaves to root: (bitmaps, least size, excess, component or -1)."""
+def _levels(bits: np.ndarray, n: np.ndarray, component: np.ndarray, tree: np.ndarray) -> list[tuple]:
+    """Leaves to roots of all trees: (bitmaps, least and most size, excess, component or -1, first
+    child, children), nodes sorted by tree. The last level has one node for each tree."""
     excess = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    levels = [(bits, n, excess, component)]
-    while len(levels[-1][1]) > 1:
-        bits, least, excess, component = levels[-1]
-        at = np.arange(0, len(least), FANOUT)
+    none = np.zeros(len(n), np.int64)
+    levels = [(bits, n, n, excess, component, none, none)]
+    while True:
+        bits, least, most, excess, component, _, _ = levels[-1]
+        first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        place = np.arange(len(tree)) - np.repeat(first, np.diff(np.r_[first, len(tree)]))
+        at = np.flatnonzero(place % FANOUT == 0)
+        if len(levels) > 1 and len(first) == len(tree):
+            return levels
         low, high = np.minimum.reduceat(component, at), np.maximum.reduceat(component, at)
         levels.append(
             (
                 np.bitwise_or.reduceat(bits, at, axis=0),
                 np.minimum.reduceat(least, at),
+                np.maximum.reduceat(most, at),
                 np.maximum.reduceat(excess, at),
                 np.where(low == high, low, -1),
+                at,
+                np.diff(np.r_[at, len(tree)]),
             )
         )
-    return levels
-
-
-def _highs(n: np.ndarray, depth: int) -> list[np.ndarray]:
-    out = [n]
-    for _ in range(depth - 1):
-        out.append(np.maximum.reduceat(out[-1], np.arange(0, len(out[-1]), FANOUT)))
-    return out
-
-
-def tree_pairs(bits: np.ndarray, n: np.ndarray, component: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
-    """Leaf pairs (i < j) of different components that may be similar, by dual traversal.
-
-    part: where given, only pairs of different parts are looked for.
+        tree = tree[at]
+
+
+def _may_be_similar(level: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of node pairs, those under which some pair of different components may be similar."""
+    bits, least, most, excess, component, _, _ = level
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 8192):
+        a, b = x[at : at + 8192], y[at : at + 8192]
+        # Shingles in common lie in common bits; more than one to a bit only where a set has them so.
+        overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+        overlap += np.minimum(excess[a], excess[b])
+        overlap = np.minimum(overlap, np.minimum(most[a], most[b]))
+        out[at : at + 8192] = similar(overlap, least[a], least[b])
+    # Of the sizes in the two ranges, some must be within the ratio.
+    out &= (5 * most[x] >= 4 * least[y]) & (5 * most[y] >= 4 * least[x])
+    return out & ((component[x] < 0) | (component[x] != component[y]))
+
+
+def tree_pairs(
+    bits: np.ndarray,
+    n: np.ndarray,
+    component: np.ndarray,
+    part: np.ndarray | None = None,
+    tree: np.ndarray | None = None,
+) -> np.ndarray:
+    """Leaf pairs of one tree and different components that may be similar, by dual traversal.
+
+    All trees are gone through at once, level by level. part: in a tree with leaves of two parts only
+    pairs across them are looked for.
     """
-    order = np.lexsort((n, component))
-    levels = _levels(bits[order], n[order], component[order])
-    highs = _highs(n[order], len(levels))
-    a = b = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
-        node, least, excess, own = levels[depth]
-        high = highs[depth]
-        kept = []
-        for at in range(0, len(a), 4096):
-            x, y = a[at : at + 4096], b[at : at + 4096]
-            most = np.bitwise_count(node[x] & node[y]).sum(axis=1, dtype=np.int64)
-            most += np.minimum(excess[x], excess[y])
-            most = np.minimum(most, np.minimum(high[x], high[y]))
-            stay = similar(most, least[x], least[y]) & ((own[x] < 0) | (own[x] != own[y]))
-            # Of the sizes in the two ranges, some must be within the ratio.
-            stay &= (5 * high[x] >= 4 * least[y]) & (5 * high[y] >= 4 * least[x])
-            if depth == 0:
-                stay &= x != y
-            kept.append(np.flatnonzero(stay) + at)
-        kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
-        a, b = a[kept], b[kept]
-        if depth == 0 or not len(a):
-            break
-        below = len(levels[depth - 1][1])
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
-        c, d = (a[:, None] * FANOUT + i).ravel(), (b[:, None] * FANOUT + j).ravel()
-        inside = (c < below) & (d < below) & (c <= d)
-        a, b = c[inside], d[inside]
-    a, b = order[a], order[b]
+    tree = np.zeros(len(n), np.int64) if tree is None else tree
+    if not len(n):
+        return np.empty((0, 2), np.int64)
+    order = np.lexsort((n, component, tree))
+    levels = _levels(bits[order], n[order], component[order], tree[order])
+    a = b = np.arange(len(levels[-1][1]))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
+    for depth in range(len(levels) - 1, 0, -1):
+        keep = (levels[depth][4][a] < 0) | (a != b)
+        if depth < len(levels) - 1:
+            keep &= _may_be_similar(levels[depth], a, b)
+        a, b = a[keep], b[keep]
+        first, children = levels[depth][5:]
+        below = []
+        for at in range(0, len(a), 1 << 18):
+            x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+            c, d = first[x][:, None] + i, first[y][:, None] + j
+            there = (i < children[x][:, None]) & (j < children[y][:, None]) & (c <= d)
+            below.append((c[there], d[there]))
+        a, b = (np.concatenate([p[k] for p in below]) if below else np.empty(0, np.int64) for k in (0, 1))
+    keep = a != b
+    a, b = a[keep], b[keep]
+    keep = _may_be_similar(levels[0], a, b)
+    a, b = order[a[keep]], order[b[keep]]
     if part is not None and len(a):
-        across = part[a] != part[b]
-        a, b = a[across], b[across]
+        first = np.unique(tree, return_inverse=True)[1]
+        low, high = np.full(first.max() + 1, np.iinfo(part.dtype).max), np.full(first.max() + 1, -1)
+        np.minimum.at(low, first, part)
+        np.maximum.at(high, first, part)
+        keep = (low == high)[first[a]] | (part[a] != part[b])
+        a, b = a[keep], b[keep]
     return np.stack([a, b], axis=1)
 
 
 def _pairs_in_trees(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("tree", "ascending"), ("set_id", "ascending")])
-    tree, ids = rows["tree"].to_numpy(), rows["set_id"].to_pylist()
-    n = rows["n"].to_numpy()
-    component = np.unique(rows["component"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    part = rows["part"].to_numpy()
-    pairs = set()
-    starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]) if len(tree) else []
-    raw = rows["bits"].combine_chunks()
-    for a, b in zip(starts, [*starts[1:], len(tree)]):
-        own = component[a:b]
-        if (own == own[0]).all():
-            continue
-        bits = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-        bits = np.ascontiguousarray(bits).view(np.uint64)
-        across = part[a:b] if part[a] != part[a:b].max() or part[a] != part[a:b].min() else None
-        pairs.update((ids[a + i], ids[a + j]) for i, j in tree_pairs(bits, n[a:b], own, across).tolist())
-    pairs = sorted((min(p), max(p)) for p in pairs)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.string()), "b": pa.array([p[1] for p in pairs], pa.string())})
+    ids = np.array(rows["set_id"].to_pylist(), object)
+    component = np.unique(np.array(rows["component"].to_pylist(), object), return_inverse=True)[1].astype(np.int64)
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    found = tree_pairs(bits, rows["n"].to_numpy(), component, rows["part"].to_numpy(), rows["tree"].to_numpy())
+    # Pairs of several trees of the task go once.
+    names, code = np.unique(ids, return_inverse=True)
+    low, high = np.minimum(code[found[:, 0]], code[found[:, 1]]), np.maximum(code[found[:, 0]], code[found[:, 1]])
+    pair = np.unique(low.astype(np.int64) * len(names) + high)
+    a, b = names[pair // max(1, len(names))], names[pair % max(1, len(names))]
+    return pa.table({"a": pa.array(a.tolist(), pa.string()), "b": pa.array(b.tolist(), pa.string())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,22 +319,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that are similar, verified on the whole sets."""
     told = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
     told = told.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
     return written(told.select("a", "b", "x", "y").mapInArrow(_verified, "a string, b string"), "links")
 
 
-def _tree_rows(postings: DataFrame, tree_rows: int) -> DataFrame:
-    """postings (shingle, set_id, n, bits, component) by tree: all of a group, or two parts of a large one."""
-    spark = postings.sparkSession
+def _tree_rows(postings: DataFrame, maps: DataFrame, tree_rows: int) -> DataFrame:
+    """postings (shingle, set_id, n, component) by tree: all of a group, or two parts of a large one."""
     sizes = postings.groupBy("shingle").agg(
-        F.count("*").alias("size"), F.min("component").alias("one"), F.max("component").alias("other")
-    )
-    sizes = written(sizes.where("one <> other").select("shingle", "size"), "groups")
-    small = postings.join(sizes.where(F.col("size") <= tree_rows), "shingle").select(
+        F.count("*").alias("size"), F.min("component").alias("one"), F.max("component").alias("other"),
+        F.min("n").alias("least"), F.max("n").alias("most"),
+    )
+    # Two sets that differ too much in size cannot be similar.
+    sizes = sizes.where("one <> other and (size > 2 or 5 * least >= 4 * most)")
+    sizes = written(sizes.select("shingle", "size"), "groups")
+    grouped = postings.join(sizes, "shingle")
+    small = grouped.where(F.col("size") <= tree_rows).select(
         "*", F.xxhash64("shingle").alias("tree"), F.lit(0).alias("part")
     )
-    large = postings.join(sizes.where(F.col("size") > tree_rows), "shingle")
+    large = grouped.where(F.col("size") > tree_rows)
     parts = F.ceil(F.col("size") / (tree_rows // 2)).cast("int")
     large = large.withColumn("part", F.pmod(F.xxhash64("set_id"), parts).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -270,8 +346,8 @@ def _tree_rows(postings: DataFrame, tree_rows: int) -> DataFrame:
     large = large.withColumn(
         "tree", F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other"))
     )
-    names = ["tree", "part", "set_id", "n", "bits", "component"]
-    both = small.select(names).union(large.select(names))
+    names = ["tree", "part", "set_id", "n", "component"]
+    both = small.select(names).union(large.select(names)).join(maps, "set_id")
     tasks = max(1, sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_ROWS + 1)
     return both.withColumn("task", F.pmod(F.xxhash64("tree"), F.lit(tasks)))
 
@@ -291,85 +367,97 @@ def ngram_join(docs: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for row in sums.applyInArrow(_block_sum, "block int, counts binary").toLocalIterator():
         sketch[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(row.counts, np.uint32)
-    order = spark.sparkContext.broadcast(sketch)
     rows = described.where("block is null").select("doc_id", "n", "set_id", "least")
+    # Few shingles need few counters: neighbouring ones are added up.
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(SKETCH_BITS, max(10, (total // 4).bit_length()))
+    order = spark.sparkContext.broadcast(sketch.reshape(1 << bits, -1).sum(axis=1, dtype=np.uint32))
     classes = written(
         rows.where("n > 0").groupBy("set_id", "n", "least").agg(F.min("doc_id").alias("doc_id")), "classes"
     )
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHashes(), set()
+    # One document stands for its class; the few others that pass only repeat its rows.
+    standing = spark.sparkContext.broadcast(Bits(classes.select(F.xxhash64("doc_id").alias("h")), "h", FILTER_BITS))
+    keyed = docs.select(F.xxhash64("doc_id").alias("h"), "text")
+
+    def standing_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, np.ndarray]]]:
+        seen: set[str] = set()
+        found = []
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                x = shingles(text.as_py(), known)
-                key = xxhash.xxh3_64_intdigest(x.tobytes())
-                if len(x) and key not in seen:
-                    seen.add(key)
-                    out.append(first_shingles(x, order.value))
+            some = batch.filter(pa.array(standing.value.has(batch["h"].to_numpy())))
+            for _, x in shingle_sets(some["text"]):
+                set_id = xxhash.xxh3_128_hexdigest(x.tobytes())
+                if len(x) and set_id not in seen:
+                    seen.add(set_id)
+                    found.append((set_id, x))
+                if len(found) >= HELD:
+                    yield found
+                    found = []
+        yield found
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in standing_sets(batches):
+            out = [first_shingles(x, order.value) for _, x in found]
             if out:
-                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(out).view(np.int64), "set": np.repeat(np.array([int(i) for i in range(len(out))]), [len(o) for o in out])})
+                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(out).view(np.int64)})
 
-    # Copies in different tasks only make a shingle look shared; groups of one class go later.
-    counted = docs.select("text").mapInArrow(firsts, "shingle long, set long").groupBy("shingle").count()
-    shared = spark.sparkContext.broadcast(Bits(counted.where("count > 1").select("shingle"), "shingle", FILTER_BITS))
+    counted = keyed.mapInArrow(firsts, "shingle long").groupBy("shingle").count()
+    again = written(counted.where("count > 1").select("shingle"), "shared-shingles")
+    shared = spark.sparkContext.broadcast(Bits(again, "shingle", FILTER_BITS))
+
+    # Stars: every class of an equal minimum against the ends of its group.
+    minima = classes.select(F.struct("set_id", "n").alias("own"), F.posexplode("least").alias("k", "least"))
+    ends = minima.groupBy("k", "least").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    stars = minima.join(ends.where("low <> high"), ["k", "least"])
+    stars = stars.select("own", F.explode(F.array("low", "high")).alias("end"))
+    stars = stars.where("own <> end and 5 * own.n >= 4 * end.n and 5 * end.n >= 4 * own.n").select(
+        F.least("own.set_id", "end.set_id").alias("a"), F.greatest("own.set_id", "end.set_id").alias("b")
+    ).distinct()
+    stars = written(stars, "stars")
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """The whole sets of all classes in some pair."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        ids = written(ids.select(F.expr(f"{LOW_ID} as h")), "pair-ids")
+        wanted = spark.sparkContext.broadcast(Bits(ids, "h", FILTER_BITS))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in standing_sets(batches):
+                hit = wanted.value.has(np.array([int(i[-15:], 16) for i, _ in found], np.int64))
+                rows = [(i, x.tobytes()) for (i, x), yes in zip(found, hit) if yes]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "set_id": pa.array([r[0] for r in rows], pa.string()),
+                        "shingles": pa.array([r[1] for r in rows], pa.binary()),
+                    }
+                )
+
+        return written(keyed.mapInArrow(pick, "set_id string, shingles binary"), "pair-sets")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHashes(), set()
-        for batch in batches:
-            ids, n, sets, bits, hits = [], [], [], [], []
-            for text in batch["text"]:
-                x = shingles(text.as_py(), known)
-                if not len(x):
-                    continue
-                raw = x.tobytes()
-                key = xxhash.xxh3_128_hexdigest(raw)
-                if key in seen:
-                    continue
-                seen.add(key)
+        for found in standing_sets(batches):
+            rows = []
+            for set_id, x in found:
                 first = first_shingles(x, order.value).view(np.int64)
                 hit = first[shared.value.has(first)]
                 if len(hit):
-                    ids.append(key)
-                    n.append(len(x))
-                    sets.append(raw)
-                    bits.append(bitmap(x).tobytes())
-                    hits.append(hit)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "set_id": pa.array(ids, pa.string()),
-                    "n": pa.array(n, pa.int64()),
-                    "shingles": pa.array(sets, pa.binary()),
-                    "bits": pa.array(bits, pa.binary()),
-                    "firsts": pa.array(hits, pa.list_(pa.int64())),
-                }
-            )
-
-    found = docs.select("text").mapInArrow(
-        candidates, "set_id string, n long, shingles binary, bits binary, firsts array<long>"
-    )
-    sets = written(found, "candidate-sets")
-    one = sets.select("set_id", "n", "shingles").dropDuplicates(["set_id"])
-    # Stars: every class of an equal minimum against the ends of its group.
-    minima = classes.select("set_id", F.posexplode("least").alias("k", "least"))
-    ends = minima.groupBy("k", "least").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-    ends = ends.where("low <> high")
-    stars = minima.join(ends, ["k", "least"])
-    stars = stars.select("set_id", F.explode(F.array("low", "high")).alias("end")).where("set_id <> end")
-    stars = written(stars.select(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).distinct(), "stars")
-    links = _links(stars, one)
-    joint = written(components(links), "star-components")
-    postings = sets.select("set_id", "n", "bits", F.explode("firsts").alias("shingle")).dropDuplicates(
-        ["shingle", "set_id"]
-    )
-    twice = postings.groupBy("shingle").count().where("count > 1").select("shingle")
-    postings = postings.join(twice, "shingle", "left_semi").join(
-        joint.withColumnRenamed("id", "set_id"), "set_id", "left"
+                    rows.append((set_id, len(x), bitmap(x).tobytes(), hit))
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            names = ("set_id", "n", "bits", "firsts")
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+    links = _links(stars, fetched(stars))
+    joint = written(components(links), "star-components").withColumnRenamed("id", "set_id")
+    maps = written(keyed.mapInArrow(candidates, "set_id string, n long, bits binary, firsts array<long>"), "bitmaps")
+    postings = maps.select("set_id", "n", F.explode("firsts").alias("shingle")).join(joint, "set_id", "left")
+    postings = written(
+        postings.withColumn("component", F.coalesce("component", "set_id")).dropDuplicates(["shingle", "set_id"]),
+        "postings",
     )
-    postings = written(postings.withColumn("component", F.coalesce("component", "set_id")), "postings")
-    trees = _tree_rows(postings, tree_rows)
-    pairs = trees.groupBy("task").applyInArrow(_pairs_in_trees, "a string, b string").distinct()
-    links = links.union(_links(written(pairs, "tree-pairs"), one))
+    trees = _tree_rows(postings, maps.select("set_id", "bits").dropDuplicates(["set_id"]), tree_rows)
+    pairs = written(trees.groupBy("task").applyInArrow(_pairs_in_trees, "a string, b string").distinct(), "tree-pairs")
+    links = links.union(_links(pairs, fetched(pairs)))
     joint = written(components(links), "components").withColumnRenamed("id", "set_id")
     named = classes.join(joint, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = written(named.select("set_id", "component", "doc_id"), "named")
