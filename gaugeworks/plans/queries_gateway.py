@@ -642,10 +642,9 @@ def chain_outcomes(spark, d):
     """Every batch of mixed formats is accounted for, with its dead letter and the counts."""
     result = run_chain(_mixed_formats(spark, d), CONFIGURED, _now())
     dead = result.dead_letters.select("batch_id", "fb_sender")
-    counts = result.health.select("received", "forwarded", "rejected")
-    return result.outcomes.drop("error_message").join(dead, "batch_id", "left").join(
-        F.broadcast(counts), F.lit(True)  # One row.
-    )
+    counts = result.health.select("stage", "received", "forwarded", "rejected")
+    outcomes = result.outcomes.drop("error_message").withColumn("stage", F.lit("chain"))
+    return outcomes.join(dead, "batch_id", "left").join(counts, "stage").drop("stage")
 
 
 @query(
