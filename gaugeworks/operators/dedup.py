@@ -29,6 +29,9 @@ HEAVY_KEY_ROWS = 5_000_000
 # Rows of one key and slot go to one task: with distinct microseconds, at most this many.
 SLOT_MICROS = 1_000_000
 
+# Slots of a key that go to one task; a key over any span of time has few such stretches.
+STRETCH = 65_536
+
 
 def _field(df: DataFrame, key: str) -> tuple[Column, Column]:
     """Value and presence of a key field: a column, or `map.key` for a map column."""
@@ -163,6 +166,21 @@ def _kept_by_scan(df: DataFrame, ttl: int, ts: str, id: str) -> DataFrame:
     )
 
 
+def _stretch(slot: str) -> Column:
+    return F.expr(f"{slot} div {STRETCH}")
+
+
+def _following(filled: DataFrame, asked: DataFrame, at: str, by: list) -> DataFrame:
+    """For every asked place the `low` of the next filled one within the same group, if any."""
+    backwards = Window.partitionBy(*by).orderBy(F.col(at).desc(), F.col("low").asc_nulls_first())
+    return (
+        filled.unionByName(asked)
+        .withColumn("following", F.last("low", ignorenulls=True).over(backwards))
+        .filter("low is null")
+        .select("key", at, "following")
+    )
+
+
 def _next_times(nodes: DataFrame, ttl: int) -> DataFrame:
     """For (key, us): `next`, the key's first time at or after us + ttl, if any.
 
@@ -193,15 +211,17 @@ def _next_times(nodes: DataFrame, ttl: int) -> DataFrame:
         in_slot.filter("next is null").select("key", "slot").distinct()
         .withColumn("low", F.lit(None).cast("bigint"))
     )
-    # Rows here are slots, not data rows: their number is bounded by the span of time.
-    later = Window.partitionBy("key").orderBy(
-        F.col("slot").desc(), F.col("low").asc_nulls_first()
-    )
+    following = _following(filled, open_slots, "slot", ["key", _stretch("slot")])
+    # A stretch of slots is one task's work; what a stretch leaves open its followers answer.
+    stretches = filled.groupBy("key", _stretch("slot").alias("stretch")).agg(F.min("low").alias("low"))
+    left = following.filter("following is null").select("key", _stretch("slot").alias("stretch"))
+    later = _following(
+        stretches, left.distinct().withColumn("low", F.lit(None).cast("bigint")), "stretch", ["key"]
+    ).withColumnRenamed("following", "beyond")
     following = (
-        filled.unionByName(open_slots)
-        .withColumn("following", F.last("low", ignorenulls=True).over(later))
-        .filter("low is null")
-        .select("key", "slot", "following")
+        following.withColumn("stretch", _stretch("slot"))
+        .join(later, ["key", "stretch"], "left")
+        .select("key", "slot", F.coalesce("following", "beyond").alias("following"))
     )
     return in_slot.join(following, ["key", "slot"], "left").select(
         "key", "us", F.coalesce("next", "following").alias("next")
@@ -292,16 +312,8 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
             ),
             "dedup-level",
         )
-    timeline = Window.partitionBy("key").orderBy("us")
-    kept = (
-        level.withColumn("_head", F.row_number().over(timeline) == 1)
-        .withColumn(
-            "on_chain",
-            _pointer_scan(F.col("us"), F.col("next"), F.col("_head")),
-        )
-        .filter("on_chain")
-        .select("key", "us")
-    )
+    most = level.groupBy("key").count().agg(F.max("count")).first()[0]
+    kept = _read_off(level) if most <= heavy_rows else _reached(level)
     # Written each time: at most a row per key and cell, so known to be small.
     kept = written(kept, "dedup-chain")
     for finer in reversed(levels):
@@ -314,6 +326,35 @@ def _chain_of_heavy_keys(times: DataFrame, ttl: int, heavy_rows: int) -> DataFra
     return kept
 
 
+def _read_off(level: DataFrame) -> DataFrame:
+    """The chain along `next` from each key's first node, where a key's nodes fit a task."""
+    timeline = Window.partitionBy("key").orderBy("us")
+    return (
+        level.withColumn("_head", F.row_number().over(timeline) == 1)
+        .withColumn("on_chain", _pointer_scan(F.col("us"), F.col("next"), F.col("_head")))
+        .filter("on_chain")
+        .select("key", "us")
+    )
+
+
+def _reached(level: DataFrame) -> DataFrame:
+    """The same by joins alone, for more nodes than fit a task.
+
+    Pointers are doubled until none leads anywhere; then, longest first, each set of pointers
+    adds the nodes that those found so far lead to. As many joins as the chain's length has bits.
+    """
+    jumps = [written(level.filter("next is not null").select("key", "us", "next"), "dedup-jump")]
+    while not jumps[-1].isEmpty():
+        onward = jumps[-1].select("key", F.col("us").alias("next"), F.col("next").alias("beyond"))
+        doubled = jumps[-1].join(onward, ["key", "next"]).select("key", "us", F.col("beyond").alias("next"))
+        jumps.append(written(doubled, "dedup-jump"))
+    found = level.groupBy("key").agg(F.min("us").alias("us"))
+    for jump in reversed(jumps[:-1]):
+        more = found.join(jump, ["key", "us"]).select("key", F.col("next").alias("us"))
+        found = written(found.unionByName(more), "dedup-reached")
+    return found
+
+
 def dedup_ttl(
     df: DataFrame,
     keys: Sequence[str],
