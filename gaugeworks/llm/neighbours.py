@@ -38,13 +38,13 @@ from gaugeworks.llm.common import table
 from gaugeworks.llm.vectors import rows_of
 from gaugeworks.session import written
 
-TABLES = 4
+TABLES = 2
 HASHES = 4
-WIDTH = 1.5
-PROBES = 44
+WIDTH = 1.6
+PROBES = 72
 NEAREST = 20
 EVERY = 20
-PART_ROWS = 4000
+PART_ROWS = 8000
 
 
 def hashes(size: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
