@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from gaugeworks.session import written
 
 #: Rows of (key, value) that a join may broadcast: some tens of MB. Above it Spark shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
+
+
+#: Rows on their way to Python at once: a few MB of documents.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -53,13 +53,13 @@ FANOUT = 4
 #: Members of a tree; a larger group is cut into parts of half of this.
 TREE_ROWS = 4000
 #: Rows in a task of trees.
-TASK_ROWS = 50_000
+TASK_ROWS = 30_000
 #: Sets that a task holds before it puts out what they give.
 HELD = 500
 #: A long of the low digits of a set's name.
 LOW_ID = "cast(conv(right(set_id, 15), 16, 10) as bigint)"
 #: Bytes of texts that are hashed at once; a longer text is hashed alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_STEP, _BACK):

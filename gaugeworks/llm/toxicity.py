@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -29,7 +30,9 @@ BITS = 18
 NGRAMS = (3, 4, 5)
 BLOCK = 1 << 12
 #: Training texts of each label that the regression is fitted on; the ratios use all.
-FIT_ROWS = 3000
+FIT_ROWS = 2000
+#: Texts whose features are worked on at once in the fit.
+FIT_PART = 100
 SMOOTHING = 1.0
 RIDGE = 1e-3
 ROUNDS = 80
@@ -90,20 +93,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _regression(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights by bucket and an intercept, by Adam on the whole sample."""
+    """Weights by bucket and an intercept, by Adam on the whole sample, some texts at a time."""
     if not rows:
         return np.zeros_like(ratio), 0.0
-    at = np.concatenate(rows)
-    ends = np.cumsum([len(x) for x in rows])
-    starts = ends - [len(x) for x in rows]
-    r = ratio[at]
+    parts = [range(a, min(a + FIT_PART, len(rows))) for a in range(0, len(rows), FIT_PART)]
     w, b = np.ones(len(ratio), np.float32) * 0.1, 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = np.add.reduceat(w[at] * r, starts) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels).astype(np.float32) / len(rows)
-        g = np.bincount(at, np.repeat(error, ends - starts) * r, len(w)).astype(np.float32) + RIDGE * w
-        gb = float(error.sum())
+        g, gb = RIDGE * w, 0.0
+        for part in parts:
+            at = np.concatenate([rows[i] for i in part])
+            sizes = np.array([len(rows[i]) for i in part])
+            r = ratio[at]
+            z = np.add.reduceat(w[at] * r, np.cumsum(sizes) - sizes) + b
+            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part.start : part.stop]
+            error = (error / len(rows)).astype(np.float32)
+            g += np.bincount(at, np.repeat(error, sizes) * r, len(w)).astype(np.float32)
+            gb += float(error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.99**t
@@ -149,10 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def fitted(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by([("toxic", "ascending"), ("buckets", "ascending")])
-        rows = [np.frombuffer(x.as_py(), np.int32) for x in sample["buckets"]]
+        # Views of what has arrived, in an order that does not depend on how it did.
+        told = [(y.as_py(), np.frombuffer(x.as_buffer(), np.int32)) for x, y in zip(sample["buckets"], sample["toxic"])]
+        told.sort(key=lambda row: (row[0], xxhash.xxh3_128_digest(row[1])))
+        rows, labels = [x for _, x in told], np.array([y for y, _ in told], np.float32)
         kept = [i for i, x in enumerate(rows) if len(x)]
-        labels = sample["toxic"].to_numpy().astype(np.float32)
         weights, intercept = _regression([rows[i] for i in kept], labels[kept], shared.value)
         # From the sample's share of either label to that of all training texts.
         took = np.bincount(labels.astype(int), minlength=2)
