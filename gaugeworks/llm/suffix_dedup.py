@@ -48,11 +48,11 @@ ANCHOR = 32
 #: Starts of anchors in a window.
 STARTS = WINDOW - ANCHOR + 1
 #: Bytes worked on at once; longer texts are taken in pieces that overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Segments of one anchor that a task takes; anchors with more are counted window by window.
 GROUP_ROWS = 20_000
 #: Segments in a task, and in a shard before merging.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 10_000
 SHARD_ROWS = 4096
 #: Bits of the filter that tells where to look again; false hits only cost rows.
 FILTER_BITS = 26
@@ -347,8 +347,9 @@ def _cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
-def suffix_dedup(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """docs plus n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay)."""
+def suffix_dedup(docs: DataFrame, group_rows: int = GROUP_ROWS, readable: bool = False) -> DataFrame:
+    """docs plus n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay;
+    readable: as text, without characters that a cut has left incomplete)."""
     docs = docs.select([c for c in docs.columns if c.lower() not in ADDED])
     names = docs.columns
     id_, hash_, at = fresh(docs, "id", "hash", "spans")
@@ -370,12 +371,14 @@ def suffix_dedup(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                     pa.array([x[0] for x in done], pa.int64()),
                     pa.array([x[2] for x in done], pa.int64()),
                     pa.array([x[3] for x in done], pa.int64()),
-                    pa.array([x[1] for x in done], pa.binary()),
+                    pa.array([x[1].decode("utf-8", "ignore") for x in done], pa.string())
+                    if readable
+                    else pa.array([x[1] for x in done], pa.binary()),
                 ],
                 names=[*names, *ADDED],
             )
 
-    added = [StructField(c, LongType()) for c in ADDED[:3]] + [StructField("kept", BinaryType())]
+    added = [StructField(c, LongType()) for c in ADDED[:3]] + [StructField("kept", StringType() if readable else BinaryType())]
     return both.mapInArrow(cut, StructType([*docs.schema.fields, *added]))
 
 
@@ -391,15 +394,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character that a cut has left without some of its bytes goes as well.
     """
     names = docs.columns
-    out = suffix_dedup(docs)
-    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(
-        _readable(F.col("kept"))
-    )
+    out = suffix_dedup(docs, readable=True)
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept"))
     return out.where("n_removed = 0 or n_removed < n_bytes").select(
         *[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names]
     )
 
-
-@F.pandas_udf(StringType())
-def _readable(kept):
-    return kept.map(lambda x: x.decode("utf-8", "ignore"))
