@@ -14,6 +14,10 @@ each of them visited. A query goes once to a task, with the buckets it visits th
 with the NEAREST best of them by inner products of the original vectors in double precision. The best
 of all tables and tasks are merged. Nothing is capped: buckets are read whole.
 
+A row has one identity and one score in all tables: a block's matrix product only tells which rows
+may be among the best (its last bits depend on the block's shape); the scores of those are added up
+component by component, in their order, whatever the block. Rows are merged by identity.
+
 Recall against brute force is measured in tests/llm, and stated in the README for larger tables.
 
 Defined cases. Vectors that are null, empty, zero or hold null or non-finite parts take no part,
@@ -45,6 +49,8 @@ PROBES = 72
 NEAREST = 20
 EVERY = 20
 PART_ROWS = 8000
+#: Pairs whose scores are added up at once.
+PAIRS = 16_384
 
 
 def hashes(size: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +140,28 @@ def _placed(batch: pa.RecordBatch, largest: dict[int, float], tables: int, query
             yield at, int(s), t, place[:, t * HASHES : (t + 1) * HASHES]
 
 
+def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q and x, each added up in the order of the components."""
+    out = np.zeros(len(q))
+    for a, b in zip(q.T, x.T):
+        out += a * b
+    return out
+
+
 def _best(nearest: int):
     def best(rows: pa.Table) -> pa.Table:
         """Of each query the best candidates in the buckets it visits in this task."""
         has = rows["visits"].is_valid().to_numpy()
         candidates, queries = rows.filter(pa.array(~has)), rows.filter(pa.array(has))
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if len(candidates) and len(queries):
             candidates = candidates.sort_by([("bucket", "ascending"), ("vec_id", "ascending")])
-            bucket, ids = candidates["bucket"].to_numpy(), candidates["vec_id"].to_numpy()
+            bucket, ids, row = (candidates[c].to_numpy() for c in ("bucket", "vec_id", "row"))
             x = np.frombuffer(b"".join(candidates["vector"].to_pylist()), np.float64).reshape(len(ids), -1)
             q = np.frombuffer(b"".join(queries["vector"].to_pylist()), np.float64).reshape(len(queries), -1)
             own = queries["vec_id"].to_numpy()
+            # What two orders of adding up can differ by, twice over.
+            slack = 8 * x.shape[1] * np.finfo(float).eps * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max())
             visits = queries["visits"].combine_chunks()
             who = np.repeat(np.arange(len(own)), visits.value_lengths().to_numpy())
             what = visits.flatten().to_numpy()
@@ -153,21 +169,35 @@ def _best(nearest: int):
             who, what = who[order], what[order]
             score = np.full((len(own), nearest), -np.inf)
             found = np.full((len(own), nearest), np.iinfo(np.int64).max)
+            place = np.full((len(own), nearest), -1)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for a, b in zip(starts, [*starts[1:], len(bucket)]):
                 lo, hi = np.searchsorted(what, bucket[a], "left"), np.searchsorted(what, bucket[a], "right")
                 for at in range(lo, hi, 1024):
                     use = who[at : min(at + 1024, hi)]
-                    s = np.concatenate([score[use], q[use] @ x[a:b].T], axis=1)
+                    rough = q[use] @ x[a:b].T
+                    rough[ids[a:b] == own[use][:, None]] = -np.inf
+                    s = np.concatenate([score[use], rough], axis=1)
+                    bar = -np.partition(-s, nearest - 1, axis=1)[:, nearest - 1] - slack[use]
+                    i, j = np.nonzero((rough >= bar[:, None]) & (rough > -np.inf))
+                    if not len(i):
+                        continue
+                    s[:, nearest:] = -np.inf
+                    for c in range(0, len(i), PAIRS):
+                        k, m = i[c : c + PAIRS], j[c : c + PAIRS]
+                        s[k, nearest + m] = inner(q[use[k]], x[a + m])
                     n = np.concatenate([found[use], np.broadcast_to(ids[a:b], (len(use), b - a))], axis=1)
-                    s[n == own[use][:, None]] = -np.inf
+                    p = np.concatenate([place[use], np.broadcast_to(np.arange(a, b), (len(use), b - a))], axis=1)
                     keep = _first(s, n, nearest)
-                    score[use], found[use] = np.take_along_axis(s, keep, 1), np.take_along_axis(n, keep, 1)
+                    score[use], found[use], place[use] = (np.take_along_axis(v, keep, 1) for v in (s, n, p))
             i, j = np.nonzero(np.isfinite(score))
-            out = (own[i], found[i, j], score[i, j])
+            out = (own[i], row[place[i, j]], found[i, j], score[i, j])
         return pa.table(
-            {"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())}
-        )
+            {
+                "query_id": pa.array(out[0], pa.int64()), "row": pa.array(out[1], pa.int64()),
+                "vec_id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64()),
+            }
+        )
 
     return best
 
@@ -191,7 +221,7 @@ def nearest(
     usable = written(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(
             _usable, "vec_id long, size int, norm double, vector binary"
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "usable",
     )
     largest = {r.size: r.norm for r in usable.groupBy("size").agg(F.max("norm").alias("norm")).collect()}
@@ -204,7 +234,8 @@ def nearest(
                 yield pa.RecordBatch.from_pydict(
                     {
                         "kind": pa.array([t] * len(at), pa.int32()), "size": some["size"],
-                        "bucket": buckets(np.floor(place).astype(np.int64)), "vec_id": some["vec_id"], "vector": some["vector"],
+                        "bucket": buckets(np.floor(place).astype(np.int64)), "row": some["row"],
+                        "vec_id": some["vec_id"], "vector": some["vector"],
                     }
                 )
 
@@ -220,8 +251,8 @@ def nearest(
                     }
                 )
 
-    held = usable.select("vec_id", "size", "vector").mapInArrow(
-        filed, "kind int, size int, bucket long, vec_id long, vector binary"
+    held = usable.select("row", "vec_id", "size", "vector").mapInArrow(
+        filed, "kind int, size int, bucket long, row long, vec_id long, vector binary"
     )
     asked = usable.where(is_query).select("vec_id", "size", "vector").mapInArrow(
         visits, "kind int, size int, bucket long, vec_id long"
@@ -242,16 +273,18 @@ def nearest(
         F.xxhash64("kind", "size", "slot")
     )
     rows = held.join(sizes, on).select(
-        task(F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("task"), "bucket", "vec_id", "vector",
+        task(F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("task"), "bucket", "row", "vec_id", "vector",
         F.lit(None).cast("array<bigint>").alias("visits"),
     )
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("bucket", "row")]
     asks = asked.join(sizes, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asks = asks.groupBy(task(F.col("part").cast("long")).alias("task"), "vec_id").agg(F.collect_set("bucket").alias("visits"))
     asks = asks.join(usable.where(is_query).select("vec_id", "vector").dropDuplicates(["vec_id"]), "vec_id")
-    asks = asks.select("task", F.lit(None).cast("long").alias("bucket"), "vec_id", "vector", "visits")
-    found = rows.union(asks).groupBy("task").applyInArrow(_best(k), "query_id long, vec_id long, score double")
-    # The same candidate comes from several tables.
-    found = written(found.dropDuplicates(["query_id", "vec_id", "score"]), "found")
+    asks = asks.select("task", *nothing, "vec_id", "vector", "visits")
+    result = "query_id long, row long, vec_id long, score double"
+    found = rows.union(asks).groupBy("task").applyInArrow(_best(k), result)
+    # The same row comes from several tables.
+    found = written(found.dropDuplicates(["query_id", "row"]), "found")
     enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = written(
         usable.where(is_query).dropDuplicates(["vec_id"]).join(enough, "vec_id", "left_anti"), "short-queries"
@@ -259,15 +292,15 @@ def nearest(
     if not short.isEmpty():
         slot = F.xxhash64("size", F.pmod(F.xxhash64("vec_id"), F.lit(tasks))).alias("task")
         every_row = usable.select(
-            slot, F.lit(0).cast("long").alias("bucket"), "vec_id", "vector",
+            slot, F.lit(0).cast("long").alias("bucket"), "row", "vec_id", "vector",
             F.lit(None).cast("array<bigint>").alias("visits"),
         )
         each = short.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
         each = each.select(
-            F.xxhash64("size", "slot").alias("task"), F.lit(None).cast("long").alias("bucket"), "vec_id", "vector",
+            F.xxhash64("size", "slot").alias("task"), *nothing, "vec_id", "vector",
             F.array(F.lit(0).cast("long")).alias("visits"),
         )
-        more = every_row.union(each).groupBy("task").applyInArrow(_best(k), "query_id long, vec_id long, score double")
+        more = every_row.union(each).groupBy("task").applyInArrow(_best(k), result)
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -254,3 +254,27 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     for r in neighbours.nearest(df).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [j for j, _ in w] for q, w in best(rows, 20, 20).items()}
+
+
+def test_neighbours_are_distinct_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 300)
+    r = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in e], 1) for i, e in enumerate(r.normal(size=(2000, 64)))]
+    # Copies of a query's neighbour: rows of one id are candidates each, in both tables.
+    rows += [(5000, [3 * v for v in rows[0][1]], 1)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got: dict[int, list] = {}
+    for x in neighbours.nearest(df).orderBy("rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert len(got) == 101 and got[0][:3] == [5000] * 3
+    for q, ids in got.items():
+        own = [i for i in ids if i != 5000]
+        assert len(ids) == 20 and len(set(own)) == len(own), q
+
+
+def test_scores_do_not_depend_on_the_block():
+    r = np.random.default_rng(12)
+    q, x = r.normal(size=(40, 64)), r.normal(size=(40, 64))
+    whole = neighbours.inner(q, x)
+    assert all(neighbours.inner(q[i : i + 1], x[i : i + 1])[0] == whole[i] for i in range(40))
+    assert (neighbours.inner(q[::3], x[::3]) == whole[::3]).all()
