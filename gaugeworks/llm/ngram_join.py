@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import Bits, components, joined, table
+from gaugeworks.llm.common import BROADCAST_ROWS, Bits, components, fresh, table
 from gaugeworks.session import written
 
 WORDS = 5
@@ -153,6 +153,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch["doc_id"],
+                "text_hash": batch["text_hash"],
                 "n": pa.array([r[0] for r in rows], pa.int64()),
                 "set_id": pa.array([r[1] for r in rows], pa.string()),
                 "least": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
@@ -166,6 +167,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict(
         {
             "doc_id": pa.nulls(len(some), id_type),
+            "text_hash": pa.nulls(len(some), pa.int64()),
             "n": pa.nulls(len(some), pa.int64()),
             "set_id": pa.nulls(len(some), pa.string()),
             "least": pa.nulls(len(some), pa.list_(pa.int64())),
@@ -354,12 +356,25 @@ def _tree_rows(postings: DataFrame, maps: DataFrame, tree_rows: int) -> DataFram
 
 def ngram_join(docs: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    rows, named = grouped(docs, tree_rows)
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    told = named.join(least, "component").select("set_id", "component_id")
+    out = rows.select("doc_id", "n", "set_id").join(told, "set_id", "left")
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def grouped(docs: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, set_id, ..) of each row, and (set_id, component, doc_id) of each set but the empty one."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     described = written(
-        docs.mapInArrow(
-            _described, f"doc_id {id_type}, n long, set_id string, least array<long>, block int, counts binary"
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+            _described, f"doc_id {id_type}, text_hash long, n long, set_id string, least array<long>, block int, counts binary"
         ),
         "shingled",
     )
@@ -367,7 +382,7 @@ def ngram_join(docs: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for row in sums.applyInArrow(_block_sum, "block int, counts binary").toLocalIterator():
         sketch[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(row.counts, np.uint32)
-    rows = described.where("block is null").select("doc_id", "n", "set_id", "least")
+    rows = described.where("block is null").select("doc_id", "text_hash", "n", "set_id", "least")
     # Few shingles need few counters: neighbouring ones are added up.
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(SKETCH_BITS, max(10, (total // 4).bit_length()))
@@ -461,14 +476,7 @@ def ngram_join(docs: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
     joint = written(components(links), "components").withColumnRenamed("id", "set_id")
     named = classes.join(joint, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = written(named.select("set_id", "component", "doc_id"), "named")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    told = named.join(least, "component").select("set_id", "component_id")
-    out = rows.select("doc_id", "n", "set_id").join(told, "set_id", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return rows, named
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +508,30 @@ SELECT s.doc_id, len(s.s) AS n_shingles, r.component_id FROM sets s JOIN reach r
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    groups = ngram_join(docs)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return joined(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: of the smallest id, null ids last, and smallest text hash.
+
+    Repeated rows are a group's as well, and one of them stays. Rows without a word are in no group and stay.
+    """
+    rows, named = grouped(docs)
+    keys = rows.where("n > 0").groupBy("doc_id", "text_hash", "set_id").agg(F.count("*").alias("rows"))
+    keys = keys.join(named.select("set_id", "component"), "set_id").withColumn(
+        "own", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    )
+    keys = written(keys.select("component", "own", "rows"), "near-keys")
+    first = written(keys.groupBy("component").agg(F.min("own").alias("first")), "near-first")
+    stays = F.col("own").eqNullSafe(F.col("first")).alias("stays")
+    told = written(keys.join(first, "component").select("own", "rows", stays), "near-told")
+    id_, hash_ = fresh(docs, "id", "hash")
+
+    def among(own: DataFrame, how: str) -> DataFrame:
+        small = own.select(F.col("own.doc_id").alias(id_), F.col("own.text_hash").alias(hash_))
+        if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            small = F.broadcast(small)
+        return docs.join(small, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), how)
+
+    again = told.where("stays and rows > 1")
+    if again.isEmpty():
+        return among(told.where("not stays"), "left_anti").select(docs.columns)
+    # Rows of which one stays go through a shuffle, all others do not.
+    one = among(again, "inner").dropDuplicates([id_, hash_]).select(docs.columns)
+    return among(told.where("not stays or rows > 1"), "left_anti").select(docs.columns).union(one)

@@ -211,3 +211,32 @@ def test_stages_keep_columns_and_clean_documents(spark):
     kept = {x.doc_id: x.text for x in cut.collect()}
     assert cut.columns == docs.columns and passage not in kept.get(11, "") and kept[5] == clean[5] and kept[13] is None
     assert packing.stage(spark, cut, "").select(F.countDistinct("doc_id")).first()[0] == len(kept)
+
+
+def test_pipeline_keeps_one_of_repeated_and_null_id_rows(spark, tmp_path):
+    import corpus_pipeline
+    from cases import words
+
+    r = np.random.default_rng(10)
+    w = words(10, "abcdefgh")
+    a, b, c, d, e = (" ".join(r.choice(w, 160)) for _ in range(5))
+    near_c = " ".join(["changed", "words", *c.split(" ")[2:]])
+    # Repeated rows; an id and null-id (near) copies; null ids alone, repeated and near.
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (3, c), (None, near_c), (None, d), (None, d), (4, e), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_sets = ngram_join.stage(spark, docs, "")
+    want = sorted([(1, a), (2, b), (3, c), (-1, d), (4, e), (5, ""), (6, "")])
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in by_sets.collect()) == want
+    cut = suffix_dedup.stage(spark, by_sets, "")
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in cut.collect()) == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(900, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    whole = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0").collect()
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in whole) == [-1, 1, 2, 3, 4, 5, 6]
+
+
+def test_one_row_stays_of_an_id_with_several_texts(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, t), (1, t.upper()), (1, "another text of six words"), (2, t)]
+    out = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(out) == 2 and {(x.doc_id, x.text.lower()) for x in out} == {(1, t), (1, "another text of six words")}
