@@ -74,6 +74,28 @@ def test_language_cases(spark):
     assert language.identify(docs.where("false"), language.learn(docs.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("letters", [3, 8, 20])
+def test_a_rare_language_leaves_the_others_whole(spark, letters):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**9 + i, "qzxvkwjyhgfbdmpqzxvk"[:letters], "aa") for i in (1, 2, 3)], "doc_id long, text string, lang string")
+    learned = language.learn(docs.union(rare))
+    assert 0 < len(learned["aa"]) <= 3 * letters + 2
+    assert all(len(x) > 90_000 for lang, x in learned.items() if lang != "aa")
+    rows = language.identify(docs.where("doc_id % 3 = 0"), learned).collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+
+
+def test_a_dictionary_is_filled_from_one_long_text_and_from_many_short_ones(spark):
+    r = random.Random(3)
+    a, b = ([ "".join(r.choices(x, k=7)) for _ in range(3000)] for x in ("abcdefg", "hijklmn"))
+    own = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(own, " ".join(r.choices(a, k=40_000)) + " marker", "long")]
+    rows += [(1000 + i, " ".join(r.choices(b, k=3)), "short") for i in range(8000)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(len(x) > 0.99 * language.DICTIONARY_BYTES for x in learned.values())
+    assert b"marker" in learned["long"] and learned["long"][:500] in language.plain(rows[0][1])
+
+
 ODD = ["", " ", "  a  b ", "\n\n x", "▁▁ a▁b", "日本語 🎉🎉" * 9, "a" * 500, "\x00\t é́ ﷽", "    " * 9 + "x", "<s> </s> <0x0A>"]
 
 
