@@ -240,3 +240,18 @@ def test_one_row_stays_of_an_id_with_several_texts(spark):
     rows = [(1, t), (1, t.upper()), (1, "another text of six words"), (2, t)]
     out = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert len(out) == 2 and {(x.doc_id, x.text.lower()) for x in out} == {(1, t), (1, "another text of six words")}
+
+
+@pytest.mark.parametrize("c", [" ", "\n", " \u00a0"])
+def test_long_runs_of_white_space(c):
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoding, run = packing.encoder(packing.VOCABULARY), c * (1_200_000 // len(c))
+    for text in ("a" + run, f"it's {run}x 1{run}\n!{run}", f"a{c * 99_999}b{c * 100_000} c{c * 100_001}"):
+        assert packing.ids_of(encoding, text).tolist() == tokens.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_run_of_millions(spark):
+    rows = [(1, " " * 3_000_000 + "x"), (2, "\n" * 2_500_000), (3, "plain")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    encoding = packing.encoder(packing.VOCABULARY)
+    assert {r.doc_id: r.n for r in out.collect()} == {i: len(packing.ids_of(encoding, t)) + 1 for i, t in rows}
