@@ -20,7 +20,9 @@ This goes on until nothing more can be fixed; best fit, longest first, packs the
 
 Defined cases. A null text is an empty one: the closing id alone. Repeated rows and ties of
 length are pieces like any other, ranked by where they were read. Further columns are ignored.
-Texts may hold the strings of special tokens; they are ordinary text. A run of LONG_RUN or more white
+The strings of the vocabulary's added tokens become those tokens in the query and in the pipeline's
+stage, as the file's own library does by default; pack and cut take them as ordinary text unless told
+`added`. A run of LONG_RUN or more white
 space characters is encoded apart, as the one or two pieces that the pattern makes of it: the library's
 matcher gives up on runs of about a million.
 """
@@ -28,6 +30,7 @@ matcher gives up on runs of about a million.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -58,25 +61,40 @@ Pattern = tuple[int, dict[int, int]]
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> tiktoken.Encoding:
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The tokens that the vocabulary's json file adds to the ranks."""
+    with open(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json"))) as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str, added: bool = False) -> tiktoken.Encoding:
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
     return tiktoken.Encoding(
-        vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        vocabulary,
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=ranks,
+        special_tokens=added_tokens(vocabulary) if added else {},
     )
 
 
 def ids_of(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
     """Ids of a text of any length."""
     if len(text) < LONG_RUN:
-        return encoding.encode_to_numpy(text, disallowed_special=())
-    out, at = [], 0
-    for run in LONG_RUNS.finditer(text):
-        out.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
-        # All of a run at the end is one piece; elsewhere its last character goes with what follows.
-        at = run.end() if run.end() == len(text) else run.end() - 1
-        out.append(np.array(encoding._encode_single_piece(text[run.start() : at]), np.uint32))
-    out.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return encoding.encode_to_numpy(text, allowed_special="all")
+    special = sorted(encoding.special_tokens_set)
+    # A token's string ends the text before it; split at in any case, so that a run sees its end.
+    parts = re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]
+    out = []
+    for part in parts:
+        at = 0
+        for run in LONG_RUNS.finditer(part):
+            out.append(encoding.encode_to_numpy(part[at : run.start()], allowed_special="all"))
+            # All of a run at the end is one piece; elsewhere its last character goes with what follows.
+            at = run.end() if run.end() == len(part) else run.end() - 1
+            out.append(np.array(encoding._encode_single_piece(part[run.start() : at]), np.uint32))
+        out.append(encoding.encode_to_numpy(part[at:], allowed_special="all"))
     return np.concatenate(out)
 
 
@@ -228,11 +246,11 @@ class Places:
         return sequence, offset
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32; and the task and rank in it by length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(vocabulary)
+        encoding = encoder(vocabulary, added)
         task, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows, source = [], []
@@ -265,9 +283,9 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY)
     )
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, added: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text) with the sequence_id and offset they are placed at."""
-    pieces = written(cut(docs, capacity, vocabulary), "pieces")
+    pieces = written(cut(docs, capacity, vocabulary, added), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = written(by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
@@ -294,9 +312,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing of the documents that are left."""
-    return pack(docs)
+    return pack(docs, added=True)

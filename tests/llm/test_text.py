@@ -255,3 +255,17 @@ def test_packing_of_a_run_of_millions(spark):
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n"))
     encoding = packing.encoder(packing.VOCABULARY)
     assert {r.doc_id: r.n for r in out.collect()} == {i: len(packing.ids_of(encoding, t)) + 1 for i, t in rows}
+
+
+def test_added_tokens_as_the_files_own_library_has_them(spark, tmp_path):
+    end = "<|endoftext|>"
+    rows = [f"{end} x", f"a{end}{end}b  {end}\n", "<|endoftext |>", f"it's  {end}", "y" * 99_999 + f"  {end} z", " " * 150_000 + end + " " * 150_000 + "x"]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in enumerate(rows):
+        ids = np.array([*tokens.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    for out in (packing.op2_best_fit_packing(spark, str(tmp_path)), packing.stage(spark, documents(spark, rows), "")):
+        assert sorted(tuple(r)[:5] for r in out.collect()) == sorted(want)
