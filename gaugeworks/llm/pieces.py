@@ -2,12 +2,12 @@
 
 Encoding merges the characters of a text by the model's pieces, best score first, leftmost of
 equal ones, as byte-pair models do; every candidate merge is skipped with probability `dropout`,
-decided by a hash of (seed, variant, the word, the places where the two parts begin, meet and
-end). One seed always gives one segmentation; another seed, or another of the VARIANTS that a
-document's id is hashed to, gives another. Without dropout the result is the model's own.
+decided by a hash of (seed, document id, the word's place in the text, the word, the places where the
+two parts begin, meet and end). One seed always gives one segmentation; another seed, another document
+or another occurrence of a word gives its own. Without dropout the result is the model's own.
 
 No piece goes on after a space (it may begin with some) and none holds a line feed, so words are
-segmented one by one; each different word of a stretch of documents once, all words of a length
+segmented one by one; every occurrence by itself (without dropout each different word once), those of a length
 together: the agenda is then a row of candidate ranks per word, of which every step takes the
 least. Words that are long or hold characters without a piece take an agenda of their own (a heap)
 and bytes for such characters.
@@ -16,7 +16,7 @@ Decoding joins the pieces' bytes, and is lossless for every text, spaces and the
 sign included.
 
 Defined cases. Null texts have null ids and decode to null; empty ones have no ids. Repeated rows
-get equal ids, rows with a null id the variant of null. Texts of any length are encoded whole.
+get equal ids, rows with a null id those of a document called null. Texts of any length are encoded whole.
 Further columns are kept; the added ones replace columns of their names.
 """
 
@@ -42,11 +42,12 @@ from gaugeworks.llm.common import table
 MODEL = "piece_bpe_32k.model"
 SEED = 20
 DROPOUT = 0.1
-VARIANTS = 4
 #: Words of more characters are taken one by one.
 LONG = 20
 #: Characters that are worked on at once; a longer text is worked on alone.
-STRETCH = 6_000_000
+STRETCH = 1_000_000
+#: Occurrences of a length that are merged at once.
+AT_ONCE = 50_000
 SPACE = "▁"
 WORD = re.compile(r" *[^ \n]+|\n| +")
 NONE = np.int32(2**31 - 1)
@@ -214,8 +215,8 @@ def _by_length(m: Model, chars: np.ndarray, keys: np.ndarray, dropout: float) ->
     return ids[columns[:width] < left[:, None]], left
 
 
-def encode_words(m: Model, words: list[str], key: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words laid end to end, number of ids of each)."""
+def encode_words(m: Model, words: list[str], key: int | np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words laid end to end, number of ids of each); key: one for all, or hashes, one for each."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     starts = np.cumsum(sizes) - sizes
@@ -224,23 +225,24 @@ def encode_words(m: Model, words: list[str], key: int, dropout: float) -> tuple[
     unknown[np.searchsorted(starts, np.flatnonzero(chars < 0), "right") - 1] = True
     counts = np.zeros(len(words), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    keyed = np.uint64(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True)))
+    keyed = key if isinstance(key, np.ndarray) else np.full(len(words), _key(key))
 
     def word_keys(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.full(len(rows), keyed)
+        h = keyed[rows]
         for column in points[at].T:
             h = _mixed(h * FACTORS[0] + column)
         return h
 
     for size in np.unique(sizes[(sizes <= LONG) & ~unknown]):
-        rows = np.flatnonzero((sizes == size) & ~unknown)
-        at = starts[rows][:, None] + np.arange(size)
-        ids, n = _by_length(m, chars[at], word_keys(rows, at), dropout)
-        counts[rows] = n
-        found.append((rows, ids))
+        whole = np.flatnonzero((sizes == size) & ~unknown)
+        for rows in np.split(whole, range(AT_ONCE, len(whole), AT_ONCE)):
+            at = starts[rows][:, None] + np.arange(size)
+            ids, n = _by_length(m, chars[at], word_keys(rows, at), dropout)
+            counts[rows] = n
+            found.append((rows, ids))
     for row in np.flatnonzero((sizes > LONG) | unknown):
         at = starts[row] + np.arange(sizes[row])
-        h = _long_key(points[at], keyed) if sizes[row] > LONG else int(word_keys(np.array([row]), at[None, :])[0])
+        h = _long_key(points[at], keyed[row]) if sizes[row] > LONG else int(word_keys(np.array([row]), at[None, :])[0])
         ids = np.array(_by_agenda(m, words[row], h, dropout), np.int32)
         counts[row] = len(ids)
         found.append((np.array([row]), ids))
@@ -261,17 +263,28 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def encode_texts(m: Model, texts: list[str], key: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids laid end to end, number of ids of each text)."""
+def _key(key: int) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True)))
+
+
+def encode_texts(m: Model, texts: list[str], key: int | list[int], dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids laid end to end, number of ids of each text); key: one for all, or one for each text."""
     words = [WORD.findall(" " + t) if t else [] for t in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n)
+    if dropout > 0:
+        own = np.array([_key(k) for k in (key if isinstance(key, list) else [key] * len(texts))], np.uint64)
+        place = _ragged(np.zeros(len(n), np.int64), n).astype(np.uint64)
+        keyed = _mixed(np.repeat(own, n) + place * FACTORS[0])
+        ids, counts = encode_words(m, [w for ws in words for w in ws], keyed, dropout)
+        total = np.r_[0, np.cumsum(counts)]
+        return ids, total[ends] - total[ends - n]
     flat = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
-    ids, counts = encode_words(m, flat.dictionary.to_pylist(), key, dropout)
+    ids, counts = encode_words(m, flat.dictionary.to_pylist(), 0, dropout)
     use = flat.indices.to_numpy()
     begin = np.cumsum(counts) - counts
     ids = ids[_ragged(begin[use], counts[use])]
     total = np.r_[0, np.cumsum(counts[use])]
-    ends = np.cumsum(n)
     return ids, total[ends] - total[ends - n]
 
 
@@ -285,8 +298,8 @@ def decode_ids(m: Model, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [raw[a + 1 : b] if b > a else b"" for a, b in zip(total[ends - counts].tolist(), total[ends].tolist())]
 
 
-def variant_key(seed: int, doc_id: object) -> int:
-    return seed * VARIANTS + xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}") % VARIANTS
+def document_key(seed: int, doc_id: object) -> int:
+    return xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}") >> 1
 
 
 ADDED = ("n_pieces", "ids_crc32", "lossless", "ids")
@@ -304,21 +317,16 @@ def encode(
         m = model(vocabulary)
         for batch in batches:
             texts, ids = batch.column(text).to_pylist(), batch.column(doc_id).to_pylist()
-            by_key: dict[int, list[int]] = {}
-            for i, d in enumerate(ids):
-                if texts[i] is not None:
-                    by_key.setdefault(variant_key(seed, d), []).append(i)
             done: list[tuple] = [(None, None, None, None)] * len(texts)
-            for key, rows in by_key.items():
-                for part in _stretches(rows, texts):
-                    own = [texts[i] for i in part]
-                    found, counts = encode_texts(m, own, key, dropout)
-                    back = decode_ids(m, found, counts)
-                    ends = np.cumsum(counts)
-                    for i, t, b, a, z in zip(part, own, back, (ends - counts).tolist(), ends.tolist()):
-                        each = found[a:z]
-                        crc = zlib.crc32(each.astype("<u4").tobytes())
-                        done[i] = (z - a, crc, b == t.encode(), each if with_ids else None)
+            for part in _stretches([i for i, t in enumerate(texts) if t is not None], texts):
+                own = [texts[i] for i in part]
+                found, counts = encode_texts(m, own, [document_key(seed, ids[i]) for i in part], dropout)
+                back = decode_ids(m, found, counts)
+                ends = np.cumsum(counts)
+                for i, t, b, a, z in zip(part, own, back, (ends - counts).tolist(), ends.tolist()):
+                    each = found[a:z]
+                    crc = zlib.crc32(each.astype("<u4").tobytes())
+                    done[i] = (z - a, crc, b == t.encode(), each if with_ids else None)
             out = [
                 pa.array([x[0] for x in done], pa.int64()),
                 pa.array([x[1] for x in done], pa.int64()),

@@ -122,6 +122,24 @@ def test_pieces_decode_losslessly_and_vary(dropout):
     assert len(seen) == (3 if dropout < 1 else 1)
 
 
+def test_occurrences_and_documents_drop_merges_by_themselves():
+    m = pieces.model()
+    text = " ".join(["international"] * 300)
+    first, n = pieces.encode_texts(m, [text, text], [1, 2], 0.1)
+    assert first[: n[0]].tolist() != first[n[0] :].tolist()
+    ids, counts = pieces.encode_words(m, [" international"] * 300, np.arange(300, dtype=np.uint64), 0.1)
+    ends = np.cumsum(counts)
+    assert len({tuple(ids[e - k : e].tolist()) for e, k in zip(ends, counts)}) > 10
+    # One word repeated in one text: cut at the spaces, more than four segmentations.
+    cut: list[list[int]] = []
+    for i in first[: n[0]].tolist():
+        piece = m.raw[m.raw_at[i] : m.raw_at[i] + m.raw_size[i]].tobytes()
+        if piece.startswith(b" "):
+            cut.append([])
+        cut[-1].append(i)
+    assert len(cut) == 300 and len(set(map(tuple, cut))) > 10
+
+
 def test_agendas_agree():
     m = pieces.model()
     found = sorted({w for t in texts(6) if t for w in pieces.WORD.findall(" " + t) if len(w) <= pieces.LONG})
