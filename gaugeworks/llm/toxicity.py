@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
         labels.where("doc_id is not null and toxic in (0, 1)")
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic")),
+        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi"),  # the sample is drawn from labels with a document
         "toxic-labels",
     )
     told = joined(docs.select("doc_id", "text"), known, ["doc_id"], "inner")

@@ -51,6 +51,15 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert (a[0] == b[0]).all() and a[1] == b[1]
 
 
+def test_toxicity_ignores_labels_without_a_document(spark):
+    rows = [(i, "awful rotten thing" if i % 2 else "kind gentle thing", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    absent = spark.range(1000, 9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    a, b = toxicity.train(docs, labels, 5), toxicity.train(docs, labels.union(absent), 5)
+    assert (a[0] == b[0]).all() and a[1] == b[1] and np.isfinite(b[1])
+
+
 def test_languages_on_held_out_documents(spark):
     out = language.op6_compression_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
     rows = out.where("held_out").collect()
