@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm import (
+    collocations,
     embedding_dedup,
     language,
     line_dedup,
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_multiprobe_neighbours": neighbours.op9_multiprobe_neighbours,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_embedding_near_dedup": embedding_dedup.OP3_SQL,
     "op5_ngram_join": ngram_join.OP5_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
