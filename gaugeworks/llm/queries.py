@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm import (
+    chunk_bpe,
     collocations,
     embedding_dedup,
     language,
+    lexical_search,
     line_dedup,
     neighbours,
     ngram_join,
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_multiprobe_neighbours": neighbours.op9_multiprobe_neighbours,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_collocations": collocations.op11_collocations,
+    "op12_chunk_bpe": chunk_bpe.op12_chunk_bpe,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -39,4 +43,5 @@ ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": embedding_dedup.OP3_SQL,
     "op5_ngram_join": ngram_join.OP5_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
