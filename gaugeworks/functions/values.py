@@ -107,3 +107,37 @@ def bound_text(bound: float) -> str:
     else:
         body = format(Decimal((0, digits, exponent)), "f")
     return ("-" if sign else "") + body
+
+
+def bound_text_sql(bound: str) -> str:
+    """`bound_text` as SQL over an expression of type double.
+
+    The engine writes 1.5E7 where an exponent is wanted, and 1234567.5 or 0.00123 in between.
+    """
+    text = f"CAST(abs({bound}) AS STRING)"
+    # Digits and the power of ten of the first one, from either way of writing.
+    mantissa = "split(t, 'E')[0]"
+    shown = f"replace({mantissa}, '.', '')"
+    digits = f"regexp_replace(regexp_replace({shown}, '^0+', ''), '0+$', '')"
+    leading = f"length({shown}) - length(regexp_replace({shown}, '^0+', ''))"
+    power = (
+        f"instr({mantissa}, '.') - 2 - ({leading}) + coalesce(CAST(get(split(t, 'E'), 1) AS INT), 0)"
+    )
+    exponent = (
+        "concat(left(n.d, 1), CASE WHEN length(n.d) > 1 THEN concat('.', substring(n.d, 2)) ELSE '' END, "
+        "CASE WHEN n.p < 0 THEN 'e-' ELSE 'e+' END, CASE WHEN abs(n.p) < 10 THEN '0' ELSE '' END, abs(n.p))"
+    )
+    plain = (
+        "CASE WHEN n.p < 0 THEN concat('0.', repeat('0', -n.p - 1), n.d) "
+        "WHEN length(n.d) <= n.p + 1 THEN rpad(n.d, n.p + 1, '0') "
+        "ELSE concat(left(n.d, n.p + 1), '.', substring(n.d, n.p + 2)) END"
+    )
+    finite = (
+        f"get(transform(array({text}), t -> get(transform(array(named_struct('d', {digits}, 'p', {power})), n -> "
+        f"CASE WHEN n.d = '' THEN '0' WHEN n.p < -4 OR n.p >= 6 THEN {exponent} ELSE {plain} END), 0)), 0)"
+    )
+    return (
+        f"CASE WHEN isnan({bound}) THEN 'NaN' WHEN {bound} = CAST('Infinity' AS DOUBLE) THEN '+Inf' "
+        f"WHEN {bound} = CAST('-Infinity' AS DOUBLE) THEN '-Inf' "
+        f"ELSE concat(CASE WHEN {bound} < 0 THEN '-' ELSE '' END, {finite}) END"
+    )

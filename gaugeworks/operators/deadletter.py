@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from datetime import date
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +20,17 @@ from gaugeworks.model import (
     ERR_THROTTLED,
 )
 from gaugeworks.session import written
+from gaugeworks.sources.ledger import Conflict, Ledger, Snapshot
 
 _NO_LABELS = "map<string,string>"
 
+#: The ledger's table of dead letters, and how often a rewrite that others disturb is begun.
+TABLE = "dead_letters"
+ATTEMPTS = 5
+
+#: Versions whose letters can still be read.
+KEEP_VERSIONS = 8
+
 
 def to_dlq(
     batches: DataFrame,
@@ -60,15 +67,39 @@ def to_dlq(
     )
 
 
+def put_letters(ledger: Ledger, dlq: DataFrame) -> dict[str, str]:
+    """Write letters; slots `day/write` and their folders, one per day, that no version names yet."""
+    dated = dlq.withColumn("day", F.to_date("timestamp"))
+    folder = ledger.write(dated, TABLE, ["day"])
+    # As many as there are folders.
+    found = ledger.spark.read.schema(f"{DEAD_LETTER}, day date").parquet(f"{ledger.path}/{folder}")
+    days = found.select(F.col("day").cast("string")).distinct()
+    write = folder.rsplit("=", 1)[-1]
+    return {f"{d}/{write}": f"{folder}/day={d or '__HIVE_DEFAULT_PARTITION__'}" for (d,) in days.collect()}
+
+
 def write_dlq(dlq: DataFrame, path: str) -> None:
-    """Append, one folder per day, so replay and retention read only their days."""
-    dlq.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy(
-        "day"
-    ).parquet(path)
+    """Append to the table at `path`, one folder per day, so replay and retention read only their days."""
+    ledger = Ledger(dlq.sparkSession, path)
+    put = put_letters(ledger, dlq)
+    if put:
+        ledger.commit(ledger.snapshot(), {TABLE: put})
+
 
+def read_dlq(spark: SparkSession, path: str, snapshot: Snapshot | None = None) -> DataFrame:
+    """The letters at `path`, as of now or of a snapshot of its ledger."""
+    ledger = Ledger(spark, path)
+    return _letters(ledger, (snapshot or ledger.snapshot()).of(TABLE).values())
 
-def read_dlq(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.read.schema(f"{DEAD_LETTER}, day date").format(format).load(path)
+
+def _letters(ledger: Ledger, folders: Iterable[str]) -> DataFrame:
+    schema = f"{DEAD_LETTER}, day date"
+    paths = [f"{ledger.path}/{f}" for f in folders]
+    if not paths:
+        return ledger.spark.createDataFrame([], schema)
+    reader = ledger.spark.read.schema(schema).option("basePath", f"{ledger.path}/{TABLE}")
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return reader.parquet(*paths).select(*columns)
 
 
 def read_dlq_json(spark: SparkSession, path: str) -> DataFrame:
@@ -258,20 +289,29 @@ def delete_replayed(
     return dlq.join(gone, same, "left_anti")
 
 
-def replace_days(spark: SparkSession, path: str, left: DataFrame, days: Sequence[date]) -> None:
-    """Rewrite the folders of `days` with the rows of `left` on them, and no other folder."""
-    left = written(left.filter(F.col("day").isin(*days)), "dlq-days")
-    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "day"
-    ).parquet(path)
-    filled = {row.day for row in left.select("day").distinct().collect()}
-    for day in set(days) - filled:
-        left.drop("day").limit(0).write.mode("overwrite").parquet(f"{path}/day={day}")
-
+def _rewrite(
+    spark: SparkSession, path: str, concerns: Callable[[str], bool], left: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Replace the folders of some days with what is `left` of their rows.
 
-def _days(rows: DataFrame) -> list[date]:
-    """The days of some rows: as many as there are folders."""
-    return [row.day for row in rows.select("day").distinct().collect()]
+    Letters appended meanwhile are in other folders and stay. Where somebody else has rewritten the
+    same folder, this starts anew on what is there now.
+    """
+    ledger = Ledger(spark, path)
+    for attempt in range(ATTEMPTS):
+        base = ledger.snapshot()
+        old = {s: f for s, f in base.of(TABLE).items() if concerns(s.split("/")[0])}
+        if not old:
+            return
+        put = put_letters(ledger, left(_letters(ledger, old.values())).drop("day"))
+        try:
+            ledger.commit(base, {TABLE: put}, {TABLE: old})
+        except Conflict:
+            if attempt + 1 == ATTEMPTS:
+                raise
+            continue
+        ledger.vacuum(KEEP_VERSIONS)
+        return
 
 
 def delete_replayed_at(
@@ -279,21 +319,18 @@ def delete_replayed_at(
 ) -> None:
     """Delete replayed letters from the table at `path`; only their days are read and replaced."""
     gone = written(replayed.select(*key, F.to_date("timestamp").alias("day")), "replayed")
-    days = _days(gone)
-    if days:
-        table = read_dlq(spark, path).filter(F.col("day").isin(*days))
-        replace_days(spark, path, delete_replayed(table, gone, key), days)
+    days = {str(row.day) for row in gone.select("day").distinct().collect()}
+    _rewrite(spark, path, days.__contains__, lambda letters: delete_replayed(letters, gone, key))
 
 
 def retain_at(spark: SparkSession, path: str, hours: float, now: Column) -> None:
     """Delete letters more than `hours` old from the table at `path`: the days before, and of
-    the day in which the bound falls the part before it."""
-    cut = F.to_date(F.timestamp_micros(micros(now) - F.lit(int(hours * 3_600_000_000))))
-    table = read_dlq(spark, path)
-    old = table.filter(F.col("day") <= cut)
-    days = _days(old)
-    if days:
-        replace_days(spark, path, retain(old, hours, now), days)
+    the day in which the bound falls the part before it. Letters without a time go, as in `retain`."""
+    first = F.to_date(F.timestamp_micros(micros(now) - F.lit(int(hours * 3_600_000_000))))
+    cut = str(spark.range(1).select(first).first()[0])
+    _rewrite(
+        spark, path, lambda day: day == "None" or day <= cut, lambda letters: retain(letters, hours, now)
+    )
 
 
 def retain(dlq: DataFrame, hours: float, now: Column) -> DataFrame:

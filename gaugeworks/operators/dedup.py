@@ -467,18 +467,23 @@ def empty_store(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame
     )
 
 
+def kept_entries(kept: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """What `kept` changes in a store: the last kept time of each of its keys."""
+    return (
+        dedup_key(kept, keys)
+        .filter(F.col("has_all_keys") & F.col(ts).isNotNull())
+        .groupBy("dedup_key")
+        .agg(F.max(F.col(ts).cast("timestamp")).alias("last_kept"))
+    )
+
+
 def next_store(
     seen: DataFrame, kept: DataFrame, keys: Sequence[str], ts: str = "ts"
 ) -> DataFrame:
     """The store after `kept`: the last kept time of every key."""
-    latest = (
-        dedup_key(kept, keys)
-        .filter(F.col("has_all_keys") & F.col(ts).isNotNull())
-        .select("dedup_key", F.col(ts).alias("last_kept"))
-    )
     return (
         seen.select("dedup_key", "last_kept")
-        .unionByName(latest)
+        .unionByName(kept_entries(kept, keys, ts))
         .groupBy("dedup_key")
         .agg(F.max("last_kept").alias("last_kept"))
     )

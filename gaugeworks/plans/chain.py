@@ -134,9 +134,12 @@ def judge(batches: DataFrame, config: ChainConfig) -> DataFrame:
     ).drop("violation", "_leaks")
 
 
-def clean_points(decided: DataFrame, config: ChainConfig) -> DataFrame:
+def clean_points(
+    decided: DataFrame, config: ChainConfig, deduplicate: Stage | None = None
+) -> DataFrame:
     """Points of the batches that came through: enrich, hash, dedup, labels, classify, filter,
-    sample, route (one row per point and target, in `target`), then the stages given."""
+    sample, route (one row per point and target, in `target`), then the stages given.
+    `deduplicate` takes the place of the configured deduplication."""
     good = decided.filter(F.col("status") == STATUS_SUCCESS)
     points = flat_points(
         good.drop("status", "error_code", "error_message", "sent_to_dlq", "data")
@@ -145,7 +148,9 @@ def clean_points(decided: DataFrame, config: ChainConfig) -> DataFrame:
         points = points.transform(stage)
     if config.pii is not None:
         points = points.withColumn("labels", hash_pii_labels(F.col("labels"), config.pii))
-    if config.dedup is not None and config.dedup.enabled:
+    if deduplicate is not None:
+        points = points.transform(deduplicate)
+    elif config.dedup is not None and config.dedup.enabled:
         ttl, keys = config.dedup.ttl, list(config.dedup.keys)
         if config.replay_bypasses_dedup:
             replay = F.coalesce("replay", F.lit(False))
@@ -180,6 +185,7 @@ def run_chain(
     now: Column | None = None,
     forward: Column | None = None,
     dlq_ok: Column | None = None,
+    deduplicate: Stage | None = None,
 ) -> ChainResult:
     """Lazy results over one written table of decided batches.
 
@@ -209,7 +215,7 @@ def run_chain(
         ),
         "decided",
     )
-    points = clean_points(decided, config)
+    points = clean_points(decided, config, deduplicate)
     output = (
         aggregate(
             points,

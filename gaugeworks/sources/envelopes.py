@@ -1,25 +1,30 @@
 """Landed batches and the payload shapes inside them.
 
-A payload is decoded once, by one `from_json`, whatever its shape:
+A payload is decoded by one `from_json`, whatever its shape:
 
 * a bare array of points, or `{"metrics": [points]}`;
 * resources, as `resource_metrics` / `scope_metrics` or `resourceMetrics` / `scopeMetrics`, whose
   attributes are a map or a list of keys and values, and whose metrics are points or hold data
-  points under `gauge`, `sum` or `histogram`;
+  points under `gauge`, `sum`, `histogram`, `exponentialHistogram` or `summary`;
 * Prometheus series, `{"timeseries": [{"labels", "samples"}]}`; format `prometheus` asks for them.
 
-An empty object and null hold no points. Any other object, a format that is not known and a
-payload that cannot be decoded yield no points and come out of `split_malformed` as error rows.
+An empty object and null hold no points. Any other object, a format that is not known, a metric of a
+resource that has neither data points of a kind known nor a value, and a payload that cannot be
+decoded yield no points and come out of `split_malformed` as error rows. No payload ends the job.
+
+Of repeated keys the last holds, in labels and in attributes. A time that is missing, or none that a
+timestamp can hold, is the time of receipt. Histograms give `_count`, `_sum` and cumulative `_bucket`
+points with the label `le`; summaries `_count`, `_sum` and a point for each quantile, with the label
+`quantile`. Bounds are written as `bound_text` writes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import instant
+from gaugeworks.functions.values import bound_text_sql
 from gaugeworks.model import (
     ENVELOPE,
     ERR_INVALID_INPUT,
@@ -27,20 +32,26 @@ from gaugeworks.model import (
     POINT_JSON,
 )
 
+_BUCKETS = "struct<offset:double,bucketCounts:array<string>,bucket_counts:array<string>>"
+_QUANTILES = "array<struct<quantile:double,value:double>>"
 _DATA_POINT = (
-    "struct<attributes:variant,timeUnixNano:string,time_unix_nano:string,"
+    "struct<attributes:string,timeUnixNano:string,time_unix_nano:string,"
     "asDouble:double,as_double:double,asInt:string,as_int:string,count:string,sum:double,"
     "bucketCounts:array<string>,bucket_counts:array<string>,"
-    "explicitBounds:array<double>,explicit_bounds:array<double>>"
+    "explicitBounds:array<double>,explicit_bounds:array<double>,"
+    "scale:double,zeroCount:string,zero_count:string,zeroThreshold:double,zero_threshold:double,"
+    f"positive:{_BUCKETS},negative:{_BUCKETS},"
+    f"quantileValues:{_QUANTILES},quantile_values:{_QUANTILES}>"
 )
 _DATA = f"struct<dataPoints:array<{_DATA_POINT}>,data_points:array<{_DATA_POINT}>>"
 _METRIC = (
     "struct<id:bigint,ts:bigint,name:string,value:double,labels:map<string,string>,"
-    f"gauge:{_DATA},sum:{_DATA},histogram:{_DATA}>"
+    f"gauge:{_DATA},sum:{_DATA},histogram:{_DATA},summary:{_DATA},"
+    f"exponentialHistogram:{_DATA},exponential_histogram:{_DATA}>"
 )
 _SCOPES = f"array<struct<metrics:array<{_METRIC}>>>"
 _RESOURCE = (
-    f"struct<resource:struct<attributes:variant>,metrics:array<{_METRIC}>,"
+    f"struct<resource:struct<attributes:string>,metrics:array<{_METRIC}>,"
     f"scope_metrics:{_SCOPES},scopeMetrics:{_SCOPES}>"
 )
 _SERIES = "struct<labels:map<string,string>,samples:array<struct<timestamp:bigint,value:double>>>"
@@ -57,6 +68,9 @@ _POINTS = f"array<{POINT_JSON}>"
 MEMBERS = ("metrics", "resource_metrics", "resourceMetrics", "timeseries")
 FORMATS = ("json", "otlp", "prometheus")
 
+# The first and last microsecond that a point's time may be.
+POSSIBLE_US = (-62_135_596_800_000_000, 253_402_300_799_999_999)
+
 # The code each stage gives an undecodable payload.
 DECODE_ERRORS = {"aggregate": ERR_INVALID_INPUT, "dedup": ERR_PROCESSING_FAILED}
 
@@ -81,123 +95,172 @@ def _is_one_value(text: Column) -> Column:
     return F.coalesce(one, F.lit(False))
 
 
-def _each(items: Column, kind: str, of: Callable[[Column], Column]) -> Column:
-    """The points of every item, laid end to end; null items have none."""
-    found = F.transform(F.coalesce(items, F.array().cast(f"array<{kind}>")), of)
-    return F.flatten(F.filter(found, lambda points: points.isNotNull()))
+# The decoder is one SQL text, so that building it is one call however large it is. The functions
+# below each write a part of it; what is used more than once is bound by a lambda.
 
+_NO_LABELS = "CAST(map() AS MAP<STRING,STRING>)"
 
-def _with_labels(points: Column, labels: Column) -> Column:
-    """Resource attributes under the points' own labels (the point wins)."""
 
-    def merged(p: Column) -> Column:
-        own = F.coalesce(p["labels"], F.create_map().cast("map<string,string>"))
-        outer = F.coalesce(labels, F.create_map().cast("map<string,string>"))
-        return p.withField(
-            "labels",
-            F.map_concat(
-                F.map_filter(outer, lambda k, _: ~F.map_contains_key(own, k)), own
-            ),
-        )
+def _bind(value: str, name: str, body: str) -> str:
+    """body, with `name` for the value."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    return F.transform(points, merged)
-
-
-def _attributes(value: Column) -> Column:
-    """A map of attributes, or a list of keys and typed values; of equal keys the first."""
-    listed = F.try_variant_get(value, "$", "array<struct<key:string,value:map<string,string>>>")
-    listed = F.filter(listed, lambda e: e["key"].isNotNull())
-    first = F.filter(listed, lambda e, i: F.array_position(F.transform(listed, lambda o: o["key"]), e["key"]) == i + 1)
-    return F.coalesce(
-        F.try_variant_get(value, "$", "map<string,string>"),
-        F.map_from_entries(
-            F.transform(
-                first,
-                lambda e: F.struct(e["key"].alias("k"), F.get(F.map_values(e["value"]), F.lit(0)).alias("v")),
-            )
-        ),
-    )
 
+def _list(*arrays: str) -> str:
+    """Arrays laid end to end; one that is null is empty."""
+    if len(arrays) == 1:
+        return f"coalesce({arrays[0]}, array())"
+    return f"concat({', '.join(f'coalesce({a}, array())' for a in arrays)})"
 
-def _point(name: Column, value: Column, at: Column, labels: Column) -> Column:
-    return F.struct(
-        F.lit(None).cast("bigint").alias("id"),
-        at.cast("bigint").alias("ts"),
-        name.alias("name"),
-        value.cast("double").alias("value"),
-        labels.alias("labels"),
-    ).cast(POINT_JSON)
 
+def _each(items: str, name: str, of: str) -> str:
+    return f"flatten(transform({items}, {name} -> {of}))"
 
-def _data_point(metric: Column, d: Column) -> Column:
-    at = F.floor(F.coalesce(d["timeUnixNano"], d["time_unix_nano"]).try_cast("decimal(20,0)") / 1000)
-    value = F.coalesce(
-        d["asDouble"], d["as_double"], d["asInt"].try_cast("double"), d["as_int"].try_cast("double")
-    )
-    return F.array(_point(metric["name"], value, at, _attributes(d["attributes"])))
 
+def _last_of(entries: str, key: str, value: str) -> str:
+    """A map of entries; of repeated keys the last. An entry without a key is none."""
+    later = f"transform(slice({entries}, i + 2, size({entries})), o -> o.{key})"
+    kept = f"filter({entries}, (e, i) -> e.{key} IS NOT NULL AND NOT array_contains({later}, e.{key}))"
+    return f"map_from_entries(transform({kept}, e -> struct(e.{key}, {value})))"
 
-def _histogram_points(metric: Column, d: Column) -> Column:
-    """Count, sum, and cumulative buckets under `le`."""
-    at = F.floor(F.coalesce(d["timeUnixNano"], d["time_unix_nano"]).try_cast("decimal(20,0)") / 1000)
-    labels = F.coalesce(_attributes(d["attributes"]), F.create_map().cast("map<string,string>"))
-    counts = F.transform(
-        F.coalesce(d["bucketCounts"], d["bucket_counts"]), lambda c: c.try_cast("double")
-    )
-    bounds = F.coalesce(d["explicitBounds"], d["explicit_bounds"])
-    named = lambda suffix: F.concat(metric["name"], F.lit(suffix))
-
-    def bucket(_: Column, j: Column) -> Column:
-        le = F.coalesce(F.get(bounds, j).cast("string"), F.lit("+Inf"))
-        under = F.map_concat(F.map_filter(labels, lambda k, _: k != "le"), F.create_map(F.lit("le"), le))
-        total = F.aggregate(F.slice(counts, 1, j + 1), F.lit(0.0), lambda a, c: a + F.coalesce(c, F.lit(0.0)))
-        return _point(named("_bucket"), total, at, under)
-
-    return F.concat(
-        F.array(
-            _point(named("_count"), d["count"].try_cast("double"), at, labels),
-            _point(named("_sum"), d["sum"], at, labels),
-        ),
-        F.coalesce(F.transform(counts, bucket), F.array().cast(_POINTS)),
-    )
 
+def _once(labels: str) -> str:
+    """A parsed map as it is, or with each key once."""
+    repeated = f"size(array_distinct(map_keys({labels}))) < size({labels})"
+    return f"CASE WHEN {repeated} THEN {_bind(f'map_entries({labels})', 'es', _last_of('es', 'key', 'e.value'))} ELSE {labels} END"
 
-def _metric_points(metric: Column) -> Column:
-    """The data points of a metric, or the metric as a point."""
 
-    def data(kind: str) -> Column:
-        return F.coalesce(metric[kind]["dataPoints"], metric[kind]["data_points"])
+def _attributes(text: str) -> str:
+    """A map of attributes, or a list of keys and typed values."""
+    as_map = _bind(f"from_json({text}, 'map<string,string>')", "am", _once("am"))
+    listed = f"from_json({text}, 'array<struct<key:string,value:map<string,string>>>')"
+    as_list = _bind(listed, "al", _last_of("al", "key", "get(map_values(e.value), 0)"))
+    return f"CASE WHEN startswith({text}, '[') THEN {as_list} ELSE {as_map} END"
 
-    own = F.struct(*[metric[c].alias(c) for c in ("id", "ts", "name", "value", "labels")]).cast(POINT_JSON)
-    single = lambda d: _data_point(metric, d)
-    deep = F.concat(
-        _each(data("gauge"), _DATA_POINT, single),
-        _each(data("sum"), _DATA_POINT, single),
-        _each(data("histogram"), _DATA_POINT, lambda d: _histogram_points(metric, d)),
-    )
-    plain = metric["gauge"].isNull() & metric["sum"].isNull() & metric["histogram"].isNull()
-    return F.when(plain, F.array(own)).otherwise(deep)
 
+def _point(name: str, value: str, at: str, labels: str, id: str = "CAST(NULL AS BIGINT)") -> str:
+    return f"named_struct('id', {id}, 'ts', {at}, 'name', {name}, 'value', {value}, 'labels', {labels})"
 
-def _resource_points(resource: Column) -> Column:
-    def scoped(member: str) -> Column:
-        kind = f"struct<metrics:array<{_METRIC}>>"
-        return _each(resource[member], kind, lambda s: _each(s["metrics"], _METRIC, _metric_points))
 
-    points = F.concat(
-        _each(resource["metrics"], _METRIC, _metric_points),
-        scoped("scope_metrics"),
-        scoped("scopeMetrics"),
-    )
-    return _with_labels(points, _attributes(resource["resource"]["attributes"]))
+def _number(text: str) -> str:
+    return f"try_cast({text} AS DOUBLE)"
+
+
+def _under(key: str, value: str) -> str:
+    """A data point's labels with one more laid over them."""
+    rest = f"map_filter(coalesce(z.own, {_NO_LABELS}), (k, v) -> k <> '{key}')"
+    return f"map_concat({rest}, map('{key}', {value}))"
+
+
+def _named(suffix: str) -> str:
+    return f"concat(m.name, '{suffix}')"
+
+
+_SINGLE = _point(
+    "m.name",
+    f"coalesce(d.asDouble, d.as_double, {_number('d.asInt')}, {_number('d.as_int')})",
+    "z.at",
+    "z.own",
+)
+_COUNT_AND_SUM = (
+    f"array({_point(_named('_count'), _number('d.count'), 'z.at', 'z.own')}, "
+    f"{_point(_named('_sum'), 'd.sum', 'z.at', 'z.own')})"
+)
+# Buckets as (le, n), cumulated; the one without a bound is last.
+_CUMULATED = (
+    "aggregate(slice(bs, 1, j + 1), 0D, (a, x) -> a + coalesce(x.n, 0D))"
+)
+
+
+def _buckets(series: str) -> str:
+    bucket = _point(_named("_bucket"), _CUMULATED, "z.at", _under("le", bound_text_sql("b.le")))
+    return _bind(series, "bs", f"transform(bs, (b, j) -> {bucket})")
 
 
-def _series_points(series: Column) -> Column:
-    labels = F.map_filter(series["labels"], lambda k, _: k != "__name__")
-    return F.transform(
-        series["samples"],
-        lambda x: _point(series["labels"]["__name__"], x["value"], x["timestamp"] * 1000, labels),
+_HISTOGRAM = _buckets(
+    "transform(coalesce(d.bucketCounts, d.bucket_counts, array()), (c, i) -> named_struct("
+    "'le', coalesce(get(coalesce(d.explicitBounds, d.explicit_bounds), i), CAST('Infinity' AS DOUBLE)), "
+    f"'n', {_number('c')}))"
+)
+# Bucket i of a scale ends at base ** (offset + i + 1); negative ones mirror it.
+_EXPONENTIAL = _buckets(
+    "concat("
+    "transform(reverse(coalesce(d.negative.bucketCounts, d.negative.bucket_counts, array())), (c, i) -> named_struct("
+    "'le', -power(2D, power(2D, -coalesce(d.scale, 0D)) * (coalesce(d.negative.offset, 0D)"
+    " + size(coalesce(d.negative.bucketCounts, d.negative.bucket_counts, array())) - 1 - i)), "
+    f"'n', {_number('c')})), "
+    "array(named_struct('le', coalesce(d.zeroThreshold, d.zero_threshold, 0D), "
+    f"'n', {_number('coalesce(d.zeroCount, d.zero_count)')})), "
+    "transform(coalesce(d.positive.bucketCounts, d.positive.bucket_counts, array()), (c, i) -> named_struct("
+    "'le', power(2D, power(2D, -coalesce(d.scale, 0D)) * (coalesce(d.positive.offset, 0D) + i + 1)), "
+    f"'n', {_number('c')})), "
+    "array(named_struct('le', CAST('Infinity' AS DOUBLE), 'n', 0D)))"
+)
+_SUMMARY = (
+    "transform(coalesce(d.quantileValues, d.quantile_values, array()), q -> "
+    + _point("m.name", "q.value", "z.at", _under("quantile", bound_text_sql("q.quantile")))
+    + ")"
+)
+_TIME = (
+    "CAST(floor(try_cast(coalesce(d.timeUnixNano, d.time_unix_nano) AS DECIMAL(20,0)) / 1000) AS BIGINT)"
+)
+_KINDS = ("gauge", "sum", "histogram", "summary", "exponentialHistogram", "exponential_histogram")
+
+
+def _data(kinds: str, of: str) -> str:
+    """The points of each data point of these kinds; its time and labels are built once."""
+    bound = _bind(f"named_struct('at', {_TIME}, 'own', {_attributes('d.attributes')})", "z", of)
+    both = [f"m.{kind}.{spelt}" for kind in kinds.split() for spelt in ("dataPoints", "data_points")]
+    return _each(_list(*both), "d", bound)
+
+
+_NO_KIND = " AND ".join(f"m.{kind} IS NULL" for kind in _KINDS)
+_METRIC_POINTS = (
+    f"CASE WHEN {_NO_KIND} THEN array({_point('m.name', 'm.value', 'm.ts', _once('m.labels'), 'm.id')}) ELSE concat("
+    + ", ".join(
+        [
+            _data("gauge sum", f"array({_SINGLE})"),
+            _data("histogram", f"concat({_COUNT_AND_SUM}, {_HISTOGRAM})"),
+            _data("exponentialHistogram exponential_histogram", f"concat({_COUNT_AND_SUM}, {_EXPONENTIAL})"),
+            _data("summary", f"concat({_COUNT_AND_SUM}, {_SUMMARY})"),
+        ]
     )
+    + ") END"
+)
+_METRICS = _list("r.metrics", _each(_list("r.scope_metrics", "r.scopeMetrics"), "s", _list("s.metrics")))
+# Resource attributes lie under the points' own labels.
+_OVER = (
+    "CASE WHEN coalesce(size(o), 0) = 0 THEN p.labels ELSE map_concat("
+    "map_filter(o, (k, v) -> NOT coalesce(map_contains_key(p.labels, k), false)), coalesce(p.labels, " + _NO_LABELS + ")) END"
+)
+_RESOURCE_POINTS = _bind(
+    _attributes("r.resource.attributes"),
+    "o",
+    f"transform({_each(_METRICS, 'm', _METRIC_POINTS)}, p -> {_point('p.name', 'p.value', 'p.ts', _OVER, 'p.id')})",
+)
+_RESOURCES = _list("_doc.body.resource_metrics", "_doc.body.resourceMetrics")
+_SAMPLES = _bind(
+    _once("s.labels"),
+    "l",
+    "transform(coalesce(s.samples, array()), x -> "
+    + _point("l['__name__']", "x.value", "try_multiply(x.timestamp, 1000L)", "map_filter(l, (k, v) -> k <> '__name__')")
+    + ")",
+)
+# Rebuilt only where some point repeats a label.
+_PLAIN = _bind(
+    "coalesce(_doc.points, _doc.body.metrics)",
+    "ps",
+    "CASE WHEN exists(ps, p -> size(array_distinct(map_keys(p.labels))) < size(p.labels)) THEN "
+    f"transform(ps, p -> {_point('p.name', 'p.value', 'p.ts', _once('p.labels'), 'p.id')}) ELSE ps END",
+)
+_FOUND = (
+    f"CASE WHEN _doc.points IS NOT NULL THEN {_PLAIN} ELSE concat("
+    f"coalesce({_PLAIN}, array()), {_each(_RESOURCES, 'r', _RESOURCE_POINTS)}, "
+    f"{_each(_list('_doc.body.timeseries'), 's', _SAMPLES)}) END"
+)
+# A metric that has neither a kind known nor a value would be a value made up.
+_UNREAD = f"exists({_RESOURCES}, r -> exists({_METRICS}, m -> {_NO_KIND} AND m.value IS NULL))"
+_ANY = " OR ".join(f"_doc.body.{member} IS NOT NULL" for member in MEMBERS)
 
 
 def decode(batches: DataFrame) -> DataFrame:
@@ -213,49 +276,44 @@ def decode(batches: DataFrame) -> DataFrame:
         _DOCUMENT,
         _CORRUPT,
     )
-    nothing = F.array().cast(_POINTS)
-    doc, body = F.col("_doc"), F.col("_doc")["body"]
-    found = F.coalesce(
-        doc["points"],
-        F.concat(
-            F.coalesce(body["metrics"], nothing),
-            _each(body["resource_metrics"], _RESOURCE, _resource_points),
-            _each(body["resourceMetrics"], _RESOURCE, _resource_points),
-            _each(body["timeseries"], _SERIES, _series_points),
-        ),
-    )
-    # Null for an array and for null; members that say nothing known are an error.
-    members = F.json_object_keys(text)
-    known = F.size(members).isNull() | (F.size(members) <= 0) | F.arrays_overlap(
-        members, F.array(*map(F.lit, MEMBERS))
+    # Only a payload without any known member is read for the names of its members: null for an
+    # array and for null; names that say nothing known are an error.
+    names = "json_object_keys(CAST(data AS STRING))"
+    members = ", ".join(f"'{m}'" for m in MEMBERS)
+    known = (
+        f"_doc.points IS NOT NULL OR {_ANY} OR "
+        f"{_bind(names, 'ns', f'coalesce(size(ns) <= 0 OR arrays_overlap(ns, array({members})), true)')}"
     )
     if "format" in batches.columns:
-        form = F.coalesce(F.lower("format"), F.lit("json"))
-        series = F.array_contains(members, "timeseries")
-        known = known & form.isin(*FORMATS) & (
-            (form != "prometheus") | F.coalesce(series, F.ltrim(text) == "null")
+        formats = ", ".join(f"'{f}'" for f in FORMATS)
+        series = (
+            f"_doc.body.timeseries IS NOT NULL OR coalesce(array_contains({names}, 'timeseries'), "
+            "ltrim(CAST(data AS STRING)) = 'null')"
         )
-    ok = F.col("_one") & doc["undecoded"].isNull() & F.col("_known")
+        form = "lower(coalesce(format, 'json'))"
+        known = f"({known}) AND {form} IN ({formats}) AND ({form} <> 'prometheus' OR {series})"
+    ok = f"_one AND _doc.undecoded IS NULL AND ({known}) AND NOT {_UNREAD}"
     return (
         batches.withColumn("_one", _is_one_value(text))
-        .withColumn("_known", F.coalesce(known, F.lit(True)))
         .withColumn("_doc", document)
-        .withColumn("malformed", ~F.coalesce(ok, F.lit(False)))
-        .withColumn("points", F.when(ok, found))
-        .drop("_one", "_doc", "_known")
+        .withColumn("malformed", F.expr(f"NOT coalesce({ok}, false)"))
+        .withColumn("points", F.expr(f"CASE WHEN NOT malformed THEN CAST({_FOUND} AS {_POINTS}) END"))
+        .drop("_one", "_doc")
     )
 
 
 def flat_points(decoded: DataFrame) -> DataFrame:
     """One row per point, each with an id and a time.
 
-    A point without an id gets one from its batch and place; one without a time gets the time
-    of receipt: the column `received` where there is one, otherwise now.
+    A point without an id gets one from its batch and place; one without a time, or with one
+    outside the years 1 to 9999, gets the time of receipt: the column `received` where there is
+    one, otherwise now.
     """
     carried = [
         c for c in decoded.columns if c not in ("points", "malformed", "data", "received")
     ]
     received = F.col("received") if "received" in decoded.columns else F.current_timestamp()
+    possible = F.col("p.ts").between(*POSSIBLE_US)
     # The outer form keeps the optimizer from decoding again for a null check.
     exploded = decoded.select(
         *carried, received.alias("_received"), F.posexplode_outer("points").alias("pos", "p")
@@ -264,7 +322,7 @@ def flat_points(decoded: DataFrame) -> DataFrame:
         *carried,
         "pos",
         F.coalesce(F.col("p.id"), F.xxhash64("batch_id", "pos")).alias("id"),
-        F.coalesce(instant(F.col("p.ts")), F.col("_received")).alias("ts"),
+        F.coalesce(F.when(possible, instant(F.col("p.ts"))), F.col("_received")).alias("ts"),
         F.coalesce("p.name", F.lit("")).alias("name"),
         F.coalesce("p.value", F.lit(0.0)).alias("value"),
         F.coalesce(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gaugeworks.functions.clock import instant, micros, parse_duration
 from gaugeworks.functions.values import hashable
@@ -17,46 +18,122 @@ from gaugeworks.operators.dedup import (
     HEAVY_KEY_ROWS,
     dedup_against_store,
     dedup_key,
-    empty_store,
     expire_seen,
     follow,
-    next_store,
+    kept_entries,
 )
+from gaugeworks.sources.ledger import Ledger, Snapshot
 
+#: Rows of a key, of different times, that a worker holds before it lays them down by slice.
+HELD_ROWS = 50_000
 
-def _keep(ttl: int, us: str, id: str, columns: list[str]):
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+#: Rows that are not compared with any other are dealt into so many groups.
+LANES = 256
+
+#: Runs whose entries lie apart in the store before they are put together.
+STORE_FANOUT = 8
+
+
+class KeepFirst(StatefulProcessor):
+    """One key's kept rows. State: its last kept time, with a timer for when that is of no more use.
+
+    Frames come in any order of time. Of each only the first row of a time can matter, and none
+    within the TTL of the last kept row. Where a key has more such rows in a trigger than are held,
+    they are laid down in the state by slices of one TTL, which are then followed in order of time,
+    one slice in memory at once.
+    """
+
+    def __init__(self, ttl: int, id: str, columns: Mapping[str, str], held_rows: int) -> None:
+        """columns: names in the frames, which hold no others than identifiers, to those of the rows."""
+        self.ttl, self.id, self.columns, self.held_rows = ttl, id, dict(columns), held_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last_kept", "us bigint")
+        self.slices = handle.getMapState("slices", "slice bigint", "rows binary")
+
+    def _named(self, frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[list(self.columns)].rename(columns=self.columns)
+
+    def _firsts(self, frames: list[pd.DataFrame], due: int | None) -> pd.DataFrame:
+        """The first row of each time that can still be kept, in order of time."""
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        if due is not None:
+            rows = rows[rows["us"].to_numpy() >= due]
+        times = rows["us"].to_numpy()
+        # As the batch operator orders them: a null id first, equal ids by the row's hash.
+        ids = pd.factorize(rows[self.id], sort=True)[0]
+        order = np.lexsort((rows["tie"].to_numpy(), ids, times))
+        times = times[order]
+        return rows.take(order[np.r_[True, times[1:] != times[:-1]]] if len(order) else order)
+
+    def _lay_down(self, rows: pd.DataFrame) -> None:
+        for slice_, part in rows.groupby(rows["us"] // self.ttl, sort=False):
+            key = (int(slice_),)
+            frames = [part]
+            if self.slices.containsKey(key):
+                frames.append(pickle.loads(self.slices.getValue(key)[0]))
+            self.slices.updateValue(key, (pickle.dumps(self._firsts(frames, None)),))
+
+    def _in_order(self, frames: Iterator[pd.DataFrame], due: int | None) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size, laid = 0, False
+        for frame in frames:
+            held.append(self._firsts([frame], due))
+            size += len(held[-1])
+            if size > self.held_rows:
+                held = [self._firsts(held, due)]
+                size = len(held[0])
+                if size > self.held_rows:
+                    self._lay_down(held[0])
+                    held, size, laid = [], 0, True
+        if not laid:
+            if held:
+                yield self._firsts(held, due)
             return
-        if key[-2]:
-            # Not compared with any other row.
-            yield from (f[columns] for f in frames)
+        if held:
+            self._lay_down(self._firsts(held, due))
+        for (slice_,) in sorted(tuple(k) for k in self.slices.keys()):
+            yield pickle.loads(self.slices.getValue((slice_,))[0])
+            self.slices.removeKey((slice_,))
+
+    def _wait(self, due: int, watermark: int) -> None:
+        """Once the watermark is past this time any row is new, state or not."""
+        self.handle.registerTimer(max(-(-due // 1000), watermark + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[-1] >= 0:
+            yield from (self._named(frame) for frame in rows)
             return
-        due = state.get[0] + ttl if state.exists else None
-        # Rows that cannot be kept go at once; the rest is at most one trigger's input.
-        held = [f if due is None else f[f[us].to_numpy() >= due] for f in frames]
-        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-        times = rows[us].to_numpy()
-        # As the batch operator orders them: a null id first, equal ids by the row's hash.
-        ids = pd.factorize(rows[id], sort=True)[0]
-        order = np.lexsort((rows["_tie"].to_numpy(), ids, times))
-        head = np.zeros(len(order), bool)
-        head[:1] = due is None
-        marks, due = follow(times[order], times[order] + ttl, head, due)
-        picked = order[marks]
-        if len(picked):
-            state.update((due - ttl,))
-        if due is not None:
-            # Once the watermark is past this time any row is new, state or not.
-            expiry = -(-due // 1000)
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        if len(picked):
-            yield rows[columns].take(picked)
+        before = self.last.get()[0] if self.last.exists() else None
+        due = None if before is None else before + self.ttl
+        for frame in self._in_order(rows, due):
+            times = frame["us"].to_numpy()
+            head = np.zeros(len(times), bool)
+            head[:1] = due is None
+            marks, due = follow(times, times + self.ttl, head, due)
+            if marks.any():
+                yield self._named(frame[marks])
+        if due is not None and due - self.ttl != before:
+            self.last.update((int(due - self.ttl),))
+            if before is None:
+                self._wait(due, timerValues.getCurrentWatermarkInMs())
 
-    return step
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.last.exists():
+            due = self.last.get()[0] + self.ttl
+            if -(-due // 1000) <= watermark:
+                self.last.clear()
+            else:
+                # The key was kept again since.
+                self._wait(due, watermark)
+        return iter([])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        us = int(initialState["last_us"].max())
+        self.last.update((us,))
+        self._wait(us + self.ttl, timerValues.getCurrentWatermarkInMs())
 
 
 def dedup_ttl_stream(
@@ -66,14 +143,19 @@ def dedup_ttl_stream(
     ts: str = "ts",
     id: str = "id",
     delay: str = "1 hour",
+    seen: DataFrame | None = None,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame:
     """The kept rows of a stream, exactly as the batch operator keeps them.
 
-    State is one time per key and survives restarts through the checkpoint. Input may
-    be out of order inside a micro-batch; across micro-batches a row older than the
-    key's last kept time plus `ttl` is a duplicate, and a row behind the watermark
-    (`delay` behind the newest row of the batches before) is dropped as late. Bound the
-    work of one trigger with maxFilesPerTrigger at the source.
+    State is one time per key, survives restarts through the checkpoint and goes when the watermark
+    has passed it by `ttl`. Input may be out of order inside a micro-batch; across micro-batches a row
+    older than the key's last kept time plus `ttl` is a duplicate, and a keyed row behind the watermark
+    (`delay` behind the newest row of the batches before) is dropped as late. Bound the work of one
+    trigger with maxFilesPerTrigger at the source.
+
+    `seen(dedup_key, last_kept)`, a store of the batch operators, is what the stream's first run
+    starts from. `stream_store` gives such a store back.
     """
     ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
     require(ttl > 0, "the deduplication TTL must be positive")
@@ -82,22 +164,91 @@ def dedup_ttl_stream(
     # Unkeyed and undated rows are dealt out by what they hold.
     alone = ~F.col("has_all_keys") | F.col(ts).isNull()
     tie = F.xxhash64(*hashable(keyed))
-    lane = F.when(alone, tie)
-    # Flat keys: a struct would be rebuilt for every row on its way to Python.
+    lane = F.when(alone, F.pmod(tie, F.lit(LANES))).otherwise(-1)
+    # Keys as text: a null among numbers would reach Python as a NaN, which equals nothing.
     names = keyed.schema["dedup_key"].dataType.names
-    flat = {f"_key{i}": F.col("dedup_key")[n] for i, n in enumerate(names)}
-    rows = keyed.withColumns(
-        {**flat, "_alone": alone, "_lane": lane, "_tie": tie, "_us": micros(ts)}
-    ).drop("has_all_keys", "dedup_key")
-    return rows.groupBy(*flat, "_alone", "_lane").applyInPandasWithState(
-        _keep(ttl, "_us", id, points.columns),
+    flat = [f"k{i}" for i in range(len(names))]
+    texts = [F.when(~alone, F.col("dedup_key")[n].cast("string")).alias(k) for k, n in zip(flat, names)]
+    columns = {f"c{i}": c for i, c in enumerate(points.columns)}
+    rows = keyed.select(
+        *texts,
+        lane.alias("lane"),
+        micros(ts).alias("us"),
+        tie.alias("tie"),
+        *[F.col(f"`{c}`").alias(k) for k, c in columns.items()],
+    )
+    initial = None
+    if seen is not None:
+        store = seen.select(
+            *[F.col("dedup_key")[n].cast("string").alias(k) for k, n in zip(flat, names)],
+            F.lit(-1).cast("bigint").alias("lane"),
+            micros("last_kept").alias("last_us"),
+        )
+        initial = store.groupBy(*flat, "lane")
+    of = {c: k for k, c in columns.items()}
+    return rows.groupBy(*flat, "lane").transformWithStateInPandas(
+        KeepFirst(ttl, of[id], columns, held_rows),
         outputStructType=points.schema,
-        stateStructType="last_kept bigint",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+        timeMode="EventTime",
+        initialState=initial,
     )
 
 
+def stream_store(points: DataFrame, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """The store (dedup_key, last_kept) that `dedup_ttl_stream` of rows like `points` has in its checkpoint.
+
+    Read while the stream isn't running; `expire_seen` tells the live entries from the expired, and the
+    batch operators go on from it.
+    """
+    spark = points.sparkSession
+    state = spark.read.format("statestore").option("stateVarName", "last_kept").load(checkpoint)
+    kind = dedup_key(points, keys).schema["dedup_key"].dataType
+    own = [F.col("key")[f"k{i}"].cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)]
+    return state.filter("key.lane < 0").select(
+        F.struct(*own).alias("dedup_key"), instant(F.col("value.us")).alias("last_kept")
+    )
+
+
+def store_schema(rows: DataFrame, keys: Sequence[str]) -> str:
+    kind = dedup_key(rows, keys).schema["dedup_key"].dataType.simpleString()
+    return f"dedup_key {kind}, last_kept timestamp"
+
+
+def read_store(ledger: Ledger, schema: str, snapshot: Snapshot) -> DataFrame:
+    """The last kept time of each key, over the runs whose entries lie apart."""
+    return ledger.read("seen", schema, snapshot).groupBy("dedup_key").agg(F.max("last_kept").alias("last_kept"))
+
+
+def _level(slot: str) -> int:
+    return int(slot.split("-")[0])
+
+
+def put_store(
+    ledger: Ledger, schema: str, snapshot: Snapshot, run: int, latest: DataFrame, horizon: int | None, ttl: int
+) -> tuple[dict[str, str], list[str]]:
+    """(slots to put, slots to drop) so that the store holds `latest`, the entries that a run changes.
+
+    A run writes its own entries. Where STORE_FANOUT slots of a level have come together they are
+    written as one of the next level, without what has expired by `horizon` (microseconds): an
+    entry is written as often as there are levels, and what a run writes follows its rows.
+    """
+    slots = dict(snapshot.of("seen"))
+    merged, level, parts = latest, 0, []
+    while True:
+        same = [s for s in slots if _level(s) == level]
+        if len(same) + 1 < STORE_FANOUT:
+            break
+        parts += same
+        level += 1
+    if parts:
+        older = ledger.read("seen", schema, snapshot, parts)
+        merged = older.unionByName(latest).groupBy("dedup_key").agg(F.max("last_kept").alias("last_kept"))
+        if horizon is not None:
+            merged = expire_seen(merged, instant(F.lit(horizon)), ttl)
+    return {f"{level}-{run}": ledger.write(merged, "seen")}, parts
+
+
 def dedup_stream_with_store(
     points: DataFrame,
     keys: Sequence[str],
@@ -112,30 +263,41 @@ def dedup_stream_with_store(
     """The same on large micro-batches: each is deduplicated by the batch operator
     against a stored table of keys, so heavy keys are spread over tasks here as well.
 
-    Run n reads version n - 1 of `path/seen` and replaces its own folders of
-    `path/kept` and `path/seen`, so a run repeated after a failure writes the same.
-    Rows more than `delay` behind the newest kept row of the runs before are late and
-    dropped, which is what lets entries expire. Processes everything available and
-    returns what is kept so far.
+    Kept rows and store are tables of a ledger at `path`, and each micro-batch is one version of
+    it: stopped anywhere, a run holds whole or not at all, and isn't done twice. What a run writes
+    follows its rows (`put_store`); two versions are kept. Rows more than `delay` behind the newest
+    kept row of the runs before are late and dropped, which is what lets entries expire. Processes
+    everything available and returns what is kept so far.
     """
     ttl = parse_duration(ttl) if isinstance(ttl, str) else ttl
     delay = parse_duration(delay) if isinstance(delay, str) else delay
+    ledger = Ledger(points.sparkSession, path)
+    schema = store_schema(points, keys)
 
     def step(rows: DataFrame, run: int) -> None:
-        spark = rows.sparkSession
-        before = empty_store(rows, keys, ts)
-        if run > 0:
-            before = spark.read.schema(before.schema).parquet(f"{path}/seen/run={run - 1}")
-        newest = before.agg(F.max(micros("last_kept"))).first()[0]
+        if ledger.done(run):
+            return
+        base = ledger.snapshot()
+        newest = base.notes.get("newest")
         if newest is not None:
             rows = rows.filter(F.col(ts).isNull() | (micros(ts) >= newest - delay))
-        kept, _ = dedup_against_store(rows, before, keys, ttl, ts, id, heavy_rows)
-        kept.write.mode("overwrite").parquet(f"{path}/kept/run={run}")
-        kept = spark.read.schema(points.schema).parquet(f"{path}/kept/run={run}")
-        store = next_store(before, kept, keys, ts)
-        if newest is not None:
-            store = expire_seen(store, instant(F.lit(newest - delay)), ttl)
-        store.write.mode("overwrite").parquet(f"{path}/seen/run={run}")
+        kept, _ = dedup_against_store(
+            rows, read_store(ledger, schema, base), keys, ttl, ts, id, heavy_rows
+        )
+        folder = ledger.write(kept, "kept")
+        kept = ledger.spark.read.schema(points.schema).parquet(f"{ledger.path}/{folder}")
+        latest = kept_entries(kept, keys, ts)
+        now = latest.agg(F.max(micros("last_kept"))).first()[0]
+        horizon = None if newest is None else newest - delay
+        put, drop = put_store(ledger, schema, base, run, latest, horizon, ttl)
+        newest = max((t for t in (now, newest) if t is not None), default=None)
+        ledger.commit(
+            base,
+            {"kept": {f"run={run}": folder}, "seen": put},
+            {"seen": drop},
+            lambda notes: {**notes, "stream": run, "newest": newest},
+        )
+        ledger.vacuum()
 
     query = (
         points.writeStream.foreachBatch(step)
@@ -144,4 +306,4 @@ def dedup_stream_with_store(
         .start()
     )
     query.awaitTermination()
-    return points.sparkSession.read.schema(points.schema).parquet(f"{path}/kept/run=*")
+    return ledger.read("kept", points.schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gaugeworks.model import DEAD_LETTER, ENVELOPE, ConfigError, Endpoint
 from gaugeworks.operators import deadletter as dl
 from gaugeworks.operators import export as ex
+from gaugeworks.sources.ledger import Ledger
 
 NOW = datetime(2024, 1, 31)
 
@@ -176,6 +177,54 @@ def test_days_are_replaced_and_others_left_alone(spark, tmp_path):
     dl.delete_replayed_at(spark, path, gone.filter("false"))
 
 
+def test_letters_appended_during_a_rewrite_stay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "dlq")
+    dl.write_dlq(letters(spark, ROWS), path)
+    commit, late = Ledger.commit, [letters(spark, [("late", 1, "X", "gw")]), letters(spark, [("later", 1, "X", "gw")])]
+
+    def disturbed(self, *args, **kwargs):
+        # Between reading the day and committing what is left of it.
+        if late:
+            df = late.pop()
+            dl.write_dlq(df, path)
+        return commit(self, *args, **kwargs)
+
+    gone = dl.read_dlq(spark, path).filter("batch_id = 'a'")
+    monkeypatch.setattr(Ledger, "commit", disturbed)
+    dl.delete_replayed_at(spark, path, gone)
+    assert sorted(r.batch_id for r in dl.read_dlq(spark, path).collect()) == ["b", "c", "d", "late", "later"]
+
+
+def test_a_rewrite_that_another_overtakes_starts_anew(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "dlq")
+    dl.write_dlq(letters(spark, [*ROWS, ("e", 1, "X", "gw"), ("n", 1, "X", "gw")]), path)
+    table = dl.read_dlq(spark, path)
+    commit, others = Ledger.commit, [table.filter("batch_id = 'e'")]
+
+    def overtaken(self, *args, **kwargs):
+        if others:
+            dl.delete_replayed_at(spark, path, others.pop())
+        return commit(self, *args, **kwargs)
+
+    monkeypatch.setattr(Ledger, "commit", overtaken)
+    dl.delete_replayed_at(spark, path, table.filter("batch_id = 'a'"))
+    assert sorted(r.batch_id for r in dl.read_dlq(spark, path).collect()) == ["b", "c", "d", "n"]
+    # One who read before still has all.
+    assert table.count() == 6
+
+
+def test_letters_without_a_time(spark, tmp_path):
+    path = str(tmp_path / "dlq")
+    undated = letters(spark, ROWS[:2]).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    dl.write_dlq(undated, path)
+    dl.write_dlq(undated.limit(0), path)
+    dl.write_dlq(letters(spark, ROWS[2:]), path)
+    dl.delete_replayed_at(spark, path, undated.filter("batch_id = 'a'"))
+    assert sorted(r.batch_id for r in dl.read_dlq(spark, path).collect()) == ["b", "c", "d"]
+    dl.retain_at(spark, path, 24, now())
+    assert [r.batch_id for r in dl.read_dlq(spark, path).collect()] == ["d"]
+
+
 def test_letters_of_two_senders_are_told_apart(spark):
     df = letters(spark, [("a", 1, "X", "gw"), ("a", 1, "X", "dp"), (None, 1, "X", None)])
     left = dl.delete_replayed(df, df.filter("fb_sender = 'gw' or batch_id is null")).collect()

@@ -1,7 +1,11 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.model import ENVELOPE
+from gaugeworks.plans.chain import ChainConfig, run_chain
 from gaugeworks.sources import envelopes
 
 
@@ -67,7 +71,8 @@ def test_malformed(spark, stage, code):
 
 def test_payload_is_decoded_once(spark):
     plan = envelopes.explode_points(batches(spark, *GOOD))._jdf.queryExecution()
-    assert plan.optimizedPlan().toString().count("from_json") == 1
+    # Attributes are parsed again, from their own text.
+    assert plan.optimizedPlan().toString().count("columnNameOfCorruptRecord") == 1
 
 
 def test_prometheus(spark):
@@ -111,9 +116,9 @@ def test_otlp_as_written(spark):
     assert set(got) == {
         ("cpu", None, 1.5), ("cpu", None, 7.0), ("req", None, 3.0), ("x", None, 1.0),
         ("lat_count", None, 4.0), ("lat_sum", None, 9.5),
-        ("lat_bucket", "0.5", 1.0), ("lat_bucket", "2.0", 3.0), ("lat_bucket", "+Inf", 4.0),
+        ("lat_bucket", "0.5", 1.0), ("lat_bucket", "2", 3.0), ("lat_bucket", "+Inf", 4.0),
     }
-    assert got["cpu", None, 1.5].labels == {"service": "s", "host": "a", "n": "5"}
+    assert got["cpu", None, 1.5].labels == {"service": "s", "host": "b", "n": "5"}
     assert got["x", None, 1.0].labels == {"service": "m"}
     assert got["cpu", None, 1.5].ts.timestamp() == 1_700_000_000
     assert len({r.id for r in rows}) == len(rows) and all(r.ts and r.id for r in rows)
@@ -137,3 +142,95 @@ def test_points_without_id_and_time_get_both(spark):
     rows = envelopes.explode_points(df).select("id", F.unix_micros("ts").alias("us"), "pos").collect()
     assert [(r.us, r.id == 5) for r in sorted(rows, key=lambda r: r.pos)] == [(99, False), (99, False), (7, True)]
     assert len({r.id for r in rows}) == 3 and "received" not in envelopes.explode_points(df).columns
+
+
+def test_of_repeated_keys_the_last_holds(spark):
+    raw, digest = "raw@example.com", "ab" * 32
+    own = f'"labels":{{"email":"{digest}","email":"{raw}","x":"1"}}'
+    other = f'"attributes":{{"email":"{digest}","email":"{raw}"}}'
+    listed = f'"attributes":[{{"key":"email","value":{{"stringValue":"{digest}"}}}},{{"value":{{}}}},{{"key":"email","value":{{"stringValue":"{raw}"}}}}]'
+    texts = [
+        f'[{{"name":"a",{own}}}]',
+        f'{{"metrics":[{{"name":"a",{own}}}]}}',
+        f'{{"resource_metrics":[{{"resource":{{{other}}},"metrics":[{{"name":"a","value":1,"labels":{{"x":"2","x":"1"}}}}]}}]}}',
+        f'{{"resourceMetrics":[{{"resource":{{{listed}}},"scopeMetrics":[{{"metrics":[{{"name":"a","gauge":{{"dataPoints":[{{"asInt":1,"attributes":{{"x":"2","x":"1"}}}}]}}}}]}}]}}]}}',
+        f'{{"timeseries":[{{"labels":{{"__name__":"b","__name__":"a","email":"{digest}","email":"{raw}","x":"1"}},"samples":[{{"timestamp":1}}]}}]}}',
+    ]
+    rows = envelopes.explode_points(batches(spark, *texts)).collect()
+    assert [(r.name, r.labels) for r in rows] == [("a", {"email": raw, "x": "1"})] * 5
+    # So a raw value cannot hide behind a hashed one.
+    result = run_chain(batches(spark, *texts, '[{"name":"good","labels":{"email":"' + digest + '"}}]'), ChainConfig(must_be_hashed=["email"]))
+    assert sorted((r.batch_id, r.error_code) for r in result.outcomes.collect()) == [
+        *[(f"b{i}", "ERR_PII_LEAK") for i in range(5)], ("b5", None)
+    ]
+    assert [r.labels for r in result.points.collect()] == [{"email": digest}]
+
+
+def test_times_that_cannot_be(spark):
+    texts = [
+        '{"timeseries":[{"labels":{"__name__":"a"},"samples":[{"timestamp":1700000000000000000,"value":1},{"timestamp":null,"value":2},{"timestamp":1000,"value":3}]}]}',
+        '[{"name":"b","ts":9223372036854775807},{"name":"b","ts":-9223372036854775808},{"name":"b","ts":5}]',
+        '{"resource_metrics":[{"metrics":[{"name":"c","gauge":{"dataPoints":[{"timeUnixNano":"99999999999999999999999","asInt":1},{"timeUnixNano":"x","asInt":1}]}}]}]}',
+    ]
+    df = batches(spark, *texts).withColumn("received", F.timestamp_micros(F.lit(77)))
+    got = envelopes.explode_points(df).select("name", F.unix_micros("ts").alias("us")).collect()
+    assert [tuple(r) for r in got] == [("a", 77), ("a", 77), ("a", 1_000_000), ("b", 77), ("b", 77), ("b", 5), ("c", 77), ("c", 77)]
+
+
+def test_summaries_and_exponential_histograms(spark):
+    at = '"timeUnixNano":"1000","attributes":{"h":"a"}'
+    summary = f'{{{at},"count":"4","sum":9.5,"quantileValues":[{{"quantile":0.5,"value":2}},{{"quantile":0.99,"value":3}}]}}'
+    exponential = f'{{{at},"count":"10","sum":1.5,"scale":0,"zeroCount":"2","zero_threshold":0.001,"positive":{{"offset":-1,"bucketCounts":["1","0","4"]}},"negative":{{"offset":1,"bucketCounts":["2","1"]}}}}'
+    text = (
+        f'{{"resource_metrics":[{{"metrics":[{{"name":"s","summary":{{"dataPoints":[{summary}]}}}},'
+        f'{{"name":"e","exponentialHistogram":{{"dataPoints":[{exponential}]}}}}]}}]}}'
+    )
+    rows = envelopes.explode_points(batches(spark, text)).collect()
+    got = [(r.name, r.labels.get("le") or r.labels.get("quantile"), r.value) for r in rows]
+    assert sorted(got, key=str) == sorted([
+        ("s_count", None, 4.0), ("s_sum", None, 9.5), ("s", "0.5", 2.0), ("s", "0.99", 3.0),
+        ("e_count", None, 10.0), ("e_sum", None, 1.5),
+        # Negative: [-8, -4) holds 1, [-4, -2) holds 2. Positive: up to 1, 2 and 4.
+        ("e_bucket", "-4", 1.0), ("e_bucket", "-2", 3.0), ("e_bucket", "0.001", 5.0),
+        ("e_bucket", "1", 6.0), ("e_bucket", "2", 6.0), ("e_bucket", "4", 10.0), ("e_bucket", "+Inf", 10.0),
+    ], key=str)
+    assert all(r.labels["h"] == "a" for r in rows)
+    unread = ['{"resource_metrics":[{"metrics":[{"name":"x","sketch":{"dataPoints":[{}]}}]}]}', '{"resource_metrics":[{"metrics":[{"name":"x","value":1}]}]}']
+    _, bad = envelopes.split_malformed(batches(spark, *unread))
+    assert [r.batch_id for r in bad.collect()] == ["b0"]
+
+
+def test_no_payload_ends_the_job(spark):
+    """Payloads with parts cut out, doubled or changed: each is a batch decoded or an error row."""
+    rng = random.Random(4)
+    whole = [
+        *GOOD,
+        '{"resourceMetrics":[{"resource":{"attributes":[{"key":"a","value":{"stringValue":"s"}}]},"scopeMetrics":[{"metrics":['
+        '{"name":"h","histogram":{"dataPoints":[{"count":"4","sum":9.5,"bucketCounts":["1","2"],"explicitBounds":[0.5],"timeUnixNano":"17"}]}},'
+        '{"name":"e","exponentialHistogram":{"dataPoints":[{"scale":3,"positive":{"offset":4,"bucketCounts":["1"]}}]}},'
+        '{"name":"s","summary":{"dataPoints":[{"quantileValues":[{"quantile":0.5,"value":1}]}]}}]}]}]}',
+        '{"timeseries":[{"labels":{"__name__":"c"},"samples":[{"timestamp":1,"value":2}]}]}',
+    ]
+    bits = ["null", "1e999", "-9223372036854775809", '"x"', "[", "}", '"a":1,', "{}", "[[]]", "NaN", '"\\ud800"', "\0", "9" * 1200, "[" * 1100]
+    texts = list(whole)
+    for _ in range(400):
+        t = rng.choice(whole)
+        a, b = sorted(rng.randrange(len(t) + 1) for _ in range(2))
+        b = min(b, a + rng.choice([0, 1, 5, 30]))
+        texts.append(t[:a] + rng.choice(["", *bits, t[a:b] * 2, rng.choice(bits) + ","]) + t[b:])
+    df = batches(spark, *texts)
+    df = df.union(df.limit(1).withColumns({"batch_id": F.lit("none"), "data": F.lit(None).cast("binary")}))
+    result = run_chain(df, ChainConfig(must_be_hashed=["email"]))
+    outcomes = {r.batch_id: r.error_code for r in result.outcomes.collect()}
+    assert len(outcomes) == len(texts) + 1 and outcomes["none"] == "ERR_INVALID_INPUT"
+    assert {outcomes[f"b{i}"] for i in range(len(whole))} == {None}
+    points = result.points.select("batch_id", "ts", "labels").collect()
+    assert {r.batch_id for r in points} <= {b for b, code in outcomes.items() if code is None}
+
+
+def test_the_decoder_is_built_quickly(spark):
+    df = batches(spark, *GOOD)
+    envelopes.explode_points(df)
+    start = time.time()
+    envelopes.explode_points(df)
+    assert time.time() - start < 1.0

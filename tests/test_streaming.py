@@ -2,13 +2,16 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.model import AggRule, Endpoint
 from gaugeworks.operators.aggregate import aggregate
-from gaugeworks.operators.dedup import dedup_ttl
+from gaugeworks.operators.dedup import dedup_against_store, dedup_ttl, empty_store, expire_seen
 from gaugeworks.operators.export import exported
 from gaugeworks.streaming.aggregate import aggregate_stream
-from gaugeworks.streaming.dedup import dedup_stream_with_store, dedup_ttl_stream
+from gaugeworks.session import written
+from gaugeworks.sources.ledger import Ledger
+from gaugeworks.streaming.dedup import dedup_stream_with_store, dedup_ttl_stream, stream_store
 from gaugeworks.streaming.export import export_stream
 from gaugeworks.streaming.run import run_available
 
@@ -76,10 +79,114 @@ def test_dedup_with_store_equals_batch(spark, tmp_path, heavy_rows):
         )
     batch = dedup_ttl(spark.createDataFrame(data, SCHEMA), ["name", "labels.u"], "5m")
     assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect()))
-    # Entries that can no longer matter are gone.
-    last = spark.read.parquet(str(tmp_path / "out/seen/run=3"))
-    horizon = max(r[1] for r in data) - timedelta(minutes=30)
-    assert all(r.last_kept > horizon for r in last.collect())
+    ledger = Ledger(spark, str(tmp_path / "out"))
+    assert ledger.snapshot().notes["stream"] == 3 and len(ledger.snapshot().of("seen")) == 4
+
+
+def test_the_store_is_put_together_and_expires(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gaugeworks.streaming.dedup.STORE_FANOUT", 2)
+    data, path = rows(seed=6), str(tmp_path / "in")
+    land(spark, path, data, 7)
+    out = dedup_stream_with_store(
+        stream(spark, path), ["name", "labels.u"], "5m", str(tmp_path / "out"), str(tmp_path / "state"), delay="10m"
+    )
+    batch = dedup_ttl(spark.createDataFrame(data, SCHEMA), ["name", "labels.u"], "5m")
+    assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect()))
+    ledger = Ledger(spark, str(tmp_path / "out"))
+    # Seven runs: levels 2, 1 and 0, as the digits of seven in base two.
+    assert sorted(s.split("-")[0] for s in ledger.snapshot().of("seen")) == ["0", "1", "2"]
+    # Two versions hold; what they dropped is gone.
+    held = {f for v in (-2, -1) for f in ledger.snapshot(ledger._versions()[v]).of("seen").values()}
+    assert {f"seen/{p.name}" for p in (tmp_path / "out/seen").iterdir()} == held
+
+
+@pytest.mark.parametrize("at", ["kept", "seen", "commit", "after"])
+def test_a_run_that_fails_is_done_once(spark, tmp_path, monkeypatch, at):
+    data, path = rows(seed=8), str(tmp_path / "in")
+    land(spark, path, data, 3)
+
+    def run():
+        return dedup_stream_with_store(
+            stream(spark, path), ["name", "labels.u"], "5m", str(tmp_path / "out"), str(tmp_path / "state"), delay="10m"
+        )
+
+    with monkeypatch.context() as m:
+        fail_in_run(m, at, 2)
+        with pytest.raises(Exception, match="stopped"):
+            run()
+    assert Ledger(spark, str(tmp_path / "out")).done(1 if at == "after" else 0)
+    batch = dedup_ttl(spark.createDataFrame(data, SCHEMA), ["name", "labels.u"], "5m")
+    assert sorted(map(str, run().collect())) == sorted(map(str, batch.collect()))
+
+
+def fail_in_run(m, at, times):
+    """Stop at the `times`-th write of a table, or before or after that commit."""
+    write, commit, seen = Ledger.write, Ledger.commit, [0]
+
+    def writing(self, df, table, *args):
+        seen[0] += table == at
+        if table == at and seen[0] == times:
+            raise RuntimeError("stopped")
+        return write(self, df, table, *args)
+
+    def committing(self, *args):
+        seen[0] += at in ("commit", "after")
+        if at == "commit" and seen[0] == times:
+            raise RuntimeError("stopped")
+        out = commit(self, *args)
+        if at == "after" and seen[0] == times:
+            raise RuntimeError("stopped")
+        return out
+
+    m.setattr(Ledger, "write", writing)
+    m.setattr(Ledger, "commit", committing)
+
+
+@pytest.mark.parametrize("held_rows", [1, 10])
+def test_a_key_beyond_what_is_held_is_followed_by_slices(spark, tmp_path, held_rows):
+    data = rows(seed=9)
+    random.Random(1).shuffle(data)
+    land(spark, str(tmp_path / "in"), data, 1)
+    points = stream(spark, str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = run_available(
+            dedup_ttl_stream(points, ["name", "labels.u"], "5m", held_rows=held_rows), str(tmp_path / "out"), str(tmp_path / "state")
+        )
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    batch = dedup_ttl(spark.createDataFrame(data, SCHEMA), ["name", "labels.u"], "5m")
+    assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_batch_run_then_stream_then_batch_equal_one_run(spark, tmp_path):
+    data, keys = rows(seed=10), ["name", "labels.u"]
+    table = spark.createDataFrame(data, SCHEMA)
+    one, two = data[100][1], data[200][1]
+    first, store = dedup_against_store(table.filter(F.col("ts") < one), empty_store(table, keys), keys, "5m")
+    land(spark, str(tmp_path / "in"), [r for r in data if one <= r[1] < two], 3)
+    out = run_available(
+        dedup_ttl_stream(stream(spark, str(tmp_path / "in")), keys, "5m", seen=written(store, "store")),
+        str(tmp_path / "out"), str(tmp_path / "state"),
+    )
+    store = written(stream_store(spark.createDataFrame([], SCHEMA), str(tmp_path / "state"), keys), "store")
+    last, _ = dedup_against_store(table.filter(F.col("ts") >= two), store, keys, "5m")
+    got = [r for df in (first, out, last) for r in df.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, dedup_ttl(table, keys, "5m").collect()))
+
+
+def test_state_expires_by_timer(spark, tmp_path):
+    data, path, keys = rows(seed=11), str(tmp_path / "in"), ["name"]
+    for first, part in ((0, data), (10, [(999, T0 + timedelta(hours=9), "late", 1.0, {})]), (20, [(1000, T0 + timedelta(hours=10), "end", 1.0, {})])):
+        land(spark, path, part, 1, first)
+        run_available(
+            dedup_ttl_stream(stream(spark, path), keys, "5m"), str(tmp_path / "out"), str(tmp_path / "state")
+        )
+    store = stream_store(spark.createDataFrame([], SCHEMA), str(tmp_path / "state"), keys)
+    # All other keys were past their use by the watermark of nine hours less one.
+    assert {r.dedup_key.name for r in store.collect()} == {"late", "end"}
+    live = expire_seen(store, F.lit(T0 + timedelta(hours=9, minutes=30)), "5m")
+    assert {r.dedup_key.name for r in live.collect()} == {"end"}
 
 
 @pytest.mark.parametrize("parts", [1, 5])

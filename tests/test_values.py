@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from gaugeworks import model
 from gaugeworks.functions.clock import parse_duration
 from gaugeworks.functions.values import (
     bound_text,
+    bound_text_sql,
     hash_fraction,
     hash_pii,
     is_hashed_or_encoded,
@@ -132,3 +134,13 @@ def test_sampling_of_rows_without_an_id(spark):
     assert sample_trace(df, "id", 1.0).count() == 400
     again = [sorted(r.v for r in sample(df.repartition(n), "id", 0.3).collect()) for n in (1, 5)]
     assert again[0] == again[1]
+
+
+def test_bound_text_in_sql(spark):
+    rng = random.Random(3)
+    bounds = [0.0, -0.0, 1.0, 0.1, 0.5, 1e6, 999999.5, 123456.0, 1e-4, 0.00012, 9.9e-5, 1e7, 1.25e21, 2.5e-300, 100.0, -2.5, float("inf"), float("-inf")]
+    bounds += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 12) for _ in range(300)] + [float(2**k) for k in range(-20, 40)]
+    df = spark.createDataFrame([(b,) for b in bounds], "b double")
+    got = df.select("b", F.expr(bound_text_sql("b")).alias("t")).collect()
+    wrong = [(r.b, r.t) for r in got if r.t != bound_text(r.b) and not (r.b == 0 and r.t == "0")]
+    assert not wrong
