@@ -31,7 +31,7 @@ def _table(rows: Sequence[Sequence[str]], kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), "array<array<string>>").cast(f"array<array<{kind}>>")
 
 
-def _of_rule(rows: Sequence[Sequence[str]], kind: str = "string") -> Column:
+def of_rule(rows: Sequence[Sequence[str]], kind: str = "string") -> Column:
     return F.get(_table(rows, kind), F.col("rule_id"))
 
 
@@ -54,7 +54,7 @@ def apply_rules(points: DataFrame, rules: Sequence[AggRule]) -> DataFrame:
         .select(*points.columns, "rule_id")
         .withColumn(
             "group_labels",
-            F.transform(_of_rule([r.labels for r in rules]), lambda name: labels[name]),
+            F.transform(of_rule([r.labels for r in rules]), lambda name: labels[name]),
         )
     )
 
@@ -84,11 +84,11 @@ def _states(rules: Sequence[AggRule], exact: bool, labels: str) -> list[Column]:
         out.append(F.min(number).alias("_min"))
     if "max" in types:
         out.append(F.max(number).alias("_max"))
-    bounds = [_bounds(r) for r in rules]
-    of_rule = _of_rule([[str(b) for b in bs] for bs in bounds], "double")
+    bounds = [bounds_of(r) for r in rules]
+    bound_of = of_rule([[str(b) for b in bs] for bs in bounds], "double")
     for j in range(max(map(len, bounds))):
         # Spark orders NaN above every number; a NaN only counts under +Inf.
-        out.append(F.count_if(number <= F.get(of_rule, F.lit(j))).alias(f"_b{j}"))
+        out.append(F.count_if(number <= F.get(bound_of, F.lit(j))).alias(f"_b{j}"))
     for name in sorted(types & set(CUSTOM_AGGREGATIONS)):
         out.append(CUSTOM_AGGREGATIONS[name](value).alias(f"_custom_{name}"))
     if labels == "first":
@@ -96,13 +96,13 @@ def _states(rules: Sequence[AggRule], exact: bool, labels: str) -> list[Column]:
     return out
 
 
-def _bounds(rule: AggRule) -> list[float]:
+def bounds_of(rule: AggRule) -> list[float]:
     return rule.bounds if rule.type == "histogram" else []
 
 
-def _emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFrame:
+def emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFrame:
     """States to output points: one row per group, or one per bucket of a histogram."""
-    facts = _of_rule([[r.metric, r.type] for r in rules])
+    facts = of_rule([[r.metric, r.type] for r in rules])
     metric, type = F.get(facts, F.lit(0)), F.get(facts, F.lit(1))
     states = {
         "sum": lambda: F.col("_sum"),
@@ -114,9 +114,9 @@ def _emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFram
     for name in sorted({r.type for r in rules} - {"histogram"}):
         state = states.get(name, lambda name=name: F.col(f"_custom_{name}"))()
         one = F.when(type == name, state.cast("double")).otherwise(one)
-    width = max(len(_bounds(r)) for r in rules)
+    width = max(len(bounds_of(r)) for r in rules)
     counts = F.array(*[F.col(f"_b{j}").cast("double") for j in range(width)], F.col("_n").cast("double"))
-    texts = _of_rule([[*map(bound_text, _bounds(r)), "+Inf"] for r in rules])
+    texts = of_rule([[*map(bound_text, bounds_of(r)), "+Inf"] for r in rules])
     buckets = F.transform(
         texts,
         lambda le, j: F.struct(
@@ -136,7 +136,7 @@ def _emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFram
         base = F.col("_first")
     else:
         base = F.map_filter(
-            F.map_from_arrays(_of_rule([r.labels for r in rules]), F.col("group_labels")),
+            F.map_from_arrays(of_rule([r.labels for r in rules]), F.col("group_labels")),
             lambda _, v: v.isNotNull(),
         )
     le = F.col("_row.le")
@@ -188,7 +188,7 @@ def aggregate(
         grouped = grouped.withColumns(
             {"window_start": instant(F.col("_start")), "window_end": instant(F.col("_start") + step)}
         )
-    return _emit(grouped, rules, labels)
+    return emit(grouped, rules, labels)
 
 
 def aggregate_anchored(
@@ -223,7 +223,7 @@ def aggregate_anchored(
             "window_start", instant(F.col("_anchor") + F.col("window_index") * step)
         )
     )
-    return _emit(grouped, rules, labels)
+    return emit(grouped, rules, labels)
 
 
 def histogram(

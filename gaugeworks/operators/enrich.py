@@ -56,7 +56,8 @@ def as_of(
 
     The result gains the struct column `into`, null on a miss; a snapshot at a point's
     own time counts. Time is cut into slices of length `ttl`, so a point needs only the
-    snapshots of its own slice and the last one of the slice before.
+    snapshots of its own slice and the last one of the slice before. A point without a key
+    or a time is a miss, and is not looked up.
 
     Up to `small` snapshots (counted, and few per key and slice) are looked up by a join
     in which they are broadcast, within Spark's own size limit, and the points stay
@@ -93,7 +94,12 @@ def as_of(
         size, most = per_slice.agg(F.sum("n"), F.max("n")).first()
         if (size or 0) <= small and (most or 0) <= FACTS_PER_SLICE:
             return _probe(keyed, facts, ttl, points.columns, into)
-    return _merge(keyed, facts, ttl, points.columns, into, at, group_rows)
+    # In a shuffle by key they would be one task's, however many they are.
+    asking = F.col("_key").isNotNull() & F.col("_at").isNotNull()
+    found = _merge(keyed.filter(asking), facts, ttl, points.columns, into, at, group_rows)
+    return found.unionByName(
+        keyed.filter(~asking).select(*points.columns, F.lit(None).cast(found.schema[into].dataType).alias(into))
+    )
 
 
 def _probe(

@@ -101,6 +101,41 @@ def error_rate_trips(
     )
 
 
+def _dense_slices(sliced: DataFrame, width: int, slice_rows: int) -> DataFrame | None:
+    """(_entity, _hour, _width): a width for each slice of more than `slice_rows` events, at which none
+    of its parts has more, down to a microsecond; None where there are no such slices.
+
+    One pass counts by slice; only the events of dense slices are counted again, for each width at
+    once, by what they have in parts of 1/16, 1/256 and so on.
+    """
+    counts = written(
+        sliced.groupBy("entity", "hour").count().filter(F.col("count") > slice_rows)
+        .select(F.col("entity").alias("_entity"), F.col("hour").alias("_hour")),
+        "dense-slices",
+    )
+    if counts.isEmpty():
+        return None
+    widths = [width]
+    while widths[-1] > 1:
+        widths.append(max(1, widths[-1] // 16))
+    same = F.col("entity").eqNullSafe(F.col("_entity")) & F.col("hour").eqNullSafe(F.col("_hour"))
+    inside = sliced.join(counts, same).withColumn("_in", F.col("us") - F.col("hour") * width)
+    # By the finest width first; each coarser one adds those up.
+    finest = written(
+        inside.groupBy("_entity", "_hour", F.col("_in").alias("_at")).agg(F.count(F.lit(1)).alias("n")),
+        "dense-moments",
+    )
+    chosen = None
+    for w in reversed(widths):
+        parts = finest.groupBy("_entity", "_hour", F.floor(F.col("_at") / w).alias("part")).agg(F.sum("n").alias("n"))
+        most = parts.groupBy("_entity", "_hour").agg(F.max("n").alias("most"))
+        fits = most.filter((F.col("most") <= slice_rows) | F.lit(w == 1)).select("_entity", "_hour", F.lit(w).alias("_width"))
+        chosen = fits if chosen is None else chosen.unionByName(fits)
+    return written(
+        chosen.groupBy("_entity", "_hour").agg(F.max("_width").cast("bigint").alias("_width")), "dense-widths"
+    )
+
+
 def state_transitions(
     events: DataFrame,
     entity: str,
@@ -114,25 +149,29 @@ def state_transitions(
 
     Steps inside a slice of time come from a window over (entity, slice). The first and
     last events of the slices, at most two per slice, then give the steps across
-    slices, so an entity with most of the events is spread over its slices. Where one of
-    them has more than `slice_rows` events by count, slices are made shorter.
+    slices, so an entity with most of the events is spread over its slices. Slices are
+    `slice_seconds` long. Where an entity has more than `slice_rows` events in one, that
+    slice alone is cut into parts by its own count: a dense second of one entity leaves
+    all other slices, its own and others', as they are.
     """
     us = micros(ts)
     width = slice_seconds * 1_000_000
-
-    def most_in_a_slice(width: int) -> int:
-        of_slice = events.groupBy(F.col(entity), F.floor(us / width)).count()
-        return of_slice.agg(F.max("count")).first()[0] or 0
-
-    while width > 1 and (most := most_in_a_slice(width)) > slice_rows:
-        width = max(1, min(width // 2, width * slice_rows // most))
     sliced = events.select(
         F.col(entity).alias("entity"),
         F.col(state).alias("state"),
         us.alias("us"),
         F.col(id).alias("id"),
-        F.floor(us / width).cast("bigint").alias("slice"),
+        F.floor(us / width).cast("bigint").alias("hour"),
     )
+    dense = _dense_slices(sliced, width, slice_rows)
+    if dense is None:
+        sliced = sliced.withColumn("slice", F.struct("hour", F.lit(0).cast("bigint").alias("part")))
+    else:
+        same = F.col("entity").eqNullSafe(F.col("_entity")) & F.col("hour").eqNullSafe(F.col("_hour"))
+        part = F.when(F.col("_width").isNull(), 0).otherwise(F.floor((F.col("us") - F.col("hour") * width) / F.col("_width")))
+        sliced = sliced.join(dense, same, "left").select(
+            "entity", "state", "us", "id", F.struct("hour", part.cast("bigint").alias("part")).alias("slice")
+        )
     inside = Window.partitionBy("entity", "slice").orderBy("us", "id")
     after = F.lead(F.struct("state", "us"))
     lined = sliced.withColumns(

@@ -35,4 +35,5 @@ def load_all() -> None:
         queries_clean,
         queries_gateway,
         queries_ingest,
+        queries_streams,
     )

@@ -146,86 +146,84 @@ def _number(text: str) -> str:
     return f"try_cast({text} AS DOUBLE)"
 
 
-def _under(key: str, value: str) -> str:
-    """A data point's labels with one more laid over them."""
-    rest = f"map_filter(coalesce(z.own, {_NO_LABELS}), (k, v) -> k <> '{key}')"
-    return f"map_concat({rest}, map('{key}', {value}))"
+def _points_of(kinds: str, tag: str) -> str:
+    """The data points of these kinds, tagged."""
+    both = [f"m.{kind}.{spelt}" for kind in kinds.split() for spelt in ("dataPoints", "data_points")]
+    return f"transform({_list(*both)}, d -> named_struct('kind', '{tag}', 'd', d))"
 
 
 def _named(suffix: str) -> str:
     return f"concat(m.name, '{suffix}')"
 
 
+_KINDS = ("gauge", "sum", "histogram", "summary", "exponentialHistogram", "exponential_histogram")
+_DATA_POINTS = "concat({}, {}, {}, {})".format(
+    _points_of("gauge sum", "number"),
+    _points_of("histogram", "histogram"),
+    _points_of("exponentialHistogram exponential_histogram", "exponential"),
+    _points_of("summary", "summary"),
+)
 _SINGLE = _point(
     "m.name",
     f"coalesce(d.asDouble, d.as_double, {_number('d.asInt')}, {_number('d.as_int')})",
     "z.at",
     "z.own",
 )
-_COUNT_AND_SUM = (
-    f"array({_point(_named('_count'), _number('d.count'), 'z.at', 'z.own')}, "
-    f"{_point(_named('_sum'), 'd.sum', 'z.at', 'z.own')})"
-)
-# Buckets as (le, n), cumulated; the one without a bound is last.
-_CUMULATED = (
-    "aggregate(slice(bs, 1, j + 1), 0D, (a, x) -> a + coalesce(x.n, 0D))"
+_COUNT_AND_SUM = ", ".join(
+    [
+        _point(_named("_count"), _number("d.count"), "z.at", "z.own"),
+        _point(_named("_sum"), "d.sum", "z.at", "z.own"),
+    ]
 )
-
-
-def _buckets(series: str) -> str:
-    bucket = _point(_named("_bucket"), _CUMULATED, "z.at", _under("le", bound_text_sql("b.le")))
-    return _bind(series, "bs", f"transform(bs, (b, j) -> {bucket})")
-
-
-_HISTOGRAM = _buckets(
+# What a data point holds besides: buckets as (bound, count), the one without a bound last, or
+# quantiles with their values. Bucket i of a scale ends at base ** (offset + i + 1); negative ones
+# mirror it.
+_SERIES_OF = (
+    "CASE t.kind WHEN 'histogram' THEN "
     "transform(coalesce(d.bucketCounts, d.bucket_counts, array()), (c, i) -> named_struct("
-    "'le', coalesce(get(coalesce(d.explicitBounds, d.explicit_bounds), i), CAST('Infinity' AS DOUBLE)), "
-    f"'n', {_number('c')}))"
-)
-# Bucket i of a scale ends at base ** (offset + i + 1); negative ones mirror it.
-_EXPONENTIAL = _buckets(
-    "concat("
+    "'at', coalesce(get(coalesce(d.explicitBounds, d.explicit_bounds), i), CAST('Infinity' AS DOUBLE)), "
+    f"'n', {_number('c')})) "
+    "WHEN 'exponential' THEN concat("
     "transform(reverse(coalesce(d.negative.bucketCounts, d.negative.bucket_counts, array())), (c, i) -> named_struct("
-    "'le', -power(2D, power(2D, -coalesce(d.scale, 0D)) * (coalesce(d.negative.offset, 0D)"
+    "'at', -power(2D, power(2D, -coalesce(d.scale, 0D)) * (coalesce(d.negative.offset, 0D)"
     " + size(coalesce(d.negative.bucketCounts, d.negative.bucket_counts, array())) - 1 - i)), "
     f"'n', {_number('c')})), "
-    "array(named_struct('le', coalesce(d.zeroThreshold, d.zero_threshold, 0D), "
+    "array(named_struct('at', coalesce(d.zeroThreshold, d.zero_threshold, 0D), "
     f"'n', {_number('coalesce(d.zeroCount, d.zero_count)')})), "
     "transform(coalesce(d.positive.bucketCounts, d.positive.bucket_counts, array()), (c, i) -> named_struct("
-    "'le', power(2D, power(2D, -coalesce(d.scale, 0D)) * (coalesce(d.positive.offset, 0D) + i + 1)), "
+    "'at', power(2D, power(2D, -coalesce(d.scale, 0D)) * (coalesce(d.positive.offset, 0D) + i + 1)), "
     f"'n', {_number('c')})), "
-    "array(named_struct('le', CAST('Infinity' AS DOUBLE), 'n', 0D)))"
+    "array(named_struct('at', CAST('Infinity' AS DOUBLE), 'n', 0D))) "
+    "ELSE transform(coalesce(d.quantileValues, d.quantile_values, array()), q -> "
+    "named_struct('at', q.quantile, 'n', q.value)) END"
 )
-_SUMMARY = (
-    "transform(coalesce(d.quantileValues, d.quantile_values, array()), q -> "
-    + _point("m.name", "q.value", "z.at", _under("quantile", bound_text_sql("q.quantile")))
-    + ")"
+_LABEL = "CASE WHEN t.kind = 'summary' THEN 'quantile' ELSE 'le' END"
+_CUMULATED = "aggregate(slice(bs, 1, j + 1), 0D, (a, x) -> a + coalesce(x.n, 0D))"
+_MEMBER = _point(
+    f"CASE WHEN t.kind = 'summary' THEN m.name ELSE {_named('_bucket')} END",
+    f"CASE WHEN t.kind = 'summary' THEN b.n ELSE {_CUMULATED} END",
+    "z.at",
+    f"map_concat(map_filter(coalesce(z.own, {_NO_LABELS}), (k, v) -> k <> {_LABEL}), "
+    f"map({_LABEL}, {bound_text_sql('b.at')}))",
 )
 _TIME = (
     "CAST(floor(try_cast(coalesce(d.timeUnixNano, d.time_unix_nano) AS DECIMAL(20,0)) / 1000) AS BIGINT)"
 )
-_KINDS = ("gauge", "sum", "histogram", "summary", "exponentialHistogram", "exponential_histogram")
-
-
-def _data(kinds: str, of: str) -> str:
-    """The points of each data point of these kinds; its time and labels are built once."""
-    bound = _bind(f"named_struct('at', {_TIME}, 'own', {_attributes('d.attributes')})", "z", of)
-    both = [f"m.{kind}.{spelt}" for kind in kinds.split() for spelt in ("dataPoints", "data_points")]
-    return _each(_list(*both), "d", bound)
-
-
+_OF_DATA_POINT = _bind(
+    "t.d",
+    "d",
+    _bind(
+        f"named_struct('at', {_TIME}, 'own', {_attributes('d.attributes')})",
+        "z",
+        f"CASE WHEN t.kind = 'number' THEN array({_SINGLE}) ELSE concat(array({_COUNT_AND_SUM}), "
+        + _bind(_SERIES_OF, "bs", f"transform(bs, (b, j) -> {_MEMBER})")
+        + ") END",
+    ),
+)
 _NO_KIND = " AND ".join(f"m.{kind} IS NULL" for kind in _KINDS)
 _METRIC_POINTS = (
-    f"CASE WHEN {_NO_KIND} THEN array({_point('m.name', 'm.value', 'm.ts', _once('m.labels'), 'm.id')}) ELSE concat("
-    + ", ".join(
-        [
-            _data("gauge sum", f"array({_SINGLE})"),
-            _data("histogram", f"concat({_COUNT_AND_SUM}, {_HISTOGRAM})"),
-            _data("exponentialHistogram exponential_histogram", f"concat({_COUNT_AND_SUM}, {_EXPONENTIAL})"),
-            _data("summary", f"concat({_COUNT_AND_SUM}, {_SUMMARY})"),
-        ]
-    )
-    + ") END"
+    f"CASE WHEN {_NO_KIND} THEN array({_point('m.name', 'm.value', 'm.ts', _once('m.labels'), 'm.id')}) "
+    f"ELSE {_each(_DATA_POINTS, 't', _OF_DATA_POINT)} END"
 )
 _METRICS = _list("r.metrics", _each(_list("r.scope_metrics", "r.scopeMetrics"), "s", _list("s.metrics")))
 # Resource attributes lie under the points' own labels.
@@ -293,12 +291,12 @@ def decode(batches: DataFrame) -> DataFrame:
         form = "lower(coalesce(format, 'json'))"
         known = f"({known}) AND {form} IN ({formats}) AND ({form} <> 'prometheus' OR {series})"
     ok = f"_one AND _doc.undecoded IS NULL AND ({known}) AND NOT {_UNREAD}"
+    own = [F.col(f"`{c}`") for c in batches.columns]
+    found = f"CASE WHEN NOT malformed THEN CAST({_FOUND} AS {_POINTS}) END"
     return (
-        batches.withColumn("_one", _is_one_value(text))
-        .withColumn("_doc", document)
-        .withColumn("malformed", F.expr(f"NOT coalesce({ok}, false)"))
-        .withColumn("points", F.expr(f"CASE WHEN NOT malformed THEN CAST({_FOUND} AS {_POINTS}) END"))
-        .drop("_one", "_doc")
+        batches.select(*own, _is_one_value(text).alias("_one"), document.alias("_doc"))
+        .select(*own, "_doc", F.expr(f"NOT coalesce({ok}, false)").alias("malformed"))
+        .select(*own, "malformed", F.expr(found).alias("points"))
     )
 
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gaugeworks.model import AggRule
-from gaugeworks.operators.aggregate import aggregate
+from gaugeworks.functions.clock import instant, micros
+from gaugeworks.functions.values import label_entries
+from gaugeworks.model import CUSTOM_AGGREGATIONS, AggRule, require
+from gaugeworks.operators.aggregate import aggregate, apply_rules, bounds_of, emit
+from gaugeworks.operators.windows import add_points, stored_windows
+from gaugeworks.sources.ledger import Ledger
 
 
 def aggregate_stream(
@@ -19,8 +27,208 @@ def aggregate_stream(
 ) -> DataFrame:
     """The batch aggregation under a watermark; in append mode a window comes out once,
     when the watermark has passed its end. Windows still open when input ends stay in
-    the state; run the batch operator over the landed data for those.
+    the state; `revised_windows` shows them at any time.
     """
     return aggregate(
         points.withWatermark("ts", delay), rules, window_seconds, exact=exact
     )
+
+
+def revised_windows(
+    points: DataFrame,
+    rules: Sequence[AggRule],
+    path: str,
+    checkpoint: str,
+    window_seconds: int = 60,
+    delay: str = "1 hour",
+    exact: bool = False,
+) -> DataFrame:
+    """The same in update mode: every window as it stands, open ones included.
+
+    A micro-batch puts out the windows it has changed, and they take the place of what the ledger at
+    `path` holds for the same rule, group and window; days without a change are not touched. So at
+    the end of the input nothing is left to flush: the table equals the batch result, but for rows that
+    came more than `delay` late. Processes everything available and returns the table.
+    """
+    stream = aggregate(points.withWatermark("ts", delay), rules, window_seconds, exact=exact)
+    ledger = Ledger(points.sparkSession, path)
+    table = "revised"
+    row = F.xxhash64("rule_id", "window_start", "name", label_entries(F.col("labels")))
+
+    def step(rows: DataFrame, run: int) -> None:
+        if ledger.done(run):
+            # The micro-batch is still to be run: it is what writes the stream's own state.
+            rows.write.format("noop").mode("overwrite").save()
+            return
+        base = ledger.snapshot()
+        day = F.to_date("window_start").cast("string")
+        rows = rows.withColumns({"row": row, "day": day}).persist()
+        try:
+            days = sorted(r.day for r in rows.select("day").distinct().collect())
+            put = {}
+            if days:
+                schema = rows.drop("day").schema
+                before = ledger.read(table, schema, base, days).withColumn("day", day)
+                # A histogram's buckets are rows of their own; all are revised together.
+                kept = before.join(rows.select("row", "day"), ["row", "day"], "left_anti")
+                folder = ledger.write(kept.unionByName(rows), table, ["day"])
+                put = {d: f"{folder}/day={d}" for d in days}
+            ledger.commit_run(run, base, {table: put})
+        finally:
+            rows.unpersist()
+        ledger.vacuum()
+
+    query = (
+        stream.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return ledger.read(table, stream.schema)
+
+
+def stored_windows_stream(
+    points: DataFrame,
+    rules: Sequence[AggRule],
+    path: str,
+    checkpoint: str,
+    window_seconds: int = 60,
+    exact: bool = False,
+) -> DataFrame:
+    """Every micro-batch merged into the stored windows of the ledger at `path`: no row is ever late.
+
+    Processes everything available and returns the windows. Replayed points are added to the same
+    ledger by `add_points`, under a name of their own.
+    """
+    ledger = Ledger(points.sparkSession, path)
+
+    def step(rows: DataFrame, run: int) -> None:
+        add_points(ledger, run, rows, rules, window_seconds)
+        ledger.vacuum()
+
+    query = (
+        points.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stored_windows(ledger, rules, window_seconds, exact)
+
+
+class AnchoredWindows(StatefulProcessor):
+    """One group's windows, the first of which begins at its first point.
+
+    State: the anchor, which stays, and the open windows by their number. A timer at a window's end puts
+    it out; windows without a point leave nothing, and the next ones keep to the same grid.
+    """
+
+    def __init__(self, step: int, bounds: Sequence[Sequence[float]]) -> None:
+        self.step, self.bounds = step, [np.array(b, float) for b in bounds]
+        self.width = max(map(len, self.bounds))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.anchor = handle.getValueState("anchor", "us bigint")
+        self.open = handle.getMapState(
+            "open", "number bigint", "n bigint, total double, least double, most double, under array<bigint>"
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        bounds = self.bounds[int(key[0])]
+        found: dict[int, tuple] = {}
+        anchor = self.anchor.get()[0] if self.anchor.exists() else None
+        # Without an anchor the frames are held until the least time is known: states of single
+        # microseconds, which the anchor then puts into windows.
+        frames = ((f["us"].to_numpy().astype(np.int64), f["value"].to_numpy()) for f in rows)
+        if anchor is None:
+            held = list(frames)
+            anchor = min(int(us.min()) for us, _ in held)
+            self.anchor.update((anchor,))
+            frames = iter(held)
+        for us, value in frames:
+            # A point before its group's first one counts into the first window.
+            number = np.maximum((us - anchor) // self.step, 0)
+            for k in np.unique(number):
+                v = value[number == k]
+                there = v[~np.isnan(v)]
+                state = (
+                    len(v),
+                    float(v.sum()),
+                    float(there.min()) if len(there) else None,
+                    float(there.max()) if len(there) else None,
+                    [int((there <= b).sum()) for b in bounds],
+                )
+                found[int(k)] = _joined(found.get(int(k)), state)
+        for k, state in found.items():
+            if self.open.containsKey((k,)):
+                n, total, least, most, under = self.open.getValue((k,))
+                state = _joined((n, total, least, most, list(under)), state)
+            else:
+                end = -(-(anchor + (k + 1) * self.step) // 1000)
+                self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+            self.open.updateValue((k,), state)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        anchor = self.anchor.get()[0]
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        closed = sorted(k for (k,) in self.open.keys() if anchor + (k + 1) * self.step <= until)
+        out = []
+        for k in closed:
+            n, total, least, most, under = self.open.getValue((k,))
+            under = [*under, *[0] * (self.width - len(under))]
+            out.append((int(key[0]), str(key[1]), anchor, k, n, total, least, most, under))
+            self.open.removeKey((k,))
+        if out:
+            names = ["rule_id", "group_json", "_anchor", "window_index", "_n", "_sum", "_min", "_max", "under"]
+            yield pd.DataFrame(out, columns=names)
+
+
+def _joined(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    pick = lambda f, x, y: y if x is None else x if y is None else f(x, y)
+    return (a[0] + b[0], a[1] + b[1], pick(min, a[2], b[2]), pick(max, a[3], b[3]), [x + y for x, y in zip(a[4], b[4])])
+
+
+def aggregate_anchored_stream(
+    points: DataFrame, rules: Sequence[AggRule], window_seconds: int = 60, delay: str = "1 hour"
+) -> DataFrame:
+    """`aggregate_anchored` on a stream: a window comes out when the watermark has passed its end.
+
+    A group's windows begin at the earliest point of the first micro-batch that it appears in, and
+    anchors stay in the state; with input in order across micro-batches that is its first point, as in
+    the batch. Points without `ts` have no window and end here. Only built-in types.
+    """
+    require(window_seconds > 0, "windowSeconds must be positive")
+    require(not {r.type for r in rules} & set(CUSTOM_AGGREGATIONS), "a state is kept for built-in types only")
+    step = window_seconds * 1_000_000
+    matched = apply_rules(points.filter(F.col("ts").isNotNull()).withWatermark("ts", delay), rules).select(
+        "rule_id",
+        # Null and empty labels are different groups, and a key that Python reads is text.
+        F.to_json("group_labels", {"ignoreNullFields": "false"}).alias("group_json"),
+        micros("ts").alias("us"),
+        F.coalesce("value", F.lit(0.0)).alias("value"),
+        "ts",
+    )
+    states = matched.groupBy("rule_id", "group_json").transformWithStateInPandas(
+        AnchoredWindows(step, [bounds_of(r) for r in rules]),
+        outputStructType=(
+            "rule_id int, group_json string, _anchor bigint, window_index bigint, _n bigint, _sum double, "
+            "_min double, _max double, under array<bigint>"
+        ),
+        outputMode="append",
+        timeMode="EventTime",
+    )
+    width = max(len(bounds_of(r)) for r in rules)
+    states = states.withColumns(
+        {
+            "group_labels": F.from_json("group_json", "array<string>"),
+            "window_start": instant(F.col("_anchor") + F.col("window_index") * step),
+            **{f"_b{j}": F.get("under", F.lit(j)) for j in range(width)},
+        }
+    )
+    return emit(states.drop("group_json", "under"), rules, "group")

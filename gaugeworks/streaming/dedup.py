@@ -60,7 +60,7 @@ class KeepFirst(StatefulProcessor):
         rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         if due is not None:
             rows = rows[rows["us"].to_numpy() >= due]
-        times = rows["us"].to_numpy()
+        times = rows["us"].to_numpy().astype(np.int64)
         # As the batch operator orders them: a null id first, equal ids by the row's hash.
         ids = pd.factorize(rows[self.id], sort=True)[0]
         order = np.lexsort((rows["tie"].to_numpy(), ids, times))
@@ -108,7 +108,7 @@ class KeepFirst(StatefulProcessor):
         before = self.last.get()[0] if self.last.exists() else None
         due = None if before is None else before + self.ttl
         for frame in self._in_order(rows, due):
-            times = frame["us"].to_numpy()
+            times = frame["us"].to_numpy().astype(np.int64)
             head = np.zeros(len(times), bool)
             head[:1] = due is None
             marks, due = follow(times, times + self.ttl, head, due)

@@ -144,3 +144,14 @@ def test_all_ways_of_the_lookup_agree(spark, small, group_rows):
         fit = [(t, v) for h, t, v in facts if k is not None and h == k and t is not None and s is not None and t <= s <= t + 12]
         want[i] = max(fit)[1] if fit else None
     assert got == want
+
+
+def test_points_that_ask_for_nothing_are_not_gathered(spark):
+    asked = [(i, i % 50, None if i % 2 else "a", None, 7) for i in range(4000)]
+    df = points(spark, asked).withColumn("ts", F.when(F.col("id") % 8 != 6, F.col("ts")))
+    out = enrich.enrich_host(df.repartition(8), hosts(spark, SNAPSHOTS), "10s", small=0, group_rows=100)
+    # Half have no host and an eighth no time: they stay in the tasks they are in.
+    misses = out.filter("hostname is null").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(misses) == 8 and max(r["count"] for r in misses) < 400
+    assert out.count() == 4000 and out.filter("host_hit and hostname is null").count() == 0
+    assert out.filter("host_hit").count() == sum(1 for i, s, h, _, _ in asked if h and i % 8 != 6 and s <= 10)

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 
 from pyspark.sql import Observation
@@ -90,3 +90,20 @@ def test_dense_slices_are_made_shorter(spark):
     assert len(whole) == 398
     assert shown(health.state_transitions(df, "entity", "state", slice_rows=20)) == whole
     assert shown(health.state_transitions(df, "entity", "state", slice_rows=1)) == whole
+
+
+def test_one_dense_second_leaves_other_slices_alone(spark):
+    # A thousand events in one second of one entity, among ten days of two.
+    rows = [(i, T0 + timedelta(seconds=864 * i), "ef"[i % 2], f"s{i % 5}") for i in range(1000)]
+    rows += [(2000 + i, T0 + timedelta(hours=30, microseconds=997 * i), "e", f"s{i % 3}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp, entity string, state string")
+    whole = sorted(map(tuple, health.state_transitions(df, "entity", "state").collect()))
+    cut = sorted(map(tuple, health.state_transitions(df, "entity", "state", slice_rows=50).collect()))
+    assert cut == whole and len(whole) == 1998
+    width = 3_600_000_000
+    us = F.unix_micros("ts")
+    sliced = df.select("entity", "state", us.alias("us"), "id", F.floor(us / width).cast("bigint").alias("hour"))
+    dense = health._dense_slices(sliced, width, 50).collect()
+    assert [(r._entity, r._hour) for r in dense] == [("e", int(T0.replace(tzinfo=timezone.utc).timestamp()) // 3600 + 30)]
+    # Of its width at most fifty events share a part, and sixteen times that would be too many.
+    assert dense[0]._width <= 50 * 997 < 16 * dense[0]._width
