@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.clock import instant, micros
-from gaugeworks.functions.values import bound_text
+from gaugeworks.functions.values import bound_text, label_entries
 from gaugeworks.model import CUSTOM_AGGREGATIONS, AggRule, require
 from gaugeworks.session import written
 
@@ -154,6 +154,25 @@ def emit(grouped: DataFrame, rules: Sequence[AggRule], labels: str) -> DataFrame
     )
 
 
+def _with_first_labels(matched: DataFrame, grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds `_first`, the labels of each group's first row by (ts, id, hash of the labels).
+
+    Each task passes on one row of a group; the states are joined to it, so that they stay in a hash
+    aggregate: a minimum of whole maps would sort all rows twice.
+    """
+    order = Window.partitionBy(*keys).orderBy("ts", "id", F.xxhash64(label_entries(F.col("labels"))))
+    first = (
+        matched.select(*keys, "ts", "id", "labels")
+        .withColumn("_place", F.row_number().over(order))
+        .filter("_place = 1")
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("labels").alias("_first"))
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return grouped.join(first, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def aggregate(
     points: DataFrame,
     rules: Sequence[AggRule],
@@ -172,22 +191,28 @@ def aggregate(
     require(labels in ("group", "first"), f"unknown label mode: {labels}")
     matched = apply_rules(points, rules)
     keys = [F.col("rule_id"), F.col("group_labels")]
-    if window_seconds is None:
+    if not points.isStreaming:
+        names = ["rule_id", "group_labels"]
+        if window_seconds is not None:
+            # F.window would drop points without a time.
+            step = window_seconds * 1_000_000
+            matched = matched.withColumn("_start", micros("ts") - F.pmod(micros("ts"), F.lit(step)))
+            names.append("_start")
+        grouped = matched.groupBy(*names).agg(*_states(rules, exact, "group"))
+        if labels == "first":
+            grouped = _with_first_labels(matched, grouped, names)
+        if window_seconds is not None:
+            grouped = grouped.withColumns(
+                {"window_start": instant(F.col("_start")), "window_end": instant(F.col("_start") + step)}
+            )
+    elif window_seconds is None:
         grouped = matched.groupBy(*keys).agg(*_states(rules, exact, labels))
-    elif points.isStreaming:
+    else:
         keys.append(F.window("ts", f"{window_seconds} seconds").alias("window"))
         grouped = matched.groupBy(*keys).agg(*_states(rules, exact, labels))
         grouped = grouped.withColumns(
             {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
         ).drop("window")
-    else:
-        # F.window would drop points without a time.
-        step = window_seconds * 1_000_000
-        keys.append((micros("ts") - F.pmod(micros("ts"), F.lit(step))).alias("_start"))
-        grouped = matched.groupBy(*keys).agg(*_states(rules, exact, labels))
-        grouped = grouped.withColumns(
-            {"window_start": instant(F.col("_start")), "window_end": instant(F.col("_start") + step)}
-        )
     return emit(grouped, rules, labels)
 
 

@@ -245,7 +245,7 @@ def agg_missing_label(spark, d):
 )
 def agg_stream(spark, d):
     schema = inputs.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    events = spark.readStream.schema(schema).options(pathGlobFilter="events.parquet", maxFilesPerTrigger=1)
     stream = aggregate_stream(
         inputs.as_points(events.parquet(d)), rules("sum"), DAY, "1 hour", exact=True
     )

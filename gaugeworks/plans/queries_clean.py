@@ -250,7 +250,7 @@ def dedup_ttl_stream_query(spark, d):
 
 def _flat_stream(spark, d):
     schema = inputs.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    events = spark.readStream.schema(schema).options(pathGlobFilter="events.parquet", maxFilesPerTrigger=1)
     return inputs.as_points(events.parquet(d)).select(
         "id", "ts", "name", "value", F.col("labels")["user"].alias("user")
     )

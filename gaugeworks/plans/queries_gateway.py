@@ -794,7 +794,7 @@ def export_fanout(spark, d):
 @query("export_stream", EXPORTED_SQL)
 def export_stream_query(spark, d):
     schema = inputs.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    events = spark.readStream.schema(schema).options(pathGlobFilter="events.parquet", maxFilesPerTrigger=1)
     rows = inputs.as_points(events.parquet(d)).select("id", "name", "value")
     path = scratch_path(spark, "export")
     export_stream(rows, ENDPOINTS, f"{path}/out", f"{path}/state")
