@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,18 @@ HANDICAP = 2
 STRETCH = 512
 READY = 64
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# Letters and numerals such as a half; the second form, slower, is letters alone.
+_LETTERS_OR_NUMERALS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def plain(text: str) -> bytes:
-    return " ".join(LETTERS.findall(text.lower())).encode()
+    """The words of letters, as the letter test of `learn` has them."""
+    text = text.lower()
+    words = _LETTERS_OR_NUMERALS.findall(text)
+    if not all(map(str.isalpha, words)):
+        words = _LETTERS.findall(text)
+    return " ".join(words).encode()
 
 
 def quota(sizes: list[int]) -> int:
@@ -167,7 +175,7 @@ class Sizes:
 
 
 def judged(text: str | None, sizes: Sizes) -> tuple[str, float, bool]:
-    if not sizes.languages or not text or not LETTERS.search(text):
+    if not sizes.languages or not text or not _LETTERS.search(text):
         return "und", 0.0, False
     n = sizes.of(text)
     best = int(n.argmin())

@@ -67,6 +67,15 @@ def test_languages_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_numerals_are_no_letters(spark):
+    assert language.plain("½ ² ① Ⅷ 7_") == b"" and language.plain("X²y ½Z") == b"x y z"
+    assert language.plain("Straße de l'été") == "straße de l été".encode()
+    rows = [(i, "ein wort und noch eins " * 9, "de") for i in range(30)] + [(100, "½ ² ①", "de"), (101, "½ x", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.learn(docs)).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "de"
+
+
 def test_language_cases(spark):
     r = random.Random(1)
     a, b = ["the", "house", "river", "stone"], ["der", "fluss", "haus", "stein"]
