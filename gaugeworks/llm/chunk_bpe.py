@@ -32,8 +32,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,20 +58,52 @@ MIN_CHUNK = 64
 MAX_CHUNK = 8192
 FILTER_BITS = 26
 #: Words that a task remembers, and the longest of them.
-KNOWN = 200_000
+KNOWN = 300_000
 WORD_BYTES = 64
 #: Bytes whose rolling hashes are computed at once.
 BLOCK = 1 << 21
 #: Ids that are spelt at once.
 SPELT = 1 << 16
 
+#: Words that go to the library in one call.
+JOINT = 1000
+
+# How the vocabulary's file makes words of a text; of ASCII that is _PART, lower-cased.
+SPLIT = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
 _GEAR = np.random.default_rng(12).integers(0, 2**32, 256, dtype=np.uint32)
 # The blanks that end a word.
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, `width` to an id; each distinct word is encoded once."""
+    """Ids of texts as little-endian bytes, `width` to an id; each distinct word is encoded once.
+
+    Of a vocabulary with SPLIT, words of ASCII without an added token are put together from the ids
+    of their parts, which fewer words share.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,22 +111,54 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.type = np.dtype(f"<u{array(self.code).itemsize}")
         self.width = self.type.itemsize
         self.decimal = [str(i) for i in range(size)]
         self.piece = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        told = json.loads(self.tokenizer.to_str())
+        added = b"|".join(re.escape(t["content"].encode()) for t in told["added_tokens"])
+        self.added = re.compile(added or rb"(?!)").search
+        # An added token that is taken as it is, between words, tells where one ends in a joint encoding.
+        marks = [t for t in told["added_tokens"] if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.mark = marks[0] if marks else None
+        self.splits = {k: told.get(k) for k in SPLIT} == SPLIT
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.type).tobytes() for e in found]
+        """The ids of each word as the library has them."""
+        if self.mark is not None and len(words) > 1 and not self.added(b" ".join(words)):
+            text = self.mark["content"].join(w.decode() for w in words)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            ends = [*np.flatnonzero(ids == self.mark["id"]).tolist(), len(ids)]
+            if len(ends) == len(words):
+                raw, w = ids.tobytes(), self.width
+                return [raw[w * (a + 1) : w * b] for a, b in zip([-1, *ends], ends)]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _learn(self, known: dict[bytes, bytes], words: list[bytes]) -> None:
+        for at in range(0, len(words), JOINT):
+            some = words[at : at + JOINT]
+            known.update(zip(some, self._encoded(some)))
+
+    def _by_parts(self, words: list[bytes]) -> list[bytes]:
+        parts = [_PART.findall(w.lower()) for w in words]
+        new = list({p for p in itertools.chain.from_iterable(parts) if p not in self.runs})
+        if len(self.runs) + len(new) > KNOWN:
+            self.runs.clear()
+            new = list(set(itertools.chain.from_iterable(parts)))
+        self._learn(self.runs, new)
+        return [b"".join(map(self.runs.__getitem__, p)) for p in parts]
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as the library has them, not by words."""
-        return self._encoded(texts)
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def _of_stretch(self, text: bytes) -> bytes:
-        return self.ids([text])[0] if len(text) <= STRETCH else b"".join(self._encoded(text.split()))
+        return self.ids([text])[0] if len(text) <= STRETCH else b"".join(self.whole(text.split()))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, by its words."""
@@ -104,11 +170,13 @@ class Encoder:
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = list(set(itertools.chain.from_iterable(words)))
+        long = {w: self.whole([w])[0] for w in new if len(w) > WORD_BYTES}
         short = [w for w in new if len(w) <= WORD_BYTES]
-        for at in range(0, len(short), 10_000):
-            some = short[at : at + 10_000]
-            self.known.update(zip(some, self._encoded(some)))
-        long = {w: self._encoded([w])[0] for w in new if len(w) > WORD_BYTES}
+        if self.splits:
+            plain = [w for w in short if w.isascii() and not self.added(w)]
+            self.known.update(zip(plain, self._by_parts(plain)))
+            short = [w for w in short if w not in self.known]
+        self._learn(self.known, short)
         known = self.known.__getitem__ if not long else lambda w: long[w] if len(w) > WORD_BYTES else self.known[w]
         return [b"".join(map(known, w)) for w in words]
 

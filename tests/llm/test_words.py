@@ -170,6 +170,19 @@ def test_long_text_is_encoded_in_stretches():
     assert np.frombuffer(own.ids([text.encode()])[0], "<u2").tolist() == head + tail
 
 
+def test_words_by_parts_and_in_joint_calls():
+    own, tokenizer = chunk_bpe.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert own.splits and own.mark is not None
+    r = random.Random(8)
+    letters = [*"abcXYZ019'.,-", "'s", "'RE", "'ll", "\x00", "\x1c", "\x7f", "é", "É", "漢", "\u0301", "\xa0", "½", "ǅ", "<|endoftext|>", "<|"]
+    ws = ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(4000)]
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in ws]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.ids([w.encode() for w in ws])] == want
+        own.splits = False
+        own.known.clear()
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
