@@ -12,13 +12,16 @@ shingle). The result tells each document's set size and component.
 3. Classes with an equal minimum under one of PERMUTATIONS hash orders are verified against the
    group's two end classes. That is a row per class, and makes large families one component, whose
    inner pairs need no more work: links inside a component cannot change the result.
-4. Each group is a signature tree: leaves hold a class's bitmap of shingles, its size and its
-   component so far; a node the bitwise or of its children, the range of their sizes, the most
+4. Groups of the same classes are one. Each is a signature tree: leaves hold a class's bitmap of
+   shingles, its size and its component so far; a node the bitwise or of its children, the range of their sizes, the most
    shingles that share a bit with others of their set, and the component if all have one. A dual
    traversal from the root against itself drops node pairs whose largest possible overlap is too
    small for their least sizes, and those of one component. A group too large for a task is cut into
    parts that are compared in pairs, one task each.
-5. Leaf pairs that remain are verified on the whole sets. Components follow from all links.
+5. The leaf pairs that remain are verified on the whole sets, in two rounds. The first has, of each tree,
+   only those with its HUBS most central classes, of whose first shingles most are shared; they make a
+   family with its original one component, and the second round's trees leave that alone. Components
+   follow from all links.
 
 Defined cases. Null or blank texts have an empty set (n_shingles 0) and are linked with nothing.
 Repeated rows are copies of one document. component_id is the smallest doc_id of the component;
@@ -27,6 +30,7 @@ null ids do not count, and a component without any has a null. Shingles are comp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import BROADCAST_ROWS, Bits, components, fresh, table
+from gaugeworks.llm.wording import stretches
 from gaugeworks.session import written
 
 WORDS = 5
@@ -48,17 +53,19 @@ SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 16
 FILTER_BITS = 26
 #: Bits of a leaf's bitmap, and children of a node.
-BITMAP = 2048
+BITMAP = 4096
 FANOUT = 4
 #: Members of a tree; a larger group is cut into parts of half of this.
 TREE_ROWS = 4000
-#: Rows in a task of trees.
-TASK_ROWS = 30_000
+#: Rows in a task of trees, copies for pairs of parts included.
+TASK_ROWS = 20_000
+#: Classes of a tree that the others are compared with first.
+HUBS = 3
 #: Sets that a task holds before it puts out what they give.
 HELD = 500
 #: A long of the low digits of a set's name.
 LOW_ID = "cast(conv(right(set_id, 15), 16, 10) as bigint)"
-#: Bytes of texts that are hashed at once; a longer text is hashed alone.
+#: Bytes of texts that are hashed at once; a text of more than twice as many is hashed in such pieces.
 PIECE = 1 << 18
 
 
@@ -73,6 +80,7 @@ _BYTES = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK = re.compile(rb"[ \t-\r]")
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -105,6 +113,31 @@ def _words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _mixed((total[last + 1] - total[first]) * down[first]), first
 
 
+def _word_hash(word: bytes) -> np.ndarray:
+    """The same hash of one long word."""
+    total, shift = 0, 1
+    for at in range(0, len(word), PIECE):
+        data = np.frombuffer(word[at : at + PIECE], np.uint8)
+        up = _powers(1 << PIECE.bit_length())[0]
+        total += int((_BYTES[data] * up[: len(data)]).sum()) * shift
+        shift = shift * pow(_STEP, len(data), 1 << 64) % (1 << 64)
+    return _mixed(np.array([total % (1 << 64)], np.uint64))
+
+
+def _long_text(text: bytes) -> np.ndarray:
+    """The hashes of a long text's words, found in pieces."""
+    out, begins = [], np.zeros(1, np.int64)
+    for part in stretches(text, _BLANK, PIECE):
+        if len(part) > 2 * PIECE:
+            # It ends in a word that is longer than a piece.
+            head = 1 + max(part.rfind(bytes([c]), 0, PIECE) for c in b" \t\n\x0b\x0c\r")
+            out.append(_words(np.frombuffer(part[:head], np.uint8), begins)[0])
+            out.append(_word_hash(part[head:].rstrip()))
+        else:
+            out.append(_words(np.frombuffer(part, np.uint8), begins)[0])
+    return np.concatenate(out)
+
+
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of its shingles) for every text."""
     text = pc.fill_null(column, "").cast(pa.large_binary())
@@ -114,8 +147,12 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     while row < len(text):
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + PIECE, "right")) - 1)
         begins = ends[row : stop + 1] - ends[row]
-        word, first = _words(data[ends[row] : ends[stop]], begins[:-1])
-        edges = np.searchsorted(first, begins)
+        if begins[-1] > 2 * PIECE:
+            word = _long_text(data[ends[row] : ends[stop]].tobytes())
+            edges = np.array([0, len(word)])
+        else:
+            word, first = _words(data[ends[row] : ends[stop]], begins[:-1])
+            edges = np.searchsorted(first, begins)
         whole = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
         for i in range(WORDS):
             whole = _mixed(whole * np.uint64(_STEP) + word[i : i + len(whole)])
@@ -297,11 +334,37 @@ def tree_pairs(
     return np.stack([a, b], axis=1)
 
 
-def _pairs_in_trees(rows: pa.Table) -> pa.Table:
+def hub_pairs(
+    bits: np.ndarray, n: np.ndarray, component: np.ndarray, share: np.ndarray, tree: np.ndarray
+) -> np.ndarray:
+    """Leaf pairs as `tree_pairs` finds them, of every leaf with the HUBS of its tree of the greatest share."""
+    order = np.lexsort((-share, tree))
+    excess = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    level = (bits, n, n, excess, component, None, None)
+    first = np.flatnonzero(np.r_[True, tree[order][1:] != tree[order][:-1]])
+    size = np.diff(np.r_[first, len(order)])
+    found = []
+    for k in range(HUBS):
+        some = size > k
+        a = order[np.repeat(first[some] + k, size[some])]
+        b = order[np.repeat(some, size)]
+        keep = a != b
+        a, b = a[keep], b[keep]
+        keep = _may_be_similar(level, a, b)
+        found.append(np.stack([a[keep], b[keep]], axis=1))
+    return np.concatenate(found)
+
+
+def _in_task(rows: pa.Table, hubs: bool) -> pa.Table:
+    """Pairs of the trees of a task that may be similar, each once."""
     ids = np.array(rows["set_id"].to_pylist(), object)
     component = np.unique(np.array(rows["component"].to_pylist(), object), return_inverse=True)[1].astype(np.int64)
     bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    found = tree_pairs(bits, rows["n"].to_numpy(), component, rows["part"].to_numpy(), rows["tree"].to_numpy())
+    n, tree = rows["n"].to_numpy(), rows["tree"].to_numpy()
+    if hubs:
+        found = hub_pairs(bits, n, component, rows["share"].to_numpy(), tree)
+    else:
+        found = tree_pairs(bits, n, component, rows["part"].to_numpy(), tree)
     # Pairs of several trees of the task go once.
     names, code = np.unique(ids, return_inverse=True)
     low, high = np.minimum(code[found[:, 0]], code[found[:, 1]]), np.maximum(code[found[:, 0]], code[found[:, 1]])
@@ -310,6 +373,14 @@ def _pairs_in_trees(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a.tolist(), pa.string()), "b": pa.array(b.tolist(), pa.string())})
 
 
+def _hub_pairs(rows: pa.Table) -> pa.Table:
+    return _in_task(rows, True)
+
+
+def _pairs_in_trees(rows: pa.Table) -> pa.Table:
+    return _in_task(rows, False)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         stay = []
@@ -327,15 +398,26 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(told.select("a", "b", "x", "y").mapInArrow(_verified, "a string, b string"), "links")
 
 
-def _tree_rows(postings: DataFrame, maps: DataFrame, tree_rows: int) -> DataFrame:
-    """postings (shingle, set_id, n, component) by tree: all of a group, or two parts of a large one."""
+def _groups(postings: DataFrame) -> DataFrame:
+    """(shingle, size) of the groups of postings (shingle, set_id, n, component) that may hold a new link.
+
+    Classes that share one first shingle mostly share many: of groups of the same classes one stands for all.
+    """
+    members = [F.bit_xor(F.xxhash64(F.lit(seed), "set_id")).alias(f"_members{seed}") for seed in (0, 1)]
+    component = F.xxhash64("component")
     sizes = postings.groupBy("shingle").agg(
-        F.count("*").alias("size"), F.min("component").alias("one"), F.max("component").alias("other"),
-        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.count("*").alias("size"), F.min(component).alias("one"), F.max(component).alias("other"),
+        F.min("n").alias("least"), F.max("n").alias("most"), *members,
     )
     # Two sets that differ too much in size cannot be similar.
     sizes = sizes.where("one <> other and (size > 2 or 5 * least >= 4 * most)")
-    sizes = written(sizes.select("shingle", "size"), "groups")
+    sizes = sizes.groupBy("size", "_members0", "_members1").agg(F.min("shingle").alias("shingle"))
+    return written(sizes.select("shingle", "size"), "groups")
+
+
+def _tree_rows(postings: DataFrame, maps: DataFrame, tree_rows: int) -> DataFrame:
+    """postings (shingle, set_id, n, share, component) by tree: all of a group, or two parts of a large one."""
+    sizes = _groups(postings)
     grouped = postings.join(sizes, "shingle")
     small = grouped.where(F.col("size") <= tree_rows).select(
         "*", F.xxhash64("shingle").alias("tree"), F.lit(0).alias("part")
@@ -348,9 +430,10 @@ def _tree_rows(postings: DataFrame, maps: DataFrame, tree_rows: int) -> DataFram
     large = large.withColumn(
         "tree", F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other"))
     )
-    names = ["tree", "part", "set_id", "n", "component"]
+    names = ["tree", "part", "set_id", "n", "share", "component"]
     both = small.select(names).union(large.select(names)).join(maps, "set_id")
-    tasks = max(1, sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TASK_ROWS + 1)
+    copies = F.when(F.col("size") > tree_rows, F.col("size") * parts).otherwise(F.col("size"))
+    tasks = max(1, sizes.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0] // TASK_ROWS + 1)
     return both.withColumn("task", F.pmod(F.xxhash64("tree"), F.lit(tasks)))
 
 
@@ -456,24 +539,43 @@ def grouped(docs: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, Dat
                 first = first_shingles(x, order.value).view(np.int64)
                 hit = first[shared.value.has(first)]
                 if len(hit):
-                    rows.append((set_id, len(x), bitmap(x).tobytes(), hit))
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            names = ("set_id", "n", "bits", "firsts")
+                    rows.append((set_id, len(x), len(hit) / len(first), bitmap(x).tobytes(), hit))
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
+            names = ("set_id", "n", "share", "bits", "firsts")
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     links = _links(stars, fetched(stars))
+    kinds = "set_id string, n long, share double, bits binary, firsts array<long>"
+    maps = written(keyed.mapInArrow(candidates, kinds).dropDuplicates(["set_id"]), "bitmaps")
+    bits = maps.select("set_id", "bits")
     joint = written(components(links), "star-components").withColumnRenamed("id", "set_id")
-    maps = written(keyed.mapInArrow(candidates, "set_id string, n long, bits binary, firsts array<long>"), "bitmaps")
-    postings = maps.select("set_id", "n", F.explode("firsts").alias("shingle")).join(joint, "set_id", "left")
-    postings = written(
-        postings.withColumn("component", F.coalesce("component", "set_id")).dropDuplicates(["shingle", "set_id"]),
-        "postings",
+    own = F.coalesce("component", "set_id").alias("component")
+    met = maps.join(joint, "set_id", "left").select("set_id", "n", own, F.explode("firsts").alias("shingle"))
+    groups = _groups(met)
+    open_groups = spark.sparkContext.broadcast(Bits(groups, "shingle", FILTER_BITS))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings of the groups that stand for all, and of a few others."""
+        for batch in batches:
+            lists = batch["firsts"]
+            shingles = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(open_groups.value.has(shingles.to_numpy()))
+            columns = [batch[c].take(pa.array(row[hit])) for c in ("set_id", "n", "share")]
+            yield pa.RecordBatch.from_arrays([*columns, shingles.take(pa.array(hit))], names=["set_id", "n", "share", "shingle"])
+
+    postings = maps.select("set_id", "n", "share", "firsts").mapInArrow(
+        members, "set_id string, n long, share double, shingle long"
     )
-    trees = _tree_rows(postings, maps.select("set_id", "bits").dropDuplicates(["set_id"]), tree_rows)
-    pairs = written(trees.groupBy("task").applyInArrow(_pairs_in_trees, "a string, b string").distinct(), "tree-pairs")
-    links = links.union(_links(pairs, fetched(pairs)))
-    joint = written(components(links), "components").withColumnRenamed("id", "set_id")
+    postings = written(postings.join(groups.select("shingle"), "shingle"), "postings")
+    for search, name in ((_hub_pairs, "hub"), (_pairs_in_trees, "tree")):
+        told = postings.join(joint, "set_id", "left").withColumn("component", own)
+        # Read three times.
+        trees = _tree_rows(written(told, f"{name}-postings"), bits, tree_rows)
+        pairs = written(trees.groupBy("task").applyInArrow(search, "a string, b string").distinct(), f"{name}-pairs")
+        links = links.union(_links(pairs, fetched(pairs)))
+        joint = written(components(links), f"{name}-components").withColumnRenamed("id", "set_id")
     named = classes.join(joint, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = written(named.select("set_id", "component", "doc_id"), "named")
     return rows, named

@@ -1,5 +1,6 @@
 """Line dedup, Jaccard join, suffix dedup and packing against brute force and defined cases."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cases import documents, lines, near, repeats, texts
+from cases import documents, lines, near, repeats, texts, words
 from gaugeworks.llm import line_dedup, ngram_join, packing, suffix_dedup
 
 
@@ -48,6 +49,33 @@ def test_ngram_join_against_brute_force(spark, rows, tree_rows):
     assert [got[i] for i in range(len(rows))] == near(rows)
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    rows = texts(4) + ["w" * 5000 + " a b c d " + "É" * 3000 + " e", " " * 9000, "x" * 7000, " ".join(r.choice(["a", "Bc", "é\t"], 4000))]
+    whole = [x.tolist() for _, x in ngram_join.shingle_sets(pa.array(rows))]
+    monkeypatch.setattr(ngram_join, "PIECE", 500)
+    assert [x.tolist() for _, x in ngram_join.shingle_sets(pa.array(rows))] == whole
+
+
+def test_a_family_of_copies_with_edits(spark):
+    """Hundreds of copies that are mostly less alike than 0.8 to each other, but alike to the original."""
+    r = random.Random(6)
+    w = words(6, n=400)
+    base = r.choices(w, k=300)
+    rows = [" ".join(base)]
+    for i in range(300):
+        own = list(base)
+        for at in r.sample(range(300), 3 + i % 6):
+            own[at] = f"new{i}-{at}"
+        rows.append(" ".join(own))
+    rows += [" ".join(r.choices(w, k=150) + base[:120]) for _ in range(40)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(documents(spark, rows).repartition(6)).collect()}
+    want = near(rows)
+    assert [got[i] for i in range(len(rows))] == want and sum(c == 0 for _, c in want) > 200
+
+
 def test_trees_find_all_similar_pairs():
     r = np.random.default_rng(5)
     base = [np.unique(r.integers(0, 2**63, r.integers(1, 400), dtype=np.uint64)) for _ in range(40)]
