@@ -4,6 +4,7 @@ import __spark_entry__ as entry_point
 import pytest
 from compare import compare, duck
 from gaugeworks.plans import catalog
+from gaugeworks.session import STATE_STORE
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
@@ -25,3 +26,13 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["dedup_ttl_stream"])
+def test_query_where_the_session_names_another_state_store(spark, con, name):
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.session.timeZone", "UTC")
+    plain.conf.set(STATE_STORE, other)
+    assert compare(plain, con, name, QUERIES[name], ORACLES[name], SF) is None
+    assert plain.conf.get(STATE_STORE) == other
