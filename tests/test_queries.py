@@ -28,7 +28,7 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["dedup_ttl_stream", "dedup_handover", "dedup_stream_gc", "agg_anchored_stream"])
+@pytest.mark.parametrize("name", ["dedup_ttl_stream", "dedup_handover", "dedup_stream_gc", "agg_anchored_stream", "enrich_host_stream"])
 def test_query_where_the_session_names_another_state_store(spark, con, name):
     other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
     plain = spark.newSession()
