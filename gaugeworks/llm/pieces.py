@@ -8,9 +8,10 @@ or another occurrence of a word gives its own. Without dropout the result is the
 
 No piece goes on after a space (it may begin with some) and none holds a line feed, so words are
 segmented one by one; every occurrence by itself (without dropout each different word once), those of a length
-together: the agenda is then a row of candidate ranks per word, of which every step takes the
-least. Words that are long or hold characters without a piece take an agenda of their own (a heap)
-and bytes for such characters.
+together: the agenda is then a column of candidate ranks per word, of which every step takes the
+least. A word that is met again is first merged without dropout, and an occurrence of which none of those
+merges is skipped ends alike: other candidates were never the least, skipped or not. Words that are long or
+hold characters without a piece take an agenda of their own (a heap) and bytes for such characters.
 
 Decoding joins the pieces' bytes, and is lossless for every text, spaces and the model's space
 sign included.
@@ -44,6 +45,8 @@ SEED = 20
 DROPOUT = 0.1
 #: Words of more characters are taken one by one.
 LONG = 20
+#: Bits of a place in a word that is not.
+PLACE_BITS = 5
 #: Characters that are worked on at once; a longer text is worked on alone.
 STRETCH = 1_000_000
 #: Occurrences of a length that are merged at once.
@@ -171,48 +174,90 @@ def _by_agenda(m: Model, word: str, key: int, dropout: float) -> list[int]:
     return out
 
 
-def _by_length(m: Model, chars: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids) of words of one length; chars: ids of their characters, words x length."""
-    ids, n, width = chars.copy(), len(chars), chars.shape[1]
-    left = np.full(n, width, np.int64)
-    bounds = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
-
-    def offers(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rank = m.merge_rank(ids[rows, at], ids[rows, at + 1])
+def _by_length(
+    m: Model, chars: np.ndarray, keys: np.ndarray, dropout: float, steps: list[tuple[np.ndarray, ...]] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids) of words of one length; chars: ids of their characters, words x length.
+
+    Pieces stand at the place of their first character, a column to a word. An agenda's entry is the
+    rank of a merge and its place, so that the least one is the best merge, the leftmost of equal ones.
+    steps is given the merges made: word, and where the two parts begin, meet and end.
+    """
+    n, width = chars.shape
+    ids = np.ascontiguousarray(chars.T)
+    places = np.arange(width + 1, dtype=np.int32)[:, None]
+    after = np.repeat(places + 1, n, axis=1)
+    before = np.repeat(places - 1, n, axis=1)
+    alive = np.ones((width, n), bool)
+
+    def offers(rows: np.ndarray, begin: np.ndarray, meet: np.ndarray, end: np.ndarray) -> np.ndarray:
+        rank = m.merge_rank(ids[begin, rows], ids[meet, rows])
         some = np.flatnonzero(rank != NONE)
         if dropout > 0 and len(some):
-            r, c = rows[some], at[some]
-            gone = skipped(keys[r], bounds[r, c], bounds[r, c + 1], bounds[r, c + 2], dropout)
-            rank[some[gone]] = NONE
-        return rank
-
-    ranks = np.full((n, max(width - 1, 1)), NONE, np.int32)
-    for c in range(width - 1):
-        ranks[:, c] = offers(np.arange(n), np.full(n, c))
+            some = some[~skipped(keys[rows[some]], begin[some], meet[some], end[some], dropout)]
+        out = np.full(len(rows), NONE, np.int32)
+        out[some] = (rank[some] << PLACE_BITS) | begin[some]
+        return out
+
+    # The last place begins no pair.
+    agenda = np.full((width, n), NONE, np.int32)
     rows = np.arange(n)
-    columns = np.arange(width + 1)
-    while len(rows) and width > 1:
-        at = ranks[rows].argmin(axis=1)
-        best = ranks[rows, at]
-        use = best != NONE
-        rows, at, best = rows[use], at[use], best[use]
-        if not len(rows):
+    if width > 1:
+        begin = np.repeat(places[: width - 1, 0], n)
+        agenda[:-1] = offers(np.tile(rows, width - 1), begin, begin + 1, begin + 2).reshape(width - 1, n)
+    while True:
+        best = agenda.min(axis=0)
+        live = np.flatnonzero(best != NONE)
+        if not len(live):
             break
-        ids[rows, at] = m.id_of[best]
-        move = np.minimum(columns + (columns > at[:, None]), width)
-        bounds[rows] = np.take_along_axis(bounds[rows], move, 1)
-        ids[rows] = np.take_along_axis(ids[rows], np.minimum(move[:, :width], width - 1), 1)
-        # The merged pair's rank goes; its neighbours are offered anew.
-        step = np.minimum(columns[: width - 1] + (columns[: width - 1] >= at[:, None]), width - 2)
-        moved = np.take_along_axis(ranks[rows], step, 1)
-        left[rows] -= 1
-        moved[columns[: width - 1] >= (left[rows] - 1)[:, None]] = NONE
-        ranks[rows] = moved
-        for shift in (-1, 0):
-            c = at + shift
-            some = np.flatnonzero((c >= 0) & (c + 1 < left[rows]))
-            ranks[rows[some], c[some]] = offers(rows[some], c[some])
-    return ids[columns[:width] < left[:, None]], left
+        if 4 * len(live) < 3 * len(best):
+            agenda, rows, best = agenda[:, live], rows[live], best[live]
+            live = np.arange(len(live))
+        r, best = rows[live], best[live]
+        begin = best & ((1 << PLACE_BITS) - 1)
+        meet = after[begin, r]
+        end = after[meet, r]
+        if steps is not None:
+            steps.append((r, begin, meet, end))
+        ids[begin, r] = m.id_of[best >> PLACE_BITS]
+        after[begin, r], before[end, r], alive[meet, r] = end, begin, False
+        # The merged pair's entries go; its neighbours are offered anew.
+        agenda[begin, live] = agenda[meet, live] = NONE
+        right, left = np.flatnonzero(end < width), np.flatnonzero(begin > 0)
+        first = np.concatenate([begin[right], before[begin[left], r[left]]])
+        second = np.concatenate([end[right], begin[left]])
+        third = np.concatenate([after[end[right], r[right]], end[left]])
+        both = np.concatenate([right, left])
+        agenda[first, live[both]] = offers(r[both], first, second, third)
+    return ids.T[alive.T], alive.sum(axis=0)
+
+
+class Usual:
+    """Words of one length as they are without dropout: their ids, and the merges that lead there.
+
+    A word of which no such merge is skipped ends as here: what else is skipped was never the best.
+    """
+
+    def __init__(self, m: Model, chars: np.ndarray) -> None:
+        steps: list[tuple[np.ndarray, ...]] = []
+        self.ids, self.counts = _by_length(m, chars, np.empty(0, np.uint64), 0, steps)
+        self.at = np.cumsum(self.counts) - self.counts
+        word, *places = [np.concatenate(x) for x in zip(*steps)] if steps else [np.empty(0, np.int64)] * 4
+        order = np.argsort(word, kind="stable")
+        self.begin, self.meet, self.end = (x[order] for x in places)
+        self.merges = np.bincount(word, minlength=len(chars))
+        self.merged_at = np.cumsum(self.merges) - self.merges
+
+    def holds(self, words: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+        """Which occurrences (the word of each, and its key) end so."""
+        owner = np.repeat(np.arange(len(words)), self.merges[words])
+        step = _ragged(self.merged_at[words], self.merges[words])
+        out = np.ones(len(words), bool)
+        out[owner[skipped(keys[owner], self.begin[step], self.meet[step], self.end[step], dropout)]] = False
+        return out
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids[_ragged(self.at[words], self.counts[words])], self.counts[words]
 
 
 def encode_words(m: Model, words: list[str], key: int | np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +278,22 @@ def encode_words(m: Model, words: list[str], key: int | np.ndarray, dropout: flo
             h = _mixed(h * FACTORS[0] + column)
         return h
 
+    # Words that are met again share what they are without dropout.
+    same = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy() if dropout > 0 else np.arange(len(words))
+    again = np.bincount(same, minlength=1)[same] > 1
     for size in np.unique(sizes[(sizes <= LONG) & ~unknown]):
-        whole = np.flatnonzero((sizes == size) & ~unknown)
-        for rows in np.split(whole, range(AT_ONCE, len(whole), AT_ONCE)):
+        whole = (sizes == size) & ~unknown
+        alone, common = np.flatnonzero(whole & ~again), np.flatnonzero(whole & again)
+        if len(common):
+            _, first, word = np.unique(same[common], return_index=True, return_inverse=True)
+            usual = Usual(m, chars[starts[common[first]][:, None] + np.arange(size)])
+            for part in np.split(np.arange(len(common)), range(AT_ONCE, len(common), AT_ONCE)):
+                rows = common[part]
+                held = usual.holds(word[part], word_keys(rows, starts[rows][:, None] + np.arange(size)), dropout)
+                ids, counts[rows[held]] = usual.of(word[part[held]])
+                found.append((rows[held], ids))
+                alone = np.concatenate([alone, rows[~held]])
+        for rows in np.split(alone, range(AT_ONCE, len(alone), AT_ONCE)):
             at = starts[rows][:, None] + np.arange(size)
             ids, n = _by_length(m, chars[at], word_keys(rows, at), dropout)
             counts[rows] = n

@@ -171,6 +171,29 @@ def test_agendas_agree():
         assert pieces._by_agenda(m, w, int(h[0]), 0.3) == ids[e - n : e].tolist()
 
 
+@pytest.mark.parametrize("dropout", [0.02, 0.3])
+def test_pieces_merge_only_the_occurrences_that_skip_something(monkeypatch, dropout):
+    m = pieces.model()
+    rng = np.random.default_rng(3)
+    distinct = [" international", " a", "the", " processing", " of", " unbelievable", " 2024", "   x"]
+    found = [distinct[i] for i in rng.integers(0, len(distinct), 3000)]
+    keys = rng.integers(0, 2**63, len(found)).astype(np.uint64)
+    merged, by_length = [], pieces._by_length
+
+    def counted(m, chars, *rest):
+        merged.append(len(chars))
+        return by_length(m, chars, *rest)
+
+    monkeypatch.setattr(pieces, "_by_length", counted)
+    ids, counts = pieces.encode_words(m, found, keys, dropout)
+    assert sum(merged) < 0.9 * len(found)
+    for w, k, n, e in zip(found, keys, counts.tolist(), np.cumsum(counts).tolist()):
+        h = np.array([k], np.uint64)
+        for c in w:
+            h = pieces._mixed(h * pieces.FACTORS[0] + np.array([ord(c)], np.uint32))
+        assert pieces._by_agenda(m, w, int(h[0]), dropout) == ids[e - n : e].tolist()
+
+
 def test_pieces_of_tables(spark):
     rows = [None, *ODD, *texts(7)]
     docs = documents(spark, rows, ids="string", N_PIECES="int").union(documents(spark, [None, "x"], ids="string", N_PIECES="int"))
