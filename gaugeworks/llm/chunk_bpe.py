@@ -93,11 +93,32 @@ SPLIT = {
 }
 _PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
+#: Parts that the library's byte alphabet leaves as they are.
+_PRINTED = re.compile(rb"[!-~]+").fullmatch
+
 _GEAR = np.random.default_rng(12).integers(0, 2**32, 256, dtype=np.uint32)
 # The blanks that end a word.
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
+class Known(dict):
+    """Ids of words, KNOWN of them at most and those of one call; what was not asked for of late goes first."""
+
+    def __init__(self) -> None:
+        self.older: dict[bytes, bytes] = {}
+
+    def lacks(self, words: set[bytes]) -> list[bytes]:
+        """Which of the words are to be learned; the others are held until the next call at least."""
+        new = words - self.keys()
+        if len(self) + len(new) > KNOWN // 2:
+            self.older = dict(self) if len(self) <= KNOWN else {}
+            self.clear()
+            new = words
+        older = self.older
+        self.update((w, older[w]) for w in new if w in older)
+        return [w for w in new if w not in older]
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, `width` to an id; each distinct word is encoded once.
 
@@ -123,8 +144,8 @@ class Encoder:
         marks = [t for t in told["added_tokens"] if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark = marks[0] if marks else None
         self.splits = {k: told.get(k) for k in SPLIT} == SPLIT
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known, self.runs = Known(), Known()
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as the library has them."""
@@ -145,11 +166,12 @@ class Encoder:
 
     def _by_parts(self, words: list[bytes]) -> list[bytes]:
         parts = [_PART.findall(w.lower()) for w in words]
-        new = list({p for p in itertools.chain.from_iterable(parts) if p not in self.runs})
-        if len(self.runs) + len(new) > KNOWN:
-            self.runs.clear()
-            new = list(set(itertools.chain.from_iterable(parts)))
-        self._learn(self.runs, new)
+        new = self.runs.lacks(set(itertools.chain.from_iterable(parts)))
+        # A part is a word of the vocabulary's model: nothing is left to normalise or split.
+        spelt = [p for p in new if _PRINTED(p)]
+        tokens = map(self.model.tokenize, map(bytes.decode, spelt))
+        self.runs.update(zip(spelt, (array(self.code, [t.id for t in ts]).tobytes() for ts in tokens)))
+        self._learn(self.runs, [p for p in new if p not in self.runs])
         return [b"".join(map(self.runs.__getitem__, p)) for p in parts]
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
@@ -166,10 +188,7 @@ class Encoder:
             # A stretch may be longer where one word is; it's a word by itself then.
             return [b"".join(self._of_stretch(part) for part in stretches(t, _BLANK)) for t in texts]
         words = [t.split() for t in texts]
-        new = list({w for w in itertools.chain.from_iterable(words) if w not in self.known})
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(set(itertools.chain.from_iterable(words)))
+        new = self.known.lacks(set(itertools.chain.from_iterable(words)))
         long = {w: self.whole([w])[0] for w in new if len(w) > WORD_BYTES}
         short = [w for w in new if len(w) <= WORD_BYTES]
         if self.splits:

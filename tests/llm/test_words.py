@@ -170,6 +170,18 @@ def test_long_text_is_encoded_in_stretches():
     assert np.frombuffer(own.ids([text.encode()])[0], "<u2").tolist() == head + tail
 
 
+def test_words_asked_for_of_late_stay_known(monkeypatch):
+    monkeypatch.setattr(chunk_bpe, "KNOWN", 40)
+    own = chunk_bpe.Encoder(public_tokenizers.path(chunk_bpe.VOCABULARY))
+    asked, by_parts = [], own._by_parts
+    monkeypatch.setattr(own, "_by_parts", lambda words: asked.extend(words) or by_parts(words))
+    for i in range(30):
+        text = b"Often " + b" ".join(b"it's%d\x01<|x|>!'%c" % (j, 97 + j % 26) for j in range(10 * i, 10 * i + 10))
+        assert own.ids([text]) == own.whole([text])
+        assert len(own.known) + len(own.known.older) <= 40 + 11
+    assert asked.count(b"Often") == 1
+
+
 def test_words_by_parts_and_in_joint_calls():
     own, tokenizer = chunk_bpe.Encoder(PATH), Tokenizer.from_file(PATH)
     assert own.splits and own.mark is not None
