@@ -41,7 +41,7 @@ def words(line: Column) -> Column:
     for c in RARE_SPACE:
         rare = rare | F.contains(line, F.lit(c))
     split = F.when(rare, F.split(line, f"[ {RARE_SPACE}]+")).otherwise(F.split(line, " "))
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(split, "")
 
 
 def _running_xor(values: str) -> str:
@@ -80,12 +80,14 @@ def _variants(places: DataFrame) -> DataFrame:
 def line_classes(lines: DataFrame) -> DataFrame:
     """One row per distinct line: key, n, halves (hashed) and its earliest place."""
     n = F.size("words")
-    first = lambda size: F.slice("words", F.lit(1), size)
-    last = lambda size: F.slice("words", n - size + 1, size)
-    sizes = (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))
-    halves = F.array_distinct(F.array(*(
-        F.xxhash64(F.lit(kind), size, part(size)) for kind, part in (("first", first), ("last", last)) for size in sizes
-    )))
+
+    def half(size: Column) -> tuple[Column, Column]:
+        first, last = F.slice("words", F.lit(1), size), F.slice("words", n - size + 1, size)
+        return F.xxhash64(F.lit("first"), size, first), F.xxhash64(F.lit("last"), size, last)
+
+    more, less = (half(x.cast("int")) for x in (n / 2, (n - 1) / 2))
+    # Of an odd number of words both are the same.
+    halves = F.when(n % 2 == 1, F.array(*more)).otherwise(F.array(*more, *less))
     return lines.select(
         F.unhex(F.md5(F.array_join("words", " "))).alias("key"),
         n.alias("n"),
@@ -94,20 +96,20 @@ def line_classes(lines: DataFrame) -> DataFrame:
     ).groupBy("key", "n", "halves").agg(F.min("place").alias("place"))
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place (sorts by doc_id, line number) and its words."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every line and its place, which sorts by doc_id, line number."""
     # Hashed and split once per document, before there is a row per line.
     lines = docs.where("text is not null").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines")
     )
-    lines = lines.select("doc_id", "text_hash", F.posexplode("lines"))
-    lines = lines.select(
-        F.struct(
-            F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("pos").alias("line"), "text_hash"
-        ).alias("place"),
-        F.explode(F.array(words(F.col("col")))).alias("words"),
+    return lines.select("doc_id", "text_hash", F.posexplode("lines").alias("line", "of")).select(
+        F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "text_hash").alias("place"), "of"
     )
-    return lines.where(F.size("words") > 0)
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    """The places and words of the lines that have any."""
+    return lines.select("place", F.explode(F.array(words(F.col("of")))).alias("words")).where(F.size("words") > 0)
 
 
 def earlier_neighbours(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -115,7 +117,8 @@ def earlier_neighbours(docs: DataFrame, classes: DataFrame) -> DataFrame:
     halves = classes.where("n >= %d" % MIN_WORDS).select("place", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     near = written(halves.join(shared, "half", "left_semi").select("place").distinct(), "line-candidates")
-    lines = joined(_places(docs), near, ["place"], "left_semi").distinct()
+    # Words are only made of the lines that are looked at.
+    lines = _worded(joined(_lines(docs), near, ["place"], "left_semi")).distinct()
     kept = written(_variants(lines), "line-variants")
     cut = kept.select("place", F.posexplode("cut").alias("i", "variant"))
     whole = kept.select("place", F.col("whole").alias("variant"))
@@ -147,7 +150,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with their text's lines that stay, plus n_lines and n_removed (longs)."""
     docs = docs.select([c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     names = docs.columns
-    classes = written(line_classes(_places(docs)), "line-classes")
+    classes = written(line_classes(_worded(_lines(docs))), "line-classes")
     gone = written(earlier_neighbours(docs, classes), "line-near")
     stays = classes.select("place").join(gone, "place", "left_anti")
     # Which lines of a document stay, as one character per line up to the last one that does.

@@ -34,6 +34,22 @@ def test_variants_of_long_lines(spark, n):
     assert len(a.cut) == n + 5 and a.cut[3] == b.whole and a.whole not in a.cut
 
 
+def test_words_are_made_of_the_lines_looked_at(spark, monkeypatch):
+    plans, written = {}, line_dedup.written
+
+    def noted(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        return written(df, purpose)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    df = spark.createDataFrame([(1, "a b c d e\n\tf  g h i j "), (2, " a b c d x\nf g h i j")], "doc_id int, text string")
+    out = line_dedup.line_dedup(df).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed) for r in out] == [(2, 0), (2, 2)]
+    # Children come after their parents: the lines are picked before they are searched for white space.
+    plan = plans["line-variants"]
+    assert plan.rindex("contains(") < plan.index("leftsemi")
+
+
 def test_line_dedup_null_ids_and_repeated_rows(spark):
     rows = [(None, "one line of some words\nx"), (7, "one line of some words"), (7, "one line of some words"), (None, "x")]
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
