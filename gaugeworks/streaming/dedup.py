@@ -22,6 +22,7 @@ from gaugeworks.operators.dedup import (
     follow,
     kept_entries,
 )
+from gaugeworks.session import by_value
 from gaugeworks.sources.ledger import Ledger, Snapshot
 
 #: Rows of a key, of different times, that a worker holds before it lays them down by slice.
@@ -186,13 +187,14 @@ def dedup_ttl_stream(
         )
         initial = store.groupBy(*flat, "lane")
     of = {c: k for k, c in columns.items()}
-    return rows.groupBy(*flat, "lane").transformWithStateInPandas(
-        KeepFirst(ttl, of[id], columns, held_rows),
-        outputStructType=points.schema,
-        outputMode="append",
-        timeMode="EventTime",
-        initialState=initial,
-    )
+    with by_value():
+        return rows.groupBy(*flat, "lane").transformWithStateInPandas(
+            KeepFirst(ttl, of[id], columns, held_rows),
+            outputStructType=points.schema,
+            outputMode="append",
+            timeMode="EventTime",
+            initialState=initial,
+        )
 
 
 def stream_store(points: DataFrame, checkpoint: str, keys: Sequence[str]) -> DataFrame:
