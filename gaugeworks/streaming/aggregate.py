@@ -15,6 +15,7 @@ from gaugeworks.functions.values import label_entries
 from gaugeworks.model import CUSTOM_AGGREGATIONS, AggRule, require
 from gaugeworks.operators.aggregate import aggregate, apply_rules, bounds_of, emit
 from gaugeworks.operators.windows import add_points, stored_windows
+from gaugeworks.session import by_value
 from gaugeworks.sources.ledger import Ledger
 
 
@@ -214,15 +215,16 @@ def aggregate_anchored_stream(
         F.coalesce("value", F.lit(0.0)).alias("value"),
         "ts",
     )
-    states = matched.groupBy("rule_id", "group_json").transformWithStateInPandas(
-        AnchoredWindows(step, [bounds_of(r) for r in rules]),
-        outputStructType=(
-            "rule_id int, group_json string, _anchor bigint, window_index bigint, _n bigint, _sum double, "
-            "_min double, _max double, under array<bigint>"
-        ),
-        outputMode="append",
-        timeMode="EventTime",
-    )
+    with by_value():
+        states = matched.groupBy("rule_id", "group_json").transformWithStateInPandas(
+            AnchoredWindows(step, [bounds_of(r) for r in rules]),
+            outputStructType=(
+                "rule_id int, group_json string, _anchor bigint, window_index bigint, _n bigint, _sum double, "
+                "_min double, _max double, under array<bigint>"
+            ),
+            outputMode="append",
+            timeMode="EventTime",
+        )
     width = max(len(bounds_of(r)) for r in rules)
     states = states.withColumns(
         {
