@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from gaugeworks.functions.clock import micros, parse_duration
 from gaugeworks.functions.values import hashable
 from gaugeworks.model import require
+from gaugeworks.session import by_value
 
 #: Points of a key are dealt into so many groups, each with the key's snapshots.
 LANES = 8
@@ -129,14 +130,15 @@ def as_of_stream(
         *[F.lit(None).cast(points.schema[c].dataType).alias(n) for n, c in columns.items()],
     )
     both = left.unionByName(right).withWatermark("t", delay).withColumn("us", micros("t"))
-    out = both.groupBy("k", "lane").transformWithStateInPandas(
-        AsOf(ttl, columns, into),
-        outputStructType=", ".join(
-            [*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), f"`{into}` string"]
-        ),
-        outputMode="append",
-        timeMode="EventTime",
-    )
+    with by_value():
+        out = both.groupBy("k", "lane").transformWithStateInPandas(
+            AsOf(ttl, columns, into),
+            outputStructType=", ".join(
+                [*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), f"`{into}` string"]
+            ),
+            outputMode="append",
+            timeMode="EventTime",
+        )
     return out.withColumn(into, F.from_json(into, kind, _EXACT_TIME))
 
 

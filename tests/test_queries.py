@@ -60,7 +60,7 @@ sys.exit(problem)
 """
 
 
-@pytest.mark.parametrize("name", ["dedup_handover", "dedup_stream_gc", "agg_anchored_stream"])
+@pytest.mark.parametrize("name", ["dedup_handover", "dedup_stream_gc", "agg_anchored_stream", "enrich_host_stream"])
 def test_query_where_the_code_is_shipped_to_workers(tmp_path, name):
     """Neither the folder nor PYTHONPATH leads to the library, as on a cluster that it is sent to."""
     root = Path(entry_point.__file__).resolve().parent
