@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,10 @@ from gaugeworks.operators.dedup import (
 from gaugeworks.session import by_value
 from gaugeworks.sources.ledger import Ledger, Snapshot
 
-#: Rows of a key, of different times, that a worker holds before it lays them down by slice.
+#: Keys are dealt into so many buckets. A checkpoint is only good for the number that it began with.
+BUCKETS = 512
+
+#: Rows of a bucket, of different keys and times, that a worker holds before it lays them down by slice.
 HELD_ROWS = 50_000
 
 #: Rows that are not compared with any other are dealt into so many groups.
@@ -35,106 +39,154 @@ LANES = 256
 STORE_FANOUT = 8
 
 
-class KeepFirst(StatefulProcessor):
-    """One key's kept rows. State: its last kept time, with a timer for when that is of no more use.
+_NEVER = np.iinfo(np.int64).min
+
+
+class Due:
+    """From when on a row of a key is new again: the keys' places, and the times by place."""
+
+    def __init__(self, keys: Iterable[tuple], times: np.ndarray) -> None:
+        self.places = {k: i for i, k in enumerate(keys)}
+        self.times = times
 
-    Frames come in any order of time. Of each only the first row of a time can matter, and none
-    within the TTL of the last kept row. Where a key has more such rows in a trigger than are held,
-    they are laid down in the state by slices of one TTL, which are then followed in order of time,
-    one slice in memory at once.
+    def place(self, frame: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+        """The frame with the places of its keys; new ones are given theirs."""
+        places = self.places
+        found = [places.setdefault(k, len(places)) for k in zip(*[frame[k] for k in keys])]
+        self.times = np.append(self.times, np.full(len(places) - len(self.times), _NEVER, np.int64))
+        return frame.assign(place=np.array(found, np.int64))
+
+    def first(self) -> int | None:
+        return int(self.times.min()) if len(self.times) else None
+
+
+class KeepFirst(StatefulProcessor):
+    """The kept rows of a bucket of keys. State: each key's last kept time, with a timer for when the
+    first of them is of no more use.
+
+    A call with its frames and its state costs about the same for one key as for a thousand, so the
+    keys of a bucket are followed together. Frames come in any order of time. Of each only the first
+    row of a key and time can matter, and none within the TTL of the key's last kept row. Where a
+    bucket has more such rows in a trigger than are held, they are laid down in the state by slices
+    of one TTL, which are then followed in order of time, one slice in memory at once.
     """
 
-    def __init__(self, ttl: int, id: str, columns: Mapping[str, str], held_rows: int) -> None:
-        """columns: names in the frames, which hold no others than identifiers, to those of the rows."""
-        self.ttl, self.id, self.columns, self.held_rows = ttl, id, dict(columns), held_rows
+    def __init__(self, ttl: int, id: str, keys: Sequence[str], columns: Mapping[str, str], held_rows: int) -> None:
+        """keys, and columns to those of the rows: names in the frames, which hold no others than identifiers."""
+        self.ttl, self.id, self.keys, self.columns, self.held_rows = ttl, id, list(keys), dict(columns), held_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_kept", "us bigint")
-        self.slices = handle.getMapState("slices", "slice bigint", "rows binary")
+        texts = [f"{k} array<string>" for k in self.keys]
+        self.last = handle.getValueState("last_kept", ", ".join([*texts, "us array<bigint>"]))
+        self.slices = handle.getMapState("slices", "slice bigint, part bigint", "rows binary")
 
     def _named(self, frame: pd.DataFrame) -> pd.DataFrame:
         return frame[list(self.columns)].rename(columns=self.columns)
 
-    def _firsts(self, frames: list[pd.DataFrame], due: int | None) -> pd.DataFrame:
-        """The first row of each time that can still be kept, in order of time."""
+    def _read(self) -> Due:
+        if not self.last.exists():
+            return Due([], np.zeros(0, np.int64))
+        *keys, us = self.last.get()
+        return Due(zip(*keys), np.array(us, np.int64) + self.ttl)
+
+    def _write(self, due: Due) -> None:
+        if due.places:
+            self.last.update((*[list(k) for k in zip(*due.places)], (due.times - self.ttl).tolist()))
+        else:
+            self.last.clear()
+
+    def _wait(self, first: int, watermark: int) -> None:
+        """Once the watermark is past this time any row of the key is new, state or not."""
+        self.handle.registerTimer(max(-(-first // 1000), watermark + 1))
+
+    def _firsts(self, frames: list[pd.DataFrame], due: Due) -> pd.DataFrame:
+        """The first row of each key and time that can still be kept, in order of both."""
         rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        if due is not None:
-            rows = rows[rows["us"].to_numpy() >= due]
-        times = rows["us"].to_numpy().astype(np.int64)
+        rows = rows[rows["us"].to_numpy() >= due.times[rows["place"].to_numpy()]]
+        times, place = rows["us"].to_numpy().astype(np.int64), rows["place"].to_numpy()
         # As the batch operator orders them: a null id first, equal ids by the row's hash.
         ids = pd.factorize(rows[self.id], sort=True)[0]
-        order = np.lexsort((rows["tie"].to_numpy(), ids, times))
-        times = times[order]
-        return rows.take(order[np.r_[True, times[1:] != times[:-1]]] if len(order) else order)
-
-    def _lay_down(self, rows: pd.DataFrame) -> None:
-        for slice_, part in rows.groupby(rows["us"] // self.ttl, sort=False):
-            key = (int(slice_),)
-            frames = [part]
-            if self.slices.containsKey(key):
-                frames.append(pickle.loads(self.slices.getValue(key)[0]))
-            self.slices.updateValue(key, (pickle.dumps(self._firsts(frames, None)),))
-
-    def _in_order(self, frames: Iterator[pd.DataFrame], due: int | None) -> Iterator[pd.DataFrame]:
+        order = np.lexsort((rows["tie"].to_numpy(), ids, times, place))
+        times, place = times[order], place[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (times[1:] != times[:-1]) | (place[1:] != place[:-1])
+        return rows.take(order[first])
+
+    def _lay_down(self, rows: pd.DataFrame, part: int) -> None:
+        for slice_, piece in rows.groupby(rows["us"] // self.ttl, sort=False):
+            self.slices.updateValue((int(slice_), part), (pickle.dumps(piece),))
+
+    def _in_order(self, frames: Iterator[pd.DataFrame], due: Due) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size, laid = 0, False
+        size, parts = 0, 0
         for frame in frames:
-            held.append(self._firsts([frame], due))
+            held.append(self._firsts([due.place(frame, self.keys)], due))
             size += len(held[-1])
             if size > self.held_rows:
                 held = [self._firsts(held, due)]
                 size = len(held[0])
                 if size > self.held_rows:
-                    self._lay_down(held[0])
-                    held, size, laid = [], 0, True
-        if not laid:
+                    self._lay_down(held[0], parts)
+                    held, size, parts = [], 0, parts + 1
+        if not parts:
             if held:
                 yield self._firsts(held, due)
             return
         if held:
-            self._lay_down(self._firsts(held, due))
-        for (slice_,) in sorted(tuple(k) for k in self.slices.keys()):
-            yield pickle.loads(self.slices.getValue((slice_,))[0])
-            self.slices.removeKey((slice_,))
-
-    def _wait(self, due: int, watermark: int) -> None:
-        """Once the watermark is past this time any row is new, state or not."""
-        self.handle.registerTimer(max(-(-due // 1000), watermark + 1))
+            self._lay_down(self._firsts(held, due), parts)
+        laid = sorted(tuple(k) for k in self.slices.keys())
+        for _, slice_ in groupby(laid, key=lambda k: k[0]):
+            pieces = []
+            for k in slice_:
+                pieces.append(pickle.loads(self.slices.getValue(k)[0]))
+                self.slices.removeKey(k)
+            yield self._firsts(pieces, due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[-1] >= 0:
+        if key[0] < 0:
             yield from (self._named(frame) for frame in rows)
             return
-        before = self.last.get()[0] if self.last.exists() else None
-        due = None if before is None else before + self.ttl
+        due = self._read()
+        before, changed = due.first(), False
         for frame in self._in_order(rows, due):
-            times = frame["us"].to_numpy().astype(np.int64)
-            head = np.zeros(len(times), bool)
-            head[:1] = due is None
-            marks, due = follow(times, times + self.ttl, head, due)
-            if marks.any():
-                yield self._named(frame[marks])
-        if due is not None and due - self.ttl != before:
-            self.last.update((int(due - self.ttl),))
-            if before is None:
-                self._wait(due, timerValues.getCurrentWatermarkInMs())
+            if not len(frame):
+                continue
+            times, place = frame["us"].to_numpy().astype(np.int64), frame["place"].to_numpy()
+            # What was kept before is a TTL away from all of them, so each key's first row is kept.
+            head = np.r_[True, place[1:] != place[:-1]]
+            marks, _ = follow(times, times + self.ttl, head, None)
+            last = np.flatnonzero(marks)
+            last = last[np.r_[place[last[1:]] != place[last[:-1]], True]]
+            due.times[place[last]] = times[last] + self.ttl
+            changed = True
+            yield self._named(frame[marks])
+        if changed:
+            self._write(due)
+            # The timer of the state as it was is there already.
+            if before is None or due.first() < before:
+                self._wait(due.first(), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        if self.last.exists():
-            due = self.last.get()[0] + self.ttl
-            if -(-due // 1000) <= watermark:
-                self.last.clear()
-            else:
-                # The key was kept again since.
-                self._wait(due, watermark)
+        due = self._read()
+        live = -(-due.times // 1000) > watermark
+        if not live.all():
+            due = Due([k for k, there in zip(due.places, live) if there], due.times[live])
+            self._write(due)
+        if due.places:
+            # Keys that were kept again since, or later.
+            self._wait(due.first(), watermark)
         return iter([])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        us = int(initialState["last_us"].max())
-        self.last.update((us,))
-        self._wait(us + self.ttl, timerValues.getCurrentWatermarkInMs())
+        due = self._read()
+        before = due.first()
+        place = due.place(initialState, self.keys)["place"].to_numpy()
+        np.maximum.at(due.times, place, initialState["last_us"].to_numpy().astype(np.int64) + self.ttl)
+        self._write(due)
+        if before is None or due.first() < before:
+            self._wait(due.first(), timerValues.getCurrentWatermarkInMs())
 
 
 def dedup_ttl_stream(
@@ -146,11 +198,14 @@ def dedup_ttl_stream(
     delay: str = "1 hour",
     seen: DataFrame | None = None,
     held_rows: int = HELD_ROWS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The kept rows of a stream, exactly as the batch operator keeps them.
 
     State is one time per key, survives restarts through the checkpoint and goes when the watermark
-    has passed it by `ttl`. Input may be out of order inside a micro-batch; across micro-batches a row
+    has passed it by `ttl`. Keys are dealt into `buckets` groups, which are the most tasks that can work
+    at once and whose state a trigger that has rows for them writes anew; the number stays for as long
+    as the checkpoint. Input may be out of order inside a micro-batch; across micro-batches a row
     older than the key's last kept time plus `ttl` is a duplicate, and a keyed row behind the watermark
     (`delay` behind the newest row of the batches before) is dropped as late. Bound the work of one
     trigger with maxFilesPerTrigger at the source.
@@ -165,31 +220,28 @@ def dedup_ttl_stream(
     # Unkeyed and undated rows are dealt out by what they hold.
     alone = ~F.col("has_all_keys") | F.col(ts).isNull()
     tie = F.xxhash64(*hashable(keyed))
-    lane = F.when(alone, F.pmod(tie, F.lit(LANES))).otherwise(-1)
     # Keys as text: a null among numbers would reach Python as a NaN, which equals nothing.
     names = keyed.schema["dedup_key"].dataType.names
     flat = [f"k{i}" for i in range(len(names))]
-    texts = [F.when(~alone, F.col("dedup_key")[n].cast("string")).alias(k) for k, n in zip(flat, names)]
+    texts = [F.col("dedup_key")[n].cast("string").alias(k) for k, n in zip(flat, names)]
+    bucket = F.pmod(F.xxhash64(*texts), F.lit(buckets))
+    lane = F.when(alone, -1 - F.pmod(tie, F.lit(LANES))).otherwise(bucket)
     columns = {f"c{i}": c for i, c in enumerate(points.columns)}
     rows = keyed.select(
+        lane.alias("bucket"),
         *texts,
-        lane.alias("lane"),
         micros(ts).alias("us"),
         tie.alias("tie"),
         *[F.col(f"`{c}`").alias(k) for k, c in columns.items()],
     )
     initial = None
     if seen is not None:
-        store = seen.select(
-            *[F.col("dedup_key")[n].cast("string").alias(k) for k, n in zip(flat, names)],
-            F.lit(-1).cast("bigint").alias("lane"),
-            micros("last_kept").alias("last_us"),
-        )
-        initial = store.groupBy(*flat, "lane")
+        store = seen.select(bucket.alias("bucket"), *texts, micros("last_kept").alias("last_us"))
+        initial = store.groupBy("bucket")
     of = {c: k for k, c in columns.items()}
     with by_value():
-        return rows.groupBy(*flat, "lane").transformWithStateInPandas(
-            KeepFirst(ttl, of[id], columns, held_rows),
+        return rows.groupBy("bucket").transformWithStateInPandas(
+            KeepFirst(ttl, of[id], flat, columns, held_rows),
             outputStructType=points.schema,
             outputMode="append",
             timeMode="EventTime",
@@ -206,10 +258,10 @@ def stream_store(points: DataFrame, checkpoint: str, keys: Sequence[str]) -> Dat
     spark = points.sparkSession
     state = spark.read.format("statestore").option("stateVarName", "last_kept").load(checkpoint)
     kind = dedup_key(points, keys).schema["dedup_key"].dataType
-    own = [F.col("key")[f"k{i}"].cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)]
-    return state.filter("key.lane < 0").select(
-        F.struct(*own).alias("dedup_key"), instant(F.col("value.us")).alias("last_kept")
-    )
+    lists = [F.col(f"value.k{i}") for i in range(len(kind.fields))]
+    entries = state.select(F.explode(F.arrays_zip(*lists, F.col("value.us"))).alias("e"))
+    own = [F.col("e")[f"k{i}"].cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)]
+    return entries.select(F.struct(*own).alias("dedup_key"), instant(F.col("e")["us"]).alias("last_kept"))
 
 
 def store_schema(rows: DataFrame, keys: Sequence[str]) -> str:

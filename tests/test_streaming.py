@@ -175,6 +175,40 @@ def test_batch_run_then_stream_then_batch_equal_one_run(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, dedup_ttl(table, keys, "5m").collect()))
 
 
+def many_keys(n=3000, seed=12):
+    """Rows of a thousand keys, some of them null, in order of time."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        labels = {} if rng.random() < 0.1 else {"u": rng.choice([None, *map(str, range(500))])}
+        out.append((i, T0 + timedelta(seconds=rng.randrange(7200)), rng.choice("ab"), float(i), labels))
+    return sorted(out + out[::7], key=lambda r: (r[1], r[0]))
+
+
+@pytest.mark.parametrize("buckets, held_rows", [(1, 50), (3, 10), (16, 50_000)])
+def test_keys_are_followed_by_the_bucket(spark, tmp_path, buckets, held_rows):
+    """A group for each key is a call, a frame and a timer for each: what a stream of many keys spends its time on."""
+    data, keys = many_keys(), ["name", "labels.u"]
+    table = spark.createDataFrame(data, SCHEMA)
+    one = data[len(data) // 4][1]
+    first, store = dedup_against_store(table.filter(F.col("ts") < one), empty_store(table, keys), keys, "20m")
+    rest, path, store = [r for r in data if r[1] >= one], str(tmp_path / "in"), written(store, "store")
+    for at, half in ((0, rest[: len(rest) // 2]), (10, rest[len(rest) // 2 :])):
+        # In order by parts, in any order inside them.
+        for p, part in enumerate((half[: len(half) // 2], half[len(half) // 2 :])):
+            random.Random(p).shuffle(part)
+            land(spark, path, part, 1, at + p)
+        out = run_available(
+            dedup_ttl_stream(stream(spark, path), keys, "20m", seen=store, held_rows=held_rows, buckets=buckets),
+            str(tmp_path / "out"), str(tmp_path / "state"),
+        )
+    got = [r for df in (first, out) for r in df.collect()]
+    kept = dedup_ttl(table, keys, "20m")
+    assert sorted(map(str, got)) == sorted(map(str, kept.collect()))
+    state = spark.read.format("statestore").option("stateVarName", "last_kept").load(str(tmp_path / "state"))
+    assert state.count() <= buckets
+
+
 def test_state_expires_by_timer(spark, tmp_path):
     data, path, keys = rows(seed=11), str(tmp_path / "in"), ["name"]
     for first, part in ((0, data), (10, [(999, T0 + timedelta(hours=9), "late", 1.0, {})]), (20, [(1000, T0 + timedelta(hours=10), "end", 1.0, {})])):
