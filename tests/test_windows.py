@@ -130,3 +130,37 @@ def test_lookups_on_streams(spark, tmp_path, parts):
     # The last two have no later row to move the watermark past them.
     assert shown(out) == shown(want.filter("id is not null and id <> 1000"))
     assert out.filter("snapshot is not null").count() > 50
+
+
+@pytest.mark.parametrize("buckets, chunk_rows", [(1, 30), (4, 20_000)])
+def test_lookups_of_many_keys_are_made_by_the_bucket(spark, tmp_path, monkeypatch, buckets, chunk_rows):
+    """A state and a timer for each key and minute is what a stream of many points spends its time on."""
+    monkeypatch.setattr("gaugeworks.streaming.enrich.CHUNK_ROWS", chunk_rows)
+    rng = random.Random(27)
+    at = lambda: T0 + timedelta(seconds=rng.randrange(40_000), microseconds=rng.randrange(2))
+    points = [(i, at(), rng.choice([None, "", *map(str, range(300))]), {"n": str(i)}) for i in range(3000)]
+    facts = [(rng.choice([None, "", *map(str, range(320))]), at(), 1000 + i) for i in range(1500)]
+    # Snapshots of one key and time: the greater holds, in text as in number; points at the very time of one.
+    facts += [(h, t, c + 1) for h, t, c in facts[::9]]
+    points += [(3000 + i, t, h, {}) for i, (h, t, _) in enumerate(facts[::5])] + [(9000 + i, None, "1", {}) for i in range(40)]
+    end = T0 + timedelta(seconds=60_000)
+    kinds = "id bigint, ts timestamp, host string, labels map<string,string>", "hostname string, collected_at timestamp, cpus int"
+    for half in (0, 1):
+        read = []
+        for name, data, kind in (("points", [*points, (99_999, end, "1", {})], kinds[0]), ("facts", facts, kinds[1])):
+            path = str(tmp_path / name)
+            data = sorted(data, key=lambda r: (r[1] is not None, r[1] or T0))
+            size = -(-len(data) // 6)
+            for p in range(3 * half, 3 * half + 3):
+                part = data[p * size : (p + 1) * size]
+                rng.shuffle(part)
+                spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{path}/{p}")
+            read.append(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/*"))
+        # The second half goes on from the state of the first.
+        found = as_of_stream(*read, "host", "hostname", ["cpus"], "2h", delay="2 hours", lanes=2, buckets=buckets)
+        out = run_available(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    want = enrich.as_of(spark.createDataFrame(points, kinds[0]), spark.createDataFrame(facts, kinds[1]), "host", "hostname", ["cpus"], "2h")
+    assert shown(out) == shown(want)
+    assert out.filter("snapshot is not null").count() > 500
+    state = spark.read.format("statestore").option("stateVarName", "facts").load(str(tmp_path / "state"))
+    assert 0 < state.count() <= 2 * buckets
