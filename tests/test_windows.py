@@ -164,3 +164,32 @@ def test_lookups_of_many_keys_are_made_by_the_bucket(spark, tmp_path, monkeypatc
     assert out.filter("snapshot is not null").count() > 500
     state = spark.read.format("statestore").option("stateVarName", "facts").load(str(tmp_path / "state"))
     assert 0 < state.count() <= 2 * buckets
+
+
+@pytest.mark.parametrize("buckets, held_rows", [(1, 40), (5, 200_000)])
+def test_anchored_windows_of_many_groups_are_kept_by_the_bucket(spark, tmp_path, monkeypatch, buckets, held_rows):
+    """A state and a timer for each group and window is what a stream of many groups spends its time on."""
+    monkeypatch.setattr("gaugeworks.streaming.aggregate.HELD_ROWS", held_rows)
+    rng = random.Random(28)
+    data = []
+    for i in range(3000):
+        labels = {} if rng.random() < 0.1 else {"u": rng.choice([None, "", *map(str, range(200))])}
+        name = rng.choice(["hot", "a", "b"])
+        # A sum that is NaN comes back from Python as null.
+        value = rng.choice([None, float(rng.randrange(-50, 150)), 70.0, 100.0, *[float("nan")] * (name != "hot")])
+        data.append((i, T0 + timedelta(seconds=rng.randrange(30_000), microseconds=rng.randrange(3)), name, value, labels))
+    data = sorted(data, key=lambda r: r[1])
+    for half in (0, 1):
+        for p in (2 * half, 2 * half + 1):
+            part = data[p * 750 : (p + 1) * 750]
+            rng.shuffle(part)
+            land(spark, str(tmp_path / "in"), part, 1, 10 * half + p)
+        # The second half goes on from the state of the first.
+        windows = aggregate_anchored_stream(stream(spark, str(tmp_path / "in")), RULES, 600, "10 minutes", buckets=buckets)
+        out = run_available(windows, str(tmp_path / "out"), str(tmp_path / "state"))
+    closed = max(r[1] for r in data) - timedelta(minutes=10, milliseconds=1)
+    end = F.col("window_start") + F.expr("interval 600 seconds") <= F.lit(closed)
+    batch = aggregate_anchored(spark.createDataFrame(data, SCHEMA), RULES, 600)
+    assert shown(out.filter(end)) == shown(batch.filter(end)) and batch.filter(end).count() > 1000
+    state = spark.read.format("statestore").option("stateVarName", "anchors").load(str(tmp_path / "state"))
+    assert 0 < state.count() <= buckets
