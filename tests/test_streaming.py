@@ -223,6 +223,25 @@ def test_state_expires_by_timer(spark, tmp_path):
     assert {r.dedup_key.name for r in live.collect()} == {"end"}
 
 
+def test_the_store_is_read_from_the_states_of_buckets(spark, tmp_path):
+    """Every live entry of a thousand keys, null ones included, from a few states; expired ones have gone."""
+    data, path, keys = many_keys(seed=13), str(tmp_path / "in"), ["name", "labels.u"]
+    land(spark, path, [*data, (9999, T0 + timedelta(hours=3), "end", 1.0, {"u": "1"})], 3)
+    run_available(
+        dedup_ttl_stream(stream(spark, path), keys, "40m", buckets=4), str(tmp_path / "out"), str(tmp_path / "state")
+    )
+    store = stream_store(spark.createDataFrame([], SCHEMA), str(tmp_path / "state"), keys)
+    assert store.filter("dedup_key.name <> 'end'").agg(F.min("last_kept")).first()[0] > T0 + timedelta(hours=2, minutes=-40)
+    table = spark.createDataFrame(data, SCHEMA)
+    _, want = dedup_against_store(table, empty_store(table, keys), keys, "40m")
+    now = F.lit(T0 + timedelta(hours=2))
+    shown = lambda df: sorted(map(str, expire_seen(df, now, "40m").collect()))
+    assert shown(store.filter("dedup_key.name <> 'end'")) == shown(want) and len(shown(want)) > 400
+    assert any(r.dedup_key.labels_u is None for r in store.collect())
+    state = spark.read.format("statestore").option("stateVarName", "last_kept").load(str(tmp_path / "state"))
+    assert state.count() <= 4
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_closed_windows_equal_batch(spark, tmp_path, parts):
     data = rows(seed=3)
